@@ -36,5 +36,12 @@ def join_small(
     rows = collect_bounded(small, max_rows)
     if rows is None:
         return big.join(small, list(keys), how)
-    local = big.sparkSession.createDataFrame(rows, schema=small.schema)
-    return big.join(F.broadcast(local), list(keys), how)
+    return big.join(F.broadcast(local_table(big.sparkSession, rows, small.schema)), list(keys), how)
+
+
+def local_table(spark, rows: list[Row], schema) -> DataFrame:
+    """A bounded set of collected rows as an in-plan local relation (Arrow path)."""
+    import pandas as pd
+
+    pdf = pd.DataFrame.from_records([tuple(r) for r in rows], columns=schema.names)
+    return spark.createDataFrame(pdf, schema=schema)

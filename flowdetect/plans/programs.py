@@ -14,9 +14,10 @@ not six pipelines, and a lost executor never forces a day to be retrained.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,7 @@ def train_on(
     fit_on: str = "all",
     csv_path: str | None = None,
     csv_mode: str = "errorifexists",
+    csv_by_day: bool = True,
 ) -> ForestRun:
     """Train and score one forest on already coarsened rows.
 
@@ -133,7 +135,7 @@ def train_on(
         raise ValueError("fit_on must be 'all' or 'train'")
 
     if csv_path:
-        write_prepared_csv(marked.drop(PART_COL), csv_path, mode=csv_mode)
+        write_prepared_csv(marked.drop(PART_COL), csv_path, mode=csv_mode, by_day=csv_by_day)
 
     keys = [c for c in ("event_id", DAY_COL) if c in marked.columns]
     # The forest reads its input several times before caching its own binned
@@ -204,17 +206,32 @@ def train_each_day(
     *,
     out_path: str | None = None,
     csv_path: str | None = None,
+    parallelism: int = 3,
     **kwargs,
 ) -> EachDayResult:
-    """A forest for every day in turn (W3); results written under ``out_path``."""
+    """A forest for every day (W3); each day's results written under ``out_path``.
+
+    Days are independent, so up to ``parallelism`` of them are trained at the
+    same time: each is a series of distributed jobs submitted from its own
+    driver thread, and Spark runs their tasks side by side. Cached rows (and
+    the forest's binned copy) of that many days are held at once; use 1 to
+    hold a single day. Every day writes only its own ``day=<day>`` folders.
+    """
     spark = flows.sparkSession
     out = (out_path or scratch_path(spark, "each-day")).rstrip("/")
     day_list = list(days) if days is not None else _days_of(flows)
-    bins = {}
-    for day in day_list:
-        run = train_day(flows, day, csv_path=csv_path, csv_mode="overwrite", **kwargs)
+
+    def one(day: str) -> int:
+        part = f"{DAY_COL}={day}"
+        run = train_day(
+            flows,
+            day,
+            csv_path=f"{csv_path.rstrip('/')}/{part}" if csv_path else None,
+            csv_mode="overwrite",
+            csv_by_day=False,
+            **kwargs,
+        )
         try:
-            part = f"{DAY_COL}={day}"
             run.save(f"{out}/models/{part}")
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
             run.test_error().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/test_error/{part}")
@@ -223,7 +240,14 @@ def train_each_day(
             fo.importances_from_nodes(
                 nodes.select(F.lit(day).alias(DAY_COL), "*"), run.feature_names, by=(DAY_COL,)
             ).drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/importances/{part}")
-            bins[day] = run.max_bins
+            return run.max_bins
         finally:
             run.release()
-    return EachDayResult(spark, out, day_list, bins)
+
+    workers = max(1, min(parallelism, len(day_list)))
+    if workers == 1:
+        bins = [one(d) for d in day_list]
+    else:
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            bins = list(pool.map(inheritable_thread_target(spark)(one), day_list))
+    return EachDayResult(spark, out, day_list, dict(zip(day_list, bins)))

@@ -27,15 +27,20 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_prepared_csv(prepared: DataFrame, path: str, *, mode: str = "errorifexists") -> str:
+def write_prepared_csv(
+    prepared: DataFrame, path: str, *, mode: str = "errorifexists", by_day: bool = True
+) -> str:
     """Write under ``path``, one ``day=<day>`` folder per day.
 
-    With ``mode="overwrite"`` only the days present in ``prepared`` are
-    replaced (dynamic partition overwrite), so days can be written one by one.
+    With ``by_day=False`` the ``day`` column is dropped and ``path`` itself is
+    meant to be one day's folder (``<base>/day=<day>``), so each day is its
+    own write and days can be written independently, even at the same time.
     """
+    if not by_day:
+        prepared = prepared.drop(DAY_COL)
     writer = csv_ready(prepared).write.mode(mode).option("header", True)
     if DAY_COL in prepared.columns:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(DAY_COL)
+        writer = writer.partitionBy(DAY_COL)
     writer.csv(path)
     return path
 
