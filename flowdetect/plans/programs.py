@@ -29,6 +29,7 @@ from flowdetect.operators.prepare import INDEXED_FEATURES_COL, LABEL_INDEX_COL,
 from flowdetect.operators.split import PART_COL, TEST, TRAIN, with_split
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
+from flowdetect.plans.layout import spread
 from flowdetect.schema import DAY_COL, DAYS, LABEL_COL
 from flowdetect.session import scratch_path
 from flowdetect.sources.csv import write_prepared_csv
@@ -140,9 +141,10 @@ def train_on(
     keys = [c for c in ("event_id", DAY_COL) if c in marked.columns]
     # The forest reads its input several times before caching its own binned
     # copy, and the test part is scored and evaluated: keep the slim columns only.
-    prepared = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, INDEXED_FEATURES_COL, PART_COL).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # A small input (one file split) is spread over the cores once, while the
+    # cache is filled, so each forest level runs on all of them.
+    slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, INDEXED_FEATURES_COL, PART_COL)
+    prepared = spread(slim, keys=[split_key] if split_key else ()).persist(StorageLevel.MEMORY_AND_DISK)
     bins = _resolve_bins(max_bins, prep)
     pipeline = fo.forest_pipeline(prep.labels, num_trees=num_trees, max_bins=bins, max_depth=max_depth, seed=seed)
     model = pipeline.fit(prepared.where(F.col(PART_COL) == TRAIN))
