@@ -1,14 +1,20 @@
 """XML flow files: one file per capture day, one row element per flow.
 
 Spark's built-in XML source reads them; an explicit schema is always given, so
-no inference pass runs over the data and the date-times stay text. Uncompressed
-XML is split by the reader, so a day file is read by many tasks in parallel.
+no inference pass runs over the data and the date-times stay text.
+
+The reader parses an indented XML file whole, in one task (its line-based
+mode splits files but mis-reads indented records), so read parallelism comes
+from files: at scale a day "file" is a folder (or glob) of many XML files.
+The XML is parsed once and kept as Parquet by day (``sources.parquet``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,19 +91,26 @@ def write_flow_days(
     *,
     columns: Sequence[str] | None = None,
     mode: str = "errorifexists",
+    parallelism: int = 6,
 ) -> list[str]:
     """Write a flow table with a ``day`` column as one XML file set per day.
 
     The layout the reader expects: ``<base>/<name>.xml`` holding ``<name>Flows``
     rows under a ``dataroot`` element. Null columns are left out of a row, as
     a missing element. Days without rows are written empty.
+
+    Each day needs its own row element, so each day is its own write; the
+    input is cached once so the days do not each re-read it, and the writes
+    (each into its own folder) run side by side.
     """
-    written = []
     cols = list(columns) if columns else [c for c in flows.columns if c != DAY_COL]
-    for name in file_names:
+    names = list(file_names)
+    cached = flows.select(DAY_COL, *cols).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(name: str) -> str:
         path = day_file_path(base, name)
         (
-            flows.where(F.col(DAY_COL) == day_label(name))
+            cached.where(F.col(DAY_COL) == day_label(name))
             .select(*cols)
             .write.format("xml")
             .option("rootTag", ROOT_TAG)
@@ -105,5 +118,11 @@ def write_flow_days(
             .mode(mode)
             .save(path)
         )
-        written.append(path)
-    return written
+        return path
+
+    try:
+        workers = max(1, min(parallelism, len(names)))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            return list(pool.map(inheritable_thread_target(flows.sparkSession)(one), names))
+    finally:
+        cached.unpersist()

@@ -80,3 +80,17 @@ def test_reports(spark):
     d = {r["feature"]: (r["n_distinct"], r["categorical"]) for r in distinct_per_feature(prepared, prep).collect()}
     assert d["appName"] == (2, True) and d["sourcePort"] == (1, True)
     assert prepared.schema[FEATURES_COL] is not None
+
+
+def test_null_long_raises_by_default(spark):
+    import pytest
+
+    coarse = prepare_flows(flows(spark, [{"totalSourceBytes": None}, {}]))
+    with pytest.raises(Exception):
+        fit_preparation(coarse).transform(coarse).collect()
+
+
+def test_null_tag_becomes_a_class(spark):
+    coarse = prepare_flows(flows(spark, [{"Tag": None}, {"Tag": "Normal"}, {"Tag": "Normal"}]))
+    prep = fit_preparation(coarse)
+    assert prep.labels == ["Normal", "N/A"]
