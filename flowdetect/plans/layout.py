@@ -1,12 +1,14 @@
 """Partition layout helpers.
 
 A large input already arrives in many file splits; a small one (a single
-Parquet row group) arrives as one partition, and every stage after it -- the
-indexer fits and each level of the forest -- would run on one core. Such an
-input is spread over the session's default parallelism by hashing its row
-key, which places every row deterministically (a recomputed partition gets
-the same rows). Inputs with enough partitions are left as they are, so at
-cluster scale this adds no shuffle.
+Parquet row group) arrives as one partition, and every stage after it -- each
+level of the forest -- would run on one core. Such an input is spread over a
+fixed number of partitions by hashing its row key and sorted by the key
+within each partition: the placement and the order of rows are then the same
+on every run, every cluster size and every recomputation, which keeps the
+forest's per-partition bootstrap reproducible for a given seed. Inputs with
+enough partitions are left as they are, so at cluster scale this adds no
+shuffle.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, keys: Sequence[str] = ("event_id",), min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+MIN_PARTITIONS = 16
+
+
+def spread(df: DataFrame, keys: Sequence[str] = ("event_id",), min_partitions: int = MIN_PARTITIONS) -> DataFrame:
+    if df.rdd.getNumPartitions() >= min_partitions:
         return df
     present = [k for k in keys if k in df.columns]
-    return df.repartition(target, *present) if present else df.repartition(target)
+    if not present:
+        return df.repartition(min_partitions)
+    return df.repartition(min_partitions, *present).sortWithinPartitions(*present)

@@ -136,3 +136,16 @@ def test_each_day_and_all_days(spark, scratch):
         assert accuracy(run.predictions, "indexedLabel", "prediction").count() == 6
     finally:
         run.release()
+
+
+def test_same_seed_same_forest(spark):
+    flows = read_event_flows(spark, SF01)
+    a = programs.train_day(flows, "Jun16", num_trees=4)
+    b = programs.train_day(flows.repartition(3), "Jun16", num_trees=4)
+    try:
+        assert a.forest.featureImportances.toArray().tolist() == b.forest.featureImportances.toArray().tolist()
+        trees = lambda m: m.toDebugString.split("\n", 1)[1]  # noqa: E731  (first line names the uid)
+        assert trees(a.forest) == trees(b.forest)
+    finally:
+        a.release()
+        b.release()
