@@ -33,11 +33,13 @@ from flowdetect.plans.layout import spread
 from flowdetect.schema import DAY_COL, DAYS, LABEL_COL
 from flowdetect.session import scratch_path
 from flowdetect.sources.csv import write_prepared_csv
+from flowdetect.sources.parquet import read_flows, write_flows_by_day
+from flowdetect.sources.xml import read_flow_days
 
 ALL_DAYS = "all"
 MAX_DAYS = 100_000
 
-__all__ = ["ForestRun", "EachDayResult", "flow_stats", "train_on", "train_day", "train_each_day", "train_all_days"]
+__all__ = ["ForestRun", "EachDayResult", "flow_stats", "ingest_days", "train_on", "train_day", "train_each_day", "train_all_days"]
 
 
 @dataclass
@@ -104,6 +106,15 @@ def _resolve_bins(max_bins: int | str, prep: Preparation) -> int:
     return bins
 
 
+def ingest_days(spark: SparkSession, xml_base: str, out_path: str, *, mode: str = "errorifexists") -> DataFrame:
+    """Parse the day XML files once and keep them as Parquet by day.
+
+    Returns the Parquet table; later programs prune to their days from it.
+    """
+    write_flows_by_day(read_flow_days(spark, xml_base), out_path, mode=mode)
+    return read_flows(spark, out_path)
+
+
 def train_on(
     coarse: DataFrame,
     scope: str,

@@ -15,6 +15,33 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Settings for a large cluster (tens of TB of flows, ~1000 executors). The
+# row work is projections and map-side partial aggregations, so shuffles carry
+# small aggregated rows; the large data movement is the scan, the forest's
+# per-level statistics and the cached training rows.
+CLUSTER_CONF = {
+    # adaptive execution: coalesce the many small post-aggregation partitions,
+    # split skewed join partitions, and re-plan joins from real sizes
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # initial shuffle width: about 2-3 partitions per core; AQE coalesces down
+    "spark.sql.shuffle.partitions": "20000",
+    # scan splits of 256 MB of Parquet keep the task count near 400k for 100 TB
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # joins Spark broadcasts on its own stay small; at run time AQE decides
+    # from measured sizes. The library's own broadcasts are checked by rows.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Set the runtime SQL settings above (and ``overrides``) on a session."""
+    for key, value in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(key, value)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "flowdetect") -> SparkSession:
     """A local[N] session configured as the tests and bench expect."""

@@ -104,3 +104,19 @@ def test_csv_sink_vectors_as_text_and_empty_string(spark, scratch):
     assert back["startDateTime"] is None  # empty text reads back as null by default
     assert back["day"] == "Jun12"
     assert os.path.isdir(os.path.join(local_path(path), "day=Jun12"))
+
+
+def test_ingest_days(spark, scratch):
+    from flowdetect.plans.programs import ingest_days
+    from flowdetect.session import apply_cluster_conf
+
+    rows = [{"day": d, "event_id": i} for i, d in enumerate(DAYS)]
+    xml_base = scratch("ingest-xml")
+    write_flow_days(flows(spark, rows), xml_base)
+    table = ingest_days(spark, xml_base, scratch("ingest-parquet"))
+    assert sorted(r["day"] for r in table.collect()) == sorted(DAYS)
+    assert set(FLOW_COLS) <= set(table.columns)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    apply_cluster_conf(spark, {"spark.sql.shuffle.partitions": before})
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
