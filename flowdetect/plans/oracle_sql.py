@@ -236,5 +236,19 @@ def oracle_sql() -> dict[str, str]:
         scored,
         body="SELECT day, Tag, predictedLabel, count(*) AS n FROM scored GROUP BY day, Tag, predictedLabel",
     )
+    day_rank = (
+        "ranked_day AS (SELECT day, Tag, CAST(row_number() OVER (PARTITION BY day ORDER BY n DESC, Tag) - 1 AS DOUBLE) "
+        "AS indexedLabel FROM (SELECT day, Tag, count(*) AS n FROM filled GROUP BY day, Tag))"
+    )
+    q["scored_rows"] = with_ctes(
+        flows,
+        FILLED_CTE,
+        day_rank,
+        body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_day r "
+        f"ON r.day = f.day AND r.Tag = f.Tag WHERE f.day = 'Jun14' AND {_split_expr()} = 'test'",
+    )
+    q["test_rows_by_day"] = with_ctes(
+        flows, body=f"SELECT day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test' GROUP BY day"
+    )
     q["csv_roundtrip"] = with_ctes(flows, COARSE_CTE, body=f"SELECT event_id, day, {cols} FROM coarse")
     return q

@@ -254,6 +254,18 @@ def q_scored(spark, sf_dir):
     return _one_day(spark, sf_dir).scored()
 
 
+@query("scored_rows")
+def q_scored_rows(spark, sf_dir):
+    """The one-day forest scored exactly the day's test rows, with the day's label index."""
+    return _one_day(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
+
+
+@query("test_rows_by_day")
+def q_test_rows_by_day(spark, sf_dir):
+    """Rows each day's forest was tested on (the n of its test error)."""
+    return _each_day(spark, sf_dir).test_error().select(DAY_COL, "n")
+
+
 @query("importances")
 def q_importances(spark, sf_dir):
     return _one_day(spark, sf_dir).importances()
