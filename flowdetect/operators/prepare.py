@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler, VectorIndexer, VectorIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowdetect.schema import LABEL_COL, feature_columns
@@ -126,6 +126,42 @@ def fit_preparation(
     return Preparation(pipeline.fit(coarse), text_cols, long_cols, label_col)
 
 
+OTHER_VALUE = "__other__"
+
+
+def fold_rare_values(
+    df: DataFrame, cols: Sequence[str], max_values: int, *, other: str = OTHER_VALUE
+) -> DataFrame:
+    """Keep the ``max_values - 1`` most frequent values of each text column, fold the rest.
+
+    Off by default in the programs because it changes results; it bounds the
+    arity of every nominal feature (and so the forest's ``maxBins``) when a
+    column such as an address prefix has more values than bins. Frequencies
+    are one distributed count per (column, value), ranked within each column
+    on the aggregated rows; the filter on the rank becomes a partial group
+    limit before the shuffle, so a column's group holds at most
+    ``max_values`` rows per task, whatever its number of values. Only the kept
+    values (at most ``max_values`` per column) reach the driver, and rows are
+    rewritten with a hash-set lookup.
+    """
+    if max_values < 2:
+        raise ValueError("max_values must be at least 2")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]))
+    counts = df.select(pairs.alias("p")).groupBy("p.col", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("value")))
+    kept_rows = counts.select("col", "value", rank.alias("r")).where(F.col("r") < max_values).collect()
+    kept: dict[str, list[str]] = {c: [] for c in cols}
+    for row in kept_rows:
+        kept[row["col"]].append(row["value"])
+    out = []
+    for c in df.columns:
+        if c in kept:
+            out.append(F.when(F.col(c).isin(kept[c]), F.col(c)).otherwise(F.lit(other)).alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
 # ---------------------------------------------------------------- reports
 
 

@@ -25,12 +25,18 @@ from pyspark.sql import functions as F
 from flowdetect.operators import forest as fo
 from flowdetect.operators.coarsen import prepare_flows
 from flowdetect.operators.metrics import accuracy, confusion
-from flowdetect.operators.prepare import INDEXED_FEATURES_COL, LABEL_INDEX_COL, Preparation, fit_preparation
+from flowdetect.operators.prepare import (
+    INDEXED_FEATURES_COL,
+    LABEL_INDEX_COL,
+    Preparation,
+    fit_preparation,
+    fold_rare_values,
+)
 from flowdetect.operators.split import PART_COL, TEST, TRAIN, with_split
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
 from flowdetect.plans.layout import spread
-from flowdetect.schema import DAY_COL, DAYS, LABEL_COL
+from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, feature_columns
 from flowdetect.session import scratch_path
 from flowdetect.sources.csv import write_prepared_csv
 from flowdetect.sources.parquet import read_flows, write_flows_by_day
@@ -126,6 +132,8 @@ def train_on(
     train_fraction: float = 0.7,
     split_key: str | None = "event_id",
     fit_on: str = "all",
+    handle_invalid: str = "error",
+    max_categories: int | None = None,
     csv_path: str | None = None,
     csv_mode: str = "errorifexists",
     csv_by_day: bool = True,
@@ -134,10 +142,16 @@ def train_on(
 
     ``fit_on="all"`` fits the preparation on every row before the split, as
     the original programs do; ``"train"`` fits it on training rows only and
-    gives unseen test values their own index.
+    gives unseen test values their own index. ``handle_invalid="skip"`` drops
+    rows with a null number instead of failing. ``max_categories`` (off by
+    default) folds the rarest text values of each feature into one bucket so
+    that no nominal feature has more values than that.
     """
+    if max_categories:
+        text_cols, _ = feature_columns(coarse.schema)
+        coarse = fold_rare_values(coarse, text_cols, max_categories)
     if fit_on == "all":
-        prep = fit_preparation(coarse)
+        prep = fit_preparation(coarse, handle_invalid=handle_invalid)
         marked = with_split(prep.transform(coarse), key=split_key, fraction=train_fraction)
     elif fit_on == "train":
         split_first = with_split(coarse, key=split_key, fraction=train_fraction)

@@ -94,3 +94,28 @@ def test_null_tag_becomes_a_class(spark):
     coarse = prepare_flows(flows(spark, [{"Tag": None}, {"Tag": "Normal"}, {"Tag": "Normal"}]))
     prep = fit_preparation(coarse)
     assert prep.labels == ["Normal", "N/A"]
+
+
+def test_fold_rare_values(spark):
+    from flowdetect.operators.prepare import OTHER_VALUE, fold_rare_values
+
+    rows = [{"source": "10.1.0.0"}] * 3 + [{"source": "10.2.0.0"}] * 2 + [{"source": f"10.{i}.9.9"} for i in range(3, 40)]
+    coarse = prepare_flows(flows(spark, rows))
+    folded = fold_rare_values(coarse, ["source", "appName"], 3)
+    got = sorted(r[0] for r in folded.select("source").distinct().collect())
+    # two most frequent kept (ties by value), the rest folded
+    assert got == sorted(["10.1", "10.2", OTHER_VALUE])
+    assert folded.where(f"source = '{OTHER_VALUE}'").count() == 37
+    assert folded.count() == coarse.count()
+
+
+def test_programs_max_categories(spark):
+    from flowdetect.plans import programs
+    from flowdetect.sources.events import read_event_flows
+
+    run = programs.train_day(read_event_flows(spark, "/root/testdata/sf0.001"), "Jun12", num_trees=2, max_categories=8, max_bins="auto")
+    try:
+        assert run.preparation.max_arity() <= 8
+        assert run.max_bins == 32
+    finally:
+        run.release()
