@@ -129,6 +129,14 @@ def fit_preparation(
 OTHER_VALUE = "__other__"
 
 
+def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """(col, value, n, r): the ``k`` most frequent values of each column, ties by value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]))
+    counts = df.select(pairs.alias("p")).groupBy("p.col", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("value")))
+    return counts.select("col", "value", "n", rank.alias("r")).where(F.col("r") <= k)
+
+
 def fold_rare_values(
     df: DataFrame, cols: Sequence[str], max_values: int, *, other: str = OTHER_VALUE
 ) -> DataFrame:
@@ -146,10 +154,7 @@ def fold_rare_values(
     """
     if max_values < 2:
         raise ValueError("max_values must be at least 2")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]))
-    counts = df.select(pairs.alias("p")).groupBy("p.col", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("value")))
-    kept_rows = counts.select("col", "value", rank.alias("r")).where(F.col("r") < max_values).collect()
+    kept_rows = top_values(df, cols, max_values - 1).collect()
     kept: dict[str, list[str]] = {c: [] for c in cols}
     for row in kept_rows:
         kept[row["col"]].append(row["value"])

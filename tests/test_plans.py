@@ -71,26 +71,9 @@ def test_union_of_days_prunes_partitions(spark, scratch):
     assert "ReadSchema: struct<event_id:bigint>" in text
 
 
-def test_fold_rare_values_limits_groups_before_shuffle(spark):
-    from flowdetect.operators.prepare import fold_rare_values
+def test_top_values_limit_groups_before_shuffle(spark):
+    from flowdetect.operators.prepare import top_values
 
     coarse = prepare_flows(read_event_flows(spark, SF))
-    captured = {}
-    real_collect = None
-
-    # inspect the plan of the top-k query that fold_rare_values collects
-    from pyspark.sql import DataFrame
-
-    real_collect = DataFrame.collect
-
-    def spy(self):
-        captured.setdefault("plan", plan(self))
-        return real_collect(self)
-
-    DataFrame.collect = spy
-    try:
-        fold_rare_values(coarse, ["source", "destination"], 5)
-    finally:
-        DataFrame.collect = real_collect
-    text = captured["plan"]
+    text = plan(top_values(coarse, ["source", "destination"], 4))
     assert "WindowGroupLimit" in text and "Partial" in text
