@@ -91,6 +91,13 @@ class ForestRun:
             self.model_path = fo.save_forest(self.forest, target)
         return self.model_path
 
+    def save_pipelines(self, path: str) -> str:
+        """Write the fitted preparation and forest pipelines, reloadable with
+        ``PipelineModel.load`` to score new flows of the same layout."""
+        self.preparation.model.write().overwrite().save(f"{path}/preparation")
+        self.model.write().overwrite().save(f"{path}/forest")
+        return path
+
     def nodes(self) -> DataFrame:
         """The forest as one row per node, with the run's scope (M7)."""
         nodes = fo.forest_nodes(self.prepared.sparkSession, self.save(), self.feature_names)
@@ -260,6 +267,7 @@ def train_each_day(
         )
         try:
             run.save(f"{out}/models/{part}")
+            run.save_pipelines(f"{out}/pipelines/{part}")
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
             run.test_error().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/test_error/{part}")
             nodes = fo.forest_nodes(spark, run.model_path, run.feature_names)

@@ -149,3 +149,22 @@ def test_same_seed_same_forest(spark):
     finally:
         a.release()
         b.release()
+
+
+def test_saved_pipelines_score_the_same(spark, scratch):
+    from pyspark.ml import PipelineModel
+
+    from flowdetect.operators.coarsen import prepare_flows
+
+    flows = _flows(spark)
+    run = programs.train_day(flows, "Jun14", num_trees=2)
+    try:
+        path = run.save_pipelines(scratch("pipelines"))
+        prep = PipelineModel.load(f"{path}/preparation")
+        forest = PipelineModel.load(f"{path}/forest")
+        rows = prepare_flows(flows.where("day = 'Jun14'"))
+        again = forest.transform(prep.transform(rows)).select("event_id", "predictedLabel")
+        ours = run.scored().select("event_id", "predictedLabel")
+        assert ours.exceptAll(again.join(ours.select("event_id"), "event_id")).count() == 0
+    finally:
+        run.release()
