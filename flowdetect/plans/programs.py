@@ -85,22 +85,27 @@ class ForestRun:
         return out.select(F.lit(self.scope).alias(DAY_COL), "*")
 
     def save(self, path: str | None = None) -> str:
-        """Write the forest with Spark's model writer (shared storage)."""
+        """Write the fitted preparation and forest pipelines (shared storage).
+
+        ``<path>/preparation`` and ``<path>/forest`` reload with
+        ``PipelineModel.load`` to score new flows of the same layout; the
+        forest stage's node table is read from the saved forest.
+        """
         if self.model_path is None or path is not None:
             target = path or scratch_path(self.prepared.sparkSession, f"forest-{self.scope}")
-            self.model_path = fo.save_forest(self.forest, target)
+            self.preparation.model.write().overwrite().save(f"{target}/preparation")
+            self.model.write().overwrite().save(f"{target}/forest")
+            self.model_path = target
         return self.model_path
 
-    def save_pipelines(self, path: str) -> str:
-        """Write the fitted preparation and forest pipelines, reloadable with
-        ``PipelineModel.load`` to score new flows of the same layout."""
-        self.preparation.model.write().overwrite().save(f"{path}/preparation")
-        self.model.write().overwrite().save(f"{path}/forest")
-        return path
+    @property
+    def forest_path(self) -> str:
+        """The saved forest stage (stage 0 of the saved forest pipeline)."""
+        return f"{self.save()}/forest/stages/0_*"
 
     def nodes(self) -> DataFrame:
         """The forest as one row per node, with the run's scope (M7)."""
-        nodes = fo.forest_nodes(self.prepared.sparkSession, self.save(), self.feature_names)
+        nodes = fo.forest_nodes(self.prepared.sparkSession, self.forest_path, self.feature_names)
         return nodes.select(F.lit(self.scope).alias(DAY_COL), "*")
 
     def importances(self) -> DataFrame:
@@ -266,11 +271,10 @@ def train_each_day(
             **kwargs,
         )
         try:
-            run.save(f"{out}/models/{part}")
-            run.save_pipelines(f"{out}/pipelines/{part}")
+            run.save(f"{out}/pipelines/{part}")
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
             run.test_error().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/test_error/{part}")
-            nodes = fo.forest_nodes(spark, run.model_path, run.feature_names)
+            nodes = fo.forest_nodes(spark, run.forest_path, run.feature_names)
             nodes.write.mode("overwrite").parquet(f"{out}/nodes/{part}")
             fo.importances_from_nodes(
                 nodes.select(F.lit(day).alias(DAY_COL), "*"), run.feature_names, by=(DAY_COL,)

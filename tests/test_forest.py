@@ -159,7 +159,7 @@ def test_saved_pipelines_score_the_same(spark, scratch):
     flows = _flows(spark)
     run = programs.train_day(flows, "Jun14", num_trees=2)
     try:
-        path = run.save_pipelines(scratch("pipelines"))
+        path = run.save(scratch("pipelines"))
         prep = PipelineModel.load(f"{path}/preparation")
         forest = PipelineModel.load(f"{path}/forest")
         rows = prepare_flows(flows.where("day = 'Jun14'"))
