@@ -201,33 +201,39 @@ def train_all_days(flows: DataFrame, *, max_bins: int | str = fo.MAX_BINS_ALL_DA
 
 @dataclass
 class EachDayResult:
-    """Per-day outputs of W3, read back from the written tables."""
+    """Per-day outputs of W3, computed from the written per-day tables.
+
+    Each day wrote its scored test rows, its forest's node table and its
+    pipelines under ``path``; the reports below aggregate those files (one
+    scan each), never the pipelines that produced them.
+    """
 
     spark: SparkSession
     path: str
     days: list[str]
+    feature_names: list[str]
     max_bins: dict[str, int]
 
     def _read(self, kind: str) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
 
-    def test_error(self) -> DataFrame:
-        return self._read("test_error")
-
-    def importances(self) -> DataFrame:
-        return self._read("importances")
+    def scored(self) -> DataFrame:
+        return self._read("scored")
 
     def nodes(self) -> DataFrame:
         return self._read("nodes")
 
-    def scored(self) -> DataFrame:
-        return self._read("scored")
+    def test_error(self) -> DataFrame:
+        """(day, n, accuracy, test_error) per day (E1 for every day)."""
+        return accuracy(self.scored(), LABEL_INDEX_COL, fo.PREDICTION_COL, by=(DAY_COL,))
+
+    def importances(self) -> DataFrame:
+        """(day, slot, feature, importance, rank) per day (M6)."""
+        return fo.importances_from_nodes(self.nodes(), self.feature_names, by=(DAY_COL,))
 
     def importances_wide(self) -> DataFrame:
         """One row per day, one column per feature (M6 as the original printed it)."""
-        imp = self.importances()
-        names = [r[0] for r in imp.select("feature").distinct().orderBy("feature").collect()]
-        return imp.groupBy(DAY_COL).pivot("feature", names).agg(F.first("importance"))
+        return self.importances().groupBy(DAY_COL).pivot("feature", self.feature_names).agg(F.first("importance"))
 
 
 def _days_of(flows: DataFrame) -> list[str]:
@@ -260,7 +266,7 @@ def train_each_day(
     out = (out_path or scratch_path(spark, "each-day")).rstrip("/")
     day_list = list(days) if days is not None else _days_of(flows)
 
-    def one(day: str) -> int:
+    def one(day: str) -> tuple[int, list[str]]:
         part = f"{DAY_COL}={day}"
         run = train_day(
             flows,
@@ -273,20 +279,17 @@ def train_each_day(
         try:
             run.save(f"{out}/pipelines/{part}")
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
-            run.test_error().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/test_error/{part}")
             nodes = fo.forest_nodes(spark, run.forest_path, run.feature_names)
             nodes.write.mode("overwrite").parquet(f"{out}/nodes/{part}")
-            fo.importances_from_nodes(
-                nodes.select(F.lit(day).alias(DAY_COL), "*"), run.feature_names, by=(DAY_COL,)
-            ).drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/importances/{part}")
-            return run.max_bins
+            return run.max_bins, run.feature_names
         finally:
             run.release()
 
     workers = max(1, min(parallelism, len(day_list)))
     if workers == 1:
-        bins = [one(d) for d in day_list]
+        done = [one(d) for d in day_list]
     else:
         with ThreadPoolExecutor(max_workers=workers) as pool:
-            bins = list(pool.map(inheritable_thread_target(spark)(one), day_list))
-    return EachDayResult(spark, out, day_list, dict(zip(day_list, bins)))
+            done = list(pool.map(inheritable_thread_target(spark)(one), day_list))
+    names = done[0][1] if done else []
+    return EachDayResult(spark, out, day_list, names, {d: b for d, (b, _) in zip(day_list, done)})
