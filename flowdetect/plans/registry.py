@@ -254,6 +254,12 @@ def q_scored(spark, sf_dir):
     return _one_day(spark, sf_dir).scored()
 
 
+@query("scored_sample")
+def q_scored_sample(spark, sf_dir):
+    """Five scored rows of the one-day forest (the sample the program shows)."""
+    return _one_day(spark, sf_dir).sample(5)
+
+
 @query("scored_rows")
 def q_scored_rows(spark, sf_dir):
     """The one-day forest scored exactly the day's test rows, with the day's label index."""

@@ -168,3 +168,12 @@ def test_saved_pipelines_score_the_same(spark, scratch):
         assert ours.exceptAll(again.join(ours.select("event_id"), "event_id")).count() == 0
     finally:
         run.release()
+
+
+def test_sample(one_day):
+    rows = one_day.sample(5).collect()
+    assert len(rows) == 5
+    assert [r["event_id"] for r in rows] == sorted(r["event_id"] for r in rows)
+    assert len(rows[0]["features"]) == 15
+    first = one_day.scored().orderBy("event_id").limit(5).collect()
+    assert [r["event_id"] for r in rows] == [r["event_id"] for r in first]
