@@ -3,9 +3,13 @@
 Spark's built-in XML source reads them; an explicit schema is always given, so
 no inference pass runs over the data and the date-times stay text.
 
-The reader parses an indented XML file whole, in one task (its line-based
-mode splits files but mis-reads indented records), so read parallelism comes
-from files: at scale a day "file" is a folder (or glob) of many XML files.
+By default the reader parses an XML file whole, in one task, which is right
+for any layout; read parallelism then comes from files (a day "file" may be
+a folder or glob of many XML files). For files holding one record per line,
+``record_per_line=True`` uses the reader's line mode, which splits a large
+file across tasks; the lines of the enclosing element then read as rows with
+every field null, and those rows are removed (a record with no field at all
+cannot be told apart from them). Indented records need the default mode.
 The XML is parsed once and kept as Parquet by day (``sources.parquet``).
 """
 
@@ -44,6 +48,7 @@ def read_flow_day(
     *,
     schema: T.StructType | None = None,
     mode: str = "PERMISSIVE",
+    record_per_line: bool = False,
 ) -> DataFrame:
     """Read one day file (S1). Missing elements read as null, empty text as ``""``.
 
@@ -55,7 +60,11 @@ def read_flow_day(
     reader = spark.read.format("xml").option("rowTag", row_tag(file_name)).option("mode", mode)
     if CORRUPT_COL in schema.fieldNames():
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COL)
-    return reader.schema(schema).load(path)
+    if not record_per_line:
+        return reader.schema(schema).load(path)
+    rows = reader.option("multiLine", "false").schema(schema).load(path)
+    fields = [c for c in schema.fieldNames() if c != CORRUPT_COL]
+    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull())
 
 
 def read_flow_days(
@@ -65,6 +74,7 @@ def read_flow_days(
     *,
     extra_fields: Sequence[T.StructField] = (),
     mode: str = "PERMISSIVE",
+    record_per_line: bool = False,
 ) -> DataFrame:
     """All day files as one table with a ``day`` column (S2, S3), bag union.
 
@@ -73,7 +83,9 @@ def read_flow_days(
     """
     schema = flow_schema(extra_fields)
     frames = [
-        read_flow_day(spark, day_file_path(base, name), name, schema=schema, mode=mode).withColumn(
+        read_flow_day(
+            spark, day_file_path(base, name), name, schema=schema, mode=mode, record_per_line=record_per_line
+        ).withColumn(
             DAY_COL, F.lit(day_label(name))
         )
         for name in file_names

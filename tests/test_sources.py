@@ -120,3 +120,28 @@ def test_ingest_days(spark, scratch):
     apply_cluster_conf(spark, {"spark.sql.shuffle.partitions": before})
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_xml_record_per_line_splits_and_reads_all(spark, scratch):
+    base = scratch("xml-lines")
+    path = local_path(base)
+    os.makedirs(path, exist_ok=True)
+    n = 120_000
+    with open(os.path.join(path, "TestbedSunJun13.xml"), "w") as fh:
+        fh.write("<dataroot>\n")
+        for i in range(n):
+            fh.write(
+                f"<TestbedSunJun13Flows><appName>A{i % 7}</appName><Tag>Normal</Tag>"
+                f"<sourcePort>{i}</sourcePort></TestbedSunJun13Flows>\n"
+            )
+        fh.write("</dataroot>\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1024 * 1024))
+    try:
+        lines = read_flow_days(spark, base, ["TestbedSunJun13"], record_per_line=True)
+        whole = read_flow_days(spark, base, ["TestbedSunJun13"])
+        assert lines.rdd.getNumPartitions() > 1
+        assert lines.count() == n == whole.count()
+        assert lines.exceptAll(whole).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
