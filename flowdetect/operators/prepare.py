@@ -102,8 +102,13 @@ class Preparation:
         return sorted(int(k) for k in self.vector_indexer.categoryMaps)
 
     def max_arity(self) -> int:
-        """Largest number of values of a nominal slot (text features and re-coded slots)."""
-        text = [len(v) for v in self.string_indexer.labelsArray[1:]]
+        """Largest number of values of a nominal slot (text features and re-coded slots).
+
+        With ``handleInvalid="keep"`` every text feature has one more value
+        (the index given to unseen text).
+        """
+        extra = 1 if self.string_indexer.getHandleInvalid() == "keep" else 0
+        text = [len(v) + extra for v in self.string_indexer.labelsArray[1:]]
         recoded = [len(v) for v in self.vector_indexer.categoryMaps.values()]
         return max([2, *text, *recoded])
 

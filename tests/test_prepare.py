@@ -119,3 +119,10 @@ def test_programs_max_categories(spark):
         assert run.max_bins == 32
     finally:
         run.release()
+
+
+def test_max_arity_counts_keep_bucket(spark):
+    rows = [{"appName": v} for v in ["a", "b", "c"]]
+    coarse = prepare_flows(flows(spark, rows))
+    assert fit_preparation(coarse).max_arity() == 3
+    assert fit_preparation(coarse, handle_invalid="keep").max_arity() == 4
