@@ -101,24 +101,25 @@ class ForestRun:
         out = confusion(self.predictions, LABEL_COL, fo.PREDICTED_LABEL_COL, by=())
         return out.select(F.lit(self.scope).alias(DAY_COL), "*")
 
-    def save(self, path: str | None = None) -> str:
+    def save(self, path: str) -> str:
         """Write the fitted preparation and forest pipelines (shared storage).
 
         ``<path>/preparation`` and ``<path>/forest`` reload with
         ``PipelineModel.load`` to score new flows of the same layout; the
-        forest stage's node table is read from the saved forest.
+        node table is then read from the saved forest stage.
         """
-        if self.model_path is None or path is not None:
-            target = path or scratch_path(self.prepared.sparkSession, f"forest-{self.scope}")
-            self.preparation.model.write().overwrite().save(f"{target}/preparation")
-            self.model.write().overwrite().save(f"{target}/forest")
-            self.model_path = target
-        return self.model_path
+        self.preparation.model.write().overwrite().save(f"{path}/preparation")
+        self.model.write().overwrite().save(f"{path}/forest")
+        self.model_path = f"{path}/forest/stages/0_*"
+        return path
 
     @property
     def forest_path(self) -> str:
-        """The saved forest stage (stage 0 of the saved forest pipeline)."""
-        return f"{self.save()}/forest/stages/0_*"
+        """Where the forest model is saved; saves the forest alone if not yet saved."""
+        if self.model_path is None:
+            target = scratch_path(self.prepared.sparkSession, f"forest-{self.scope}")
+            self.model_path = fo.save_forest(self.forest, target)
+        return self.model_path
 
     def nodes(self) -> DataFrame:
         """The forest as one row per node, with the run's scope (M7)."""
