@@ -161,6 +161,7 @@ def train_on(
     seed: int = 42,
     train_fraction: float = 0.7,
     split_key: str | None = "event_id",
+    split: str = "key",
     fit_on: str = "all",
     handle_invalid: str = "error",
     max_categories: int | None = None,
@@ -172,11 +173,18 @@ def train_on(
 
     ``fit_on="all"`` fits the preparation on every row before the split, as
     the original programs do; ``"train"`` fits it on training rows only and
-    gives unseen test values their own index. ``handle_invalid="skip"`` drops
+    gives unseen test values their own index. ``split="key"`` (default) marks
+    the sides by a hash of ``split_key``; ``split="random"`` uses Spark's
+    seeded ``randomSplit`` on the cached rows, as the original programs did
+    (unseeded there). ``handle_invalid="skip"`` drops
     rows with a null number instead of failing. ``max_categories`` (off by
     default) folds the rarest text values of each feature into one bucket so
     that no nominal feature has more values than that.
     """
+    if split not in ("key", "random"):
+        raise ValueError("split must be 'key' or 'random'")
+    if split == "random" and fit_on == "train":
+        raise ValueError("fit_on='train' needs split='key' (the split comes before the fit)")
     if max_categories:
         text_cols, _ = feature_columns(coarse.schema)
         coarse = fold_rare_values(coarse, text_cols, max_categories)
@@ -200,10 +208,16 @@ def train_on(
     # cache is filled, so each forest level runs on all of them.
     slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, INDEXED_FEATURES_COL, PART_COL)
     prepared = spread(slim, keys=[split_key] if split_key else ()).persist(StorageLevel.MEMORY_AND_DISK)
+    if split == "random":
+        # sides drawn per row by Spark's sampler over the cached, key-sorted rows
+        train, test = prepared.drop(PART_COL).randomSplit([train_fraction, 1.0 - train_fraction], seed)
+    else:
+        train = prepared.where(F.col(PART_COL) == TRAIN)
+        test = prepared.where(F.col(PART_COL) == TEST)
     bins = _resolve_bins(max_bins, prep)
     pipeline = fo.forest_pipeline(prep.labels, num_trees=num_trees, max_bins=bins, max_depth=max_depth, seed=seed)
-    model = pipeline.fit(prepared.where(F.col(PART_COL) == TRAIN))
-    predictions = model.transform(prepared.where(F.col(PART_COL) == TEST))
+    model = pipeline.fit(train)
+    predictions = model.transform(test)
     return ForestRun(scope, prep, model, prepared, predictions, bins)
 
 

@@ -177,3 +177,28 @@ def test_sample(one_day):
     assert len(rows[0]["features"]) == 15
     first = one_day.scored().orderBy("event_id").limit(5).collect()
     assert [r["event_id"] for r in rows] == [r["event_id"] for r in first]
+
+
+def test_recomputation_gives_the_same_rows(spark):
+    """Dropping the cache and recomputing (as after a lost executor) changes nothing."""
+    run = programs.train_day(_flows(spark), "Jun15", num_trees=2)
+    before = sorted(map(tuple, run.scored().collect()))
+    run.release()
+    after = sorted(map(tuple, run.scored().collect()))
+    assert before == after
+
+
+def test_random_split_option(spark):
+    flows = _flows(spark)
+    run = programs.train_day(flows, "Jun12", num_trees=2, split="random")
+    try:
+        n_day = flows.where("day = 'Jun12'").count()
+        n_test = run.test_error().collect()[0]["n"]
+        assert 0 < n_test < n_day
+        again = programs.train_day(flows, "Jun12", num_trees=2, split="random")
+        assert again.test_error().collect()[0]["n"] == n_test  # seeded
+        again.release()
+    finally:
+        run.release()
+    with pytest.raises(ValueError):
+        programs.train_day(flows, "Jun12", split="random", fit_on="train")
