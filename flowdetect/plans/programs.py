@@ -284,6 +284,7 @@ def train_each_day(
     out_path: str | None = None,
     csv_path: str | None = None,
     parallelism: int = 3,
+    save_models: bool = False,
     **kwargs,
 ) -> EachDayResult:
     """A forest for every day (W3); each day's results written under ``out_path``.
@@ -292,7 +293,10 @@ def train_each_day(
     same time: each is a series of distributed jobs submitted from its own
     driver thread, and Spark runs their tasks side by side. Cached rows (and
     the forest's binned copy) of that many days are held at once; use 1 to
-    hold a single day. Every day writes only its own ``day=<day>`` folders.
+    hold a single day. Every day writes only its own ``day=<day>`` folders:
+    its scored test rows, its forest's node table, its forest model, and with
+    ``save_models=True`` its preparation and forest pipelines (reloadable
+    with ``PipelineModel.load``).
     """
     spark = flows.sparkSession
     out = (out_path or scratch_path(spark, "each-day")).rstrip("/")
@@ -309,7 +313,10 @@ def train_each_day(
             **kwargs,
         )
         try:
-            run.save(f"{out}/pipelines/{part}")
+            if save_models:
+                run.save(f"{out}/pipelines/{part}")
+            else:
+                run.model_path = fo.save_forest(run.forest, f"{out}/forests/{part}")
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
             nodes = fo.forest_nodes(spark, run.forest_path, run.feature_names)
             nodes.write.mode("overwrite").parquet(f"{out}/nodes/{part}")

@@ -117,7 +117,10 @@ def test_fit_on_train_only(spark):
 def test_each_day_and_all_days(spark, scratch):
     flows = _flows(spark)
     csv = scratch("each-day-csv")
-    res = programs.train_each_day(flows, ["Jun12", "Jun13"], num_trees=2, csv_path=csv)
+    res = programs.train_each_day(flows, ["Jun12", "Jun13"], num_trees=2, csv_path=csv, save_models=True)
+    from flowdetect.session import local_path
+    import os
+    assert os.path.isdir(local_path(f"{res.path}/pipelines/day=Jun12/preparation"))
     errors = {r["day"]: r for r in res.test_error().collect()}
     assert set(errors) == {"Jun12", "Jun13"}
     by_day = res.importances().groupBy("day").agg(F.sum("importance").alias("s")).collect()
