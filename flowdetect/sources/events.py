@@ -35,8 +35,12 @@ def _case(col: str, mapping: dict, other) -> Column:
 
 
 def _iso_text(ts: Column) -> Column:
-    # yyyy-MM-ddTHH:mm:ss, fractional seconds dropped
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """yyyy-MM-ddTHH:mm:ss of a local date-time, fractional seconds dropped.
+
+    Cut from the text of the value, so no time zone is involved.
+    """
+    text = ts.cast("string")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
 
 
 def flows_from_events(events: DataFrame) -> DataFrame:

@@ -87,3 +87,19 @@ def test_min_max_broadcasts_bounded_side(spark):
     df = flows(spark, [{"day": "Jun12", "totalDestinationBytes": 10}, {"day": "Jun13", "totalDestinationBytes": 5}])
     plan = min_max_scale(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_flow_text_does_not_depend_on_session_time_zone(spark):
+    from flowdetect.sources.events import read_event_flows
+
+    def rows():
+        return sorted(map(tuple, read_event_flows(spark, "/root/testdata/sf0.001").collect()))
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        utc = rows()
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert rows() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
