@@ -142,12 +142,22 @@ def _resolve_bins(max_bins: int | str, prep: Preparation) -> int:
     return bins
 
 
-def ingest_days(spark: SparkSession, xml_base: str, out_path: str, *, mode: str = "errorifexists") -> DataFrame:
+def ingest_days(
+    spark: SparkSession,
+    xml_base: str,
+    out_path: str,
+    *,
+    mode: str = "errorifexists",
+    record_per_line: bool = False,
+    extra_fields=(),
+) -> DataFrame:
     """Parse the day XML files once and keep them as Parquet by day.
 
     Returns the Parquet table; later programs prune to their days from it.
+    ``record_per_line`` reads one-record-per-line files split across tasks.
     """
-    write_flows_by_day(read_flow_days(spark, xml_base), out_path, mode=mode)
+    raw = read_flow_days(spark, xml_base, record_per_line=record_per_line, extra_fields=extra_fields)
+    write_flows_by_day(raw, out_path, mode=mode)
     return read_flows(spark, out_path)
 
 
