@@ -9,7 +9,9 @@ folder. Forest runs are shared between the queries that report on them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,11 +181,15 @@ def q_label_index(spark, sf_dir):
 
 @query("label_index_by_day")
 def q_label_index_by_day(spark, sf_dir):
+    """The label index of each day's own preparation (fitted per day, as W2/W3 do)."""
     coarse = prepare_flows(_flows(spark, sf_dir))
-    parts = []
-    for d in DAYS:
+
+    def one(d):
         day_rows = coarse.where(F.col(DAY_COL) == d)
-        parts.append(label_index_report(fit_preparation(day_rows).transform(day_rows), by=(DAY_COL,)))
+        return label_index_report(fit_preparation(day_rows).transform(day_rows), by=(DAY_COL,))
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(one), DAYS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

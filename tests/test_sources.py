@@ -145,3 +145,11 @@ def test_xml_record_per_line_splits_and_reads_all(spark, scratch):
         assert lines.exceptAll(whole).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_xml_days_without_rows(spark, scratch):
+    df = flows(spark, [{"day": "Jun12", "event_id": 1}, {"day": "Jun12", "event_id": 2}])
+    base = scratch("xml-empty-days")
+    write_flow_days(df, base, columns=["event_id", *FLOW_COLS])
+    back = read_flow_days(spark, base, extra_fields=[T.StructField("event_id", T.LongType())])
+    assert sorted((r["day"], r["event_id"]) for r in back.collect()) == [("Jun12", 1), ("Jun12", 2)]
