@@ -9,6 +9,12 @@ on every run, every cluster size and every recomputation, which keeps the
 forest's per-partition bootstrap reproducible for a given seed. Inputs with
 enough partitions are left as they are, so at cluster scale this adds no
 shuffle.
+
+The opposite bound matters for the forest: every tree level, every input
+partition sends one split histogram per node being grown, so the level's
+shuffle grows with the partition count, not with the rows. An input with
+more than ``max_partitions`` partitions is coalesced (adjacent partitions
+merged, no shuffle, same grouping on every run) to that many.
 """
 
 from __future__ import annotations
@@ -19,10 +25,25 @@ from pyspark.sql import DataFrame
 
 
 MIN_PARTITIONS = 16
-
-
-def spread(df: DataFrame, keys: Sequence[str] = ("event_id",), min_partitions: int = MIN_PARTITIONS) -> DataFrame:
-    if df.rdd.getNumPartitions() >= min_partitions:
+PARTITIONS_PER_CORE = 4
+
+
+def spread(
+    df: DataFrame,
+    keys: Sequence[str] = ("event_id",),
+    min_partitions: int = MIN_PARTITIONS,
+    max_partitions: int | None = None,
+) -> DataFrame:
+    """``df`` with between ``min_partitions`` and ``max_partitions`` partitions.
+
+    ``max_partitions`` defaults to 4 per core of the session (at least
+    ``min_partitions``).
+    """
+    n = df.rdd.getNumPartitions()
+    upper = max_partitions or max(min_partitions, PARTITIONS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    if n > upper:
+        return df.coalesce(upper)
+    if n >= min_partitions:
         return df
     present = [k for k in keys if k in df.columns]
     if not present:

@@ -134,9 +134,24 @@ class ForestRun:
         self.prepared.unpersist()
 
 
-def _resolve_bins(max_bins: int | str, prep: Preparation) -> int:
+def _resolve_bins(max_bins: int | str, prep: Preparation, cap: int) -> int:
+    """The forest's maxBins: computed from the data, or given.
+
+    ``"auto"``: max(32, largest nominal arity), at most ``cap`` (the original
+    programs' fixed value). Split histograms, and so each tree level's
+    shuffle, grow with maxBins; the original's 10000/20000 are needed only
+    when a text feature has that many values.
+    """
     arity = prep.max_arity()
-    bins = max(32, arity) if max_bins == "auto" else int(max_bins)
+    if max_bins == "auto":
+        bins = max(32, arity)
+        if bins > cap:
+            raise ValueError(
+                f"a text feature has {arity} values, more than max_bins allows ({cap}); "
+                "pass max_categories to fold rare values, or a larger max_bins"
+            )
+        return bins
+    bins = int(max_bins)
     if bins < arity:
         raise ValueError(f"max_bins={bins} is below the largest nominal feature arity {arity}")
     return bins
@@ -166,7 +181,8 @@ def train_on(
     scope: str,
     *,
     num_trees: int = fo.NUM_TREES,
-    max_bins: int | str = fo.MAX_BINS_ONE_DAY,
+    max_bins: int | str = "auto",
+    max_bins_cap: int = fo.MAX_BINS_ONE_DAY,
     max_depth: int = 5,
     seed: int = 42,
     train_fraction: float = 0.7,
@@ -215,7 +231,8 @@ def train_on(
     # The forest reads its input several times before caching its own binned
     # copy, and the test part is scored and evaluated: keep the slim columns only.
     # A small input (one file split) is spread over the cores once, while the
-    # cache is filled, so each forest level runs on all of them.
+    # cache is filled, so each forest level runs on all of them; a very wide
+    # one is coalesced, since each level shuffles a histogram per partition.
     slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, INDEXED_FEATURES_COL, PART_COL)
     prepared = spread(slim, keys=[split_key] if split_key else ()).persist(StorageLevel.MEMORY_AND_DISK)
     if split == "random":
@@ -224,7 +241,7 @@ def train_on(
     else:
         train = prepared.where(F.col(PART_COL) == TRAIN)
         test = prepared.where(F.col(PART_COL) == TEST)
-    bins = _resolve_bins(max_bins, prep)
+    bins = _resolve_bins(max_bins, prep, max_bins_cap)
     pipeline = fo.forest_pipeline(prep.labels, num_trees=num_trees, max_bins=bins, max_depth=max_depth, seed=seed)
     model = pipeline.fit(train)
     predictions = model.transform(test)
@@ -236,9 +253,14 @@ def train_day(flows: DataFrame, day: str, **kwargs) -> ForestRun:
     return train_on(prepare_flows(flows.where(F.col(DAY_COL) == day)), day, **kwargs)
 
 
-def train_all_days(flows: DataFrame, *, max_bins: int | str = fo.MAX_BINS_ALL_DAYS, **kwargs) -> ForestRun:
-    """The all-days program (W4): the bag union of every day, one forest."""
-    return train_on(prepare_flows(flows), ALL_DAYS, max_bins=max_bins, **kwargs)
+def train_all_days(flows: DataFrame, **kwargs) -> ForestRun:
+    """The all-days program (W4): the bag union of every day, one forest.
+
+    maxBins is computed as for one day, capped at 20000 (the original's
+    all-days value) instead of 10000.
+    """
+    kwargs.setdefault("max_bins_cap", fo.MAX_BINS_ALL_DAYS)
+    return train_on(prepare_flows(flows), ALL_DAYS, **kwargs)
 
 
 @dataclass

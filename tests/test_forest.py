@@ -97,13 +97,21 @@ def test_third_tag(spark):
 
 
 def test_max_bins_auto_and_check(spark):
-    run = programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins="auto")
+    run = programs.train_day(_flows(spark), "Jun12", num_trees=2)
     try:
-        assert run.max_bins == max(32, run.preparation.max_arity())
+        assert run.max_bins == max(32, run.preparation.max_arity())  # computed by default
     finally:
         run.release()
+    fixed = programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins=10000)  # the original setting
+    try:
+        assert fixed.max_bins == 10000
+        assert fixed.forest.getMaxBins() == 10000
+    finally:
+        fixed.release()
     with pytest.raises(ValueError):
         programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins=2)
+    with pytest.raises(ValueError, match="max_categories"):
+        programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins_cap=3)
 
 
 def test_fit_on_train_only(spark):
@@ -133,7 +141,7 @@ def test_each_day_and_all_days(spark, scratch):
 
     run = programs.train_all_days(flows, num_trees=2)
     try:
-        assert run.max_bins == 20000
+        assert run.max_bins == max(32, run.preparation.max_arity())
         total = run.test_error().collect()[0]["n"]
         assert total == flows.count() - run.prepared.where("part = 'train'").count()
         assert accuracy(run.predictions, "indexedLabel", "prediction").count() == 6

@@ -52,8 +52,12 @@ def test_feature_frequencies_partial_aggregation(spark):
 
 
 def test_spread_only_small_inputs(spark):
-    big = spark.range(0, 1000, numPartitions=40).withColumnRenamed("id", "event_id")
-    assert spread(big) is big
+    mid = spark.range(0, 1000, numPartitions=20).withColumnRenamed("id", "event_id")
+    assert spread(mid) is mid
+    wide = spark.range(0, 1000, numPartitions=300).withColumnRenamed("id", "event_id")
+    narrowed = spread(wide, max_partitions=32)
+    assert narrowed.rdd.getNumPartitions() == 32
+    assert "Exchange" not in plan(narrowed)  # merged, not shuffled
     small = spark.range(0, 1000, numPartitions=1).withColumnRenamed("id", "event_id")
     spread_small = spread(small)
     assert spread_small.rdd.getNumPartitions() == 16
