@@ -1,14 +1,15 @@
-"""The four forest programs as one parameterised pipeline (W2-W4), plus W1.
+"""The forest programs as one parameterised pipeline (W2-W4), the ingest (W0), W1.
 
 A run: coarsen the flows of its scope (one day, or all), fit the preparation
 on all of them (as the original programs do: before the split), mark the
 key-hash split, keep a slim persisted copy of the prepared rows, fit the
 forest on the training part, score the test part.
 
-For every day in turn (W3), each day's results are written to the output
-folder as soon as that day is done and its cached rows released; the returned
-tables read those files, so the lineage of the final tables is a Parquet scan,
-not six pipelines, and a lost executor never forces a day to be retrained.
+For every day (W3, a few days at a time), each day's results are written to
+the output folder as soon as that day is done and its cached rows released;
+the returned tables aggregate those files, so the lineage of the final tables
+is a Parquet scan, not six pipelines, and a lost executor never forces a day
+to be retrained.
 """
 
 from __future__ import annotations
