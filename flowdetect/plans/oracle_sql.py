@@ -183,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["union_days"] = q["flow_rows"]
     q["xml_days"] = with_ctes(flows, body=f"SELECT event_id, day, {cols} FROM flows")
-    q["parquet_days"] = q["flow_rows"]
+    q["xml_roundtrip"] = q["xml_days"]
     q["label_index"] = with_ctes(
         flows,
         COARSE_CTE,

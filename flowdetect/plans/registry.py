@@ -117,6 +117,7 @@ def q_union_days(spark, sf_dir):
     return out.select("event_id", DAY_COL, *FLOW_COLS)
 
 
+@query("xml_roundtrip")
 @query("xml_days")
 def q_xml_days(spark, sf_dir):
     """Flows written as six XML day files, read back with their row tags."""
