@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 MIN_PARTITIONS = 16
@@ -46,6 +47,10 @@ def spread(
     if n >= min_partitions:
         return df
     present = [k for k in keys if k in df.columns]
-    if not present:
-        return df.repartition(min_partitions)
-    return df.repartition(min_partitions, *present).sortWithinPartitions(*present)
+    if present:
+        return df.repartition(min_partitions, *present).sortWithinPartitions(*present)
+    # no key: a hash of the whole row stands in for one (identical rows may
+    # trade places, which changes nothing downstream)
+    h = "_row_hash"
+    hashed = df.withColumn(h, F.xxhash64(*[F.col(c) for c in df.columns]))
+    return hashed.repartition(min_partitions, h).sortWithinPartitions(h).drop(h)

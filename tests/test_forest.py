@@ -213,3 +213,15 @@ def test_random_split_option(spark):
         run.release()
     with pytest.raises(ValueError):
         programs.train_day(flows, "Jun12", split="random", fit_on="train")
+
+
+def test_same_forest_without_a_key_column(spark):
+    flows = _flows(spark).drop("event_id")
+    a = programs.train_day(flows, "Jun13", num_trees=3, split_key=None)
+    b = programs.train_day(flows.repartition(4), "Jun13", num_trees=3, split_key=None)
+    try:
+        assert a.forest.featureImportances.toArray().tolist() == b.forest.featureImportances.toArray().tolist()
+        assert a.test_error().collect()[0]["n"] == b.test_error().collect()[0]["n"]
+    finally:
+        a.release()
+        b.release()
