@@ -104,32 +104,40 @@ ranked AS (
 )"""
 
 
-def _slots_cte() -> str:
+def _slots_cte(by_day: bool = False) -> str:
     """One row per (event, slot): assembled value, then its re-coded value.
 
     Slots with at most 10 distinct values are re-coded: 0 keeps code 0, the
-    other values take 1.. (or 0..) in ascending order.
+    other values take 1.. (or 0..) in ascending order. ``by_day``: indices and
+    slot statistics are per day (each day's own preparation).
     """
+    d = "c.day, " if by_day else ""
+    on_day = " AND r.day = c.day" if by_day else ""
     text_rows = "\n    UNION ALL ".join(
-        f"SELECT c.event_id, {i} AS slot, r.idx AS value FROM coarse c "
-        f"JOIN ranked r ON r.feature = '{f}' AND r.value = c.{f}"
+        f"SELECT {d}c.event_id, {i} AS slot, r.idx AS value FROM coarse c "
+        f"JOIN ranked r ON r.feature = '{f}' AND r.value = c.{f}{on_day}"
         for i, f in enumerate(TEXT_FEATURES)
     )
     long_rows = "\n    UNION ALL ".join(
-        f"SELECT event_id, {len(TEXT_FEATURES) + i} AS slot, CAST({f} AS DOUBLE) AS value FROM coarse"
+        f"SELECT {d}c.event_id, {len(TEXT_FEATURES) + i} AS slot, CAST(c.{f} AS DOUBLE) AS value FROM coarse c"
         for i, f in enumerate(LONG_FEATURES)
     )
+    g = "day, " if by_day else ""
     return f"""slots AS (
     {text_rows}
     UNION ALL {long_rows}
 ),
 slot_values AS (
-  SELECT slot, value FROM slots GROUP BY slot, value
+  SELECT {g}slot, value FROM slots GROUP BY {g}slot, value
 ),
 slot_stats AS (
-  SELECT slot, count(*) AS n_distinct, bool_or(value = 0) AS has_zero FROM slot_values GROUP BY slot
-),
-recode AS (
+  SELECT {g}slot, count(*) AS n_distinct, bool_or(value = 0) AS has_zero FROM slot_values GROUP BY {g}slot
+)"""
+
+
+def _recode_cte() -> str:
+    """The vector indexer's code of every (slot, value), over all rows."""
+    return """recode AS (
   SELECT v.slot, v.value,
     CASE WHEN s.n_distinct > 10 THEN v.value
          WHEN v.value = 0 THEN 0.0::DOUBLE
@@ -217,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
         COARSE_CTE,
         _index_cte(),
         _slots_cte(),
+        _recode_cte(),
         body="SELECT s.event_id, s.slot, s.value, r.indexed_value FROM slots s "
         "JOIN recode r ON r.slot = s.slot AND r.value = s.value",
     )
@@ -250,5 +259,20 @@ def oracle_sql() -> dict[str, str]:
     q["test_rows_by_day"] = with_ctes(
         flows, body=f"SELECT day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test' GROUP BY day"
     )
+    q["feature_index_by_day"] = with_ctes(
+        flows,
+        COARSE_CTE,
+        _index_cte(scope_by_day=True),
+        body="SELECT day, feature, value, idx, n FROM ranked WHERE feature <> 'Tag'",
+    )
+    q["distinct_per_feature_by_day"] = with_ctes(
+        flows,
+        COARSE_CTE,
+        _index_cte(scope_by_day=True),
+        _slots_cte(by_day=True),
+        f"names(slot, feature) AS (VALUES {feature_names})",
+        body="SELECT s.day, s.slot, n.feature, s.n_distinct, s.n_distinct <= 10 AS categorical "
+        "FROM slot_stats s JOIN names n ON n.slot = s.slot",
+    )
     q["csv_roundtrip"] = with_ctes(flows, COARSE_CTE, body=f"SELECT event_id, day, {cols} FROM coarse")
     return q

@@ -180,23 +180,55 @@ def q_label_index(spark, sf_dir):
     return label_index_report(prepared)
 
 
-@query("label_index_by_day")
-def q_label_index_by_day(spark, sf_dir):
-    """The label index of each day's own preparation (fitted per day, as W2/W3 do)."""
-    coarse = prepare_flows(_flows(spark, sf_dir))
+def _prepared_by_day(spark, sf_dir):
+    """Each day's own preparation (fitted per day, as W2/W3 do), fitted side by side."""
+
+    def build():
+        coarse = prepare_flows(_flows(spark, sf_dir))
+
+        def one(d):
+            day_rows = coarse.where(F.col(DAY_COL) == d)
+            prep = fit_preparation(day_rows)
+            return d, prep, prep.transform(day_rows)
 
-    def one(d):
-        day_rows = coarse.where(F.col(DAY_COL) == d)
-        return label_index_report(fit_preparation(day_rows).transform(day_rows), by=(DAY_COL,))
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(one), DAYS))
 
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(one), DAYS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _memo(spark, ("prepared_by_day", sf_dir), build)
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
+@query("label_index_by_day")
+def q_label_index_by_day(spark, sf_dir):
+    """The label index of each day's own preparation."""
+    return _union([label_index_report(p, by=(DAY_COL,)) for _, _, p in _prepared_by_day(spark, sf_dir)])
+
+
+@query("feature_index_by_day")
+def q_feature_index_by_day(spark, sf_dir):
+    """The text-feature indices of each day's own preparation."""
+    return _union(
+        [feature_index_report(p, prep.text_cols, by=(DAY_COL,)) for _, prep, p in _prepared_by_day(spark, sf_dir)]
+    )
+
+
+@query("distinct_per_feature_by_day")
+def q_distinct_per_feature_by_day(spark, sf_dir):
+    """Distinct values per slot and the vector indexer's choice, per day."""
+    return _union(
+        [
+            distinct_per_feature(p, prep).select(F.lit(d).alias(DAY_COL), "*")
+            for d, prep, p in _prepared_by_day(spark, sf_dir)
+        ]
+    )
+
+
 @query("feature_index")
 def q_feature_index(spark, sf_dir):
     prep, prepared = _prepared_all(spark, sf_dir)
