@@ -117,7 +117,13 @@ def write_flow_days(
     """
     cols = list(columns) if columns else [c for c in flows.columns if c != DAY_COL]
     names = list(file_names)
-    cached = flows.select(DAY_COL, *cols).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = flows.select(DAY_COL, *cols)
+    cores = flows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        # a one-split input would make every day a single-task write (and a
+        # single-file read later): spread it over the cores first
+        rows = rows.repartition(cores)
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name: str) -> str:
         path = day_file_path(base, name)
