@@ -188,6 +188,7 @@ def train_on(
     seed: int = 42,
     train_fraction: float = 0.7,
     split_key: str | None = "event_id",
+    split_salt: str = "",
     split: str = "key",
     fit_on: str = "all",
     handle_invalid: str = "error",
@@ -201,7 +202,8 @@ def train_on(
     ``fit_on="all"`` fits the preparation on every row before the split, as
     the original programs do; ``"train"`` fits it on training rows only and
     gives unseen test values their own index. ``split="key"`` (default) marks
-    the sides by a hash of ``split_key``; ``split="random"`` uses Spark's
+    the sides by a hash of ``split_key`` (a ``split_salt`` draws another
+    split); ``split="random"`` uses Spark's
     seeded ``randomSplit`` on the cached rows, as the original programs did
     (unseeded there). ``handle_invalid="skip"`` drops
     rows with a null number instead of failing. ``max_categories`` (off by
@@ -217,9 +219,9 @@ def train_on(
         coarse = fold_rare_values(coarse, text_cols, max_categories)
     if fit_on == "all":
         prep = fit_preparation(coarse, handle_invalid=handle_invalid)
-        marked = with_split(prep.transform(coarse), key=split_key, fraction=train_fraction)
+        marked = with_split(prep.transform(coarse), key=split_key, fraction=train_fraction, salt=split_salt)
     elif fit_on == "train":
-        split_first = with_split(coarse, key=split_key, fraction=train_fraction)
+        split_first = with_split(coarse, key=split_key, fraction=train_fraction, salt=split_salt)
         prep = fit_preparation(split_first.where(F.col(PART_COL) == TRAIN).drop(PART_COL), handle_invalid="keep")
         marked = prep.transform(split_first)
     else:

@@ -25,3 +25,11 @@ def test_split_without_key_uses_row_content(spark):
     a = sorted(map(tuple, with_split(flows, key=None).collect()), key=key)
     b = sorted(map(tuple, with_split(flows.repartition(5), key=None).collect()), key=key)
     assert a == b
+
+
+def test_salt_draws_another_split(spark):
+    flows = read_event_flows(spark, "/root/testdata/sf0.001")
+    a = {r["event_id"]: r[PART_COL] for r in with_split(flows).collect()}
+    b = {r["event_id"]: r[PART_COL] for r in with_split(flows, salt="2").collect()}
+    assert a != b
+    assert 0.6 < sum(v == "train" for v in b.values()) / len(b) < 0.8
