@@ -201,14 +201,18 @@ def train_on(
 
     ``fit_on="all"`` fits the preparation on every row before the split, as
     the original programs do; ``"train"`` fits it on training rows only and
-    gives unseen test values their own index. ``split="key"`` (default) marks
-    the sides by a hash of ``split_key`` (a ``split_salt`` draws another
-    split); ``split="random"`` uses Spark's
+    gives unseen test values their own index.
+
+    ``split="key"`` (default) marks the sides by a hash of ``split_key`` (a
+    ``split_salt`` draws another split); ``split="random"`` uses Spark's
     seeded ``randomSplit`` on the cached rows, as the original programs did
-    (unseeded there). ``handle_invalid="skip"`` drops
-    rows with a null number instead of failing. ``max_categories`` (off by
-    default) folds the rarest text values of each feature into one bucket so
-    that no nominal feature has more values than that.
+    (unseeded there).
+
+    ``max_bins="auto"`` (default) is max(32, largest nominal arity), at most
+    ``max_bins_cap``. ``handle_invalid="skip"`` drops rows with a null number
+    instead of failing. ``max_categories`` (off by default) folds the rarest
+    text values of each feature into one bucket so that no nominal feature
+    has more values than that.
     """
     if split not in ("key", "random"):
         raise ValueError("split must be 'key' or 'random'")
@@ -271,8 +275,9 @@ class EachDayResult:
     """Per-day outputs of W3, computed from the written per-day tables.
 
     Each day wrote its scored test rows, its forest's node table and its
-    pipelines under ``path``; the reports below aggregate those files (one
-    scan each), never the pipelines that produced them.
+    forest model (with ``save_models``, its pipelines) under ``path``; the
+    reports below aggregate those files (one scan each), never the pipelines
+    that produced them.
     """
 
     spark: SparkSession
