@@ -2,7 +2,9 @@
 
 Spark's CSV writer takes no vector columns, so each vector is written as the
 text of its array (``[1.0, 0.0, 80.0]``). With default options an empty
-string is written as an empty field and reads back as null.
+string is written as ``""`` and a null as nothing, but both read back as
+null; with ``null_value`` set (say ``\\N``) on both the writer and the
+reader, empty text and null stay apart.
 """
 
 from __future__ import annotations
@@ -28,7 +30,12 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_prepared_csv(
-    prepared: DataFrame, path: str, *, mode: str = "errorifexists", by_day: bool = True
+    prepared: DataFrame,
+    path: str,
+    *,
+    mode: str = "errorifexists",
+    by_day: bool = True,
+    null_value: str | None = None,
 ) -> str:
     """Write under ``path``, one ``day=<day>`` folder per day.
 
@@ -39,6 +46,8 @@ def write_prepared_csv(
     if not by_day:
         prepared = prepared.drop(DAY_COL)
     writer = csv_ready(prepared).write.mode(mode).option("header", True)
+    if null_value is not None:
+        writer = writer.option("nullValue", null_value)
     if DAY_COL in prepared.columns:
         writer = writer.partitionBy(DAY_COL)
     writer.csv(path)
@@ -57,5 +66,10 @@ def csv_schema_of(prepared: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_prepared_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+def read_prepared_csv(
+    spark: SparkSession, path: str, schema: T.StructType, *, null_value: str | None = None
+) -> DataFrame:
+    reader = spark.read.option("header", True).schema(schema)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+    return reader.csv(path)

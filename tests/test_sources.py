@@ -153,3 +153,11 @@ def test_xml_days_without_rows(spark, scratch):
     write_flow_days(df, base, columns=["event_id", *FLOW_COLS])
     back = read_flow_days(spark, base, extra_fields=[T.StructField("event_id", T.LongType())])
     assert sorted((r["day"], r["event_id"]) for r in back.collect()) == [("Jun12", 1), ("Jun12", 2)]
+
+
+def test_csv_null_marker_keeps_empty_text(spark, scratch):
+    df = spark.createDataFrame([(1, "", None, "Jun12"), (2, "07", "x", "Jun12")], "event_id long, startDateTime string, appName string, day string")
+    path = write_prepared_csv(df, scratch("csv-null"), null_value="\\N")
+    back = {r["event_id"]: r for r in read_prepared_csv(spark, path, csv_schema_of(df), null_value="\\N").collect()}
+    assert back[1]["startDateTime"] == "" and back[1]["appName"] is None
+    assert back[2]["startDateTime"] == "07" and back[2]["appName"] == "x"
