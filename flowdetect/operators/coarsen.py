@@ -73,6 +73,12 @@ def min_max_scale(
     out_col = out_col or f"{col}_scaled"
     keys = list(by)
     bounds = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    if not keys:
+        # one global pair of bounds: applied as constants, no join
+        (row,) = bounds.collect()
+        lo, hi = F.lit(row["_lo"]), F.lit(row["_hi"])
+        scaled = (F.col(col) - lo) / F.nullif(hi - lo, F.lit(0))
+        return df.select(*df.columns, scaled.cast("double").alias(out_col))
     joined = join_small(df, bounds, keys, max_rows=max_groups)
     scaled = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
     return joined.select(*df.columns, scaled.cast("double").alias(out_col))

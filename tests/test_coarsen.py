@@ -103,3 +103,11 @@ def test_flow_text_does_not_depend_on_session_time_zone(spark):
         assert rows() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_min_max_global_has_no_join(spark):
+    df = flows(spark, [{"totalDestinationBytes": v} for v in (10, 20, 30)])
+    out = min_max_scale(df, by=())
+    assert sorted(r["totalDestinationBytes_scaled"] for r in out.collect()) == [0.0, 0.5, 1.0]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "CartesianProduct" not in text
