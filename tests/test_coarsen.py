@@ -111,3 +111,13 @@ def test_min_max_global_has_no_join(spark):
     assert sorted(r["totalDestinationBytes_scaled"] for r in out.collect()) == [0.0, 0.5, 1.0]
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "CartesianProduct" not in text
+
+
+def test_min_max_past_the_broadcast_bound(spark):
+    rows = [{"day": d, "totalDestinationBytes": v} for d in ("Jun12", "Jun13") for v in (0, 10)]
+    df = flows(spark, rows)
+    out = min_max_scale(df, max_groups=1)  # two groups: more than the bound
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in text or "LocalTableScan" not in text
+    got = sorted((r["day"], r["totalDestinationBytes_scaled"]) for r in out.collect())
+    assert got == [("Jun12", 0.0), ("Jun12", 1.0), ("Jun13", 0.0), ("Jun13", 1.0)]
