@@ -46,6 +46,7 @@ from flowdetect.sources.xml import read_flow_days
 
 ALL_DAYS = "all"
 MAX_DAYS = 100_000
+MAX_DAY_THREADS = 8
 
 __all__ = ["ForestRun", "EachDayResult", "flow_stats", "ingest_days", "train_on", "train_day", "train_each_day", "train_all_days"]
 
@@ -323,17 +324,18 @@ def train_each_day(
     *,
     out_path: str | None = None,
     csv_path: str | None = None,
-    parallelism: int = 3,
+    parallelism: int | None = None,
     save_models: bool = False,
     **kwargs,
 ) -> EachDayResult:
     """A forest for every day (W3); each day's results written under ``out_path``.
 
-    Days are independent, so up to ``parallelism`` of them are trained at the
-    same time: each is a series of distributed jobs submitted from its own
-    driver thread, and Spark runs their tasks side by side. Cached rows (and
-    the forest's binned copy) of that many days are held at once; use 1 to
-    hold a single day. Every day writes only its own ``day=<day>`` folders:
+    Days are independent, so up to ``parallelism`` of them (default: all, at
+    most 8) are trained at the same time: each is a series of distributed
+    jobs submitted from its own driver thread, and Spark runs their tasks
+    side by side. Cached rows (and the forest's binned copy) of those days
+    are held at once -- with every day, no more than the all-days program
+    holds; use 1 to hold a single day. Every day writes only its own ``day=<day>`` folders:
     its scored test rows, its forest's node table, its forest model, and with
     ``save_models=True`` its preparation and forest pipelines (reloadable
     with ``PipelineModel.load``).
@@ -364,7 +366,7 @@ def train_each_day(
         finally:
             run.release()
 
-    workers = max(1, min(parallelism, len(day_list)))
+    workers = max(1, min(parallelism or MAX_DAY_THREADS, len(day_list)))
     if workers == 1:
         done = [one(d) for d in day_list]
     else:
