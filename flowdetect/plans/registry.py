@@ -8,6 +8,7 @@ folder. Forest runs are shared between the queries that report on them.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -41,6 +42,7 @@ ONE_DAY = "Jun14"  # the one-day program's day (third capture day)
 
 _REGISTRY: dict[str, Query] = {}
 _RUNS: dict[tuple, object] = {}
+_RUNS_LOCK = threading.Lock()
 
 
 def query(name: str):
@@ -60,10 +62,12 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    """Build a shared run once per session (also when queries run from several threads)."""
     full = (spark.sparkContext.applicationId, *key)
-    if full not in _RUNS:
-        _RUNS[full] = build()
-    return _RUNS[full]
+    with _RUNS_LOCK:
+        if full not in _RUNS:
+            _RUNS[full] = build()
+        return _RUNS[full]
 
 
 # ------------------------------------------------------------- rows and text
