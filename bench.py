@@ -5,6 +5,10 @@
 Each query is run to completion (written to Spark's ``noop`` sink, so every
 row is computed and nothing is collected); forest programs include fitting
 the preparation and the forest, scoring, and their reports.
+
+With ``BENCH_EVENT_LOG=1`` Spark's event log is written to a fresh folder
+under /tmp and a per-query summary (jobs, summed job time, span) goes to
+stderr; stdout stays one JSON line.
 """
 
 from __future__ import annotations
@@ -29,7 +33,19 @@ def run_all(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="flowdetect-bench")
+    log_dir, extra = None, {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        import tempfile
+
+        log_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        extra = {
+            "spark.eventLog.enabled": "true",
+            "spark.eventLog.dir": f"file://{log_dir}",
+            "spark.eventLog.compress": "false",
+        }
+    spark = local_session(
+        cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="flowdetect-bench", extra_conf=extra
+    )
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     sf = float(m.group(1)) if m else None
 
@@ -45,6 +61,7 @@ def main() -> None:
     timings: dict[str, float] = {}
 
     def timed(name, fn):
+        spark.sparkContext.setJobGroup(name, name)
         t0 = time.perf_counter()
         fn()
         timings[name] = round(time.perf_counter() - t0, 3)
@@ -105,6 +122,39 @@ def main() -> None:
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": timings, "sf": sf}))
     spark.stop()
+    if log_dir:
+        summarize_event_log(log_dir)
+
+
+def summarize_event_log(log_dir: str) -> None:
+    """Per job group: number of jobs, summed job time, first start to last end."""
+    import collections
+    import glob
+
+    jobs = {}
+    for path in glob.glob(f"{log_dir}/**", recursive=True):
+        if not os.path.isfile(path):
+            continue
+        with open(path) as fh:
+            for line in fh:
+                e = json.loads(line)
+                if e["Event"] == "SparkListenerJobStart":
+                    group = e.get("Properties", {}).get("spark.jobGroup.id")
+                    jobs[e["Job ID"]] = [group, e["Submission Time"], None]
+                elif e["Event"] == "SparkListenerJobEnd" and e["Job ID"] in jobs:
+                    jobs[e["Job ID"]][2] = e["Completion Time"]
+    agg = collections.defaultdict(lambda: [0, 0.0, None, None])
+    for group, start, end in jobs.values():
+        if group is None or end is None:
+            continue
+        a = agg[group]
+        a[0] += 1
+        a[1] += (end - start) / 1000
+        a[2] = start if a[2] is None else min(a[2], start)
+        a[3] = end if a[3] is None else max(a[3], end)
+    print(f"event log: {log_dir}", file=sys.stderr)
+    for group, (n, busy, start, end) in agg.items():
+        print(f"{group:16s} jobs={n:4d} job_sec={busy:7.2f} span={(end - start) / 1000:7.2f}", file=sys.stderr)
 
 
 if __name__ == "__main__":

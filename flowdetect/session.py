@@ -43,10 +43,15 @@ def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> No
         spark.conf.set(key, value)
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "flowdetect") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "flowdetect", extra_conf: dict | None = None
+) -> SparkSession:
     """A local[N] session configured as the tests and bench expect."""
+    builder = SparkSession.builder
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
