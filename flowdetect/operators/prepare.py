@@ -115,6 +115,25 @@ class Preparation:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
+    def assembled_from_indexed(self, indexed: Column) -> Column:
+        """The assembled ``features`` values (as an array) back from ``indexedFeatures``.
+
+        Only slots the vector indexer re-coded differ, each through a map of
+        at most ``maxCategories`` entries; the rest pass through.
+        """
+        arr = vector_to_array(indexed)
+        elems = []
+        for slot in range(len(self.feature_names)):
+            codes = self.vector_indexer.categoryMaps.get(slot)
+            if codes:
+                pairs = []
+                for value, code in sorted(codes.items(), key=lambda kv: kv[1]):
+                    pairs += [F.lit(float(code)), F.lit(float(value))]
+                elems.append(F.element_at(F.create_map(*pairs), arr[slot]))
+            else:
+                elems.append(arr[slot])
+        return F.array(*elems)
+
 
 def fit_preparation(
     coarse: DataFrame,

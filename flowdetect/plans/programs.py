@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,17 +78,16 @@ class ForestRun:
         )
 
     def sample(self, n: int = 5) -> DataFrame:
-        """A few scored rows to look at (S6): decoded prediction, tag, feature vector.
+        """A few scored rows to look at (S6): decoded prediction, tag, assembled features.
 
         The first ``n`` test rows by key, so the sample is the same every run;
         a top-n over the key runs as a per-task top-n and one small merge.
         """
         keys = [c for c in ("event_id", DAY_COL) if c in self.predictions.columns]
         order = keys or [LABEL_COL]
+        features = self.preparation.assembled_from_indexed(F.col(INDEXED_FEATURES_COL))
         return (
-            self.predictions.select(
-                *keys, fo.PREDICTED_LABEL_COL, LABEL_COL, vector_to_array(F.col(INDEXED_FEATURES_COL)).alias("features")
-            )
+            self.predictions.select(*keys, fo.PREDICTED_LABEL_COL, LABEL_COL, features.alias("features"))
             .orderBy(*order)
             .limit(n)
         )

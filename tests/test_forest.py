@@ -225,3 +225,15 @@ def test_same_forest_without_a_key_column(spark):
     finally:
         a.release()
         b.release()
+
+
+def test_sample_shows_the_assembled_features(spark, one_day):
+    from pyspark.ml.functions import vector_to_array
+
+    from flowdetect.operators.coarsen import prepare_flows
+
+    sample = {r["event_id"]: list(r["features"]) for r in one_day.sample(5).collect()}
+    rows = prepare_flows(read_event_flows(spark, SF01).where("day = 'Jun14'"))
+    assembled = one_day.preparation.transform(rows).select("event_id", vector_to_array("features").alias("f"))
+    expected = {r["event_id"]: list(r["f"]) for r in assembled.where(F.col("event_id").isin(list(sample))).collect()}
+    assert sample == expected
