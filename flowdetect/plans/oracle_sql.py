@@ -274,5 +274,19 @@ def oracle_sql() -> dict[str, str]:
         body="SELECT s.day, s.slot, n.feature, s.n_distinct, s.n_distinct <= 10 AS categorical "
         "FROM slot_stats s JOIN names n ON n.slot = s.slot",
     )
+    joins = " ".join(
+        f"JOIN ranked r{i} ON r{i}.feature = '{c}' AND r{i}.value = c.{c}" for i, c in enumerate(["Tag", *TEXT_FEATURES])
+    )
+    idx_cols = ", ".join(f"r{i + 1}.idx AS {c}_index" for i, c in enumerate(TEXT_FEATURES))
+    vector = "CAST([" + ", ".join(
+        [f"r{i + 1}.idx" for i in range(len(TEXT_FEATURES))] + [f"CAST(c.{c} AS DOUBLE)" for c in LONG_FEATURES]
+    ) + "] AS VARCHAR)"
+    q["csv_prepared"] = with_ctes(
+        flows,
+        COARSE_CTE,
+        _index_cte(),
+        body=f"SELECT c.event_id, c.day, r0.idx AS indexedLabel, {idx_cols}, {vector} AS features "
+        f"FROM coarse c {joins}",
+    )
     q["csv_roundtrip"] = with_ctes(flows, COARSE_CTE, body=f"SELECT event_id, day, {cols} FROM coarse")
     return q

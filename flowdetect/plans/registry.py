@@ -143,6 +143,19 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("event_id", DAY_COL, *FLOW_COLS)
 
 
+@query("csv_prepared")
+def q_csv_prepared(spark, sf_dir):
+    """What the CSV sink adds, read back: label index, feature indices, features as text."""
+    coarse = prepare_flows(_flows(spark, sf_dir))
+    prep = fit_preparation(coarse)
+    prepared = prep.transform(coarse)
+    path = write_prepared_csv(prepared, scratch_path(spark, "prepared-csv"))
+    back = read_prepared_csv(spark, path, csv_schema_of(prepared))
+    return back.select(
+        "event_id", DAY_COL, "indexedLabel", *[f"{c}_index" for c in prep.text_cols], "features"
+    )
+
+
 # -------------------------------------------------------------- statistics
 
 
