@@ -353,6 +353,12 @@ def q_importances_by_day(spark, sf_dir):
     return _each_day(spark, sf_dir).importances()
 
 
+@query("importances_by_day_wide")
+def q_importances_by_day_wide(spark, sf_dir):
+    """One row per day, one column per feature: the per-day importances as printed originally."""
+    return _each_day(spark, sf_dir).importances_wide()
+
+
 @query("all_days_test_error")
 def q_all_days_test_error(spark, sf_dir):
     return _all_days(spark, sf_dir).test_error()
