@@ -37,3 +37,34 @@ def test_hour_text_matches_drop_take(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "s string")
     got = [r[0] for r in df.select(hour_text("s")).collect()]
     assert got == [scala_hour(v) for v in values]
+
+
+@settings(max_examples=5, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["Jun12", "Jun13", "Jun14"]), st.sampled_from(["Normal", "Attack", "Other", None])),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_flow_stats_matches_counting(spark, rows):
+    from collections import Counter
+
+    from flowdetect.operators.stats import flow_stats
+
+    df = spark.createDataFrame(rows, "day string, Tag string")
+    got = {(r["day"], r["Tag"]): (r["count"], r["flows"], r["share"]) for r in flow_stats(df).collect()}
+
+    per_day = Counter(d for d, _ in rows)
+    tagged = Counter(d for d, t in rows if t is not None)
+    groups = Counter(rows)
+    expected = {}
+    for (d, t), n in groups.items():
+        count = n if t is not None else 0
+        share = count / tagged[d] if tagged[d] else None
+        expected[(d, t)] = (count, per_day[d], share)
+    assert got.keys() == expected.keys()
+    for k, (c, f, s) in expected.items():
+        gc, gf, gs = got[k]
+        assert (gc, gf) == (c, f)
+        assert (gs is None and s is None) or abs(gs - s) < 1e-12
