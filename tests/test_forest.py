@@ -237,3 +237,11 @@ def test_sample_shows_the_assembled_features(spark, one_day):
     assembled = one_day.preparation.transform(rows).select("event_id", vector_to_array("features").alias("f"))
     expected = {r["event_id"]: list(r["f"]) for r in assembled.where(F.col("event_id").isin(list(sample))).collect()}
     assert sample == expected
+
+
+def test_confusion_adds_up(one_day):
+    conf = one_day.confusion().collect()
+    err = one_day.test_error().collect()[0]
+    assert sum(r["n"] for r in conf) == err["n"]
+    hits = sum(r["n"] for r in conf if r["Tag"] == r["predictedLabel"])
+    assert math.isclose(hits / err["n"], err["accuracy"], abs_tol=1e-12)
