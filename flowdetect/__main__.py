@@ -32,7 +32,7 @@ def _flows(spark: SparkSession, args) -> DataFrame:
 
 
 def _forest_options(args) -> dict:
-    out = {"num_trees": args.trees, "seed": args.seed}
+    out = {"num_trees": args.trees, "seed": args.seed, "subsampling_rate": args.subsampling_rate}
     if args.max_bins:
         out["max_bins"] = int(args.max_bins) if args.max_bins != "auto" else "auto"
     if args.max_categories:
@@ -59,6 +59,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--max-bins", help='"auto" (default) or a number, e.g. 10000 as originally')
     p.add_argument("--max-categories", type=int, help="fold rarer text values beyond this many")
+    p.add_argument("--subsampling-rate", type=float, default=1.0, help="share of training rows per tree")
     return p.parse_args(argv)
 
 

@@ -35,8 +35,15 @@ def forest_pipeline(
     seed: int = 42,
     subsampling_rate: float = 1.0,
     feature_subset: str = "auto",
+    rf_params: dict | None = None,
 ) -> Pipeline:
-    """Forest on the indexed label and re-coded features (M1), decoded by the fit's labels (M4)."""
+    """Forest on the indexed label and re-coded features (M1), decoded by the fit's labels (M4).
+
+    ``rf_params`` sets further ``RandomForestClassifier`` parameters, e.g.
+    ``{"maxMemoryInMB": 1024}`` (more nodes per pass over the data) or
+    ``{"cacheNodeIds": True, "checkpointInterval": 10}`` (with the session's
+    checkpoint folder) for deeper trees.
+    """
     rf = RandomForestClassifier(
         labelCol=LABEL_INDEX_COL,
         featuresCol=INDEXED_FEATURES_COL,
@@ -48,6 +55,8 @@ def forest_pipeline(
         subsamplingRate=subsampling_rate,
         featureSubsetStrategy=feature_subset,
     )
+    if rf_params:
+        rf.setParams(**rf_params)
     decode = IndexToString(inputCol=PREDICTION_COL, outputCol=PREDICTED_LABEL_COL, labels=list(labels))
     return Pipeline(stages=[rf, decode])
 

@@ -185,6 +185,8 @@ def train_on(
     max_bins_cap: int = fo.MAX_BINS_ONE_DAY,
     max_depth: int = 5,
     seed: int = 42,
+    subsampling_rate: float = 1.0,
+    rf_params: dict | None = None,
     train_fraction: float = 0.7,
     split_key: str | None = "event_id",
     split_salt: str = "",
@@ -208,7 +210,9 @@ def train_on(
     (unseeded there).
 
     ``max_bins="auto"`` (default) is max(32, largest nominal arity), at most
-    ``max_bins_cap``. ``handle_invalid="skip"`` drops rows with a null number
+    ``max_bins_cap``. ``subsampling_rate`` < 1 trains each tree on that share
+    of the training rows (a smaller pass per level on very large data);
+    ``rf_params`` passes further forest parameters through. ``handle_invalid="skip"`` drops rows with a null number
     instead of failing. ``max_categories`` (off by default) folds the rarest
     text values of each feature into one bucket so that no nominal feature
     has more values than that.
@@ -248,7 +252,15 @@ def train_on(
         train = prepared.where(F.col(PART_COL) == TRAIN)
         test = prepared.where(F.col(PART_COL) == TEST)
     bins = _resolve_bins(max_bins, prep, max_bins_cap)
-    pipeline = fo.forest_pipeline(prep.labels, num_trees=num_trees, max_bins=bins, max_depth=max_depth, seed=seed)
+    pipeline = fo.forest_pipeline(
+        prep.labels,
+        num_trees=num_trees,
+        max_bins=bins,
+        max_depth=max_depth,
+        seed=seed,
+        subsampling_rate=subsampling_rate,
+        rf_params=rf_params,
+    )
     model = pipeline.fit(train)
     predictions = model.transform(test)
     return ForestRun(scope, prep, model, prepared, predictions, bins)

@@ -245,3 +245,15 @@ def test_confusion_adds_up(one_day):
     assert sum(r["n"] for r in conf) == err["n"]
     hits = sum(r["n"] for r in conf if r["Tag"] == r["predictedLabel"])
     assert math.isclose(hits / err["n"], err["accuracy"], abs_tol=1e-12)
+
+
+def test_forest_parameters_pass_through(spark):
+    run = programs.train_day(
+        _flows(spark), "Jun12", num_trees=2, subsampling_rate=0.5, rf_params={"maxMemoryInMB": 512, "minInstancesPerNode": 2}
+    )
+    try:
+        f = run.forest
+        assert f.getSubsamplingRate() == 0.5
+        assert f.getOrDefault("maxMemoryInMB") == 512 and f.getOrDefault("minInstancesPerNode") == 2
+    finally:
+        run.release()
