@@ -1,6 +1,6 @@
 """Command line: the programs as ``spark-submit`` jobs.
 
-    spark-submit --py-files flowdetect.zip -m flowdetect stats <xml_dir>
+    spark-submit --py-files flowdetect.zip flowdetect/__main__.py stats <xml_dir>
     python -m flowdetect day <xml_dir> --day Jun14 [--csv <out>]
     python -m flowdetect each-day <xml_dir> --out <dir> [--csv <out>] [--save-models]
     python -m flowdetect all-days <xml_dir>
