@@ -1,7 +1,8 @@
 """Run registered queries in Spark and their SQL in DuckDB; compare the results.
 
 Comparison: same column names, same row count, and the same multiset of rows
-after sorting columns by name and rounding doubles to 9 significant digits.
+after sorting columns by name; doubles are compared exactly (set
+``ORACLE_ROUND`` to compare at that many significant digits instead).
 
     python -m tests.oracle [sf_dir] [query ...]
 """
@@ -9,6 +10,7 @@ after sorting columns by name and rounding doubles to 9 significant digits.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -28,13 +30,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+ROUND = int(os.environ.get("ORACLE_ROUND", "0"))
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return float(f"{v:.{ROUND}g}") if ROUND else v
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "tolist"):
