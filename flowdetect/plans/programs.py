@@ -219,6 +219,8 @@ def train_on(
     """
     if split not in ("key", "random"):
         raise ValueError("split must be 'key' or 'random'")
+    if not coarse.limit(1).collect():
+        raise ValueError(f"no flows to train on for {scope!r}")
     if split == "random" and fit_on == "train":
         raise ValueError("fit_on='train' needs split='key' (the split comes before the fit)")
     if max_categories:

@@ -257,3 +257,8 @@ def test_forest_parameters_pass_through(spark):
         assert f.getOrDefault("maxMemoryInMB") == 512 and f.getOrDefault("minInstancesPerNode") == 2
     finally:
         run.release()
+
+
+def test_day_without_flows_is_a_clear_error(spark):
+    with pytest.raises(ValueError, match="Jun99"):
+        programs.train_day(_flows(spark), "Jun99", num_trees=2)
