@@ -72,6 +72,7 @@ def main() -> None:
         "coarsen_flows",
         "min_max",
         "split_by_key",
+        "union_days",
         "xml_days",
         "csv_roundtrip",
     ]:
