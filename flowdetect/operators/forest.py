@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.operators.prepare import INDEXED_FEATURES_COL, LABEL_INDEX_COL
@@ -115,36 +115,56 @@ def importances_from_nodes(nodes: DataFrame, feature_names: Sequence[str], by: S
     feature; a tree's sums are normalised to 1, summed over trees, and
     normalised again. Trees without a split add nothing; with no split at all
     every importance is 0. Ranked 1.. by importance, ties by slot.
+
+    Grouped aggregations only: a tree's and a scope's entries are gathered as
+    arrays of at most one entry per feature, normalised and ranked inside the
+    array (sorted), so no window moves a scope into one partition and no rows
+    are paired.
     """
     keys = list(by)
+    n = len(feature_names)
     per_tree = (
         nodes.where(F.col("is_split"))
         .groupBy(*keys, "tree", "slot")
         .agg(F.sum(F.col("gain") * _total(F.col("class_counts"))).alias("w"))
     )
-    tree_total = F.sum("w").over(Window.partitionBy(*keys, "tree"))
-    normed = per_tree.select(*keys, "slot", (F.col("w") / F.nullif(tree_total, F.lit(0.0))).alias("w"))
+    trees = per_tree.groupBy(*keys, "tree").agg(F.collect_list(F.struct("slot", "w")).alias("items"))
+    tree_total = F.aggregate(F.col("items"), F.lit(0.0), lambda acc, x: acc + x["w"])
+    normed = trees.select(
+        *keys,
+        F.explode(
+            F.transform(
+                F.col("items"),
+                lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / F.nullif(tree_total, F.lit(0.0))).alias("w")),
+            )
+        ).alias("e"),
+    ).select(*keys, F.col("e.slot").alias("slot"), F.col("e.w").alias("w"))
     summed = normed.groupBy(*keys, "slot").agg(F.sum("w").alias("w"))
-
-    # every (scope, slot), so features never split on still get a row
-    grid = (
-        nodes.groupBy(*keys)
-        .count()
-        .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(feature_names) - 1))).alias("slot"))
+    per_scope = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
+    if keys:
+        # every scope of the node table, also one whose trees never split
+        per_scope = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(per_scope, keys, "left").drop("_n")
+
+    entries = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.struct(i.alias("slot"), F.coalesce(F.col("m")[i], F.lit(0.0)).alias("w")),
     )
-    full = grid.join(summed, [*keys, "slot"], "left").fillna(0.0, subset=["w"])
-
-    scope_window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    grand = F.sum("w").over(scope_window)
-    importance = F.coalesce(F.col("w") / F.nullif(grand, F.lit(0.0)), F.lit(0.0))
+    with_entries = per_scope.select(*keys, entries.alias("entries"))
+    grand = F.aggregate(F.col("entries"), F.lit(0.0), lambda acc, x: acc + x["w"])
     names = F.array(*[F.lit(x) for x in feature_names])
-    ranked = full.select(
-        *keys,
-        "slot",
-        F.element_at(names, F.col("slot") + 1).alias("feature"),
-        importance.alias("importance"),
+    # sort key first: importance descending, then slot
+    keyed = F.transform(
+        F.col("entries"),
+        lambda x: F.struct(
+            (-F.coalesce(x["w"] / F.nullif(grand, F.lit(0.0)), F.lit(0.0))).alias("neg"),
+            x["slot"].alias("slot"),
+        ),
     )
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
-        F.col("importance").desc(), F.col("slot")
+    ranked = with_entries.select(*keys, F.posexplode(F.array_sort(keyed)).alias("pos", "e"))
+    return ranked.select(
+        *keys,
+        F.col("e.slot").alias("slot"),
+        F.element_at(names, F.col("e.slot") + 1).alias("feature"),
+        (F.lit(0.0) - F.col("e.neg")).alias("importance"),
+        (F.col("pos") + 1).alias("rank"),
     )
-    return ranked.withColumn("rank", F.row_number().over(order))
