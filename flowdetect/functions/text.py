@@ -15,8 +15,13 @@ def address_prefix(col: str | Column, parts: int = 2) -> Column:
     Trailing dots are trimmed first, which is what dropping trailing empty
     parts amounts to.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    return F.substring_index(F.rtrim(c, F.lit(".")), ".", parts)
+    if isinstance(col, str):
+        # the SQL form of a right trim of dots (the same expression as the
+        # two-argument rtrim, whose function-call form is deprecated)
+        trimmed = F.expr(f"trim(TRAILING '.' FROM `{col}`)")
+    else:
+        trimmed = F.rtrim(col, F.lit("."))
+    return F.substring_index(trimmed, ".", parts)
 
 
 def hour_text(col: str | Column) -> Column:

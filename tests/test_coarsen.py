@@ -121,3 +121,11 @@ def test_min_max_past_the_broadcast_bound(spark):
     assert "BroadcastExchange" not in text or "LocalTableScan" not in text
     got = sorted((r["day"], r["totalDestinationBytes_scaled"]) for r in out.collect())
     assert got == [("Jun12", 0.0), ("Jun12", 1.0), ("Jun13", 0.0), ("Jun13", 1.0)]
+
+
+def test_address_prefix_column_and_name_agree(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(a,) for a, _ in ADDRESS_CASES], "s string")
+    got = df.select(address_prefix("s").alias("a"), address_prefix(F.col("s")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
