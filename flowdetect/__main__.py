@@ -55,6 +55,8 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--out", help="output folder (each-day results, ingest table)")
     p.add_argument("--csv", help="write the prepared table as CSV under this folder")
     p.add_argument("--save-models", action="store_true", help="each-day: also save the fitted pipelines")
+    p.add_argument("--days", help="each-day: comma-separated days (default: every day in the data)")
+    p.add_argument("--parallelism", type=int, help="each-day: days trained at once (default: all, at most 8)")
     p.add_argument("--trees", type=int, default=32)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--max-bins", help='"auto" (default) or a number, e.g. 10000 as originally')
@@ -93,7 +95,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         _show("Feature importances:", run.importances().orderBy("rank"))
     elif args.command == "each-day":
         res = programs.train_each_day(
-            flows, out_path=args.out, csv_path=args.csv, save_models=args.save_models, **_forest_options(args)
+            flows,
+            args.days.split(",") if args.days else None,
+            out_path=args.out,
+            csv_path=args.csv,
+            save_models=args.save_models,
+            parallelism=args.parallelism,
+            **_forest_options(args),
         )
         out["result"] = res
         _show("Test error per day:", res.test_error().orderBy("day"))

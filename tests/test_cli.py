@@ -22,6 +22,10 @@ def test_cli_programs(spark, scratch, capsys):
 
     out = main(["each-day", table, "--parquet", "--trees", "2", "--out", scratch("cli-each")], spark)
     assert out["result"].test_error().count() == 6
+    out = main(
+        ["each-day", table, "--parquet", "--trees", "2", "--days", "Jun12,Jun15", "--parallelism", "1"], spark
+    )
+    assert sorted(r["day"] for r in out["result"].test_error().collect()) == ["Jun12", "Jun15"]
 
     printed = capsys.readouterr().out
     assert "Test error per day:" in printed and "Flows per day and tag:" in printed
