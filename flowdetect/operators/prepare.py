@@ -162,7 +162,12 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 
 def fold_rare_values(
-    df: DataFrame, cols: Sequence[str], max_values: int, *, other: str = OTHER_VALUE
+    df: DataFrame,
+    cols: Sequence[str],
+    max_values: int,
+    *,
+    other: str = OTHER_VALUE,
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the ``max_values - 1`` most frequent values of each text column, fold the rest.
 
@@ -174,11 +179,12 @@ def fold_rare_values(
     limit before the shuffle, so a column's group holds at most
     ``max_values`` rows per task, whatever its number of values. Only the kept
     values (at most ``max_values`` per column) reach the driver, and rows are
-    rewritten with a hash-set lookup.
+    rewritten with a hash-set lookup. The frequencies come from ``fit_on``
+    (say, the training rows) when given, else from ``df``.
     """
     if max_values < 2:
         raise ValueError("max_values must be at least 2")
-    kept_rows = top_values(df, cols, max_values - 1).collect()
+    kept_rows = top_values(fit_on if fit_on is not None else df, cols, max_values - 1).collect()
     kept: dict[str, list[str]] = {c: [] for c in cols}
     for row in kept_rows:
         kept[row["col"]].append(row["value"])

@@ -225,7 +225,11 @@ def train_on(
         raise ValueError("fit_on='train' needs split='key' (the split comes before the fit)")
     if max_categories:
         text_cols, _ = feature_columns(coarse.schema)
-        coarse = fold_rare_values(coarse, text_cols, max_categories)
+        frequencies_from = None
+        if fit_on == "train":
+            marked_rows = with_split(coarse, key=split_key, fraction=train_fraction, salt=split_salt)
+            frequencies_from = marked_rows.where(F.col(PART_COL) == TRAIN).drop(PART_COL)
+        coarse = fold_rare_values(coarse, text_cols, max_categories, fit_on=frequencies_from)
     if fit_on == "all":
         prep = fit_preparation(coarse, handle_invalid=handle_invalid)
         marked = with_split(prep.transform(coarse), key=split_key, fraction=train_fraction, salt=split_salt)

@@ -126,3 +126,14 @@ def test_max_arity_counts_keep_bucket(spark):
     coarse = prepare_flows(flows(spark, rows))
     assert fit_preparation(coarse).max_arity() == 3
     assert fit_preparation(coarse, handle_invalid="keep").max_arity() == 4
+
+
+def test_fold_frequencies_from_fit_rows(spark):
+    from flowdetect.operators.prepare import OTHER_VALUE, fold_rare_values
+
+    rows = [{"appName": "A"}] * 3 + [{"appName": "B"}] * 5
+    df = prepare_flows(flows(spark, rows))
+    fit_rows = prepare_flows(flows(spark, [{"appName": "A"}]))
+    folded = fold_rare_values(df, ["appName"], 2, fit_on=fit_rows)  # keeps the fit rows' top value
+    got = sorted(r[0] for r in folded.select("appName").distinct().collect())
+    assert got == ["A", OTHER_VALUE]
