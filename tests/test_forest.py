@@ -262,3 +262,12 @@ def test_forest_parameters_pass_through(spark):
 def test_day_without_flows_is_a_clear_error(spark):
     with pytest.raises(ValueError, match="Jun99"):
         programs.train_day(_flows(spark), "Jun99", num_trees=2)
+
+
+def test_fit_on_train_with_folding(spark):
+    run = programs.train_day(_flows(spark), "Jun15", num_trees=2, fit_on="train", max_categories=8)
+    try:
+        assert run.preparation.max_arity() <= 9  # 8 kept values (with the fold bucket) + the unseen index
+        assert run.test_error().collect()[0]["n"] > 0
+    finally:
+        run.release()
