@@ -304,7 +304,10 @@ class EachDayResult:
     max_bins: dict[str, int]
 
     def _read(self, kind: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
+        # only this run's days (partition pruning): an output folder reused for
+        # other days may hold folders of an earlier run
+        table = self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
+        return table.where(F.col(DAY_COL).isin(self.days))
 
     def scored(self) -> DataFrame:
         return self._read("scored")

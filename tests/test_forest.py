@@ -271,3 +271,12 @@ def test_fit_on_train_with_folding(spark):
         assert run.test_error().collect()[0]["n"] > 0
     finally:
         run.release()
+
+
+def test_each_day_reuses_an_output_folder(spark, scratch):
+    out = scratch("each-day-reuse")
+    flows = _flows(spark)
+    programs.train_each_day(flows, ["Jun12", "Jun13"], out_path=out, num_trees=2)
+    second = programs.train_each_day(flows, ["Jun14"], out_path=out, num_trees=2)
+    assert [r["day"] for r in second.test_error().collect()] == ["Jun14"]
+    assert {r["day"] for r in second.importances().collect()} == {"Jun14"}
