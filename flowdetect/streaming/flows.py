@@ -35,7 +35,13 @@ def stream_tag_counts(stream: DataFrame) -> DataFrame:
 
 
 def score_stream(stream: DataFrame, preparation: Preparation, forest: PipelineModel) -> DataFrame:
-    """Coarsen, prepare and score each arriving flow with models fitted in batch."""
+    """Coarsen, prepare and score each arriving flow with models fitted in batch.
+
+    A preparation fitted with ``handle_invalid="error"`` stops the stream at
+    the first text value it has not seen; for open-ended streams fit it with
+    ``"keep"`` (as ``fit_on="train"`` does), which gives unseen values an
+    index of their own.
+    """
     prepared = preparation.transform(prepare_flows(stream))
     scored = forest.transform(prepared)
     keys = [c for c in ("event_id", DAY_COL) if c in scored.columns]
