@@ -76,13 +76,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             raise SystemExit("ingest needs --out")
         table = programs.ingest_days(spark, args.path, args.out, record_per_line=args.record_per_line)
         out["flows"] = table
-        _show("Flows per day and tag:", flow_stats(table))
+        _show("Flows per day and tag:", flow_stats(table).orderBy("day", "Tag"))
         return out
 
     flows = _flows(spark, args)
     if args.command == "stats":
         out["stats"] = flow_stats(flows)
-        _show("Flows per day and tag:", out["stats"])
+        _show("Flows per day and tag:", out["stats"].orderBy("day", "Tag"))
     elif args.command in ("day", "all-days"):
         opts = _forest_options(args)
         if args.command == "day":
