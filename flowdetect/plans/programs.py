@@ -33,7 +33,7 @@ from flowdetect.operators.prepare import (
     fit_preparation,
     fold_rare_values,
 )
-from flowdetect.operators.split import PART_COL, TEST, TRAIN, with_split
+from flowdetect.operators.split import PART_COL, TEST, TRAIN, random_split, with_split
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
 from flowdetect.plans.layout import spread
@@ -253,7 +253,7 @@ def train_on(
     prepared = spread(slim, keys=[split_key] if split_key else ()).persist(StorageLevel.MEMORY_AND_DISK)
     if split == "random":
         # sides drawn per row by Spark's sampler over the cached, key-sorted rows
-        train, test = prepared.drop(PART_COL).randomSplit([train_fraction, 1.0 - train_fraction], seed)
+        train, test = random_split(prepared.drop(PART_COL), (train_fraction, 1.0 - train_fraction), seed)
     else:
         train = prepared.where(F.col(PART_COL) == TRAIN)
         test = prepared.where(F.col(PART_COL) == TEST)

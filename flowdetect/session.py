@@ -7,7 +7,6 @@ from the caller. Anything written between steps goes under the cluster's
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -99,7 +98,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme (used by tests that inspect written files)."""
     return path[5:] if path.startswith("file:") else path
-
-
-def exists_local(path: str) -> bool:
-    return os.path.exists(local_path(path))
