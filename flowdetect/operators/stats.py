@@ -2,12 +2,13 @@
 
 One scan and one aggregation on (day, Tag) with map-side partial counts: the
 shuffle carries at most (tasks x days x tags) rows whatever the input size.
-The share per day is a window over that aggregated result only.
+The share per day is computed from the aggregated rows only: a day's tag
+rows are gathered as an array (one entry per tag), totalled, and unfolded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.schema import DAY_COL, LABEL_COL
@@ -23,24 +24,44 @@ def tag_counts(flows: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
     return flows.groupBy(DAY_COL, label_col).agg(F.count(label_col).alias("count"))
 
 
+def _per_day(grouped: DataFrame, label_col: str, fields: list[str]) -> DataFrame:
+    """Each day's (tag, counts) rows as one array: a day has one entry per tag."""
+    return grouped.groupBy(DAY_COL).agg(F.collect_list(F.struct(label_col, *fields)).alias("items"))
+
+
+def _sum_of(field: str) -> Column:
+    return F.aggregate(F.col("items"), F.lit(0).cast("bigint"), lambda acc, x: acc + x[field])
+
+
 def tag_share(flows: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
-    """Tag counts with each tag's share of the day's tagged flows (A3)."""
-    day = Window.partitionBy(DAY_COL)
-    counts = tag_counts(flows, label_col)
-    share = F.col("count") / F.nullif(F.sum("count").over(day), F.lit(0))
-    return counts.select(DAY_COL, label_col, "count", share.cast("double").alias("share"))
+    """Tag counts with each tag's share of the day's tagged flows (A3).
+
+    The day's total is taken over that day's aggregated tag rows (gathered as
+    an array), so no window partitions rows by day.
+    """
+    days = _per_day(tag_counts(flows, label_col), label_col, ["count"])
+    rows = days.select(DAY_COL, _sum_of("count").alias("_tagged"), F.explode("items").alias("x"))
+    return rows.select(
+        DAY_COL,
+        F.col("x")[label_col].alias(label_col),
+        F.col("x.count").alias("count"),
+        (F.col("x.count") / F.nullif(F.col("_tagged"), F.lit(0))).cast("double").alias("share"),
+    )
 
 
 def flow_stats(flows: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
     """The statistics program (W1): per day and tag the count, the day's flows, the share."""
-    day = Window.partitionBy(DAY_COL)
     grouped = flows.groupBy(DAY_COL, label_col).agg(
         F.count(label_col).alias("count"), F.count(F.lit(1)).alias("_rows")
     )
-    return grouped.select(
+    days = _per_day(grouped, label_col, ["count", "_rows"])
+    rows = days.select(
+        DAY_COL, _sum_of("_rows").alias("flows"), _sum_of("count").alias("_tagged"), F.explode("items").alias("x")
+    )
+    return rows.select(
         DAY_COL,
-        label_col,
-        "count",
-        F.sum("_rows").over(day).alias("flows"),
-        (F.col("count") / F.nullif(F.sum("count").over(day), F.lit(0))).cast("double").alias("share"),
+        F.col("x")[label_col].alias(label_col),
+        F.col("x.count").alias("count"),
+        "flows",
+        (F.col("x.count") / F.nullif(F.col("_tagged"), F.lit(0))).cast("double").alias("share"),
     )

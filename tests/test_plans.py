@@ -29,11 +29,15 @@ def test_stats_one_shuffle_on_aggregated_rows(spark):
     assert "props" not in read and "user_id" not in read  # only the columns needed
 
 
-def test_flow_stats_window_runs_after_aggregation(spark):
+def test_flow_stats_shares_from_aggregated_rows(spark):
+    from pyspark.sql import functions as F
+
     text = plan(flow_stats(read_event_flows(spark, SF)))
-    # the window's exchange sits above the final aggregate, not on raw rows
-    assert text.index("Window") < text.index("HashAggregate")
+    assert "Window" not in text and "Join" not in text
     assert "partial_count" in text
+    # a constant day (one day's file) needs no window either
+    one_day = read_event_flows(spark, SF).withColumn("day", F.lit("Jun12"))
+    assert "Window" not in plan(flow_stats(one_day))
 
 
 def test_min_max_never_shuffles_rows_on_day(spark):
