@@ -161,3 +161,21 @@ def test_csv_null_marker_keeps_empty_text(spark, scratch):
     back = {r["event_id"]: r for r in read_prepared_csv(spark, path, csv_schema_of(df), null_value="\\N").collect()}
     assert back[1]["startDateTime"] == "" and back[1]["appName"] is None
     assert back[2]["startDateTime"] == "07" and back[2]["appName"] == "x"
+
+
+def test_ingest_record_per_line(spark, scratch):
+    from flowdetect.plans.programs import ingest_days
+
+    base = scratch("ingest-lines")
+    path = local_path(base)
+    os.makedirs(path, exist_ok=True)
+    for i, name in enumerate(["TestbedSatJun12", "TestbedSunJun13", "TestbedMonJun14",
+                              "TestbedTueJun15", "TestbedWedJun16", "TestbedThuJun17"]):
+        with open(os.path.join(path, f"{name}.xml"), "w") as fh:
+            fh.write("<dataroot>\n")
+            for k in range(i + 1):
+                fh.write(f"<{name}Flows><Tag>Normal</Tag><sourcePort>{k}</sourcePort></{name}Flows>\n")
+            fh.write("</dataroot>\n")
+    table = ingest_days(spark, base, scratch("ingest-lines-out"), record_per_line=True)
+    counts = {r["day"]: r["count"] for r in table.groupBy("day").count().collect()}
+    assert counts == {d: i + 1 for i, d in enumerate(DAYS)}
