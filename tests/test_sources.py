@@ -169,8 +169,9 @@ def test_ingest_record_per_line(spark, scratch):
     base = scratch("ingest-lines")
     path = local_path(base)
     os.makedirs(path, exist_ok=True)
-    for i, name in enumerate(["TestbedSatJun12", "TestbedSunJun13", "TestbedMonJun14",
-                              "TestbedTueJun15", "TestbedWedJun16", "TestbedThuJun17"]):
+    from flowdetect.schema import DAY_FILES
+
+    for i, name in enumerate(DAY_FILES):
         with open(os.path.join(path, f"{name}.xml"), "w") as fh:
             fh.write("<dataroot>\n")
             for k in range(i + 1):
