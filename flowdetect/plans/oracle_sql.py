@@ -288,5 +288,8 @@ def oracle_sql() -> dict[str, str]:
         body=f"SELECT c.event_id, c.day, r0.idx AS indexedLabel, {idx_cols}, {vector} AS features "
         f"FROM coarse c {joins}",
     )
+    q["test_rows_all_days"] = with_ctes(
+        flows, body=f"SELECT 'all' AS day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test'"
+    )
     q["csv_roundtrip"] = with_ctes(flows, COARSE_CTE, body=f"SELECT event_id, day, {cols} FROM coarse")
     return q

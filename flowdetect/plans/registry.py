@@ -364,6 +364,12 @@ def q_all_days_test_error(spark, sf_dir):
     return _all_days(spark, sf_dir).test_error()
 
 
+@query("test_rows_all_days")
+def q_test_rows_all_days(spark, sf_dir):
+    """Rows the all-days forest was tested on (the n of its test error)."""
+    return _all_days(spark, sf_dir).test_error().select(DAY_COL, "n")
+
+
 @query("all_days_importances")
 def q_all_days_importances(spark, sf_dir):
     return _all_days(spark, sf_dir).importances()
