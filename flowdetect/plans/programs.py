@@ -198,7 +198,7 @@ def train_on(
     csv_mode: str = "errorifexists",
     csv_by_day: bool = True,
 ) -> ForestRun:
-    """Train and score one forest on already coarsened rows.
+    """Train and score one forest on already coarsened rows (``prepare_flows``).
 
     ``fit_on="all"`` fits the preparation on every row before the split, as
     the original programs do; ``"train"`` fits it on training rows only and
@@ -273,13 +273,19 @@ def train_on(
 
 
 def train_day(flows: DataFrame, day: str, **kwargs) -> ForestRun:
-    """The one-day program (W2): one day's flows (pruned to that day at the scan)."""
+    """The one-day program (W2): one day's flows (pruned to that day at the scan).
+
+    ``flows`` are raw flow rows; the program coarsens them once (coarsening is
+    not idempotent: the hour of an hour text is empty).
+    """
     return train_on(prepare_flows(flows.where(F.col(DAY_COL) == day)), day, **kwargs)
 
 
 def train_all_days(flows: DataFrame, **kwargs) -> ForestRun:
     """The all-days program (W4): the bag union of every day, one forest.
 
+    ``flows`` are raw flow rows, as for ``train_day``.
+
     maxBins is computed as for one day, capped at 20000 (the original's
     all-days value) instead of 10000.
     """

@@ -129,3 +129,11 @@ def test_address_prefix_column_and_name_agree(spark):
     df = spark.createDataFrame([(a,) for a, _ in ADDRESS_CASES], "s string")
     got = df.select(address_prefix("s").alias("a"), address_prefix(F.col("s")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got)
+
+
+def test_coarsening_once_is_what_programs_expect(spark):
+    df = flows(spark, [{}])
+    once = prepare_flows(df).collect()[0]
+    twice = prepare_flows(prepare_flows(df)).collect()[0]
+    assert once["startDateTime"] == "07" and twice["startDateTime"] == ""  # not idempotent, by design
+    assert once["source"] == twice["source"] == "192.168"
