@@ -85,3 +85,11 @@ def test_top_values_limit_groups_before_shuffle(spark):
     coarse = prepare_flows(read_event_flows(spark, SF))
     text = plan(top_values(coarse, ["source", "destination"], 4))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_collect_bounded(spark):
+    from flowdetect.plans.bounded import collect_bounded
+
+    df = spark.range(0, 10)
+    assert len(collect_bounded(df, 10)) == 10
+    assert collect_bounded(df, 9) is None  # never more than max_rows + 1 rows are fetched
