@@ -280,3 +280,15 @@ def test_each_day_reuses_an_output_folder(spark, scratch):
     second = programs.train_each_day(flows, ["Jun14"], out_path=out, num_trees=2)
     assert [r["day"] for r in second.test_error().collect()] == ["Jun14"]
     assert {r["day"] for r in second.importances().collect()} == {"Jun14"}
+
+
+def test_each_day_matches_the_one_day_program(spark):
+    flows = _flows(spark)
+    one = programs.train_day(flows, "Jun14", num_trees=3)
+    try:
+        expected = {r["slot"]: r["importance"] for r in one.importances().collect()}
+    finally:
+        one.release()
+    res = programs.train_each_day(flows, ["Jun14", "Jun15"], num_trees=3)
+    got = {r["slot"]: r["importance"] for r in res.importances().where("day = 'Jun14'").collect()}
+    assert got == expected
