@@ -47,7 +47,16 @@ ALL_DAYS = "all"
 MAX_DAYS = 100_000
 MAX_DAY_THREADS = 8
 
-__all__ = ["ForestRun", "EachDayResult", "flow_stats", "ingest_days", "train_on", "train_day", "train_each_day", "train_all_days"]
+__all__ = [
+    "EachDayResult",
+    "ForestRun",
+    "flow_stats",
+    "ingest_days",
+    "train_all_days",
+    "train_day",
+    "train_each_day",
+    "train_on",
+]
 
 
 @dataclass

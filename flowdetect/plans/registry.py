@@ -86,13 +86,17 @@ def q_fill_missing(spark, sf_dir):
 @query("address_prefix")
 def q_address_prefix(spark, sf_dir):
     f = _flows(spark, sf_dir)
-    return f.select("event_id", address_prefix("destination").alias("destination"), address_prefix("source").alias("source"))
+    return f.select(
+        "event_id", address_prefix("destination").alias("destination"), address_prefix("source").alias("source")
+    )
 
 
 @query("hour_text")
 def q_hour_text(spark, sf_dir):
     f = _flows(spark, sf_dir)
-    return f.select("event_id", hour_text("startDateTime").alias("startDateTime"), hour_text("stopDateTime").alias("stopDateTime"))
+    return f.select(
+        "event_id", hour_text("startDateTime").alias("startDateTime"), hour_text("stopDateTime").alias("stopDateTime")
+    )
 
 
 @query("coarsen_flows")
