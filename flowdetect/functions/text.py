@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowdetect.schema import ADDRESS_PARTS, HOUR_LENGTH, HOUR_START
 
-def address_prefix(col: str | Column, parts: int = 2) -> Column:
+
+def address_prefix(col: str | Column, parts: int = ADDRESS_PARTS) -> Column:
     """The first ``parts`` dot-separated parts of an address.
 
     Splitting on dots and dropping trailing empty parts, then re-joining the
@@ -30,4 +32,4 @@ def hour_text(col: str | Column) -> Column:
     Shorter text gives ``""`` (the ``N/A`` filler becomes empty).
     """
     c = F.col(col) if isinstance(col, str) else col
-    return F.substring(c, 12, 2)
+    return F.substring(c, HOUR_START, HOUR_LENGTH)

@@ -14,9 +14,8 @@ from pyspark.sql import types as T
 
 from flowdetect.functions.text import address_prefix, hour_text
 from flowdetect.plans.bounded import join_small
-from flowdetect.schema import DAY_COL, FLOW_COLS
+from flowdetect.schema import DAY_COL, FILLER, FLOW_COLS
 
-FILLER = "N/A"
 KEY_COLS = ("event_id", DAY_COL)
 ADDRESS_COLS = ("destination", "source")
 TIME_COLS = ("startDateTime", "stopDateTime")

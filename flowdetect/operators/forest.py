@@ -18,12 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.operators.prepare import INDEXED_FEATURES_COL, LABEL_INDEX_COL
+from flowdetect.schema import MAX_BINS_ALL_DAYS, MAX_BINS_ONE_DAY, NUM_TREES  # noqa: F401
 
 PREDICTION_COL = "prediction"
 PREDICTED_LABEL_COL = "predictedLabel"
-NUM_TREES = 32
-MAX_BINS_ONE_DAY = 10_000
-MAX_BINS_ALL_DAYS = 20_000
 
 
 def forest_pipeline(

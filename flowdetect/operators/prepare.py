@@ -24,12 +24,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowdetect.schema import LABEL_COL, feature_columns
+from flowdetect.schema import LABEL_COL, MAX_CATEGORIES, feature_columns
 
 LABEL_INDEX_COL = "indexedLabel"
 FEATURES_COL = "features"
 INDEXED_FEATURES_COL = "indexedFeatures"
-MAX_CATEGORIES = 10
 
 
 def index_col(c: str) -> str:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.schema import FLOW_COLS
+from flowdetect.schema import FLOW_COLS, TRAIN_FRACTION
 
 PART_COL = "part"
 TRAIN = "train"
@@ -41,20 +41,22 @@ def _key_expr(df: DataFrame, key: str | None, salt: str) -> Column:
     return text
 
 
-def split_part(df: DataFrame, *, key: str | None = "event_id", fraction: float = 0.7, salt: str = "") -> Column:
+def split_part(
+    df: DataFrame, *, key: str | None = "event_id", fraction: float = TRAIN_FRACTION, salt: str = ""
+) -> Column:
     bucket = F.substring(F.md5(_key_expr(df, key, salt)), 1, 8)
     return F.when(bucket < F.lit(split_threshold(fraction)), F.lit(TRAIN)).otherwise(F.lit(TEST))
 
 
 def with_split(
-    df: DataFrame, *, key: str | None = "event_id", fraction: float = 0.7, salt: str = ""
+    df: DataFrame, *, key: str | None = "event_id", fraction: float = TRAIN_FRACTION, salt: str = ""
 ) -> DataFrame:
     """``df`` with a ``part`` column, ``train`` or ``test``."""
     return df.withColumn(PART_COL, split_part(df, key=key, fraction=fraction, salt=salt))
 
 
 def split_by_key(
-    df: DataFrame, *, key: str | None = "event_id", fraction: float = 0.7, salt: str = ""
+    df: DataFrame, *, key: str | None = "event_id", fraction: float = TRAIN_FRACTION, salt: str = ""
 ) -> tuple[DataFrame, DataFrame]:
     marked = with_split(df, key=key, fraction=fraction, salt=salt)
     return (

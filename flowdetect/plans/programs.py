@@ -37,7 +37,7 @@ from flowdetect.operators.split import PART_COL, TEST, TRAIN, random_split, with
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
 from flowdetect.plans.layout import spread
-from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, feature_columns
+from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, TRAIN_FRACTION, feature_columns
 from flowdetect.session import scratch_path
 from flowdetect.sources.csv import write_prepared_csv
 from flowdetect.sources.parquet import read_flows, write_flows_by_day
@@ -196,7 +196,7 @@ def train_on(
     seed: int = 42,
     subsampling_rate: float = 1.0,
     rf_params: dict | None = None,
-    train_fraction: float = 0.7,
+    train_fraction: float = TRAIN_FRACTION,
     split_key: str | None = "event_id",
     split_salt: str = "",
     split: str = "key",

@@ -50,6 +50,16 @@ DAY_FILES = [
 ]
 DAY_LABEL_OFFSET = 10
 
+# The pipeline settings the results depend on.
+FILLER = "N/A"  # text written for a missing text field
+ADDRESS_PARTS = 2  # dotted parts kept of an address
+HOUR_START, HOUR_LENGTH = 12, 2  # 1-based position of the hour in yyyy-MM-ddTHH:mm:ss
+MAX_CATEGORIES = 10  # slots with at most this many values are re-coded as categories
+TRAIN_FRACTION = 0.7  # share of rows in the training part
+NUM_TREES = 32
+MAX_BINS_ONE_DAY = 10_000  # the original fixed bin count for one day (now the cap)
+MAX_BINS_ALL_DAYS = 20_000  # the same for all days together
+
 # Times and addresses are kept as text: the hour is cut from the text and the
 # address coarsened on its dotted parts, so no type inference may turn them
 # into timestamps.
