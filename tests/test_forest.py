@@ -292,3 +292,39 @@ def test_each_day_matches_the_one_day_program(spark):
     res = programs.train_each_day(flows, ["Jun14", "Jun15"], num_trees=3)
     got = {r["slot"]: r["importance"] for r in res.importances().where("day = 'Jun14'").collect()}
     assert got == expected
+
+
+def test_node_table_scores_like_the_forest(spark, one_day):
+    """Walk every tree of the node table with joins; the soft vote equals Spark's prediction."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import Window
+
+    nodes = one_day.nodes().drop("day")
+    n_trees = nodes.select("tree").distinct().count()
+    rows = one_day.predictions.select(
+        "event_id", vector_to_array("indexedFeatures").alias("f"), F.col("prediction").alias("spark_prediction")
+    )
+    at = rows.select(
+        "event_id", "f", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), F.lit(0).alias("node")
+    )
+    for _ in range(one_day.forest.getMaxDepth()):
+        step = at.join(nodes, ["tree", "node"])
+        value = F.element_at(F.col("f"), F.col("slot") + 1)
+        go_left = F.when(F.col("threshold").isNotNull(), value <= F.col("threshold")).otherwise(
+            F.array_contains(F.col("left_categories"), value)
+        )
+        nxt = F.when(F.col("is_split"), F.when(go_left, F.col("left_child")).otherwise(F.col("right_child"))).otherwise(
+            F.col("node")
+        )
+        at = step.select("event_id", "f", "tree", nxt.alias("node"))
+    leaves = at.join(nodes, ["tree", "node"]).where(~F.col("is_split"))
+    total = F.aggregate("class_counts", F.lit(0.0), lambda a, x: a + x)
+    votes = leaves.select("event_id", F.posexplode(F.transform("class_counts", lambda x: x / total)).alias("cls", "p"))
+    summed = votes.groupBy("event_id", "cls").agg(F.sum("p").alias("v"))
+    best = summed.withColumn(
+        "r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("v").desc(), F.col("cls")))
+    ).where("r = 1")
+    ours = best.select("event_id", F.col("cls").cast("double").alias("walked"))
+    joined = rows.join(ours, "event_id")
+    assert joined.count() == rows.count()
+    assert joined.where("walked <> spark_prediction").count() == 0
