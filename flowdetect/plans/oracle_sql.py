@@ -288,6 +288,14 @@ def oracle_sql() -> dict[str, str]:
         body=f"SELECT c.event_id, c.day, r0.idx AS indexedLabel, {idx_cols}, {vector} AS features "
         f"FROM coarse c {joins}",
     )
+    q["scored_rows_all_days"] = with_ctes(
+        flows,
+        FILLED_CTE,
+        "ranked_all AS (SELECT Tag, CAST(row_number() OVER (ORDER BY n DESC, Tag) - 1 AS DOUBLE) AS indexedLabel "
+        "FROM (SELECT Tag, count(*) AS n FROM filled GROUP BY Tag))",
+        body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_all r ON r.Tag = f.Tag "
+        f"WHERE {_split_expr()} = 'test'",
+    )
     q["test_rows_all_days"] = with_ctes(
         flows, body=f"SELECT 'all' AS day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test'"
     )

@@ -377,6 +377,12 @@ def q_test_rows_all_days(spark, sf_dir):
     return _all_days(spark, sf_dir).test_error().select(DAY_COL, "n")
 
 
+@query("scored_rows_all_days")
+def q_scored_rows_all_days(spark, sf_dir):
+    """The all-days forest scored exactly the test rows of every day, with the all-days label index."""
+    return _all_days(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
+
+
 @query("all_days_importances")
 def q_all_days_importances(spark, sf_dir):
     return _all_days(spark, sf_dir).importances()
