@@ -256,6 +256,13 @@ def oracle_sql() -> dict[str, str]:
         body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_day r "
         f"ON r.day = f.day AND r.Tag = f.Tag WHERE f.day = 'Jun14' AND {_split_expr()} = 'test'",
     )
+    q["scored_rows_by_day"] = with_ctes(
+        flows,
+        FILLED_CTE,
+        day_rank,
+        body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_day r "
+        f"ON r.day = f.day AND r.Tag = f.Tag WHERE {_split_expr()} = 'test'",
+    )
     q["test_rows_by_day"] = with_ctes(
         flows, body=f"SELECT day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test' GROUP BY day"
     )

@@ -335,6 +335,12 @@ def q_test_rows_by_day(spark, sf_dir):
     return _each_day(spark, sf_dir).test_error().select(DAY_COL, "n")
 
 
+@query("scored_rows_by_day")
+def q_scored_rows_by_day(spark, sf_dir):
+    """Each day's forest scored exactly that day's test rows, with that day's label index."""
+    return _each_day(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
+
+
 @query("importances")
 def q_importances(spark, sf_dir):
     return _one_day(spark, sf_dir).importances()
