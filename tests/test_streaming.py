@@ -20,6 +20,14 @@ def test_stream_counts_and_scores(spark, scratch):
     got = sorted(map(tuple, spark.sql("SELECT day, Tag, count FROM tagc").collect()))
     assert got == sorted(map(tuple, tag_counts(flows).collect()))
 
+    from flowdetect.operators.stats import flow_count
+
+    q1 = flow_count(stream).writeStream.outputMode("complete").format("memory").queryName("flowc").start()
+    q1.processAllAvailable()
+    q1.stop()
+    got = sorted(map(tuple, spark.sql("SELECT day, flows FROM flowc").collect()))
+    assert got == sorted(map(tuple, flow_count(flows).collect()))
+
     run = programs.train_day(flows, "Jun12", num_trees=2)
     try:
         s = score_stream(read_flow_stream(spark, path, schema), run.preparation, run.model)
