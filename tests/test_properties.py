@@ -68,3 +68,21 @@ def test_flow_stats_matches_counting(spark, rows):
         gc, gf, gs = got[k]
         assert (gc, gf) == (c, f)
         assert (gs is None and s is None) or abs(gs - s) < 1e-12
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.floats(min_value=0.05, max_value=0.95))
+def test_split_share_follows_the_fraction(spark, fraction):
+    import hashlib
+
+    from flowdetect.operators.split import PART_COL, split_threshold, with_split
+
+    df = spark.range(0, 4000).withColumnRenamed("id", "event_id")
+    got = {r["event_id"]: r[PART_COL] for r in with_split(df, fraction=fraction).collect()}
+    threshold = split_threshold(fraction)
+    expected = {
+        k: "train" if hashlib.md5(str(k).encode()).hexdigest()[:8] < threshold else "test" for k in range(4000)
+    }
+    assert got == expected
+    share = sum(v == "train" for v in got.values()) / len(got)
+    assert abs(share - fraction) < 0.04
