@@ -334,6 +334,10 @@ class EachDayResult:
         """(day, n, accuracy, test_error) per day (E1 for every day)."""
         return accuracy(self.scored(), LABEL_INDEX_COL, fo.PREDICTION_COL, by=(DAY_COL,))
 
+    def confusion(self) -> DataFrame:
+        """(day, Tag, predictedLabel, n) per day."""
+        return confusion(self.scored(), LABEL_COL, fo.PREDICTED_LABEL_COL, by=(DAY_COL,))
+
     def importances(self) -> DataFrame:
         """(day, slot, feature, importance, rank) per day (M6)."""
         return fo.importances_from_nodes(self.nodes(), self.feature_names, by=(DAY_COL,))

@@ -131,6 +131,8 @@ def test_each_day_and_all_days(spark, scratch):
     assert os.path.isdir(local_path(f"{res.path}/pipelines/day=Jun12/preparation"))
     errors = {r["day"]: r for r in res.test_error().collect()}
     assert set(errors) == {"Jun12", "Jun13"}
+    conf = res.confusion().collect()
+    assert sum(r["n"] for r in conf if r["day"] == "Jun12") == errors["Jun12"]["n"]
     by_day = res.importances().groupBy("day").agg(F.sum("importance").alias("s")).collect()
     assert all(math.isclose(r["s"], 1.0, abs_tol=1e-9) for r in by_day)
     assert res.importances_wide().count() == 2
