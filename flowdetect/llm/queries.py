@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding
+from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding
 from flowdetect.llm.common import read_table
 
 #: Vocabulary files, by the name that the tokenizer package gives them.
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
         return file.read()
 
 
+def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents (shingles of four words, similarity 0.8)."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and the shard after growth of every document."""
     placed = sharding.assign_shards(read_table(spark, sf_dir, "documents"))
@@ -43,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the rows that are not held out."""
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -55,10 +65,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_superminhash_dedup": op1_superminhash_dedup,
         "op2_jump_sharding": op2_jump_sharding,
         "op3_pack_sequences": op3_pack_sequences,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op7_html_main_text": op7_html_main_text,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
