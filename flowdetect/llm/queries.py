@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding
+from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 from flowdetect.llm.common import read_table
 
 #: Vocabulary files, by the name that the tokenizer package gives them.
@@ -63,6 +63,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), vocabulary(BPE_VOCABULARY))
 
 
+def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in strings of 100 bytes that also start earlier."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_superminhash_dedup": op1_superminhash_dedup,
@@ -73,4 +78,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_main_text": op7_html_main_text,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_radix_suffix_dedup": op10_radix_suffix_dedup,
     }
