@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality classifier, exact de-duplication, packing.
+"""Corpus pipeline: quality classifier, exact, near-duplicate and passage de-duplication, packing.
 
 ``STAGES`` lists the stages in order; each takes (spark, docs, sf_dir), works
 on all rows that the stage before it kept, and returns a DataFrame that is
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import exact_dedup, packing, quality_classifier
+from flowdetect.llm import exact_dedup, minhash, packing, quality_classifier, substring_dedup
 from flowdetect.llm.common import read_table, stored
 from flowdetect.llm.queries import PACKING_VOCABULARY, vocabulary
 
@@ -29,6 +29,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_rows(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one document of each near-duplicate group stays (shingles of five words, similarity 0.8)."""
+    return minhash.keep_one_of_each(docs, size=5)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: later copies of repeated passages are cut out of the texts."""
+    return substring_dedup.remove_passages(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the place of every piece in sequences of 2048 tokens."""
     return packing.pack(packing.pieces(docs, vocabulary(PACKING_VOCABULARY)))
@@ -37,6 +47,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality", drop_low_quality),
     ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("passages", cut_passages),
     ("packing", pack_sequences),
 ]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from flowdetect.llm.common import read_table
 
 #: Vocabulary files, by the name that the tokenizer package gives them.
@@ -48,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that repeats an earlier one, exactly or nearly, with its place in both documents."""
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pack_sequences": op3_pack_sequences,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_chained_passages": op6_chained_passages,
         "op7_html_main_text": op7_html_main_text,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe_round_trip": op9_bpe_round_trip,
