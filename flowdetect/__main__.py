@@ -28,38 +28,45 @@ from flowdetect.sources.xml import read_flow_days
 def _flows(spark: SparkSession, args) -> DataFrame:
     if args.parquet:
         return read_flows(spark, args.path)
-    return read_flow_days(spark, args.path, record_per_line=args.record_per_line)
+    return read_flow_days(spark, args.path)
 
 
 def _forest_options(args) -> dict:
     out = {"num_trees": args.trees, "seed": args.seed, "subsampling_rate": args.subsampling_rate}
     if args.max_bins:
         out["max_bins"] = int(args.max_bins) if args.max_bins != "auto" else "auto"
+    if args.partitions:
+        out["partitions"] = args.partitions
     if args.max_categories:
         out["max_categories"] = args.max_categories
     return out
 
 
-def _show(title: str, df: DataFrame, n: int = 50) -> None:
-    print(title)
-    df.show(n, truncate=False)
+def _show(title: str, df: DataFrame, out: str | None = None, name: str = "", n: int = 1_000) -> None:
+    """Print a result, all of it up to ``n`` rows; with ``out``, write it whole as Parquet to ``<out>/<name>``."""
+    if out:
+        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
+    rows = df.limit(n + 1).count()
+    print(title if rows <= n else f"{title} (first {n} rows; --out writes all)")
+    df.show(min(rows, n), truncate=False)
 
 
 def parse(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="flowdetect")
     p.add_argument("command", choices=["stats", "day", "each-day", "all-days", "ingest"])
     p.add_argument("path", help="folder of the day XML files (or a Parquet table with --parquet)")
+    p.add_argument("--nodes", action="store_true", help="day, all-days: also show the forest's nodes (with --out always written)")
+    p.add_argument("--partitions", type=int, help="partitions of the forest's input")
     p.add_argument("--parquet", action="store_true", help="path is a Parquet table partitioned by day")
-    p.add_argument("--record-per-line", action="store_true", help="XML files hold one record per line")
     p.add_argument("--day", default="Jun14", help="day of the one-day program")
-    p.add_argument("--out", help="output folder (each-day results, ingest table)")
+    p.add_argument("--out", help="output folder: the ingest table, the each-day results, or every result of the command as Parquet")
     p.add_argument("--csv", help="write the prepared table as CSV under this folder")
     p.add_argument("--save-models", action="store_true", help="each-day: also save the fitted pipelines")
     p.add_argument("--days", help="each-day: comma-separated days (default: every day in the data)")
     p.add_argument("--parallelism", type=int, help="each-day: days trained at once (default: all, at most 8)")
     p.add_argument("--trees", type=int, default=32)
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--max-bins", help='"auto" (default) or a number, e.g. 10000 as originally')
+    p.add_argument("--max-bins", help='a number (default 10000, all-days 20000) or "auto" (faster, coarser)')
     p.add_argument("--max-categories", type=int, help="fold rarer text values beyond this many")
     p.add_argument("--subsampling-rate", type=float, default=1.0, help="share of training rows per tree")
     return p.parse_args(argv)
@@ -74,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if args.command == "ingest":
         if not args.out:
             raise SystemExit("ingest needs --out")
-        table = programs.ingest_days(spark, args.path, args.out, record_per_line=args.record_per_line)
+        table = programs.ingest_days(spark, args.path, args.out)
         out["flows"] = table
         _show("Flows per day and tag:", flow_stats(table).orderBy("day", "Tag"))
         return out
@@ -82,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     flows = _flows(spark, args)
     if args.command == "stats":
         out["stats"] = flow_stats(flows)
-        _show("Flows per day and tag:", out["stats"].orderBy("day", "Tag"))
+        _show("Flows per day and tag:", out["stats"].orderBy("day", "Tag"), args.out, "stats")
     elif args.command in ("day", "all-days"):
         opts = _forest_options(args)
         if args.command == "day":
@@ -91,8 +98,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             run = programs.train_all_days(flows, csv_path=args.csv, **opts)
         out["run"] = run
         _show("Sample of scored test flows:", run.sample(5))
-        _show("Test error:", run.test_error())
-        _show("Feature importances:", run.importances().orderBy("rank"))
+        _show("Test error:", run.test_error(), args.out, "test_error")
+        _show("Feature importances:", run.importances().orderBy("rank"), args.out, "importances")
+        if args.out:
+            run.scored().write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/scored")
+        if args.nodes or args.out:
+            _show("Forest nodes:", run.nodes().orderBy("tree", "node"), args.out, "nodes")
     elif args.command == "each-day":
         res = programs.train_each_day(
             flows,

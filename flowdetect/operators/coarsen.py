@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowdetect.functions.text import address_prefix, hour_text
-from flowdetect.plans.bounded import join_small
 from flowdetect.schema import DAY_COL, FILLER, FLOW_COLS
+from flowdetect.session import scratch_path
 
 KEY_COLS = ("event_id", DAY_COL)
 ADDRESS_COLS = ("destination", "source")
@@ -60,14 +60,13 @@ def min_max_scale(
     col: str = "totalDestinationBytes",
     by: Sequence[str] = (DAY_COL,),
     out_col: str | None = None,
-    max_groups: int = 100_000,
 ) -> DataFrame:
     """``(v - min) / (max - min)`` per group, scaled to 0..1.
 
-    The per-group bounds are a partial aggregation (one small row per group);
-    they reach the rows through a broadcast join when their row count is
-    within ``max_groups`` (checked), else a shuffle join. The big side is never
-    shuffled on the few group keys. A group with max = min gives null.
+    The per-group bounds are a partial aggregation, written as a small table
+    (one row per group) and joined null-safely, so rows of a null group are
+    scaled too. Spark broadcasts the table when its measured size allows and
+    shuffles otherwise. A group with max = min, or without any number, gives null.
     """
     out_col = out_col or f"{col}_scaled"
     keys = list(by)
@@ -78,6 +77,10 @@ def min_max_scale(
         lo, hi = F.lit(row["_lo"]), F.lit(row["_hi"])
         scaled = (F.col(col) - lo) / F.nullif(hi - lo, F.lit(0))
         return df.select(*df.columns, scaled.cast("double").alias(out_col))
-    joined = join_small(df, bounds, keys, max_rows=max_groups)
+    path = scratch_path(df.sparkSession, "bounds")
+    bounds.select(*[F.col(k).alias(f"_by_{k}") for k in keys], "_lo", "_hi").write.parquet(path)
+    bounds = df.sparkSession.read.parquet(path)
+    same = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
+    joined = df.join(bounds, same, "inner")
     scaled = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
     return joined.select(*df.columns, scaled.cast("double").alias(out_col))

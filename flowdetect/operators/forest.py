@@ -3,8 +3,8 @@
 Training is Spark ML's distributed forest: per tree level, one pass that
 aggregates split statistics per (node, feature, bin) across tasks. The fitted
 forest is written with Spark's model writer to the shared scratch folder; its
-``data`` table (one row per node) is then read back as a DataFrame, and the
-feature importances are a grouped aggregation over it, not a driver loop.
+``data`` table (one row per node) is then read back as a DataFrame. The
+feature importances are the model's own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.operators.prepare import INDEXED_FEATURES_COL, LABEL_INDEX_COL
@@ -33,6 +33,7 @@ def forest_pipeline(
     seed: int = 42,
     subsampling_rate: float = 1.0,
     feature_subset: str = "auto",
+    bootstrap: bool = True,
     rf_params: dict | None = None,
 ) -> Pipeline:
     """Forest on the indexed label and re-coded features (M1), decoded by the fit's labels (M4).
@@ -52,6 +53,7 @@ def forest_pipeline(
         seed=seed,
         subsamplingRate=subsampling_rate,
         featureSubsetStrategy=feature_subset,
+        bootstrap=bootstrap,
     )
     if rf_params:
         rf.setParams(**rf_params)
@@ -102,67 +104,9 @@ def forest_nodes(spark, path: str, feature_names: Sequence[str]) -> DataFrame:
     )
 
 
-def _total(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def importances_from_nodes(nodes: DataFrame, feature_names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Feature importances (M5) from the node table, one row per feature slot.
-
-    Per tree, each split adds gain x (weighted rows at the node) to its
-    feature; a tree's sums are normalised to 1, summed over trees, and
-    normalised again. Trees without a split add nothing; with no split at all
-    every importance is 0. Ranked 1.. by importance, ties by slot.
-
-    Grouped aggregations only: a tree's and a scope's entries are gathered as
-    arrays of at most one entry per feature, normalised and ranked inside the
-    array (sorted), so no window moves a scope into one partition and no rows
-    are paired.
-    """
-    keys = list(by)
-    n = len(feature_names)
-    per_tree = (
-        nodes.where(F.col("is_split"))
-        .groupBy(*keys, "tree", "slot")
-        .agg(F.sum(F.col("gain") * _total(F.col("class_counts"))).alias("w"))
-    )
-    trees = per_tree.groupBy(*keys, "tree").agg(F.collect_list(F.struct("slot", "w")).alias("items"))
-    tree_total = F.aggregate(F.col("items"), F.lit(0.0), lambda acc, x: acc + x["w"])
-    normed = trees.select(
-        *keys,
-        F.explode(
-            F.transform(
-                F.col("items"),
-                lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / F.nullif(tree_total, F.lit(0.0))).alias("w")),
-            )
-        ).alias("e"),
-    ).select(*keys, F.col("e.slot").alias("slot"), F.col("e.w").alias("w"))
-    summed = normed.groupBy(*keys, "slot").agg(F.sum("w").alias("w"))
-    per_scope = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-    if keys:
-        # every scope of the node table, also one whose trees never split
-        per_scope = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(per_scope, keys, "left").drop("_n")
-
-    entries = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.struct(i.alias("slot"), F.coalesce(F.col("m")[i], F.lit(0.0)).alias("w")),
-    )
-    with_entries = per_scope.select(*keys, entries.alias("entries"))
-    grand = F.aggregate(F.col("entries"), F.lit(0.0), lambda acc, x: acc + x["w"])
-    names = F.array(*[F.lit(x) for x in feature_names])
-    # sort key first: importance descending, then slot
-    keyed = F.transform(
-        F.col("entries"),
-        lambda x: F.struct(
-            (-F.coalesce(x["w"] / F.nullif(grand, F.lit(0.0)), F.lit(0.0))).alias("neg"),
-            x["slot"].alias("slot"),
-        ),
-    )
-    ranked = with_entries.select(*keys, F.posexplode(F.array_sort(keyed)).alias("pos", "e"))
-    return ranked.select(
-        *keys,
-        F.col("e.slot").alias("slot"),
-        F.element_at(names, F.col("e.slot") + 1).alias("feature"),
-        (F.lit(0.0) - F.col("e.neg")).alias("importance"),
-        (F.col("pos") + 1).alias("rank"),
-    )
+def importances_table(spark, model: RandomForestClassificationModel, feature_names: Sequence[str], scope: str) -> DataFrame:
+    """(day, slot, feature, importance, rank) of a fitted forest (M5): one row per feature, ties by slot."""
+    values = model.featureImportances.toArray().tolist()
+    order = sorted(range(len(feature_names)), key=lambda i: (-values[i], i))
+    rows = [(scope, i, feature_names[i], float(values[i]), rank) for rank, i in enumerate(order, 1)]
+    return spark.createDataFrame(rows, "day string, slot int, feature string, importance double, rank int")

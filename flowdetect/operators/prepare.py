@@ -6,7 +6,8 @@ count; only the distinct values per column reach the driver, which the model
 must hold anyway). ``VectorAssembler`` builds the 15-slot vector in the same
 projection, and ``VectorIndexer`` re-codes slots with at most ``maxCategories``
 distinct values in one more pass, sending at most ``maxCategories + 1`` values
-per slot per task to the driver.
+per slot per task through a tree of merges. ``check_arity`` counts the
+distinct values per column first, so no unbounded list is gathered.
 
 The label is never a feature. Text features keep their nominal attribute
 (arity = number of values) through the vector indexer, so the forest's
@@ -42,30 +43,35 @@ def preparation_pipeline(
     label_col: str = LABEL_COL,
     max_categories: int = MAX_CATEGORIES,
     handle_invalid: str = "error",
+    keep_unseen: bool = False,
 ) -> Pipeline:
     """Label index (F1), feature indices (F2), assembly (F3), small-domain re-coding.
 
     Index order is most frequent first, ties in ascending text order.
     ``handle_invalid``: ``error`` (default) raises on unseen text or null
-    numbers; ``skip`` drops such rows; ``keep`` gives them an extra index
-    (needed when the preparation is fitted on training rows only).
+    numbers; ``skip`` drops such rows. ``keep_unseen`` gives text and small-domain
+    values that the fit did not see an extra index instead (needed when the
+    preparation is fitted on training rows only); null numbers still follow
+    ``handle_invalid``.
     """
+    if handle_invalid not in ("error", "skip"):
+        raise ValueError("handle_invalid must be 'error' or 'skip'")
     indexer = StringIndexer(
         inputCols=[label_col, *text_cols],
         outputCols=[LABEL_INDEX_COL, *[index_col(c) for c in text_cols]],
         stringOrderType="frequencyDesc",
-        handleInvalid=handle_invalid,
+        handleInvalid="keep" if keep_unseen else handle_invalid,
     )
     assembler = VectorAssembler(
         inputCols=[*[index_col(c) for c in text_cols], *long_cols],
         outputCol=FEATURES_COL,
-        handleInvalid="error" if handle_invalid == "error" else "skip",
+        handleInvalid=handle_invalid,
     )
     vindexer = VectorIndexer(
         inputCol=FEATURES_COL,
         outputCol=INDEXED_FEATURES_COL,
         maxCategories=max_categories,
-        handleInvalid="error" if handle_invalid == "error" else "keep",
+        handleInvalid="keep" if keep_unseen else handle_invalid,
     )
     return Pipeline(stages=[indexer, assembler, vindexer])
 
@@ -114,25 +120,6 @@ class Preparation:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
-    def assembled_from_indexed(self, indexed: Column) -> Column:
-        """The assembled ``features`` values (as an array) back from ``indexedFeatures``.
-
-        Only slots the vector indexer re-coded differ, each through a map of
-        at most ``maxCategories`` entries; the rest pass through.
-        """
-        arr = vector_to_array(indexed)
-        elems = []
-        for slot in range(len(self.feature_names)):
-            codes = self.vector_indexer.categoryMaps.get(slot)
-            if codes:
-                pairs = []
-                for value, code in sorted(codes.items(), key=lambda kv: kv[1]):
-                    pairs += [F.lit(float(code)), F.lit(float(value))]
-                elems.append(F.element_at(F.create_map(*pairs), arr[slot]))
-            else:
-                elems.append(arr[slot])
-        return F.array(*elems)
-
 
 def fit_preparation(
     coarse: DataFrame,
@@ -140,15 +127,35 @@ def fit_preparation(
     label_col: str = LABEL_COL,
     max_categories: int = MAX_CATEGORIES,
     handle_invalid: str = "error",
+    keep_unseen: bool = False,
 ) -> Preparation:
     """Fit F1-F4 on ``coarse`` (F5). Features are chosen by type."""
     text_cols, long_cols = feature_columns(coarse.schema, label_col)
+    check_arity(coarse, [label_col, *text_cols])
     pipeline = preparation_pipeline(
-        text_cols, long_cols, label_col=label_col, max_categories=max_categories, handle_invalid=handle_invalid
+        text_cols,
+        long_cols,
+        label_col=label_col,
+        max_categories=max_categories,
+        handle_invalid=handle_invalid,
+        keep_unseen=keep_unseen,
     )
     return Preparation(pipeline.fit(coarse), text_cols, long_cols, label_col)
 
 
+#: Values of one text column that the fitted indexer, which holds them all on the driver, may have.
+MAX_TEXT_VALUES = 5_000_000
+
+
+def check_arity(df: DataFrame, cols: Sequence[str], limit: int = MAX_TEXT_VALUES) -> None:
+    """Raise when a text column has more values than an indexer should hold (one distributed count, rows stay put)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]))
+    counts = df.select(pairs.alias("p")).groupBy("p.col", "p.value").agg(F.lit(1).alias("_")).groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    for row in counts.collect():  # one row per column
+        if row["n"] > limit:
+            raise ValueError(f"column {row['col']!r} has {row['n']} values, more than {limit}; fold rare values (max_categories)")
+
+
 OTHER_VALUE = "__other__"
 
 

@@ -1,18 +1,8 @@
-"""Joins against a side whose size is checked before it is broadcast.
-
-A per-group statistic (one row per day, say) is small, but "small" is a
-property of the data, not of the plan. The side is computed once, its row
-count checked against a limit, and only then broadcast; past the limit the
-join falls back to a shuffle join, where adaptive execution splits skewed
-keys. Either way the large side is never shuffled onto a handful of keys.
-"""
+"""Driver-side reads of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row] | None:
@@ -22,26 +12,3 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list[Row] | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    *,
-    max_rows: int = 100_000,
-    how: str = "inner",
-) -> DataFrame:
-    """Join ``big`` with ``small`` on ``keys``, broadcasting ``small`` if it is bounded."""
-    rows = collect_bounded(small, max_rows)
-    if rows is None:
-        return big.join(small, list(keys), how)
-    return big.join(F.broadcast(local_table(big.sparkSession, rows, small.schema)), list(keys), how)
-
-
-def local_table(spark, rows: list[Row], schema) -> DataFrame:
-    """A bounded set of collected rows as an in-plan local relation (Arrow path)."""
-    import pandas as pd
-
-    pdf = pd.DataFrame.from_records([tuple(r) for r in rows], columns=schema.names)
-    return spark.createDataFrame(pdf, schema=schema)

@@ -1,20 +1,12 @@
-"""Partition layout helpers.
-
-A large input already arrives in many file splits; a small one (a single
-Parquet row group) arrives as one partition, and every stage after it -- each
-level of the forest -- would run on one core. Such an input is spread over a
-fixed number of partitions by hashing its row key and sorted by the key
-within each partition: the placement and the order of rows are then the same
-on every run, every cluster size and every recomputation, which keeps the
-forest's per-partition bootstrap reproducible for a given seed. Inputs with
-enough partitions are left as they are, so at cluster scale this adds no
-shuffle.
-
-The opposite bound matters for the forest: every tree level, every input
-partition sends one split histogram per node being grown, so the level's
-shuffle grows with the partition count, not with the rows. An input with
-more than ``max_partitions`` partitions is coalesced (adjacent partitions
-merged, no shuffle, same grouping on every run) to that many.
+"""Partition layout of the forest's input.
+
+Spark's forest draws its bootstrap per partition in row order, and every tree
+level sends one split histogram per partition and node. Rows are therefore
+always placed by a hash of their key into a number of partitions that the
+caller names, and sorted by the key inside each: the same rows, seed and
+number give the same forest from any input layout, on any cluster, after any
+recomputation. The number is the caller's choice, for it sets both the
+parallelism of a tree level and the size of its shuffle.
 """
 
 from __future__ import annotations
@@ -24,33 +16,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Partitions of the forest's input unless the caller says otherwise; a large cluster passes more.
+FOREST_PARTITIONS = 16
 
-MIN_PARTITIONS = 16
-PARTITIONS_PER_CORE = 4
 
+def place_by_key(df: DataFrame, keys: Sequence[str] = ("event_id",), partitions: int = FOREST_PARTITIONS) -> DataFrame:
+    """``df`` in ``partitions`` hash partitions, each sorted, by the key columns that it has.
 
-def spread(
-    df: DataFrame,
-    keys: Sequence[str] = ("event_id",),
-    min_partitions: int = MIN_PARTITIONS,
-    max_partitions: int | None = None,
-) -> DataFrame:
-    """``df`` with between ``min_partitions`` and ``max_partitions`` partitions.
-
-    ``max_partitions`` defaults to 4 per core of the session (at least
-    ``min_partitions``).
+    Without a key, a hash of the whole row stands in for one (identical rows
+    may trade places, which changes nothing downstream).
     """
-    n = df.rdd.getNumPartitions()
-    upper = max_partitions or max(min_partitions, PARTITIONS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-    if n > upper:
-        return df.coalesce(upper)
-    if n >= min_partitions:
-        return df
     present = [k for k in keys if k in df.columns]
     if present:
-        return df.repartition(min_partitions, *present).sortWithinPartitions(*present)
-    # no key: a hash of the whole row stands in for one (identical rows may
-    # trade places, which changes nothing downstream)
+        return df.repartition(partitions, *present).sortWithinPartitions(*present)
     h = "_row_hash"
     hashed = df.withColumn(h, F.xxhash64(*[F.col(c) for c in df.columns]))
-    return hashed.repartition(min_partitions, h).sortWithinPartitions(h).drop(h)
+    return hashed.repartition(partitions, h).sortWithinPartitions(h).drop(h)

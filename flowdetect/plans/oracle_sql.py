@@ -7,7 +7,7 @@ Column names equal the Spark query's, so results compare column by column.
 
 from __future__ import annotations
 
-from flowdetect.schema import FLOW_COLS
+from flowdetect.schema import FLOW_COLS, LONG_COLS
 
 FLOWS_CTE = """flows AS (
   SELECT event_id,
@@ -36,18 +36,7 @@ FLOWS_CTE = """flows AS (
   FROM events
 )"""
 
-TEXT_COLS = [
-    "Tag",
-    "appName",
-    "destination",
-    "destinationTCPFlagsDescription",
-    "direction",
-    "protocolName",
-    "source",
-    "sourceTCPFlagsDescription",
-    "startDateTime",
-    "stopDateTime",
-]
+TEXT_COLS = [c for c in FLOW_COLS if c not in LONG_COLS]
 
 
 def _prefix(expr: str) -> str:
@@ -152,6 +141,51 @@ def _split_expr(key: str = "event_id", threshold: str = "b3333333") -> str:
     return f"CASE WHEN substring(md5(CAST({key} AS VARCHAR)), 1, 8) < '{threshold}' THEN 'train' ELSE 'test' END"
 
 
+def _stump_ctes() -> list[str]:
+    """The one-split tree of each scope (each day, and all days): best split, leaves, scored test rows.
+
+    Values of a nominal feature are ordered by their count of the second label
+    (ties by index), numbers by value; the split with the largest Gini gain wins, the lowest
+    slot on a tie. Labels and indices count all rows of the scope, gains only training rows.
+    """
+    cols = ", ".join(FLOW_COLS)
+    tag = "(SELECT scope, Tag, count(*) AS n FROM scoped GROUP BY scope, Tag)"
+    text_values = "\n    UNION ALL ".join(f"SELECT scope, event_id, {i} AS slot, {c} AS text, NULL::BIGINT AS num FROM scoped" for i, c in enumerate(TEXT_FEATURES))
+    long_values = "\n    UNION ALL ".join(
+        f"SELECT scope, event_id, {len(TEXT_FEATURES) + i} AS slot, NULL AS text, {c} AS num FROM scoped" for i, c in enumerate(LONG_FEATURES)
+    )
+    gini = lambda a, n: f"(1 - power(({a})::DOUBLE / ({n}), 2) - power((({n}) - ({a}))::DOUBLE / ({n}), 2))"
+    return [
+        f"scoped AS (SELECT day AS scope, event_id, {cols} FROM coarse UNION ALL SELECT 'all' AS scope, event_id, {cols} FROM coarse)",
+        f"labels AS (SELECT scope, Tag, row_number() OVER (PARTITION BY scope ORDER BY n DESC, Tag) - 1 AS y FROM {tag})",
+        f"sides AS (SELECT c.scope, c.event_id, c.Tag, l.y, {_split_expr('c.event_id')} AS part FROM scoped c JOIN labels l USING (scope, Tag))",
+        f"vals AS (\n    {text_values}\n    UNION ALL {long_values})",
+        "domain AS (SELECT scope, slot, text, num, count(*) AS n_all FROM vals GROUP BY scope, slot, text, num)",
+        f"""kinds AS (SELECT scope, slot, text, num, (slot < {len(TEXT_FEATURES)} OR count(*) OVER (PARTITION BY scope, slot) <= 10) AS nominal,
+    row_number() OVER (PARTITION BY scope, slot ORDER BY CASE WHEN text IS NULL THEN 0 ELSE -n_all END, text, num) AS idx FROM domain)""",
+        """counts AS (SELECT v.scope, v.slot, v.text, v.num, count(*) AS n, sum(s.y)::BIGINT AS n1
+    FROM vals v JOIN sides s USING (scope, event_id) WHERE s.part = 'train' GROUP BY v.scope, v.slot, v.text, v.num)""",
+        """placed AS (SELECT c.*, k.nominal, row_number() OVER (PARTITION BY c.scope, c.slot
+    ORDER BY CASE WHEN k.nominal THEN c.n1 ELSE c.num END, k.idx) AS pos
+    FROM counts c JOIN kinds k ON k.scope = c.scope AND k.slot = c.slot AND k.text IS NOT DISTINCT FROM c.text AND k.num IS NOT DISTINCT FROM c.num)""",
+        """sums AS (SELECT *, sum(n) OVER w AS nl, sum(n1) OVER w AS al, sum(n) OVER t AS nt, sum(n1) OVER t AS atot, lead(num) OVER o AS next_num
+    FROM placed WINDOW o AS (PARTITION BY scope, slot ORDER BY pos), w AS (PARTITION BY scope, slot ORDER BY pos ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY scope, slot))""",
+        f"""gains AS (SELECT *, {gini('atot', 'nt')} - nl::DOUBLE / nt * {gini('al', 'nl')} - (nt - nl)::DOUBLE / nt * {gini('(atot - al)', '(nt - nl)')} AS gain
+    FROM sums WHERE nl < nt)""",
+        """best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY scope ORDER BY round(gain, 12) DESC, slot, pos) = 1)""",
+        """goes_left AS (SELECT p.scope, p.slot, p.text, p.num FROM placed p JOIN best b ON b.scope = p.scope AND b.slot = p.slot AND b.nominal AND p.pos <= b.pos)""",
+        """leaves AS (SELECT s.scope, s.event_id, s.Tag, s.y, s.part,
+    CASE WHEN b.nominal THEN g.slot IS NOT NULL ELSE v.num <= (b.num + b.next_num) / 2.0 END AS lft
+    FROM sides s JOIN best b USING (scope) JOIN vals v ON v.scope = s.scope AND v.event_id = s.event_id AND v.slot = b.slot
+    LEFT JOIN goes_left g ON g.scope = v.scope AND g.text IS NOT DISTINCT FROM v.text AND g.num IS NOT DISTINCT FROM v.num)""",
+        """stump(scope, node, n0, n1) AS (
+    SELECT scope, 0, count(*) FILTER (y = 0), count(*) FILTER (y = 1) FROM leaves WHERE part = 'train' GROUP BY scope
+    UNION ALL SELECT scope, CASE WHEN lft THEN 1 ELSE 2 END, count(*) FILTER (y = 0), count(*) FILTER (y = 1) FROM leaves WHERE part = 'train' GROUP BY ALL)""",
+        """predicted AS (SELECT l.scope, l.event_id, l.Tag, CAST(l.y AS DOUBLE) AS indexedLabel, CASE WHEN t.n1 > t.n0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+    FROM leaves l JOIN stump t ON t.scope = l.scope AND t.node = CASE WHEN l.lft THEN 1 ELSE 2 END WHERE l.part = 'test')""",
+    ]
+
+
 def oracle_sql() -> dict[str, str]:
     flows = FLOWS_CTE
     q: dict[str, str] = {}
@@ -191,7 +225,6 @@ def oracle_sql() -> dict[str, str]:
     )
     q["union_days"] = q["flow_rows"]
     q["xml_days"] = with_ctes(flows, body=f"SELECT event_id, day, {cols} FROM flows")
-    q["xml_roundtrip"] = q["xml_days"]
     q["label_index"] = with_ctes(
         flows,
         COARSE_CTE,
@@ -249,21 +282,21 @@ def oracle_sql() -> dict[str, str]:
         "ranked_day AS (SELECT day, Tag, CAST(row_number() OVER (PARTITION BY day ORDER BY n DESC, Tag) - 1 AS DOUBLE) "
         "AS indexedLabel FROM (SELECT day, Tag, count(*) AS n FROM filled GROUP BY day, Tag))"
     )
-    q["scored_rows"] = with_ctes(
+    q["split_and_label_one_day"] = with_ctes(
         flows,
         FILLED_CTE,
         day_rank,
         body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_day r "
         f"ON r.day = f.day AND r.Tag = f.Tag WHERE f.day = 'Jun14' AND {_split_expr()} = 'test'",
     )
-    q["scored_rows_by_day"] = with_ctes(
+    q["split_and_label_by_day"] = with_ctes(
         flows,
         FILLED_CTE,
         day_rank,
         body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_day r "
         f"ON r.day = f.day AND r.Tag = f.Tag WHERE {_split_expr()} = 'test'",
     )
-    q["test_rows_by_day"] = with_ctes(
+    q["split_count_by_day"] = with_ctes(
         flows, body=f"SELECT day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test' GROUP BY day"
     )
     q["feature_index_by_day"] = with_ctes(
@@ -295,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
         body=f"SELECT c.event_id, c.day, r0.idx AS indexedLabel, {idx_cols}, {vector} AS features "
         f"FROM coarse c {joins}",
     )
-    q["scored_rows_all_days"] = with_ctes(
+    q["split_and_label_all_days"] = with_ctes(
         flows,
         FILLED_CTE,
         "ranked_all AS (SELECT Tag, CAST(row_number() OVER (ORDER BY n DESC, Tag) - 1 AS DOUBLE) AS indexedLabel "
@@ -303,8 +336,49 @@ def oracle_sql() -> dict[str, str]:
         body=f"SELECT f.event_id, f.day, f.Tag, r.indexedLabel FROM filled f JOIN ranked_all r ON r.Tag = f.Tag "
         f"WHERE {_split_expr()} = 'test'",
     )
-    q["test_rows_all_days"] = with_ctes(
+    q["split_count_all_days"] = with_ctes(
         flows, body=f"SELECT 'all' AS day, count(*) AS n FROM flows WHERE {_split_expr()} = 'test'"
     )
+    stump = [flows, COARSE_CTE, *_stump_ctes(), f"names(slot, feature) AS (VALUES {feature_names})"]
+    q["stump_nodes"] = with_ctes(
+        *stump,
+        body="SELECT t.scope AS day, t.node, CASE WHEN t.node = 0 THEN b.slot END AS slot, CASE WHEN t.node = 0 THEN n.feature END AS feature, "
+        "CASE WHEN t.node = 0 THEN round(b.gain, 9) END AS gain, CASE WHEN t.n1 > t.n0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction, "
+        "t.n0 AS n_first_label, t.n1 AS n_second_label FROM stump t JOIN best b USING (scope) JOIN names n ON n.slot = b.slot",
+    )
+    decoded = "JOIN labels l ON l.scope = p.scope AND l.y = p.prediction"
+    q["stump_scored"] = with_ctes(
+        *stump,
+        body=f"SELECT p.event_id, p.scope AS day, p.Tag, p.indexedLabel, p.prediction, l.Tag AS predictedLabel FROM predicted p {decoded} WHERE p.scope <> 'all'",
+    )
+    q["stump_scored_all_days"] = with_ctes(
+        *stump,
+        body=f"SELECT p.event_id, f.day, p.Tag, p.indexedLabel, p.prediction, l.Tag AS predictedLabel FROM predicted p {decoded} "
+        "JOIN flows f ON f.event_id = p.event_id WHERE p.scope = 'all'",
+    )
+    hit = "avg(CASE WHEN prediction = indexedLabel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    q["stump_test_error"] = with_ctes(
+        *stump, body=f"SELECT scope AS day, count(*) AS n, round({hit}, 9) AS accuracy, round(1 - {hit}, 9) AS test_error FROM predicted GROUP BY scope"
+    )
+    q["stump_importances"] = with_ctes(
+        *stump,
+        body="SELECT b.scope AS day, n.slot, n.feature, CASE WHEN n.slot = b.slot THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance, "
+        "CAST(CASE WHEN n.slot = b.slot THEN 1 WHEN n.slot < b.slot THEN n.slot + 2 ELSE n.slot + 1 END AS INTEGER) AS rank FROM best b CROSS JOIN names n",
+    )
+    q["train_rows_kept"] = with_ctes(
+        flows,
+        body=f"SELECT count(*) AS n_rows, count(*) FILTER ({_split_expr()} = 'train') AS n_train, count(*) FILTER ({_split_expr()} = 'test') AS n_test FROM flows",
+    )
+    edge = (
+        "edge AS (SELECT event_id, CASE WHEN day <> 'Jun13' THEN day END AS day, "
+        "CASE WHEN day <> 'Jun12' THEN 1152921504606846976 + totalDestinationBytes * 1000003 END AS totalDestinationBytes FROM flows)"
+    )
+    span = "max(totalDestinationBytes) OVER (PARTITION BY day) - min(totalDestinationBytes) OVER (PARTITION BY day)"
+    q["min_max_null_day"] = with_ctes(
+        flows,
+        edge,
+        body="SELECT event_id, day, totalDestinationBytes, CAST(totalDestinationBytes - min(totalDestinationBytes) OVER (PARTITION BY day) AS DOUBLE) "
+        f"/ nullif({span}, 0) AS totalDestinationBytes_scaled FROM edge",
+    )
     q["csv_roundtrip"] = with_ctes(flows, COARSE_CTE, body=f"SELECT event_id, day, {cols} FROM coarse")
     return q

@@ -1,11 +1,13 @@
 """The forest programs as one parameterised pipeline (W2-W4), the ingest (W0), W1.
 
-A run: coarsen the flows of its scope (one day, or all), fit the preparation
-on all of them (as the original programs do: before the split), mark the
-key-hash split, keep a slim persisted copy of the prepared rows, fit the
-forest on the training part, score the test part.
-
-For every day (W3, a few days at a time), each day's results are written to
+A run: coarsen the flows of its scope (one day, or all) and persist them, so
+the source is read once; fit the preparation on all of them (as the original
+programs do: before the split), mark the key-hash split, keep a slim
+persisted copy of the prepared rows, fit the forest on the training part,
+score the test part. Nothing stays persisted when a run fails.
+
+For every day (W3, a few days at a time), the coarse rows are written once by
+day, each day reads its own part, and its results are written to
 the output folder as soon as that day is done and its cached rows released;
 the returned tables aggregate those files, so the lineage of the final tables
 is a Parquet scan, not six pipelines, and a lost executor never forces a day
@@ -20,13 +22,16 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowdetect.operators import forest as fo
 from flowdetect.operators.coarsen import prepare_flows
 from flowdetect.operators.metrics import accuracy, confusion
 from flowdetect.operators.prepare import (
+    FEATURES_COL,
     INDEXED_FEATURES_COL,
     LABEL_INDEX_COL,
     Preparation,
@@ -36,9 +41,9 @@ from flowdetect.operators.prepare import (
 from flowdetect.operators.split import PART_COL, TEST, TRAIN, random_split, with_split
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
-from flowdetect.plans.layout import spread
+from flowdetect.plans.layout import FOREST_PARTITIONS, place_by_key
 from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, TRAIN_FRACTION, feature_columns
-from flowdetect.session import scratch_path
+from flowdetect.session import remove_path, scratch_path
 from flowdetect.sources.csv import write_prepared_csv
 from flowdetect.sources.parquet import read_flows, write_flows_by_day
 from flowdetect.sources.xml import read_flow_days
@@ -94,7 +99,7 @@ class ForestRun:
         """
         keys = [c for c in ("event_id", DAY_COL) if c in self.predictions.columns]
         order = keys or [LABEL_COL]
-        features = self.preparation.assembled_from_indexed(F.col(INDEXED_FEATURES_COL))
+        features = vector_to_array(F.col(FEATURES_COL))
         return (
             self.predictions.select(*keys, fo.PREDICTED_LABEL_COL, LABEL_COL, features.alias("features"))
             .orderBy(*order)
@@ -136,34 +141,25 @@ class ForestRun:
         return nodes.select(F.lit(self.scope).alias(DAY_COL), "*")
 
     def importances(self) -> DataFrame:
-        """(day, slot, feature, importance, rank), aggregated from the nodes (M5)."""
-        return fo.importances_from_nodes(self.nodes(), self.feature_names, by=(DAY_COL,))
+        """(day, slot, feature, importance, rank) (M5)."""
+        return fo.importances_table(self.prepared.sparkSession, self.forest, self.feature_names, self.scope)
+
+    def n_rows(self) -> int:
+        """Rows of the scope that were prepared (training and test together)."""
+        return self.prepared.count()
 
     def release(self) -> None:
         self.prepared.unpersist()
 
 
-def _resolve_bins(max_bins: int | str, prep: Preparation, cap: int) -> int:
-    """The forest's maxBins: computed from the data, or given.
+def _resolve_bins(max_bins: int | str, prep: Preparation) -> int:
+    """The forest's maxBins: given, raised to the largest nominal arity where needed.
 
-    ``"auto"``: max(32, largest nominal arity), at most ``cap`` (the original
-    programs' fixed value). Split histograms, and so each tree level's
-    shuffle, grow with maxBins; the original's 10000/20000 are needed only
-    when a text feature has that many values.
+    ``"auto"``: max(32, largest nominal arity). Split histograms, and so each
+    tree level's shuffle, grow with maxBins; a small value makes the threshold
+    grid of the numeric features coarser and costs accuracy.
     """
-    arity = prep.max_arity()
-    if max_bins == "auto":
-        bins = max(32, arity)
-        if bins > cap:
-            raise ValueError(
-                f"a text feature has {arity} values, more than max_bins allows ({cap}); "
-                "pass max_categories to fold rare values, or a larger max_bins"
-            )
-        return bins
-    bins = int(max_bins)
-    if bins < arity:
-        raise ValueError(f"max_bins={bins} is below the largest nominal feature arity {arity}")
-    return bins
+    return max(32 if max_bins == "auto" else int(max_bins), prep.max_arity())
 
 
 def ingest_days(
@@ -172,15 +168,13 @@ def ingest_days(
     out_path: str,
     *,
     mode: str = "errorifexists",
-    record_per_line: bool = False,
     extra_fields=(),
 ) -> DataFrame:
     """Parse the day XML files once and keep them as Parquet by day.
 
     Returns the Parquet table; later programs prune to their days from it.
-    ``record_per_line`` reads one-record-per-line files split across tasks.
     """
-    raw = read_flow_days(spark, xml_base, record_per_line=record_per_line, extra_fields=extra_fields)
+    raw = read_flow_days(spark, xml_base, extra_fields=extra_fields)
     write_flows_by_day(raw, out_path, mode=mode)
     return read_flows(spark, out_path)
 
@@ -190,11 +184,13 @@ def train_on(
     scope: str,
     *,
     num_trees: int = fo.NUM_TREES,
-    max_bins: int | str = "auto",
-    max_bins_cap: int = fo.MAX_BINS_ONE_DAY,
+    max_bins: int | str = fo.MAX_BINS_ONE_DAY,
     max_depth: int = 5,
     seed: int = 42,
     subsampling_rate: float = 1.0,
+    feature_subset: str = "auto",
+    bootstrap: bool = True,
+    partitions: int = FOREST_PARTITIONS,
     rf_params: dict | None = None,
     train_fraction: float = TRAIN_FRACTION,
     split_key: str | None = "event_id",
@@ -218,67 +214,71 @@ def train_on(
     seeded ``randomSplit`` on the cached rows, as the original programs did
     (unseeded there).
 
-    ``max_bins="auto"`` (default) is max(32, largest nominal arity), at most
-    ``max_bins_cap``. ``subsampling_rate`` < 1 trains each tree on that share
-    of the training rows (a smaller pass per level on very large data);
-    ``rf_params`` passes further forest parameters through. ``handle_invalid="skip"`` drops rows with a null number
-    instead of failing. ``max_categories`` (off by default) folds the rarest
+    ``max_bins`` is raised to the largest nominal arity where that is larger;
+    ``"auto"`` is max(32, that arity): faster, at some cost in accuracy, since numeric
+    features get fewer thresholds. ``partitions``: partitions of the forest's
+    input, part of what the forest depends on (see ``plans.layout``).
+    ``subsampling_rate`` < 1 trains each tree on that share of the training rows;
+    ``rf_params`` passes further forest parameters through.
+    ``handle_invalid="skip"`` drops rows with a null number instead of failing;
+    ``n_rows`` of the run counts the rest. ``max_categories`` (off by default) folds the rarest
     text values of each feature into one bucket so that no nominal feature
     has more values than that.
     """
     if split not in ("key", "random"):
         raise ValueError("split must be 'key' or 'random'")
-    if not coarse.limit(1).collect():
-        raise ValueError(f"no flows to train on for {scope!r}")
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
     if split == "random" and fit_on == "train":
         raise ValueError("fit_on='train' needs split='key' (the split comes before the fit)")
-    if max_categories:
-        text_cols, _ = feature_columns(coarse.schema)
-        frequencies_from = None
-        if fit_on == "train":
-            marked_rows = with_split(coarse, key=split_key, fraction=train_fraction, salt=split_salt)
-            frequencies_from = marked_rows.where(F.col(PART_COL) == TRAIN).drop(PART_COL)
-        coarse = fold_rare_values(coarse, text_cols, max_categories, fit_on=frequencies_from)
-    if fit_on == "all":
-        prep = fit_preparation(coarse, handle_invalid=handle_invalid)
-        marked = with_split(prep.transform(coarse), key=split_key, fraction=train_fraction, salt=split_salt)
-    elif fit_on == "train":
-        split_first = with_split(coarse, key=split_key, fraction=train_fraction, salt=split_salt)
-        prep = fit_preparation(split_first.where(F.col(PART_COL) == TRAIN).drop(PART_COL), handle_invalid="keep")
-        marked = prep.transform(split_first)
-    else:
-        raise ValueError("fit_on must be 'all' or 'train'")
-
-    if csv_path:
-        write_prepared_csv(marked.drop(PART_COL), csv_path, mode=csv_mode, by_day=csv_by_day)
-
-    keys = [c for c in ("event_id", DAY_COL) if c in marked.columns]
-    # The forest reads its input several times before caching its own binned
-    # copy, and the test part is scored and evaluated: keep the slim columns only.
-    # A small input (one file split) is spread over the cores once, while the
-    # cache is filled, so each forest level runs on all of them; a very wide
-    # one is coalesced, since each level shuffles a histogram per partition.
-    slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, INDEXED_FEATURES_COL, PART_COL)
-    prepared = spread(slim, keys=[split_key] if split_key else ()).persist(StorageLevel.MEMORY_AND_DISK)
-    if split == "random":
-        # sides drawn per row by Spark's sampler over the cached, key-sorted rows
-        train, test = random_split(prepared.drop(PART_COL), (train_fraction, 1.0 - train_fraction), seed)
-    else:
-        train = prepared.where(F.col(PART_COL) == TRAIN)
-        test = prepared.where(F.col(PART_COL) == TEST)
-    bins = _resolve_bins(max_bins, prep, max_bins_cap)
-    pipeline = fo.forest_pipeline(
-        prep.labels,
-        num_trees=num_trees,
-        max_bins=bins,
-        max_depth=max_depth,
-        seed=seed,
-        subsampling_rate=subsampling_rate,
-        rf_params=rf_params,
-    )
-    model = pipeline.fit(train)
-    predictions = model.transform(test)
-    return ForestRun(scope, prep, model, prepared, predictions, bins)
+    rows = coarse.persist(StorageLevel.MEMORY_AND_DISK)  # the source is read once, while this fills
+    prepared = None
+    try:
+        if rows.isEmpty():
+            raise ValueError(f"no flows to train on for {scope!r}")
+        marked_rows = with_split(rows, key=split_key, fraction=train_fraction, salt=split_salt)
+        seen = marked_rows.where(F.col(PART_COL) == TRAIN).drop(PART_COL) if fit_on == "train" else rows
+        if max_categories:
+            text_cols, _ = feature_columns(rows.schema)
+            folded = fold_rare_values(marked_rows, text_cols, max_categories, fit_on=seen)
+            marked_rows = folded
+            seen = (folded.where(F.col(PART_COL) == TRAIN) if fit_on == "train" else folded).drop(PART_COL)
+        prep = fit_preparation(seen, handle_invalid=handle_invalid, keep_unseen=fit_on == "train")
+        bins = _resolve_bins(max_bins, prep)
+        marked = prep.transform(marked_rows)
+        if csv_path:
+            write_prepared_csv(marked.drop(PART_COL), csv_path, mode=csv_mode, by_day=csv_by_day)
+        keys = [c for c in ("event_id", DAY_COL) if c in marked.columns]
+        # The forest reads its input several times before caching its own binned
+        # copy, and the test part is scored and evaluated: keep the slim columns only.
+        slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, FEATURES_COL, INDEXED_FEATURES_COL, PART_COL)
+        prepared = place_by_key(slim, [split_key] if split_key else (), partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared.count()  # fills the slim copy, so the coarse rows can go
+        rows.unpersist()
+        if split == "random":
+            # sides drawn per row by Spark's sampler over the cached, key-sorted rows
+            train, test = random_split(prepared.drop(PART_COL), (train_fraction, 1.0 - train_fraction), seed)
+        else:
+            train = prepared.where(F.col(PART_COL) == TRAIN)
+            test = prepared.where(F.col(PART_COL) == TEST)
+        pipeline = fo.forest_pipeline(
+            prep.labels,
+            num_trees=num_trees,
+            max_bins=bins,
+            max_depth=max_depth,
+            seed=seed,
+            subsampling_rate=subsampling_rate,
+            feature_subset=feature_subset,
+            bootstrap=bootstrap,
+            rf_params=rf_params,
+        )
+        model = pipeline.fit(train)
+    except BaseException:
+        if prepared is not None:
+            prepared.unpersist()
+        rows.unpersist()
+        raise
+    return ForestRun(scope, prep, model, prepared, model.transform(test), bins)
 
 
 def train_day(flows: DataFrame, day: str, **kwargs) -> ForestRun:
@@ -295,10 +295,9 @@ def train_all_days(flows: DataFrame, **kwargs) -> ForestRun:
 
     ``flows`` are raw flow rows, as for ``train_day``.
 
-    maxBins is computed as for one day, capped at 20000 (the original's
-    all-days value) instead of 10000.
+    maxBins defaults to 20000 here (10000 for one day).
     """
-    kwargs.setdefault("max_bins_cap", fo.MAX_BINS_ALL_DAYS)
+    kwargs.setdefault("max_bins", fo.MAX_BINS_ALL_DAYS)
     return train_on(prepare_flows(flows), ALL_DAYS, **kwargs)
 
 
@@ -340,7 +339,7 @@ class EachDayResult:
 
     def importances(self) -> DataFrame:
         """(day, slot, feature, importance, rank) per day (M6)."""
-        return fo.importances_from_nodes(self.nodes(), self.feature_names, by=(DAY_COL,))
+        return self._read("importances").select(DAY_COL, "slot", "feature", "importance", "rank")
 
     def importances_wide(self) -> DataFrame:
         """One row per day, one column per feature (M6 as the original printed it)."""
@@ -351,7 +350,9 @@ def _days_of(flows: DataFrame) -> list[str]:
     rows = collect_bounded(flows.select(DAY_COL).distinct(), MAX_DAYS)
     if rows is None:
         raise ValueError(f"more than {MAX_DAYS} days")
-    found = {r[0] for r in rows if r[0] is not None}
+    found = {r[0] for r in rows}
+    if None in found:
+        raise ValueError("some flows have no day; give them one, or name the days to train")
     known = [d for d in DAYS if d in found]
     return known + sorted(found - set(known))
 
@@ -362,12 +363,18 @@ def train_each_day(
     *,
     out_path: str | None = None,
     csv_path: str | None = None,
+    csv_mode: str = "errorifexists",
     parallelism: int | None = None,
     save_models: bool = False,
     **kwargs,
 ) -> EachDayResult:
     """A forest for every day (W3); each day's results written under ``out_path``.
 
+    The coarse rows are written once to a scratch table by day (removed at the
+    end), so the source is read once and each day reads its own part. A row
+    without a day is an error unless ``days`` names the days to train.
+    ``csv_mode``: what to do when a day's CSV folder exists (an error by default).
+
     Days are independent, so up to ``parallelism`` of them (default: all, at
     most 8) are trained at the same time: each is a series of distributed
     jobs submitted from its own driver thread, and Spark runs their tasks
@@ -380,15 +387,22 @@ def train_each_day(
     """
     spark = flows.sparkSession
     out = (out_path or scratch_path(spark, "each-day")).rstrip("/")
-    day_list = list(days) if days is not None else _days_of(flows)
+    scratch = scratch_path(spark, "coarse-by-day")
+    coarse = prepare_flows(flows)
+    if days is not None:
+        coarse = coarse.where(F.col(DAY_COL).isin(list(days)))
+    coarse.write.partitionBy(DAY_COL).parquet(scratch)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in coarse.schema.fields])
+    table = spark.read.schema(schema).parquet(scratch).select(*coarse.columns)
+    day_list = list(days) if days is not None else _days_of(table)
 
     def one(day: str) -> tuple[int, list[str]]:
         part = f"{DAY_COL}={day}"
-        run = train_day(
-            flows,
+        run = train_on(
+            table.where(F.col(DAY_COL) == day),
             day,
             csv_path=f"{csv_path.rstrip('/')}/{part}" if csv_path else None,
-            csv_mode="overwrite",
+            csv_mode=csv_mode,
             csv_by_day=False,
             **kwargs,
         )
@@ -400,15 +414,19 @@ def train_each_day(
             run.scored().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/scored/{part}")
             nodes = fo.forest_nodes(spark, run.forest_path, run.feature_names)
             nodes.write.mode("overwrite").parquet(f"{out}/nodes/{part}")
+            run.importances().drop(DAY_COL).write.mode("overwrite").parquet(f"{out}/importances/{part}")
             return run.max_bins, run.feature_names
         finally:
             run.release()
 
-    workers = max(1, min(parallelism or MAX_DAY_THREADS, len(day_list)))
-    if workers == 1:
-        done = [one(d) for d in day_list]
-    else:
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            done = list(pool.map(inheritable_thread_target(spark)(one), day_list))
+    try:
+        workers = max(1, min(parallelism or MAX_DAY_THREADS, len(day_list)))
+        if workers == 1:
+            done = [one(d) for d in day_list]
+        else:
+            with ThreadPoolExecutor(max_workers=workers) as pool:
+                done = list(pool.map(inheritable_thread_target(spark)(one), day_list))
+    finally:
+        remove_path(spark, scratch)
     names = done[0][1] if done else []
     return EachDayResult(spark, out, day_list, names, {d: b for d, (b, _) in zip(day_list, done)})

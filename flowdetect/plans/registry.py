@@ -61,9 +61,16 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_event_flows(spark, sf_dir)
 
 
-def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
-    """Build a shared run once per session (also when queries run from several threads)."""
-    full = (spark.sparkContext.applicationId, *key)
+def _memo(spark: SparkSession, kind: str, sf_dir: str, build: Callable[[], object]):
+    """Build a shared result once per session and state of the table (also when queries run from several threads).
+
+    What is kept are fitted models and written tables, never cached rows.
+    """
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (files.getFileStatus(folder).getModificationTime(), files.getContentSummary(folder).getLength())
+    full = (spark.sparkContext.applicationId, kind, path, state)
     with _RUNS_LOCK:
         if full not in _RUNS:
             _RUNS[full] = build()
@@ -104,6 +111,20 @@ def q_coarsen_flows(spark, sf_dir):
     return prepare_flows(_flows(spark, sf_dir))
 
 
+def _edge_numbers(spark, sf_dir):
+    """Numbers near 2^60 in days of which one is null and one has no number at all."""
+    f = _flows(spark, sf_dir)
+    day = F.when(F.col(DAY_COL) != "Jun13", F.col(DAY_COL))
+    value = F.when(F.col(DAY_COL) != "Jun12", F.lit(1 << 60) + F.col("totalDestinationBytes") * 1_000_003)
+    return f.select("event_id", day.alias(DAY_COL), value.alias("totalDestinationBytes"))
+
+
+@query("min_max_null_day")
+def q_min_max_null_day(spark, sf_dir):
+    """Min-max scaling with a null day, a day without numbers and numbers near 2^60."""
+    return min_max_scale(_edge_numbers(spark, sf_dir), "totalDestinationBytes", by=(DAY_COL,))
+
+
 @query("min_max")
 def q_min_max(spark, sf_dir):
     f = _flows(spark, sf_dir).select("event_id", DAY_COL, "totalDestinationBytes")
@@ -115,20 +136,16 @@ def q_min_max(spark, sf_dir):
 
 @query("union_days")
 def q_union_days(spark, sf_dir):
-    """Flows kept as Parquet by day (W0), then the six day tables unioned."""
-    path = write_flows_by_day(select_flows(_flows(spark, sf_dir)), scratch_path(spark, "flows-by-day"))
-    table = read_flows(spark, path)
-    days = [table.where(F.col(DAY_COL) == d) for d in DAYS]
-    out = days[0]
-    for d in days[1:]:
-        out = out.unionByName(d)
-    return out.select("event_id", DAY_COL, *FLOW_COLS)
+    """The six day tables, each its own input, unioned lazily (U1). Another day is an error."""
+    flows = select_flows(_flows(spark, sf_dir))
+    day = F.col(DAY_COL)
+    known = flows.withColumn(DAY_COL, F.when(day.isin(DAYS), day).otherwise(F.raise_error(F.concat(F.lit("no such day: "), day))))
+    return _union([known.where(F.col(DAY_COL) == d) for d in DAYS]).select("event_id", DAY_COL, *FLOW_COLS)
 
 
-@query("xml_roundtrip")
 @query("xml_days")
 def q_xml_days(spark, sf_dir):
-    """Flows written as six XML day files, read back with their row tags."""
+    """Flows written as six XML day files (indented), read back with their row tags."""
     base = scratch_path(spark, "xml-days")
     flows = select_flows(_flows(spark, sf_dir))
     write_flow_days(flows, base, columns=["event_id", *FLOW_COLS])
@@ -136,6 +153,13 @@ def q_xml_days(spark, sf_dir):
     return back.select("event_id", DAY_COL, *FLOW_COLS)
 
 
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _csv_written(spark, sf_dir):
     """The prepared table written once as CSV with a header, by day (S5), and read back."""
 
@@ -144,7 +168,7 @@ def _csv_written(spark, sf_dir):
         path = write_prepared_csv(prepared, scratch_path(spark, "prepared-csv"))
         return prep, read_prepared_csv(spark, path, csv_schema_of(prepared))
 
-    return _memo(spark, ("csv", sf_dir), build)
+    return _memo(spark, "csv", sf_dir, build)
 
 
 @query("csv_roundtrip")
@@ -195,7 +219,7 @@ def _prepared_all(spark, sf_dir):
         prep = fit_preparation(coarse)
         return prep, prep.transform(coarse)
 
-    return _memo(spark, ("prepared", sf_dir), build)
+    return _memo(spark, "prepared", sf_dir, build)
 
 
 @query("label_index")
@@ -205,10 +229,11 @@ def q_label_index(spark, sf_dir):
 
 
 def _prepared_by_day(spark, sf_dir):
-    """Each day's own preparation (fitted per day, as W2/W3 do), fitted side by side."""
+    """Each day's own preparation (fitted per day, as W2/W3 do) on its part of one written table."""
 
     def build():
-        coarse = prepare_flows(_flows(spark, sf_dir))
+        path = write_flows_by_day(select_flows(_flows(spark, sf_dir)), scratch_path(spark, "flows-by-day"))
+        coarse = prepare_flows(read_flows(spark, path))
 
         def one(d):
             day_rows = coarse.where(F.col(DAY_COL) == d)
@@ -218,14 +243,7 @@ def _prepared_by_day(spark, sf_dir):
         with ThreadPoolExecutor(max_workers=3) as pool:
             return list(pool.map(inheritable_thread_target(spark)(one), DAYS))
 
-    return _memo(spark, ("prepared_by_day", sf_dir), build)
-
-
-def _union(frames):
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return _memo(spark, "prepared_by_day", sf_dir, build)
 
 
 @query("label_index_by_day")
@@ -300,60 +318,83 @@ def q_confusion(spark, sf_dir):
 # ------------------------------------------------------------------- forests
 
 
+class _Written:
+    """Outputs of a run as written tables; its cached rows are released."""
+
+    def __init__(self, spark, name, run):
+        try:
+            base = scratch_path(spark, name)
+            tables = {
+                "scored": run.scored(), "sample": run.sample(5), "nodes": run.nodes(),
+                "importances": run.importances(), "test_error": run.test_error(),
+            }
+            for kind, table in tables.items():
+                table.write.parquet(f"{base}/{kind}")
+            self.n_rows = run.n_rows()
+        finally:
+            run.release()
+        self.spark, self.base = spark, base
+
+    def read(self, kind):
+        return self.spark.read.parquet(f"{self.base}/{kind}")
+
+
 def _one_day(spark, sf_dir):
-    return _memo(spark, ("one_day", sf_dir), lambda: programs.train_day(_flows(spark, sf_dir), ONE_DAY))
+    build = lambda: _Written(spark, "one-day", programs.train_day(_flows(spark, sf_dir), ONE_DAY))
+    return _memo(spark, "one_day", sf_dir, build)
 
 
 def _each_day(spark, sf_dir):
-    return _memo(spark, ("each_day", sf_dir), lambda: programs.train_each_day(_flows(spark, sf_dir)))
+    return _memo(spark, "each_day", sf_dir, lambda: programs.train_each_day(_flows(spark, sf_dir)))
 
 
 def _all_days(spark, sf_dir):
-    return _memo(spark, ("all_days", sf_dir), lambda: programs.train_all_days(_flows(spark, sf_dir)))
+    build = lambda: _Written(spark, "all-days", programs.train_all_days(_flows(spark, sf_dir)))
+    return _memo(spark, "all_days", sf_dir, build)
 
 
 @query("scored")
 def q_scored(spark, sf_dir):
-    return _one_day(spark, sf_dir).scored()
+    return _one_day(spark, sf_dir).read("scored")
 
 
 @query("scored_sample")
 def q_scored_sample(spark, sf_dir):
     """Five scored rows of the one-day forest (the sample the program shows)."""
-    return _one_day(spark, sf_dir).sample(5)
+    return _one_day(spark, sf_dir).read("sample")
 
 
-@query("scored_rows")
-def q_scored_rows(spark, sf_dir):
-    """The one-day forest scored exactly the day's test rows, with the day's label index."""
-    return _one_day(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
+@query("split_and_label_one_day")
+def q_split_and_label_one_day(spark, sf_dir):
+    """Split and label check: which rows the one-day program tests, with the day's label index."""
+    return _one_day(spark, sf_dir).read("scored").select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
 
 
-@query("test_rows_by_day")
-def q_test_rows_by_day(spark, sf_dir):
-    """Rows each day's forest was tested on (the n of its test error)."""
+@query("split_count_by_day")
+def q_split_count_by_day(spark, sf_dir):
+    """Split check: the number of test rows of each day (the n of its test error)."""
     return _each_day(spark, sf_dir).test_error().select(DAY_COL, "n")
 
 
-@query("scored_rows_by_day")
-def q_scored_rows_by_day(spark, sf_dir):
-    """Each day's forest scored exactly that day's test rows, with that day's label index."""
+@query("split_and_label_by_day")
+def q_split_and_label_by_day(spark, sf_dir):
+    """Split and label check: each day's test rows, with that day's label index."""
     return _each_day(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
 
 
 @query("importances")
 def q_importances(spark, sf_dir):
-    return _one_day(spark, sf_dir).importances()
+    return _one_day(spark, sf_dir).read("importances")
 
 
 @query("forest_nodes")
 def q_forest_nodes(spark, sf_dir):
-    return _one_day(spark, sf_dir).nodes()
+    return _one_day(spark, sf_dir).read("nodes")
 
 
 @query("test_error")
 def q_test_error(spark, sf_dir):
-    return _one_day(spark, sf_dir).test_error()
+    return _one_day(spark, sf_dir).read("test_error")
 
 
 @query("test_error_by_day")
@@ -374,21 +415,102 @@ def q_importances_by_day_wide(spark, sf_dir):
 
 @query("all_days_test_error")
 def q_all_days_test_error(spark, sf_dir):
-    return _all_days(spark, sf_dir).test_error()
+    return _all_days(spark, sf_dir).read("test_error")
 
 
-@query("test_rows_all_days")
-def q_test_rows_all_days(spark, sf_dir):
-    """Rows the all-days forest was tested on (the n of its test error)."""
-    return _all_days(spark, sf_dir).test_error().select(DAY_COL, "n")
+@query("split_count_all_days")
+def q_split_count_all_days(spark, sf_dir):
+    """Split check: the number of test rows of all days together."""
+    return _all_days(spark, sf_dir).read("test_error").select(DAY_COL, "n")
 
 
-@query("scored_rows_all_days")
-def q_scored_rows_all_days(spark, sf_dir):
-    """The all-days forest scored exactly the test rows of every day, with the all-days label index."""
-    return _all_days(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
+@query("split_and_label_all_days")
+def q_split_and_label_all_days(spark, sf_dir):
+    """Split and label check: the test rows of all days, with the all-days label index."""
+    return _all_days(spark, sf_dir).read("scored").select("event_id", DAY_COL, LABEL_COL, "indexedLabel")
 
 
 @query("all_days_importances")
 def q_all_days_importances(spark, sf_dir):
-    return _all_days(spark, sf_dir).importances()
+    return _all_days(spark, sf_dir).read("importances")
+
+
+# ------------------------------------------------------- one-split forests
+# One tree of depth one on all rows and features: its split, predictions, error
+# and importances can be written in SQL, so training itself has an oracle.
+
+STUMP = dict(num_trees=1, max_depth=1, feature_subset="all", bootstrap=False)
+
+
+def _stumps_by_day(spark, sf_dir):
+    return _memo(spark, "stump_by_day", sf_dir, lambda: programs.train_each_day(_flows(spark, sf_dir), **STUMP))
+
+
+def _stump_all_days(spark, sf_dir):
+    build = lambda: _Written(spark, "stump-all-days", programs.train_all_days(_flows(spark, sf_dir), **STUMP))
+    return _memo(spark, "stump_all_days", sf_dir, build)
+
+
+def _stumps(spark, sf_dir, kind):
+    each, every = _stumps_by_day(spark, sf_dir), _stump_all_days(spark, sf_dir)
+    by_day = {"nodes": each.nodes, "scored": each.scored, "importances": each.importances, "test_error": each.test_error}[kind]()
+    return by_day, every.read(kind)
+
+
+@query("stump_nodes")
+def q_stump_nodes(spark, sf_dir):
+    """Nodes of the one-split trees of each day and of all days: split feature, counts, prediction, gain."""
+    by_day, every = _stumps(spark, sf_dir, "nodes")
+    nodes = by_day.unionByName(every)
+    count = lambda i: F.element_at("class_counts", i).cast("long")
+    return nodes.select(
+        DAY_COL, "node", "slot", "feature", F.round("gain", 9).alias("gain"), "prediction",
+        count(1).alias("n_first_label"), count(2).alias("n_second_label"),
+    )
+
+
+@query("stump_scored")
+def q_stump_scored(spark, sf_dir):
+    """Test rows of each day's one-split tree, with prediction and decoded tag."""
+    by_day, _ = _stumps(spark, sf_dir, "scored")
+    return by_day.select("event_id", DAY_COL, LABEL_COL, "indexedLabel", "prediction", "predictedLabel")
+
+
+@query("stump_scored_all_days")
+def q_stump_scored_all_days(spark, sf_dir):
+    """Test rows of the one-split tree of all days, with prediction and decoded tag."""
+    _, every = _stumps(spark, sf_dir, "scored")
+    return every.select("event_id", DAY_COL, LABEL_COL, "indexedLabel", "prediction", "predictedLabel")
+
+
+@query("stump_test_error")
+def q_stump_test_error(spark, sf_dir):
+    """Test error of the one-split trees of each day and of all days."""
+    by_day, every = _stumps(spark, sf_dir, "test_error")
+    names = [DAY_COL, "n", F.round("accuracy", 9).alias("accuracy"), F.round("test_error", 9).alias("test_error")]
+    return by_day.select(*names).unionByName(every.select(*names))
+
+
+@query("stump_importances")
+def q_stump_importances(spark, sf_dir):
+    """Importances of the one-split trees of each day and of all days."""
+    by_day, every = _stumps(spark, sf_dir, "importances")
+    return by_day.unionByName(every).select(DAY_COL, "slot", "feature", "importance", "rank")
+
+
+@query("train_rows_kept")
+def q_train_rows_kept(spark, sf_dir):
+    """Rows in, training rows and test rows when the preparation is fitted on training rows only."""
+    def build():
+        flows = _flows(spark, sf_dir)
+        run = programs.train_all_days(flows, fit_on="train", num_trees=1, max_depth=1)
+        try:
+            path = f"{scratch_path(spark, 'train-rows')}"
+            run.prepared.groupBy("part").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+        finally:
+            run.release()
+        return path
+
+    counts = spark.read.parquet(_memo(spark, "train_rows", sf_dir, build))
+    total = lambda part: F.sum(F.when(F.col("part") == part, F.col("n"))).alias(f"n_{part}")
+    return counts.agg(F.sum("n").alias("n_rows"), total("train"), total("test"))

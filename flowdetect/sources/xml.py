@@ -1,16 +1,12 @@
 """XML flow files: one file per capture day, one row element per flow.
 
-Spark's built-in XML source reads them; an explicit schema is always given, so
-no inference pass runs over the data and the date-times stay text.
-
-By default the reader parses an XML file whole, in one task, which is right
-for any layout; read parallelism then comes from files (a day "file" may be
-a folder or glob of many XML files). For files holding one record per line,
-``record_per_line=True`` uses the reader's line mode, which splits a large
-file across tasks; the lines of the enclosing element then read as rows with
-every field null, and those rows are removed (a record with no field at all
-cannot be told apart from them). Indented records need the default mode.
-The XML is parsed once and kept as Parquet by day (``sources.parquet``).
+A day file is read as text with the row's closing tag as the line separator,
+so Spark splits a large file over tasks whatever its layout (indented, one
+record per line, all in one line); each piece is cut from its opening tag and
+parsed with ``from_xml`` and the explicit schema. No inference pass runs over
+the data, and the date-times stay text. A file whose row tags stand inside a
+comment or CDATA section cannot be cut this way and raises an error. The XML is parsed once and kept as
+Parquet by day (``sources.parquet``).
 """
 
 from __future__ import annotations
@@ -18,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +37,18 @@ def flow_schema(extra_fields: Sequence[T.StructField] = ()) -> T.StructType:
     return T.StructType(list(extra_fields) + list(FLOW_SCHEMA.fields))
 
 
+def _records(chunk, tag: str):
+    """Column: the row elements in a piece of text that ends where a closing tag stood."""
+    opened = rf"<{tag}(?=[\s/>])"
+    pieces = F.filter(F.split(chunk, f"(?={opened})"), lambda p: p.rlike(f"^{opened}"))
+    empty = rf"^<{tag}(?:\s[^>]*)?/>"
+    whole = F.transform(pieces, lambda p: F.when(p.rlike(empty), F.regexp_extract(p, empty, 0)).otherwise(F.concat(p, F.lit(f"</{tag}>"))))
+    unbalanced = (F.regexp_count(chunk, F.lit("<!--")) != F.regexp_count(chunk, F.lit("-->"))) | (
+        F.regexp_count(chunk, F.lit(r"<!\[CDATA\[")) != F.regexp_count(chunk, F.lit(r"\]\]>"))
+    )
+    return F.when(unbalanced, F.raise_error(F.lit(f"a comment or CDATA section holds <{tag}> tags"))).otherwise(whole)
+
+
 def read_flow_day(
     spark: SparkSession,
     path: str,
@@ -48,23 +56,30 @@ def read_flow_day(
     *,
     schema: T.StructType | None = None,
     mode: str = "PERMISSIVE",
-    record_per_line: bool = False,
 ) -> DataFrame:
     """Read one day file (S1). Missing elements read as null, empty text as ``""``.
 
-    ``mode`` is the XML reader's parse mode: PERMISSIVE turns a bad number into
-    null (keeping the raw record in ``_corrupt_record`` when the schema has that
-    column), FAILFAST raises, DROPMALFORMED drops the record.
+    Every row element is a row, an element without fields too (all null).
+    ``mode``: PERMISSIVE turns a bad number into null (keeping the raw record in
+    ``_corrupt_record`` when the schema has that column), FAILFAST raises,
+    DROPMALFORMED drops the record.
     """
     schema = schema or FLOW_SCHEMA
-    reader = spark.read.format("xml").option("rowTag", row_tag(file_name)).option("mode", mode)
-    if CORRUPT_COL in schema.fieldNames():
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COL)
-    if not record_per_line:
-        return reader.schema(schema).load(path)
-    rows = reader.option("multiLine", "false").schema(schema).load(path)
-    fields = [c for c in schema.fieldNames() if c != CORRUPT_COL]
-    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull())
+    tag = row_tag(file_name)
+    parsed = T.StructType([f for f in schema.fields if f.name != CORRUPT_COL])
+    if mode == "DROPMALFORMED" or CORRUPT_COL in schema.fieldNames():
+        parsed = parsed.add(CORRUPT_COL, T.StringType())  # the parser wants it last
+    text = spark.read.option("lineSep", f"</{tag}>").text(path)
+    rows = text.select(F.explode(_records(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), tag)).alias("record"))
+    options = {"mode": "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+    out = rows.select(F.from_xml("record", _ddl(parsed), options).alias("r")).select("r.*")
+    if mode == "DROPMALFORMED":
+        out = out.where(F.col(CORRUPT_COL).isNull())
+    return out.select(*schema.fieldNames())
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def read_flow_days(
@@ -74,7 +89,6 @@ def read_flow_days(
     *,
     extra_fields: Sequence[T.StructField] = (),
     mode: str = "PERMISSIVE",
-    record_per_line: bool = False,
 ) -> DataFrame:
     """All day files as one table with a ``day`` column (S2, S3), bag union.
 
@@ -83,9 +97,7 @@ def read_flow_days(
     """
     schema = flow_schema(extra_fields)
     frames = [
-        read_flow_day(
-            spark, day_file_path(base, name), name, schema=schema, mode=mode, record_per_line=record_per_line
-        ).withColumn(
+        read_flow_day(spark, day_file_path(base, name), name, schema=schema, mode=mode).withColumn(
             DAY_COL, F.lit(day_label(name))
         )
         for name in file_names
@@ -111,24 +123,23 @@ def write_flow_days(
     rows under a ``dataroot`` element. Null columns are left out of a row, as
     a missing element. Days without rows are written empty.
 
+    Rows of any other day, or without one, are an error.
+
     Each day needs its own row element, so each day is its own write; the
-    input is cached once so the days do not each re-read it, and the writes
-    (each into its own folder) run side by side.
+    writes (each into its own folder) run side by side. A table partitioned by day
+    is read once in all, since each write prunes to its day.
     """
     cols = list(columns) if columns else [c for c in flows.columns if c != DAY_COL]
     names = list(file_names)
     rows = flows.select(DAY_COL, *cols)
-    cores = flows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        # a one-split input would make every day a single-task write (and a
-        # single-file read later): spread it over the cores first
-        rows = rows.repartition(cores)
-    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    other = rows.where(F.col(DAY_COL).isNull() | ~F.col(DAY_COL).isin([day_label(n) for n in names])).limit(1).collect()
+    if other:
+        raise ValueError(f"flows of day {other[0][DAY_COL]!r} have no file among {names}")
 
     def one(name: str) -> str:
         path = day_file_path(base, name)
         (
-            cached.where(F.col(DAY_COL) == day_label(name))
+            rows.where(F.col(DAY_COL) == day_label(name))
             .select(*cols)
             .write.format("xml")
             .option("rootTag", ROOT_TAG)
@@ -138,9 +149,6 @@ def write_flow_days(
         )
         return path
 
-    try:
-        workers = max(1, min(parallelism, len(names)))
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            return list(pool.map(inheritable_thread_target(flows.sparkSession)(one), names))
-    finally:
-        cached.unpersist()
+    workers = max(1, min(parallelism, len(names)))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(inheritable_thread_target(flows.sparkSession)(one), names))

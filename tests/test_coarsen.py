@@ -115,12 +115,14 @@ def test_min_max_global_has_no_join(spark):
 
 def test_min_max_past_the_broadcast_bound(spark):
     rows = [{"day": d, "totalDestinationBytes": v} for d in ("Jun12", "Jun13") for v in (0, 10)]
-    df = flows(spark, rows)
-    out = min_max_scale(df, max_groups=1)  # two groups: more than the bound
-    text = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" not in text or "LocalTableScan" not in text
-    got = sorted((r["day"], r["totalDestinationBytes_scaled"]) for r in out.collect())
-    assert got == [("Jun12", 0.0), ("Jun12", 1.0), ("Jun13", 0.0), ("Jun13", 1.0)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        out = min_max_scale(flows(spark, rows))
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["totalDestinationBytes_scaled"] for r in out.collect()) == [0.0, 0.0, 1.0, 1.0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_address_prefix_column_and_name_agree(spark):
@@ -137,3 +139,12 @@ def test_coarsening_once_is_what_programs_expect(spark):
     twice = prepare_flows(prepare_flows(df)).collect()[0]
     assert once["startDateTime"] == "07" and twice["startDateTime"] == ""  # not idempotent, by design
     assert once["source"] == twice["source"] == "192.168"
+
+
+def test_min_max_keeps_null_days_and_large_numbers(spark):
+    big = 1 << 60
+    rows = [("a", big + 7), ("a", big), ("a", big + 3), (None, 5), (None, 6), ("b", None), ("b", None)]
+    df = spark.createDataFrame(rows, "day string, totalDestinationBytes long")
+    got = sorted(str(tuple(r)) for r in min_max_scale(df).collect())
+    scaled = [1.0, 0.0, 3 / 7, 0.0, 1.0, None, None]
+    assert got == sorted(str((*row, x)) for row, x in zip(rows, scaled))

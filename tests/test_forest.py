@@ -96,22 +96,56 @@ def test_third_tag(spark):
         run.release()
 
 
-def test_max_bins_auto_and_check(spark):
-    run = programs.train_day(_flows(spark), "Jun12", num_trees=2)
+def test_max_bins_default_and_raised(spark):
+    run = programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins="auto")
     try:
-        assert run.max_bins == max(32, run.preparation.max_arity())  # computed by default
+        arity = run.preparation.max_arity()
+        assert run.max_bins == max(32, arity)
     finally:
         run.release()
-    fixed = programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins=10000)  # the original setting
+    fixed = programs.train_day(_flows(spark), "Jun12", num_trees=2)  # the original setting is the default
     try:
-        assert fixed.max_bins == 10000
-        assert fixed.forest.getMaxBins() == 10000
+        assert fixed.max_bins == 10000 == fixed.forest.getMaxBins()
     finally:
         fixed.release()
+    raised = programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins=2)  # raised to what the data needs
+    try:
+        assert raised.max_bins == arity
+    finally:
+        raised.release()
+
+
+def _persisted(spark):
+    return set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+
+
+def test_a_failed_run_keeps_nothing_cached(spark):
+    before = _persisted(spark)
     with pytest.raises(ValueError):
-        programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins=2)
-    with pytest.raises(ValueError, match="max_categories"):
-        programs.train_day(_flows(spark), "Jun12", num_trees=2, max_bins_cap=3)
+        programs.train_day(_flows(spark), "no such day", num_trees=2)
+    assert _persisted(spark) <= before
+
+
+def test_same_forest_from_any_partitioning(spark):
+    found = []
+    for n in (1, 20, 200):
+        run = programs.train_day(_flows(spark).repartition(n), "Jun13", num_trees=3, max_bins="auto")
+        found.append(run.importances().orderBy("slot").collect())
+        run.release()
+    assert found[0] == found[1] == found[2]
+
+
+def test_every_day_needs_a_day_and_an_empty_csv_folder(spark, scratch):
+    flows = _flows(spark)
+    before = _persisted(spark)
+    with pytest.raises(ValueError, match="no day"):
+        programs.train_each_day(flows.withColumn("day", F.when(F.col("event_id") % 10 != 0, F.col("day"))), num_trees=1)
+    csv = scratch("each-csv")
+    programs.train_each_day(flows, ["Jun12"], num_trees=1, csv_path=csv, max_bins="auto")
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        programs.train_each_day(flows, ["Jun12"], num_trees=1, csv_path=csv, max_bins="auto")
+    programs.train_each_day(flows, ["Jun12"], num_trees=1, csv_path=csv, csv_mode="overwrite", max_bins="auto")
+    assert _persisted(spark) <= before
 
 
 def test_fit_on_train_only(spark):
@@ -143,7 +177,7 @@ def test_each_day_and_all_days(spark, scratch):
 
     run = programs.train_all_days(flows, num_trees=2)
     try:
-        assert run.max_bins == max(32, run.preparation.max_arity())
+        assert run.max_bins == 20000
         total = run.test_error().collect()[0]["n"]
         assert total == flows.count() - run.prepared.where("part = 'train'").count()
         assert accuracy(run.predictions, "indexedLabel", "prediction").count() == 6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowdetect.operators.coarsen import min_max_scale, prepare_flows
 from flowdetect.operators.prepare import feature_index_report, fit_preparation
 from flowdetect.operators.stats import flow_stats, tag_counts
-from flowdetect.plans.layout import spread
+from flowdetect.plans.layout import place_by_key
 from flowdetect.sources.events import read_event_flows
 
 SF = "/root/testdata/sf0.01"
@@ -55,17 +55,13 @@ def test_feature_frequencies_partial_aggregation(spark):
     assert "PythonUDF" not in text and "EvalPython" not in text
 
 
-def test_spread_only_small_inputs(spark):
-    mid = spark.range(0, 1000, numPartitions=20).withColumnRenamed("id", "event_id")
-    assert spread(mid) is mid
-    wide = spark.range(0, 1000, numPartitions=300).withColumnRenamed("id", "event_id")
-    narrowed = spread(wide, max_partitions=32)
-    assert narrowed.rdd.getNumPartitions() == 32
-    assert "Exchange" not in plan(narrowed)  # merged, not shuffled
-    small = spark.range(0, 1000, numPartitions=1).withColumnRenamed("id", "event_id")
-    spread_small = spread(small)
-    assert spread_small.rdd.getNumPartitions() == 16
-    assert "SortOrder" in plan(spread_small) or "Sort [" in plan(spread_small)
+def test_rows_are_placed_by_key_alone(spark):
+    placed = []
+    for n in (1, 20, 300):
+        df = place_by_key(spark.range(0, 1000, numPartitions=n).withColumnRenamed("id", "event_id"), partitions=8)
+        assert df.rdd.getNumPartitions() == 8
+        placed.append([[r[0] for r in part] for part in df.rdd.glom().collect()])
+    assert placed[0] == placed[1] == placed[2]
 
 
 def test_union_of_days_prunes_partitions(spark, scratch):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from flowdetect.operators.prepare import (
     label_index_report,
 )
 from flowdetect.schema import LONG_COLS
+from flowdetect.sources.events import read_event_flows
 
 from tests.fixtures import flows
 
@@ -111,7 +113,6 @@ def test_fold_rare_values(spark):
 
 def test_programs_max_categories(spark):
     from flowdetect.plans import programs
-    from flowdetect.sources.events import read_event_flows
 
     run = programs.train_day(read_event_flows(spark, "/root/testdata/sf0.001"), "Jun12", num_trees=2, max_categories=8, max_bins="auto")
     try:
@@ -125,7 +126,7 @@ def test_max_arity_counts_keep_bucket(spark):
     rows = [{"appName": v} for v in ["a", "b", "c"]]
     coarse = prepare_flows(flows(spark, rows))
     assert fit_preparation(coarse).max_arity() == 3
-    assert fit_preparation(coarse, handle_invalid="keep").max_arity() == 4
+    assert fit_preparation(coarse, keep_unseen=True).max_arity() == 4
 
 
 def test_fold_frequencies_from_fit_rows(spark):
@@ -137,3 +138,28 @@ def test_fold_frequencies_from_fit_rows(spark):
     folded = fold_rare_values(df, ["appName"], 2, fit_on=fit_rows)  # keeps the fit rows' top value
     got = sorted(r[0] for r in folded.select("appName").distinct().collect())
     assert got == ["A", OTHER_VALUE]
+
+
+def test_arity_is_checked_before_the_fit(spark):
+    from flowdetect.operators.prepare import check_arity
+
+    coarse = prepare_flows(flows(spark, [{"appName": v} for v in ["a", "b", "c", "c"]]))
+    check_arity(coarse, ["appName"], limit=3)
+    with pytest.raises(ValueError, match="appName"):
+        check_arity(coarse, ["appName", "Tag"], limit=2)
+
+
+def test_training_rows_fit_honours_handle_invalid(spark):
+    from flowdetect.plans import programs
+
+    source = read_event_flows(spark, "/root/testdata/sf0.001")
+    whole = programs.train_day(source, "Jun12", num_trees=1, fit_on="train", max_bins="auto")
+    n = whole.n_rows()
+    whole.release()
+    assert n == source.where("day = 'Jun12'").count()
+    holes = source.withColumn("totalSourceBytes", F.when(F.col("event_id") % 3 != 0, F.col("totalSourceBytes")))
+    with pytest.raises(Exception):  # null numbers are an error by default, never a silent loss
+        programs.train_day(holes, "Jun12", num_trees=1, fit_on="train", max_bins="auto").n_rows()
+    some = programs.train_day(holes, "Jun12", num_trees=1, fit_on="train", handle_invalid="skip", max_bins="auto")
+    assert some.n_rows() == holes.where("day = 'Jun12' and totalSourceBytes is not null").count()
+    some.release()

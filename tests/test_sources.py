@@ -122,31 +122,58 @@ def test_ingest_days(spark, scratch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
-def test_xml_record_per_line_splits_and_reads_all(spark, scratch):
-    base = scratch("xml-lines")
+def _day_file(spark, scratch, name, text):
+    base = scratch("xml-file")
     path = local_path(base)
     os.makedirs(path, exist_ok=True)
-    n = 120_000
-    with open(os.path.join(path, "TestbedSunJun13.xml"), "w") as fh:
-        fh.write("<dataroot>\n")
-        for i in range(n):
-            fh.write(
-                f"<TestbedSunJun13Flows><appName>A{i % 7}</appName><Tag>Normal</Tag>"
-                f"<sourcePort>{i}</sourcePort></TestbedSunJun13Flows>\n"
-            )
-        fh.write("</dataroot>\n")
+    with open(os.path.join(path, f"{name}.xml"), "w") as fh:
+        fh.write(text)
+    return base
+
+
+@pytest.mark.parametrize("gap", ["\n  ", "", "\n"])
+def test_xml_of_any_layout_splits_and_reads_all(spark, scratch, gap):
+    n = 20_000
+    tag = "TestbedSunJun13Flows"
+    body = "".join(
+        f"{gap}<{tag}>{gap}<appName>A{i % 7} &amp; b</appName>{gap}<Tag>Normal</Tag>{gap}<sourcePort>{i}</sourcePort></{tag}>" for i in range(n)
+    )
+    base = _day_file(spark, scratch, "TestbedSunJun13", f"<?xml version='1.0'?>\n<dataroot>{body}\n</dataroot>\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1024 * 1024))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
     try:
-        lines = read_flow_days(spark, base, ["TestbedSunJun13"], record_per_line=True)
-        whole = read_flow_days(spark, base, ["TestbedSunJun13"])
-        assert lines.rdd.getNumPartitions() > 1
-        assert lines.count() == n == whole.count()
-        assert lines.exceptAll(whole).count() == 0
+        rows = read_flow_days(spark, base, ["TestbedSunJun13"])
+        assert rows.rdd.getNumPartitions() > 1
+        got = rows.agg(F.count("*"), F.countDistinct("sourcePort"), F.min("appName"), F.max("day")).first()
+        assert tuple(got) == (n, n, "A0 & b", "Jun13")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_xml_odd_elements(spark, scratch):
+    tag = "TestbedSunJun13Flows"
+    text = (
+        f"<dataroot a='1'><{tag} id='7'><Tag>A</Tag></{tag}><{tag}/><{tag} x='1' /><!-- a note --><{tag}></{tag}>"
+        f"<{tag}><Tag><![CDATA[x < y]]></Tag><sourcePort>oops</sourcePort></{tag}><{tag}s>no</{tag}s>\n</dataroot>"
+    )
+    base = _day_file(spark, scratch, "TestbedSunJun13", text)
+    rows = read_flow_days(spark, base, ["TestbedSunJun13"]).collect()
+    assert sorted(str(r["Tag"]) for r in rows) == ["A", "None", "None", "None", "x < y"]
+    kept = read_flow_days(spark, base, ["TestbedSunJun13"], mode="DROPMALFORMED")
+    assert kept.count() == 4
+    with pytest.raises(Exception):
+        read_flow_days(spark, base, ["TestbedSunJun13"], mode="FAILFAST").collect()
+    hidden = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot><!-- <{tag}><Tag>A</Tag></{tag}> --></dataroot>")
+    with pytest.raises(Exception, match="comment or CDATA"):
+        read_flow_days(spark, hidden, ["TestbedSunJun13"]).collect()
+
+
+def test_xml_write_refuses_other_days(spark, scratch):
+    df = flows(spark, [{"day": "Jun12", "event_id": 1}, {"day": "Jul01", "event_id": 2}])
+    with pytest.raises(ValueError, match="Jul01"):
+        write_flow_days(df, scratch("xml-other"), columns=["event_id", *FLOW_COLS])
+
+
 def test_xml_days_without_rows(spark, scratch):
     df = flows(spark, [{"day": "Jun12", "event_id": 1}, {"day": "Jun12", "event_id": 2}])
     base = scratch("xml-empty-days")
@@ -161,22 +188,3 @@ def test_csv_null_marker_keeps_empty_text(spark, scratch):
     back = {r["event_id"]: r for r in read_prepared_csv(spark, path, csv_schema_of(df), null_value="\\N").collect()}
     assert back[1]["startDateTime"] == "" and back[1]["appName"] is None
     assert back[2]["startDateTime"] == "07" and back[2]["appName"] == "x"
-
-
-def test_ingest_record_per_line(spark, scratch):
-    from flowdetect.plans.programs import ingest_days
-
-    base = scratch("ingest-lines")
-    path = local_path(base)
-    os.makedirs(path, exist_ok=True)
-    from flowdetect.schema import DAY_FILES
-
-    for i, name in enumerate(DAY_FILES):
-        with open(os.path.join(path, f"{name}.xml"), "w") as fh:
-            fh.write("<dataroot>\n")
-            for k in range(i + 1):
-                fh.write(f"<{name}Flows><Tag>Normal</Tag><sourcePort>{k}</sourcePort></{name}Flows>\n")
-            fh.write("</dataroot>\n")
-    table = ingest_days(spark, base, scratch("ingest-lines-out"), record_per_line=True)
-    counts = {r["day"]: r["count"] for r in table.groupBy("day").count().collect()}
-    assert counts == {d: i + 1 for i, d in enumerate(DAYS)}
