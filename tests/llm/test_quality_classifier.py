@@ -1,0 +1,54 @@
+import zlib
+
+import numpy as np
+
+from flowdetect.llm.quality_classifier import STATISTICS, classify, document_statistics, fit
+from tests.llm.cases import CLASH, SF, by_id, documents, odd_rows, repeated
+
+
+def test_held_out_accuracy(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scored = classify(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    rows = scored.join(labels, "doc_id").collect()
+    out = [r for r in rows if r["held_out"]]
+    assert len(out) > 50
+    assert np.mean([r["predicted"] == r["quality"] for r in out]) > 0.95
+    good = [r["score"] for r in out if r["quality"] == 1]
+    bad = [r["score"] for r in out if r["quality"] == 0]
+    assert np.mean([a > b for a in good for b in bad]) > 0.97
+
+
+def test_labels_of_held_out_rows_are_not_read(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    held = labels["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)
+    changed = labels.assign(quality=labels["quality"].where(~held, 1 - labels["quality"]))
+    a, b = (by_id(classify(docs, spark.createDataFrame(x))) for x in (labels, changed))
+    assert all(abs(a[k]["score"] - b[k]["score"]) < 1e-9 for k in a)
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in a.items())
+
+
+def test_odd_rows_have_scores(spark):
+    rows = repeated(odd_rows()) + [(None, "no id")]
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows[:60])] + [(None, 1), (1000, None), (999_999, 1), (1007, 7)], "doc_id long, quality int")
+    docs = documents(spark, rows, CLASH)
+    out = classify(docs, labels).collect()
+    assert len(out) == len(rows)
+    assert all(0.0 <= r["score"] <= 1.0 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    assert classify(docs.limit(0), labels).count() == 0
+
+
+def test_without_both_classes_the_score_is_the_share(spark):
+    docs = documents(spark, odd_rows()[:5])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in classify(docs, none).collect()} == {0.5}
+    one = spark.createDataFrame([(1000, 1), (1007, 1), (1014, 1)], "doc_id long, quality int")
+    assert {r["score"] for r in classify(docs, one).collect()} == {1.0}
+
+
+def test_model_factors_match_the_density(spark):
+    stats = document_statistics(spark.read.parquet(f"{SF}/documents.parquet"))
+    model = fit(stats, spark.read.parquet(f"{SF}/labels.parquet"))
+    d = len(STATISTICS) - 1
+    assert len(model.mean) == 2 and model.inverse[0].shape == (d, d)
+    assert np.allclose(np.triu(model.inverse[0], 1), 0)
