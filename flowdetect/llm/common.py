@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +20,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to a fresh table in the shared scratch folder and read it back.
 
     The written table cuts the lineage: a lost executor costs only the tasks of
-    later steps. The folder is removed when the session's file system closes.
+    later steps. The folder is removed when the session ends. ``release``: drop the shuffle files of the steps up to here, for steps that shuffle much.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
-    release_shuffles(spark)
+    if release:
+        release_shuffles(spark)
     return out
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs (it acts on collected references)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs.
+
+    It follows the driver's garbage collection: once for the plans that
+    finished, and once more for those that Spark's listeners still held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 # ---------------------------------------------------------------- hashing

@@ -159,31 +159,52 @@ def url_key(url: str | None) -> tuple[str, str]:
     return (found[1].lower(), found[2].rstrip("/")) if found else ("", url or "")
 
 
-PARSED = "page_id long, url string, host string, path string, body string, kinds string, hashes array<long>"
+KEY = "content long, name long"
 
 
-def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Columns content and name (hashes that tell rows apart, but for equal rows), page_id, url and html."""
+    row = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return row.select(F.xxhash64("html").alias("content"), F.xxhash64("url", "page_id").alias("name"), "page_id", "url", "html")
+
+
+def _per_part(batches, rows: int = 256):
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def line_hashes(keyed: DataFrame) -> DataFrame:
+    """content, name, host, path and the hashes of the page's lines."""
+
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                urls = part.column(1).to_pylist()
-                bodies, kinds, hashes = [], [], []
-                for page in part.column(2).to_pylist():
-                    lines, kind = page_lines(page or "")
-                    bodies.append("\n".join(lines))
-                    kinds.append(kind)
-                    hashes.append([int.from_bytes(hashlib.blake2b(x.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for x in lines])
-                hosts = [url_key(u) for u in urls]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([h for h, _ in hosts], pa.string()), pa.array([p for _, p in hosts], pa.string()),
-                     pa.array(bodies, pa.string()), pa.array(kinds, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-                    [f.split()[0] for f in PARSED.split(", ")],
-                )
-
-    return pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
-    ).mapInArrow(run, PARSED)
+        for part in _per_part(batches):
+            hosts = [url_key(u) for u in part.column(2).to_pylist()]
+            hashes = [
+                [int.from_bytes(hashlib.blake2b(x.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for x in page_lines(page or "")[0]]
+                for page in part.column(3).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([h for h, _ in hosts], pa.string()), pa.array([p for _, p in hosts], pa.string()),
+                 pa.array(hashes, pa.list_(pa.int64()))],
+                ["content", "name", "host", "path", "hashes"],
+            )
+
+    return keyed.select("content", "name", "url", "html").mapInArrow(run, f"{KEY}, host string, path string, hashes array<long>")
+
+
+def line_texts(keyed: DataFrame) -> DataFrame:
+    """content, name, page_id, url, the lines as one text and a letter for the kind of each."""
+
+    def run(batches):
+        for part in _per_part(batches):
+            pages = [page_lines(page or "") for page in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(k) for k in range(4)), pa.array(["\n".join(lines) for lines, _ in pages], pa.string()), pa.array([k for _, k in pages], pa.string())],
+                ["content", "name", "page_id", "url", "body", "kinds"],
+            )
+
+    return keyed.mapInArrow(run, f"{KEY}, page_id long, url string, body string, kinds string")
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -199,13 +220,13 @@ RUN_ROWS = 2_000
 
 
 def shared_with_neighbour(lines: DataFrame) -> DataFrame:
-    """(file, row, shared): for each page a text of 0 and 1, 1 where the nearest page shares the line.
+    """(content, name, shared): for each page a text of 0 and 1, 1 where the nearest page shares the line.
 
-    ``lines``: file, row, host, path, hashes. The ordered rows are written once;
+    The ordered rows are written once;
     runs of rows are compared in order, and the first and the last row of a run
     are also sent to the runs beside it.
     """
-    ordered = stored(lines.repartitionByRange("host", "path", "file", "row").sortWithinPartitions("host", "path", "file", "row"), "by-url")
+    ordered = stored(lines.repartitionByRange("host", "path", "content", "name").sortWithinPartitions("host", "path", "content", "name"), "by-url")
     ordered = ordered.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"))
     ordered = ordered.withColumn("run", F.floor(F.col("at") / RUN_ROWS).cast("long"))
     runs = stored(ordered.groupBy("part", "run").agg(F.min("at").alias("first"), F.max("at").alias("last")), "runs")
@@ -219,7 +240,7 @@ def shared_with_neighbour(lines: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    sent = placed.select("file", "row", "host", "path", "hashes", "no", "at", F.explode(copies).alias("to"))
+    sent = placed.select("content", "name", "host", "path", "hashes", "no", "at", F.explode(copies).alias("to"))
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -233,19 +254,19 @@ def shared_with_neighbour(lines: DataFrame) -> DataFrame:
             if beside:
                 nearest = max(beside, key=lambda r: _common_prefix(page["path"], r["path"]))
                 shared = "".join("1" if s else "0" for s in common_lines(page["hashes"], nearest["hashes"]))
-            out.append((page["file"], page["row"], shared))
-        files, numbers, flags = zip(*out) if out else ((), (), ())
-        return pa.table({"file": pa.array(files, pa.string()), "row": pa.array(numbers, pa.int64()), "shared": pa.array(flags, pa.string())})
+            out.append((page["content"], page["name"], shared))
+        content, name, flags = zip(*out) if out else ((), (), ())
+        return pa.table({"content": pa.array(content, pa.int64()), "name": pa.array(name, pa.int64()), "shared": pa.array(flags, pa.string())})
 
-    return sent.groupBy("to").applyInArrow(compare, "file string, row long, shared string")
+    return sent.groupBy("to").applyInArrow(compare, f"{KEY}, shared string")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    parsed = stored(parsed_pages(pages, id_col, url_col, html_col), "pages")
-    parsed = parsed.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    shared = stored(shared_with_neighbour(parsed.select("file", "row", "host", "path", "hashes")), "shared-lines")
-    both = parsed.drop("hashes", "host", "path").join(shared, ["file", "row"])
+    keyed = _keyed(pages, id_col, url_col, html_col)
+    found = shared_with_neighbour(stored(line_hashes(keyed), "page-lines"))
+    shared = stored(found.groupBy("content", "name").agg(F.max("shared").alias("shared")), "shared-lines", release=True)
+    both = line_texts(keyed).join(shared, ["content", "name"])
     flag = lambda text, i: F.substring(text, i + 1, F.lit(1))
     lines = F.split("body", "\n")
     has_main = F.instr("kinds", "m") > 0
