@@ -268,7 +268,7 @@ def repeated_strings(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_often(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors of very many occurrences: equal strings meet by digest, aggregated in each task first."""
     place = F.struct("id", "tag", "lo")
-    rows = stored(contexts.select("hash", "shape", "id", "tag", "lo", "context", F.sha2("context", 256).alias("body")), "often")
+    rows = stored(contexts.select("hash", "shape", "id", "tag", "lo", "context", F.sha2("context", 256).alias("body")), "often", release=True)
     heads = stored(rows.groupBy("hash", "shape", "body").agg(F.min(place).alias("head")), "often-heads")
     known = rows.drop("context").join(heads, ["hash", "shape", "body"]).where(place > F.col("head"))
     span = F.shiftright("shape", 8)
@@ -280,6 +280,7 @@ def repeated_often(contexts: DataFrame, length: int) -> DataFrame:
             F.unhex(F.sha2(F.substring("context", F.col("step") + 1, F.lit(length)), 256)).alias("body"),
         ),
         "often-strings",
+        release=True,
     )
     first = stored(strings.groupBy("hash", "offset", "body").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often-first")
     again = strings.join(first, ["hash", "offset", "body"]).where(place > F.col("head"))
@@ -301,14 +302,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
     tagged = texts.withColumn("tag", F.crc32(F.coalesce("text", F.lit(""))))
     found = stored(anchor_rows(texts, length, gram), "anchors")
-    counts = stored(found.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
-    repeated = stored(found.join(counts, "hash"), "repeated-anchors")
-    contexts = with_contexts(repeated, tagged, length)
-    few = stored(repeated_strings(contexts.where(F.col("n") <= MANY).drop("n"), length), "ranges-few")
-    often = stored(with_contexts(repeated.where(F.col("n") > MANY), tagged, length), "contexts-often")
+    counts = stored(found.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts", release=True)
+    repeated = stored(found.where("hash is not null").join(counts, "hash"), "repeated-anchors", release=True)
+    contexts = with_contexts(repeated.where(F.col("n") <= MANY), tagged, length)
+    ranges = stored(repeated_strings(contexts, length), "ranges", release=True)
+    often = repeated.where(F.col("n") > MANY)
+    if not often.isEmpty():
+        ranges = ranges.union(repeated_often(with_contexts(often, tagged, length), length))
     at_once = found.where("hash is null").select("id", "tag", F.col("lo").alias("from"), (F.col("lo") + F.shiftright("shape", 8)).alias("to"))
-    ranges = few.union(repeated_often(often, length)).union(at_once)
-    by_doc = ranges.groupBy("id", "tag").agg(F.collect_list("from").alias("starts"), F.collect_list("to").alias("ends"))
+    by_doc = ranges.union(at_once).groupBy("id", "tag").agg(F.collect_list("from").alias("starts"), F.collect_list("to").alias("ends"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def run(batches):
