@@ -10,8 +10,9 @@ are grouped by union-find.
 Texts with equal shingle sets are one node from the start. In a bucket, every
 node is first compared with the bucket's most connected node only, which
 settles groups of copies in linear work. Buckets that still hold several
-groups are then compared in blocks, group against group, so no candidate pair
-of the bands is lost, and no bucket is one task.
+groups are then compared in blocks on the full sets, group against group, so no
+candidate pair of the bands is lost, no bucket is one task, and pairs that are
+not linked are never written.
 
 Defined cases: a text without words (or null) has no shingles, is linked with
 nothing and is its own component; fewer words than a shingle make one shingle
@@ -38,8 +39,9 @@ PLACES = BANDS * ROWS
 PERCENT = 80
 #: Pairs whose signatures agree on fewer places than this share cannot reach 0.8 (five deviations away).
 LEAST_AGREEMENT = 0.6
-#: Nodes of one bucket compared by one task at a time.
+#: Nodes of one bucket in a block, and shared shingles in one step of the comparison.
 BLOCK = 256
+COLUMNS = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -184,17 +186,52 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _blocks_left(open_buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes in one bucket but not yet in one component, found block by block.
+def shingle_lists(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the sorted shingle hashes of each text, as bytes."""
 
-    The bucket's largest component is compared with the others, and the others
-    among themselves; rows of equal components are not paired. A task gets two
-    blocks of about BLOCK nodes.
+    def run(batches):
+        roll = RollingHash()
+        for batch in batches:
+            for lo, data, offsets in text_slices(batch.column(1)):
+                doc, keys = shingle_sets(data, offsets, roll, size)
+                ends = np.searchsorted(doc, np.arange(len(offsets)))
+                body = [keys[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(body)), pa.array(body, pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of some sets: products of 0/1 matrices over the shared elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(code, [first, first + COLUMNS]))
+        matrix = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        matrix[owner[part], code[part] - first] = 1
+        out += matrix @ matrix.T
+    return out.astype(np.int64)
+
+
+def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links between nodes of one bucket that are not yet in one component, found block by block.
+
+    A bucket of up to two blocks is one cell. Of a larger one, the largest
+    component is compared with the others, and the others among themselves. A
+    node gets one link to each other component that it is linked with, which is
+    all that grouping needs.
     """
     parts = stored(open_buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "bucket-parts")
     heads = stored(
         parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).select(
-            "key", F.col("top.component").alias("top"),
+            "key", F.col("top.component").alias("top"), (F.col("all") <= 2 * BLOCK).alias("small"),
             F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks"),
             F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"),
         ),
@@ -203,51 +240,54 @@ def _blocks_left(open_buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = open_buckets.join(heads, "key").withColumn("is_top", F.col("component") == F.col("top"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks")).cast("long")).cast("int")
     rows = rows.withColumn("mine", mine)
+    cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     with_rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
     with_top = F.sequence(F.lit(0), F.col("top_blocks") - 1)
-    meets = F.when(F.col("is_top"), F.transform(with_rest, lambda r: F.struct(F.lit(0).alias("kind"), F.col("mine").alias("a"), r.alias("b")))).otherwise(
-        F.concat(
-            F.transform(with_top, lambda t: F.struct(F.lit(0).alias("kind"), t.alias("a"), F.col("mine").alias("b"))),
-            F.transform(with_rest, lambda r: F.struct(F.lit(1).alias("kind"), F.least("mine", r).alias("a"), F.greatest("mine", r).alias("b"))),
-        )
-    )
-    placed = rows.select("key", "node", "component", "is_top", F.explode(meets).alias("m"))
-    full = (
-        placed.join(nodes.select("node", "n_shingles", "signature"), "node")
-        .select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", "is_top", "n_shingles", "signature")
+    meets = (
+        F.when(F.col("small"), F.array(cell(2, F.lit(0), F.lit(0))))
+        .when(F.col("is_top"), F.transform(with_rest, lambda r: cell(0, F.col("mine"), r)))
+        .otherwise(F.concat(
+            F.transform(with_top, lambda t: cell(0, t, F.col("mine"))),
+            F.transform(with_rest, lambda r: cell(1, F.least("mine", r), F.greatest("mine", r))),
+        ))
     )
+    placed = rows.select("key", "node", "component", F.explode(meets).alias("m"))
+    full = placed.join(lists, "node").select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", "shingles")
 
     def run(batches):
-        cell, kept = None, []
+        held: list[pa.RecordBatch] = []
+        cell = None
         for batch in batches:
-            ids = np.array(batch.column(0).to_numpy())
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if kept and ids[lo] != cell:
-                    yield compare(kept)
-                    kept = []
-                if hi > lo:
-                    cell = ids[lo]
-                    kept.append(batch.slice(lo, hi - lo))
-        if kept:
-            yield compare(kept)
+            ids = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi == lo:
+                    continue
+                if held and ids[lo] != cell:
+                    yield compare(held)
+                    held = []
+                cell = ids[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield compare(held)
 
     def compare(parts):
-        table = pa.Table.from_batches(parts).combine_chunks()
+        table = pa.Table.from_batches(parts)
         where = np.stack([table.column(c).to_numpy() for c in ("key", "kind", "a", "b")])
-        node, component, size, top = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "is_top"))
-        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
-        found_u, found_v = [], []
-        for i in range(len(node)):
-            ok = (where[:, i : i + 1] == where).all(axis=0) & (component != component[i]) & (node > node[i])
-            ok &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
-            if where[1, i] == 0:
-                ok &= top != top[i]
-            at = np.flatnonzero(ok)
-            at = at[(signed[at] == signed[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
-            found_u.append(np.full(len(at), node[i]))
-            found_v.append(node[at])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_u)), pa.array(np.concatenate(found_v))], ["u", "v"])
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(body, dtype=np.uint64) for body in table.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        linked &= component[:, None] != component[None, :]
+        linked &= (where[:, :, None] == where[:, None, :]).all(axis=0)  # cells may share a hash
+        u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in np.flatnonzero(linked.any(axis=1)).tolist():
+            at = np.flatnonzero(linked[i])
+            at = at[np.unique(component[at], return_index=True)[1]]
+            u.append(np.minimum(node[i], node[at]))
+            v.append(np.maximum(node[i], node[at]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
     return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
 
@@ -262,10 +302,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
             F.first("bands").alias("bands"), F.first("signature").alias("signature"),
         ),
         "nodes",
+        release=True,
     )
     in_band = nodes.select("node", F.explode("bands").alias("key"))
     shared = stored(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
-    buckets = stored(in_band.join(shared, "key"), "buckets")
+    buckets = stored(in_band.join(shared, "key"), "buckets", release=True)
     weight = stored(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     hub = stored(
         buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
@@ -275,17 +316,22 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     to_hub = buckets.join(hub, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     # a node may have several texts only where ids repeat; each text counts
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    first = stored(confirmed(stored(agreeing(to_hub, nodes), "hub-pairs"), texts, size), "hub-links")
-    grouped = stored(components(first), "hub-groups")
-    located = buckets.select("key", "node").join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    located = stored(located, "located")
-    mixed = stored(located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    second = confirmed(stored(_blocks_left(located.join(mixed, "key"), nodes), "block-pairs"), texts, size)
-    stars = grouped.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = stored(components(stars.union(second)), "groups")
+    first = stored(confirmed(stored(agreeing(to_hub, nodes), "hub-pairs"), texts, size), "hub-links", release=True)
+    groups = stored(components(first), "hub-groups")
+    located = buckets.select("key", "node").join(groups, "node", "left")
+    located = stored(located.select("key", "node", F.coalesce("component", "node").alias("component")), "located")
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count(F.lit(1)).alias("n")]
+    mixed = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *members).where("lo <> hi")
+    # close copies share many bands: of buckets with the same nodes, one is enough
+    mixed = stored(mixed.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
+    left = stored(located.join(mixed, "key"), "left-buckets")
+    lists = stored(shingle_lists(texts.join(left.select("node").distinct(), "node", "left_semi"), size), "shingles", release=True)
+    links = links_in_blocks(left, lists)
+    stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    groups = stored(components(stars.union(links)), "groups")
     node_of = nodes.select("digest", F.col("node"))
     placed = linked.select("doc_id", "n_shingles", "digest").join(node_of, "digest").select("doc_id", "n_shingles", "node")
-    placed = placed.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    placed = placed.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
