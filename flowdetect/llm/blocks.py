@@ -35,7 +35,7 @@ def numbered(df: DataFrame, group: str, out: str, name: str, order: list[str] |
     inside = Window.partitionBy(group, "_file", "_block").orderBy(*(order or []), "_row")
     ranked = table.withColumn("_inside", (F.row_number().over(inside) - 1).cast("long"))
     return (
-        ranked.join(starts, [group, "_file", "_block"])
+        ranked.join(starts.hint("merge"), [group, "_file", "_block"])  # it grows with the rows: no broadcast
         .withColumn(out, F.col("_start") + F.col("_inside"))
         .select(*keep, out)
     )
@@ -50,6 +50,6 @@ def block_starts(counts: DataFrame, group: str) -> DataFrame:
     before = Window.partitionBy(group, "_run").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     return (
         runs.withColumn("_in_run", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(run_start, [group, "_run"])
+        .join(run_start.hint("merge"), [group, "_run"])
         .select(group, "_file", "_block", (F.col("_run_start") + F.col("_in_run")).alias("_start"))
     )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flowdetect.llm.blocks import numbered
 from flowdetect.llm.common import stored, text_slices
-from flowdetect.llm.units import SPACE_MARK, UNIT_SLICE, UnitEncoder, UnitTable, flat_take, space_units
+from flowdetect.llm.units import SPACE_MARK, UNIT_SLICE, LowerUnitEncoder, UnitTable, flat_take, lower_units
 
 SEQUENCE = 2048
 END_ID = 1
@@ -36,17 +36,18 @@ def pieces(docs: DataFrame, tokenizer_json: str, sequence: int = SEQUENCE, end_i
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``sequence`` ids of every document; ``with_ids`` adds the ids themselves.
 
-    ``tokenizer_json``: content of a tokenizers file whose words do not cross white space.
+    ``tokenizer_json``: content of a tokenizers file that lowers the case, drops
+    white space, splits letters, digits and signs, and is byte-level.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # the vocabulary file, of fixed size
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        table = UnitTable(UnitEncoder(shared.value, SPACE_MARK))
+        table = UnitTable(LowerUnitEncoder(shared.value, SPACE_MARK))
         for batch in batches:
             names = batch.column(0)
             for first, data, offsets in text_slices(batch.column(1), UNIT_SLICE):
-                codes, per_doc = space_units(data, offsets, table)
+                codes, per_doc = lower_units(data, offsets, table)
                 ids, counts = flat_take(table.ids, table.offsets, codes)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 ends = bounds[np.concatenate([[0], np.cumsum(per_doc)])]

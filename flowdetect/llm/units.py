@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from flowdetect.llm.common import IS_SPACE
+from flowdetect.llm.common import IS_SPACE, LOWER
 
 #: Distinct units a task remembers before it starts afresh (bounds its memory).
 MAX_UNITS = 600_000
 #: Bytes of text whose units are listed at once: longer runs repeat more units.
-UNIT_SLICE = 8 << 20
+UNIT_SLICE = 6 << 20
 #: Units encoded as one string, with a mark between them.
 RUN = 2000
 
@@ -32,10 +35,22 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.mark = mark
         (self.mark_id,) = self._ids([mark])[0]
+        self.special = [t["content"].encode() for t in json.loads(tokenizer_json)["added_tokens"]]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _between(runs, mark_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids without the marks, and the number of ids before, between and after the marks of each run."""
+        flat, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for run in runs:
+            ids = np.array(run, dtype=np.int64)
+            marks = np.flatnonzero(ids == mark_id)
+            counts.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, marks))
+        return np.concatenate(flat), np.concatenate(counts)
+
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, number of ids of each unit)."""
         core = self.mark.strip()
@@ -45,13 +60,8 @@ class UnitEncoder:
             plain = list(units)
             for i in odd:
                 plain[i] = ""
-        flat, counts = [np.zeros(0, dtype=np.int64)], []
-        for text in (self.mark.join(plain[k : k + RUN]) for k in range(0, len(plain), RUN)):
-            ids = np.array(self._ids([text])[0], dtype=np.int64)
-            marks = np.flatnonzero(ids == self.mark_id)
-            counts.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
-            flat.append(np.delete(ids, marks))
-        ids, lengths = np.concatenate(flat), np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        texts = (self.mark.join(plain[k : k + RUN]) for k in range(0, len(plain), RUN))
+        ids, lengths = self._between((self._ids([text])[0] for text in texts), self.mark_id)
         if odd:
             at, parts = np.concatenate([[0], np.cumsum(lengths)]), []
             previous = 0
@@ -62,6 +72,32 @@ class UnitEncoder:
         return ids, lengths
 
 
+class LowerUnitEncoder(UnitEncoder):
+    """For the units of ``lower_units``: runs of the letters a to z go to the merges at once.
+
+    Such a run is one piece that normalizing and splitting leave as it is, and
+    in a byte-level vocabulary its letters stand for themselves.
+    """
+
+    def __init__(self, tokenizer_json: str, mark: str):
+        super().__init__(tokenizer_json, mark)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.sign = " ! "
+        (self.sign_id,) = self.merges.encode_batch_fast([self.sign], add_special_tokens=False)[0].ids
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.fromiter((u.isascii() and u.isalpha() and u.islower() for u in units), dtype=bool, count=len(units))
+        runs = [u for u, own in zip(units, letters.tolist()) if own]
+        others = super().encode([u for u, own in zip(units, letters.tolist()) if not own])
+        texts = (self.sign.join(runs[k : k + RUN]) for k in range(0, len(runs), RUN))
+        found = self._between((self.merges.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts), self.sign_id)
+        ids, lengths = (np.concatenate([a, b]) for a, b in zip(found, others))
+        order = np.empty(len(units), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])] = np.arange(len(units))
+        return flat_take(ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), order)
+
+
 class UnitTable:
     """Codes and token ids of the distinct units that a task has seen."""
 
@@ -112,26 +148,49 @@ def distinct(units: pa.Array) -> tuple[np.ndarray, list[str]]:
 SPACE_MARK = " \u00bd "
 
 
-def space_units(data: np.ndarray, offsets: np.ndarray, table: UnitTable) -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> np.ndarray:
+    """Class of each byte: white space, letter, digit, sign, or 4 for the apostrophe and bytes beyond ASCII."""
+    table = np.full(256, 4, dtype=np.int8)
+    table[33:127] = 3
+    for lo, hi, kind in ((65, 91, 1), (97, 123, 1), (48, 58, 2)):
+        table[lo:hi] = kind
+    table[ord("'")] = 4
+    table[IS_SPACE] = 0
+    return table
+
+
+CLASS = _classes()
+
+
+def lower_units(data: np.ndarray, offsets: np.ndarray, table: UnitTable) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the units of some texts, and the number of units of each text.
 
-    A unit is a word with the white space after it; white space is not part
-    of any token of the tokenizers this is for.
+    For tokenizers that lower the case, drop white space and split letters,
+    digits and signs: a unit is a run of ASCII letters, digits or signs. An
+    apostrophe (it may join letters) or a character beyond ASCII (it may be of any kind)
+    never borders a unit, except at white space; nor do units begin or end inside the special tokens, whose texts are cut at
+    white space alone.
     """
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    space = IS_SPACE[data]
+    kind = CLASS[data]
+    text = data.tobytes()
+    if any(mark in text for mark in table.encoder.special):
+        kind = np.minimum(kind, 1)  # words as they are
+        lower = data
+    else:
+        lower = LOWER[data]
     begin = np.zeros(n + 1, dtype=bool)
-    begin[1:n] = ~space[1:] & space[:-1]
+    begin[1:n] = (kind[1:] != kind[:-1]) & ((kind[:-1] == 0) | (kind[1:] != 4) & (kind[:-1] != 4))
     begin[offsets] = True
-    starts = np.flatnonzero(begin[:n])
-    index, words = distinct(cut(data, starts, np.append(starts[1:], n)))
-    per_doc = np.diff(np.searchsorted(starts, offsets))
-    stripped = [w.rstrip(" \t\n\v\f\r") for w in words]
-    alone = list(dict.fromkeys(stripped))
-    at = dict(zip(alone, table.codes(alone).tolist()))
-    return np.fromiter(map(at.__getitem__, stripped), dtype=np.int64, count=len(stripped))[index], per_doc
+    inside = kind != 0
+    begin = begin[:n] & inside
+    rank = np.cumsum(inside)
+    starts = rank[begin] - 1
+    index, units = distinct(cut(lower[inside], starts, np.append(starts[1:], rank[-1]))) if len(starts) else (starts, [])
+    per_doc = np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
+    return table.codes(units)[index], per_doc
 
 
 def may_be_space_end(data: np.ndarray) -> np.ndarray:
