@@ -112,7 +112,7 @@ SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, signat
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, digest of the set, band keys and a signature of 16 bits a place for every row."""
+    """Set size, digest of the set, band keys and a signature of 8 bits a place for every row."""
 
     def run(batches):
         roll = RollingHash()
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                 bands = pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(as_long(band_keys(signed).ravel()))
                 )
-                small = np.ascontiguousarray((mix(signed) & np.uint64(0xFFFF)).astype(np.uint16))
+                small = np.ascontiguousarray((mix(signed) & np.uint64(0xFF)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(lo, n), pa.array(count.astype(np.int64)), pa.array(digest, type=pa.binary()), bands,
                      pa.array([row.tobytes() for row in small], type=pa.binary())],
@@ -149,7 +149,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, PLACES) for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, PLACES) for k in (2, 3))
             good = pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT) if len(a) else pa.array([], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import LOWER, RollingHash, Words, as_long, ngram_hashes, stored, text_buffer, text_slices
+from flowdetect.llm.common import LOWER, RollingHash, Words, as_long, ngram_hashes, slices, stored, text_buffer, text_slices
 from flowdetect.llm.suffix_dedup import LAST, cut_ranges
 
 SHINGLE = 5
@@ -222,15 +222,17 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     lists = wanted.groupBy("id", "tag").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
     def run(batches):
+        roll = RollingHash()
         for batch in batches:
             texts_of = batch.column(4)
             starts, ends = (batch.column(k).to_pylist() for k in (2, 3))
             for row, data, offsets in text_slices(texts_of):
-                roll_free = _word_bounds(data, offsets)
+                words = Words(data, offsets, roll)
                 out = [[], [], [], [], [], []]
                 for d in range(len(offsets) - 1):
                     text = data[offsets[d] : offsets[d + 1]]
-                    begin, end = roll_free(d)
+                    own = slice(words.first[d], words.first[d + 1])
+                    begin, end = words.start[own] - offsets[d], words.end[own] - offsets[d]
                     for s, e in zip(starts[row + d], ends[row + d]):
                         a = max(0, int(np.searchsorted(begin, s, side="right")) - 1 - MARGIN)
                         b = min(len(begin) - 1, int(np.searchsorted(begin, e, side="right")) - 1 + SHINGLE + MARGIN)
@@ -247,16 +249,6 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id long, tag long, s long, e long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
 
 
-def _word_bounds(data, offsets):
-    words = Words(data, offsets, RollingHash())
-
-    def of(d):
-        a, b = words.first[d], words.first[d + 1]
-        return words.start[a:b] - offsets[d], words.end[a:b] - offsets[d]
-
-    return of
-
-
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
@@ -351,8 +343,9 @@ def align_chains(pairs: DataFrame) -> DataFrame:
     def run(batches):
         roll = RollingHash()
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                yield from part(batch.slice(k, 200), roll)
+            sizes = sum(np.diff(text_buffer(batch.column(batch.schema.get_field_index(c)))[1]) for c in ("abytes", "bbytes"))
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(sizes)])):
+                yield from part(batch.slice(lo, hi - lo), roll)
 
     def part(batch, roll):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -395,14 +388,15 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         heads.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
         "first-seeds",
+        release=True,
     )
     across = heads.join(first, "hash").where("id <> sid or spot <> sspot").select("id", "spot", "sid", "sspot")
     within = seeded.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
-    matches = stored(across.union(within), "matches")
-    found = stored(chained(matches), "chains")
+    matches = stored(across.union(within), "matches", release=True)
+    found = stored(chained(matches), "chains", release=True)
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
-    cuts = stored(spans(one.union(other).distinct(), texts), "spans")
+    cuts = stored(spans(one.union(other).distinct(), texts), "spans", release=True)
     a = cuts.toDF("id", "tag", "x0", "x1", "alo", "abytes")
     b = cuts.toDF("sid", "stag", "y0", "y1", "blo", "bbytes")
     return align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"]))
@@ -418,7 +412,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without their repeats; ``size_col`` (if present) is counted anew. A row left without a word goes."""
-    found = stored(find_passages(docs, id_col, text_col), "passages")
+    found = stored(find_passages(docs, id_col, text_col), "passages", release=True)
     lists = found.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     columns = docs.columns
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"),
