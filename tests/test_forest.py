@@ -364,3 +364,24 @@ def test_node_table_scores_like_the_forest(spark, one_day):
     joined = rows.join(ours, "event_id")
     assert joined.count() == rows.count()
     assert joined.where("walked <> spark_prediction").count() == 0
+
+
+def test_the_source_is_read_once(spark):
+    """Counts how often a source column is computed: once per row of the run, for one day and for every day."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    flows = _flows(spark)
+    watched = flows.withColumn("totalSourcePackets", counted("totalSourcePackets"))
+    run = programs.train_day(watched, "Jun12", num_trees=2, max_bins="auto")
+    run.scored().count()
+    run.release()
+    one_day = flows.where("day = 'Jun12'").count()
+    assert seen.value == one_day
+    res = programs.train_each_day(watched, num_trees=2, max_bins="auto")
+    assert res.test_error().count() == 6
+    assert seen.value == one_day + flows.count()
