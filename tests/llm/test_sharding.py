@@ -52,3 +52,16 @@ def test_empty_and_written_shards(spark, scratch):
     path = scratch("shards")
     write_shards(docs, path)
     assert spark.read.parquet(path).count() == docs.count()
+
+
+def test_slots_over_many_small_blocks(spark, monkeypatch):
+    from flowdetect.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(blocks, "BLOCKS_PER_RUN", 3)
+    df = spark.range(0, 500, 1, 4).selectExpr("id", "id % 3 as g")
+    out = blocks.numbered(df, "g", "n", "blocks").collect()
+    assert len(out) == 500
+    for g in range(3):
+        numbers = [r["n"] for r in out if r["g"] == g]
+        assert sorted(numbers) == list(range(len(numbers)))
