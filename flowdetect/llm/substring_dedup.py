@@ -4,8 +4,8 @@ Seeds are windows of five words (lower-cased A-Z), of which every run of
 WINDOW neighbours keeps the one with the least hash: passages that agree on
 WINDOW + 4 words in a row share a seed. A seed that a document has again is
 matched with its occurrence before in that document; the first one of each
-document is joined with the first document that has it (smallest id) alone, so a
-seed of many documents gives as many matches as documents, not pairs. The matches of a document with one
+document is joined with the first two documents that have it (smallest ids), so a
+seed of many documents gives at most twice as many matches as documents, not pairs. The matches of a document with one
 earlier document are chained: ordered in both texts, with a cost for gaps, best
 predecessors found through a Fenwick tree over the places in the earlier text.
 Chains are then aligned word by word on the texts themselves; aligned stretches of at
@@ -390,9 +390,17 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "first-seeds",
         release=True,
     )
-    across = heads.join(first, "hash").where("id <> sid or spot <> sspot").select("id", "spot", "sid", "sspot")
+    shared = stored(heads.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-seeds", release=True)
+    # the second document too: a passage may begin there that holds a stretch of the first
+    second = stored(
+        shared.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
+        "second-seeds",
+    )
+    later = shared.select("hash", "id", "spot").join(second, "hash").where("id <> sid or spot <> sspot")
     within = seeded.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
-    matches = stored(across.union(within), "matches", release=True)
+    columns = ["id", "spot", "sid", "sspot"]
+    matches = stored(shared.select(*columns).union(later.select(*columns)).union(within), "matches", release=True)
     found = stored(chained(matches), "chains", release=True)
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
