@@ -9,7 +9,6 @@ to the documents table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowdetect.llm import exact_dedup, minhash, packing, quality_classifier, substring_dedup
 from flowdetect.llm.common import read_table, stored
@@ -20,8 +19,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Operator 8: rows whose quality score is below the threshold go."""
     stats = stored(quality_classifier.document_statistics(docs), "statistics")
     model = quality_classifier.fit(stats, read_table(spark, sf_dir, "labels"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.where(quality_classifier.score_column("text", model) >= F.lit(quality_classifier.THRESHOLD)).select(*columns)
+    return quality_classifier.accepted_rows(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

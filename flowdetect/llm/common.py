@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 
@@ -20,16 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh table in the shared scratch folder and read it back.
 
     The written table cuts the lineage: a lost executor costs only the tasks of
-    later steps. The folder is removed when the session ends. ``release``: drop the shuffle files of the steps up to here, for steps that shuffle much.
+    later steps. The folder is removed when the session ends. ``release``: drop the
+    shuffle files of the steps up to here, for steps that shuffle much. ``paths``
+    gets the folder, for a caller that removes it sooner.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if paths is not None:
+        paths.append(path)
     if release:
         release_shuffles(spark)
     return out
@@ -47,6 +52,21 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def lean(run):
+    """A batch generator that hands freed memory back to the system when its task ends: Python workers are reused."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- hashing
 
 _U = np.uint64

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import stored
+from flowdetect.llm.common import lean, stored
 
 # Element names and words of class, id and role attributes.
 NO_TEXT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video",
@@ -190,7 +190,7 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
                 ["content", "name", "host", "path", "hashes"],
             )
 
-    return keyed.select("content", "name", "url", "html").mapInArrow(run, f"{KEY}, host string, path string, hashes array<long>")
+    return keyed.select("content", "name", "url", "html").mapInArrow(lean(run), f"{KEY}, host string, path string, hashes array<long>")
 
 
 def line_texts(keyed: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def line_texts(keyed: DataFrame) -> DataFrame:
                 ["content", "name", "page_id", "url", "body", "kinds"],
             )
 
-    return keyed.mapInArrow(run, f"{KEY}, page_id long, url string, body string, kinds string")
+    return keyed.mapInArrow(lean(run), f"{KEY}, page_id long, url string, body string, kinds string")
 
 
 def _common_prefix(a: str, b: str) -> int:

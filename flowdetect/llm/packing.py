@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowdetect.llm.blocks import numbered
-from flowdetect.llm.common import stored, text_slices
+from flowdetect.llm.common import lean, stored, text_slices
 from flowdetect.llm.units import SPACE_MARK, UNIT_SLICE, LowerUnitEncoder, UnitTable, flat_take, lower_units
 
 SEQUENCE = 2048
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, sequence: int = SEQUENCE, end_i
                     out.append(pa.array(arrays, type=pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], sequence: int) -> list[tuple[int, list[int]]]:

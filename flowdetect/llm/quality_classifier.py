@@ -18,12 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import LOWER, RollingHash, Words, ngram_hashes, stored, text_slices
+from flowdetect.llm.common import LOWER, RollingHash, Words, lean, ngram_hashes, stored, text_slices
 from flowdetect.llm.quality_rules import copies, later_copies
 
 THRESHOLD = 0.7
@@ -136,7 +135,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "stats"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, stats array<double>")
 
 
 def held_out(doc_id) -> F.Column:
@@ -188,7 +187,7 @@ def _sums(rows: DataFrame, moments) -> dict[int, np.ndarray]:
                 ["label", "k", "value"],
             )
 
-    added = rows.mapInArrow(run, "label long, k long, value double").groupBy("label", "k").agg(F.sum("value").alias("value")).collect()
+    added = rows.mapInArrow(lean(run), "label long, k long, value double").groupBy("label", "k").agg(F.sum("value").alias("value")).collect()
     out: dict[int, np.ndarray] = {}
     for row in sorted(added, key=lambda r: (r["label"], r["k"])):
         out.setdefault(row["label"], []).append(row["value"])
@@ -240,18 +239,20 @@ def score_statistics(stats: DataFrame, model: Discriminant) -> DataFrame:
             values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(values))], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def score_column(text_col: str, model: Discriminant):
-    """Column: the score of a text column, for filtering rows in place."""
+def accepted_rows(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least THRESHOLD, with their columns."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_vectors(pa.array(text, type=pa.string()), RollingHash())))
+    def run(batches):
+        roll = RollingHash()
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(_vectors(batch.column(at), roll)) >= THRESHOLD))
 
-    return score(F.col(f"`{text_col}`"))
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

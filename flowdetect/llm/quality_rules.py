@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import RollingHash, Words, ngram_hashes, text_slices
+from flowdetect.llm.common import RollingHash, Words, lean, ngram_hashes, text_slices
 
 #: Symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -121,7 +121,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             arrays = [pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64)) for v in parts.values()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

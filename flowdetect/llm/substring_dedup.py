@@ -24,13 +24,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowdetect.llm.common import LOWER, RollingHash, Words, as_long, ngram_hashes, slices, stored, text_buffer, text_slices
+from flowdetect.llm.common import IS_SPACE, LOWER, RollingHash, Words, as_long, lean, ngram_hashes, slices, stored, text_buffer, text_slices
 from flowdetect.llm.suffix_dedup import LAST, cut_ranges
+from flowdetect.session import remove_path
 
 SHINGLE = 5
 WINDOW = 20
@@ -96,7 +98,7 @@ def seed_rows(texts: DataFrame) -> DataFrame:
                     [pa.array(as_long(key)), pa.array(ids[row + doc]), pa.array(spot), pa.array(before, mask=first)], ["hash", "id", "spot", "before"]
                 )
 
-    return texts.select("id", "text").mapInArrow(run, SEEDS)
+    return texts.select("id", "text").mapInArrow(lean(run), SEEDS)
 
 
 class PrefixMax:
@@ -214,7 +216,7 @@ def chained(matches: DataFrame) -> DataFrame:
                 [f.split()[0] for f in CHAINS.split(", ")],
             )
 
-    return matches.select("id", "spot", "sid", "sspot").repartition("id").sortWithinPartitions("id").mapInArrow(run, CHAINS)
+    return matches.select("id", "spot", "sid", "sspot").repartition("id").sortWithinPartitions("id").mapInArrow(lean(run), CHAINS)
 
 
 def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
                     )
 
     joined = lists.join(texts, ["id", "tag"]).select("id", "tag", "starts", "ends", "text")
-    return joined.mapInArrow(run, "id long, tag long, s long, e long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
+    return joined.mapInArrow(lean(run), "id long, tag long, s long, e long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
 
 
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -371,7 +373,7 @@ def align_chains(pairs: DataFrame) -> DataFrame:
         kinds = [pa.int64()] * 8 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in PASSAGES.split(", ")])
 
-    return pairs.mapInArrow(run, PASSAGES)
+    return pairs.mapInArrow(lean(run), PASSAGES)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -382,26 +384,31 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of PASSAGES: each repeated passage with where its earlier copy stands (bytes)."""
     texts = _texts(docs, id_col, text_col)
-    seeded = stored(seed_rows(texts), "seeds")
+    paths: list[str] = []  # tables that only the chains need
+    seeded = stored(seed_rows(texts), "seeds", paths=paths)
     heads = seeded.where("before is null").select("hash", "id", "spot")
     first = stored(
         heads.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
         "first-seeds",
         release=True,
+        paths=paths,
     )
-    shared = stored(heads.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-seeds", release=True)
+    shared = stored(heads.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-seeds", release=True, paths=paths)
     # the second document too: a passage may begin there that holds a stretch of the first
     second = stored(
         shared.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
         "second-seeds",
+        paths=paths,
     )
     later = shared.select("hash", "id", "spot").join(second, "hash").where("id <> sid or spot <> sspot")
     within = seeded.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
     columns = ["id", "spot", "sid", "sspot"]
-    matches = stored(shared.select(*columns).union(later.select(*columns)).union(within), "matches", release=True)
+    matches = stored(shared.select(*columns).union(later.select(*columns)).union(within), "matches", release=True, paths=paths)
     found = stored(chained(matches), "chains", release=True)
+    for path in paths:
+        remove_path(docs.sparkSession, path)
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
     cuts = stored(spans(one.union(other).distinct(), texts), "spans", release=True)
@@ -423,31 +430,35 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(find_passages(docs, id_col, text_col), "passages", release=True)
     lists = found.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     columns = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"),
-                        F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag"))
-    joined = keyed.join(lists, ["id", "tag"], "left")
-
-    @F.pandas_udf("string")
-    def without(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for t, s, e in zip(text, starts, ends):
-            if s is not None and t is not None:
-                raw = np.frombuffer(t.encode(), dtype=np.uint8)
-                gone, _ = cut_ranges(raw, np.asarray(s, dtype=np.int64), np.asarray(e, dtype=np.int64))
-                t = raw[~gone].tobytes().decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    text = F.col(f"_row.`{text_col}`")
-    changed = F.col("starts").isNotNull()
-    rest = joined.withColumn("_text", without(text, F.col("starts"), F.col("ends"))).where(~changed | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-
-    def value(name: str):
-        old = F.col(f"_row.`{name}`")
-        if name == text_col:
-            return F.when(changed, F.col("_text")).otherwise(old).alias(name)
-        if name == size_col:
-            return F.when(changed, F.char_length("_text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
-        return old.alias(name)
-
-    return rest.select(*(value(c) for c in columns))
+    at, size_at = columns.index(text_col), columns.index(size_col) if size_col in columns else None
+    keyed = docs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"),
+        F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag"),
+    )
+    plain = [f"c{i}" for i in range(len(columns))]
+    joined = keyed.join(lists, ["id", "tag"], "left").select(*plain, "starts", "ends")
+
+    def run(batches):
+        for batch in batches:
+            arrays = [batch.column(i) for i in range(len(plain))]
+            touched = batch.column(len(plain)).is_valid()
+            keep = np.ones(batch.num_rows, dtype=bool)
+            rows = np.flatnonzero(touched.to_numpy(zero_copy_only=False))
+            if len(rows):
+                starts, ends = (batch.column(len(plain) + k).take(pa.array(rows)).to_pylist() for k in (0, 1))
+                texts = []
+                for row, s, e in zip(rows.tolist(), starts, ends):
+                    raw = np.frombuffer(arrays[at][row].as_py().encode(), dtype=np.uint8)
+                    gone, _ = cut_ranges(raw, np.array(s, dtype=np.int64), np.array(e, dtype=np.int64))
+                    rest = raw[~gone]
+                    keep[row] = not IS_SPACE[rest].all()
+                    texts.append(rest.tobytes().decode())
+                arrays[at] = pc.replace_with_mask(arrays[at], touched, pa.array(texts, arrays[at].type))
+                if size_at is not None:
+                    sizes = pa.array([len(t) for t in texts]).cast(arrays[size_at].type)
+                    arrays[size_at] = pc.replace_with_mask(arrays[size_at], touched, sizes)
+            yield pa.RecordBatch.from_arrays(arrays, plain).filter(pa.array(keep))
+
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    return joined.mapInArrow(lean(run), schema).toDF(*columns)

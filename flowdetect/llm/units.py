@@ -13,9 +13,9 @@ from tokenizers.pre_tokenizers import WhitespaceSplit
 from flowdetect.llm.common import IS_SPACE, LOWER
 
 #: Distinct units a task remembers before it starts afresh (bounds its memory).
-MAX_UNITS = 600_000
+MAX_UNITS = 300_000
 #: Bytes of text whose units are listed at once: longer runs repeat more units.
-UNIT_SLICE = 6 << 20
+UNIT_SLICE = 4 << 20
 #: Units encoded as one string, with a mark between them.
 RUN = 2000
 
