@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import RollingHash, slices, stored, text_buffer
+from flowdetect.llm.common import RollingHash, lean, slices, stored, text_buffer
 from flowdetect.llm.units import UnitEncoder, UnitTable, cut, flat_take, leading_space_units
 from flowdetect.session import scratch_path
 
 #: Bytes of text in one block; a longer document is a block of its own.
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 18 << 20
 #: Rows of lists: units of a block (kind 0, one row per bucket) and the block's documents (kind 1).
 LISTS = "kind int, block long, bucket int, body binary"
 COLUMNS = ["kind", "block", "bucket", "body"]
@@ -112,7 +112,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Da
                 [pa.array(kind, pa.int32()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], COLUMNS
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LISTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), LISTS)
 
 
 def by_block(lists: DataFrame, buckets: int) -> DataFrame:
@@ -145,7 +145,7 @@ def encode_units(lists: DataFrame, tokenizer_json: str, mark: str, buckets: int)
                 out.append(squeeze(steps, counts, ids, np.zeros(0, dtype=np.uint8)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "body"])
 
-    return lists.repartition(buckets, "bucket").select("block", "body").mapInArrow(run, "block long, body binary")
+    return lists.repartition(buckets, "bucket").select("block", "body").mapInArrow(lean(run), "block long, body binary")
 
 
 def flat_take_after(table: UnitTable, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
