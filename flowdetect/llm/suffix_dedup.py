@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import RollingHash, as_long, slices, stored, text_buffer
+from flowdetect.llm.common import RollingHash, as_long, lean, slices, stored, text_buffer
+from flowdetect.session import remove_path, scratch_path
 
 LENGTH = 100
 GRAM = 32
@@ -108,7 +109,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         ["hash", "id", "tag", "lo", "shape"],
                     )
 
-    return docs.select("id", "text").mapInArrow(run, ANCHORS)
+    return docs.select("id", "text").mapInArrow(lean(run), ANCHORS)
 
 
 def with_contexts(repeated: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -139,7 +140,7 @@ def with_contexts(repeated: DataFrame, docs: DataFrame, length: int) -> DataFram
                     ["hash", "id", "tag", "lo", "shape", "n", "context"],
                 )
 
-    return wanted.join(docs, ["id", "tag"]).select("id", "tag", "wanted", "text").mapInArrow(run, schema)
+    return wanted.join(docs, ["id", "tag"]).select("id", "tag", "wanted", "text").mapInArrow(lean(run), schema)
 
 
 def radix_groups(group: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +263,7 @@ def repeated_strings(contexts: DataFrame, length: int) -> DataFrame:
             for columns in repeated_in(table, length):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "tag", "from", "to"])
 
-    return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RANGES)
+    return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(lean(run), RANGES)
 
 
 def repeated_often(contexts: DataFrame, length: int) -> DataFrame:
@@ -301,15 +302,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
     tagged = texts.withColumn("tag", F.crc32(F.coalesce("text", F.lit(""))))
-    found = stored(anchor_rows(texts, length, gram), "anchors")
+    path = scratch_path(docs.sparkSession, "anchors")
+    anchor_rows(texts, length, gram).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.schema(ANCHORS).parquet(path)
     counts = stored(found.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts", release=True)
     repeated = stored(found.where("hash is not null").join(counts, "hash"), "repeated-anchors", release=True)
+    to = (F.col("lo") + F.shiftright("shape", 8)).alias("to")
+    at_once = stored(found.where("hash is null").select("id", "tag", F.col("lo").alias("from"), to), "ranges-at-once")
+    remove_path(docs.sparkSession, path)  # all that is needed of the anchors is written
     contexts = with_contexts(repeated.where(F.col("n") <= MANY), tagged, length)
     ranges = stored(repeated_strings(contexts, length), "ranges", release=True)
     often = repeated.where(F.col("n") > MANY)
     if not often.isEmpty():
         ranges = ranges.union(repeated_often(with_contexts(often, tagged, length), length))
-    at_once = found.where("hash is null").select("id", "tag", F.col("lo").alias("from"), (F.col("lo") + F.shiftright("shape", 8)).alias("to"))
     by_doc = ranges.union(at_once).groupBy("id", "tag").agg(F.collect_list("from").alias("starts"), F.collect_list("to").alias("ends"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
@@ -341,4 +346,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     joined = tagged.join(by_doc, ["id", "tag"], "left").select(
         "id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends")
     )
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
