@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import GOLD, LOWER, RollingHash, Words, as_long, mix, ngram_hashes, stored, stream, text_slices
+from flowdetect.llm.common import GOLD, LOWER, RollingHash, Words, as_long, lean, mix, ngram_hashes, stored, stream, text_slices
 from flowdetect.llm.components import components
+from flowdetect.session import remove_path, scratch_path
 
 #: Signature places; bands of ROWS places each. A pair at 0.8 shares no band with probability below 4e-6.
 BANDS, ROWS = 24, 4
@@ -135,7 +136,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                     ["doc_id", "n_shingles", "digest", "bands", "signature"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SIGNED)
 
 
 def _enough(na, nb) -> F.Column:
@@ -154,7 +155,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(good)
 
     both = pairs.join(named("u"), "u").join(named("v"), "v").where(_enough(F.col("nu"), F.col("nv")))
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "su", "sv").mapInArrow(lean(run), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -183,7 +184,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     named = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "tu", "tv")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def shingle_lists(texts: DataFrame, size: int) -> DataFrame:
@@ -198,7 +199,7 @@ def shingle_lists(texts: DataFrame, size: int) -> DataFrame:
                 body = [keys[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(body)), pa.array(body, pa.binary())], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.mapInArrow(lean(run), "node long, shingles binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -289,21 +290,25 @@ def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
             v.append(np.maximum(node[i], node[at]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``size``: words in a shingle."""
-    signed = stored(signatures(docs, size, id_col, text_col), "signed")
-    linked = signed.where("n_shingles > 0 and doc_id is not null")
+    path = scratch_path(docs.sparkSession, "signed")
+    signatures(docs, size, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    written = docs.sparkSession.read.schema(SIGNED).parquet(path)
+    some = "n_shingles > 0 and doc_id is not null"
     nodes = stored(
-        linked.groupBy("digest").agg(
+        written.where(some).groupBy("digest").agg(
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"), F.first("signature").alias("signature"),
         ),
         "nodes",
         release=True,
     )
+    signed = stored(written.select("doc_id", "n_shingles", "digest"), "sets")
+    remove_path(docs.sparkSession, path)  # signatures and bands live on in nodes
     in_band = nodes.select("node", F.explode("bands").alias("key"))
     shared = stored(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
     buckets = stored(in_band.join(shared, "key"), "buckets", release=True)
@@ -330,9 +335,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     groups = stored(components(stars.union(links)), "groups")
     node_of = nodes.select("digest", F.col("node"))
-    placed = linked.select("doc_id", "n_shingles", "digest").join(node_of, "digest").select("doc_id", "n_shingles", "node")
+    placed = signed.where(some).join(node_of, "digest").select("doc_id", "n_shingles", "node")
     placed = placed.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = signed.where(f"not ({some})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
