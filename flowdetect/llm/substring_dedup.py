@@ -38,8 +38,8 @@ SHINGLE = 5
 WINDOW = 20
 MIN_WORDS = 50
 SIMILARITY = 0.8
-#: Chain score: one per seed, less this for every byte of gap in either text.
-GAP_COST = 0.003
+#: Chain score: one per seed, less this for every word of gap in either text; neighbouring seeds, at most WINDOW words apart, always chain.
+WORD_COST = 0.02
 #: Seeds in a chain at least: a passage of MIN_WORDS words has two.
 MIN_SEEDS = 2
 #: Words around a chain that alignment may use.
@@ -55,7 +55,7 @@ SEEDS = "hash long, id long, spot long, before long"
 
 
 def seeds(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, byte, hash) of the seeds of some texts."""
+    """(document, word, hash) of the seeds of some texts."""
     words = Words(LOWER[data], offsets, roll)
     key, at = ngram_hashes(words.hash, words.doc, SHINGLE)
     n = len(key)
@@ -75,21 +75,21 @@ def seeds(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> tuple[np.
         least = np.minimum(least[: len(least) - rest], least[rest:])
         chosen.append(least[doc[: len(least)] == doc[WINDOW - 1 :]])
     place = np.unique((np.concatenate(chosen) & np.uint64(0xFFFFFFF)).astype(np.int64))
-    return doc[place], words.start[at[place]] - offsets[doc[place]], key[place]
+    return doc[place], at[place] - words.first[doc[place]], key[place]
 
 
 def seed_rows(texts: DataFrame) -> DataFrame:
-    """(hash, id, spot, before): spot holds the text's checksum and the byte of the seed, before the text's spot of the same seed before."""
+    """(hash, id, spot, before): spot holds the text's checksum and the word where the seed begins, before the text's spot of the same seed before."""
 
     def run(batches):
         roll = RollingHash()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, data, offsets in text_slices(batch.column(1)):
-                doc, byte, key = seeds(data, offsets, roll)
+                doc, word, key = seeds(data, offsets, roll)
                 tags = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.uint32)
-                spot = as_long(tags[doc].astype(np.uint64) << np.uint64(32) | byte.astype(np.uint64))
-                order = np.lexsort((byte, key, doc))
+                spot = as_long(tags[doc].astype(np.uint64) << np.uint64(32) | word.astype(np.uint64))
+                order = np.lexsort((word, key, doc))
                 before, first = np.zeros(len(doc), dtype=np.int64), np.ones(len(doc), dtype=bool)
                 same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
                 before[order[1:][same]] = spot[order[:-1][same]]
@@ -125,11 +125,11 @@ class PrefixMax:
         return value, item
 
 
-def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Seeds (indices) of each chain; ``x`` ascending. Chains do not share seeds."""
+def chains(x: np.ndarray, y: np.ndarray, cost: float = 0.003) -> list[np.ndarray]:
+    """Seeds (indices) of each chain; ``x`` ascending, ``cost`` for each unit of gap. Chains do not share seeds."""
     # seeds that follow each other on one diagonal are one link of the chain
     new = np.ones(len(x), dtype=bool)
-    new[1:] = (np.diff(x) != np.diff(y)) | (np.diff(x) * 2 * GAP_COST > 1)
+    new[1:] = (np.diff(x) != np.diff(y)) | (np.diff(x) * 2 * cost > 1)
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(x)) - 1
     if len(begin) == 1:
@@ -146,11 +146,11 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     for i in range(len(begin)):
         while ready < len(by_end) and x1[by_end[ready]] < x0[i] and by_end[ready] < i:
             j = by_end[ready]
-            tree.put(put_at[j], score[j] + GAP_COST * (x1[j] + y1[j]), j)
+            tree.put(put_at[j], score[j] + cost * (x1[j] + y1[j]), j)
             ready += 1
         value, j = tree.best(ask_below[i])
         score[i] = weight[i]
-        gain = value - GAP_COST * (x0[i] + y0[i])
+        gain = value - cost * (x0[i] + y0[i])
         if j >= 0 and gain > 0:
             score[i], parent[i] = weight[i] + gain, j
     used = [False] * len(begin)
@@ -205,7 +205,7 @@ def chained(matches: DataFrame) -> DataFrame:
             if b - a < MIN_SEEDS:
                 continue
             own = np.arange(a, b)[~again[a:b]]
-            for chain in chains(x[own], y[own]) if len(own) >= MIN_SEEDS else ():
+            for chain in chains(x[own], y[own], WORD_COST) if len(own) >= MIN_SEEDS else ():
                 if len(chain) >= MIN_SEEDS:
                     at = own[chain]
                     rows.append((who[a], int(tag[a]), x[at[0]], x[at[-1]], source[a], int(stag[a]), y[at[0]], y[at[-1]], x[at], y[at]))
@@ -220,7 +220,7 @@ def chained(matches: DataFrame) -> DataFrame:
 
 
 def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bytes around each wanted range (id, tag, s, e): MARGIN words more on both sides, as far as the text goes."""
+    """Bytes around each wanted range of words (id, tag, s, e), from word ``first`` at byte ``lo`` on: MARGIN words more on both sides, as far as the text goes."""
     lists = wanted.groupBy("id", "tag").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
     def run(batches):
@@ -230,25 +230,25 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
             starts, ends = (batch.column(k).to_pylist() for k in (2, 3))
             for row, data, offsets in text_slices(texts_of):
                 words = Words(data, offsets, roll)
-                out = [[], [], [], [], [], []]
+                out = [[], [], [], [], [], [], []]
                 for d in range(len(offsets) - 1):
                     text = data[offsets[d] : offsets[d + 1]]
                     own = slice(words.first[d], words.first[d + 1])
                     begin, end = words.start[own] - offsets[d], words.end[own] - offsets[d]
                     for s, e in zip(starts[row + d], ends[row + d]):
-                        a = max(0, int(np.searchsorted(begin, s, side="right")) - 1 - MARGIN)
-                        b = min(len(begin) - 1, int(np.searchsorted(begin, e, side="right")) - 1 + SHINGLE + MARGIN)
+                        a = max(0, s - MARGIN)
+                        b = min(len(begin) - 1, e + SHINGLE + MARGIN)
                         lo = int(begin[a])
-                        for values, value in zip(out, (batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), s, e, lo, text[lo : int(end[b])].tobytes())):
+                        for values, value in zip(out, (batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), s, e, a, lo, text[lo : int(end[b])].tobytes())):
                             values.append(value)
                 for k in range(0, len(out[0]), 2_000):
                     part = [c[k : k + 2_000] for c in out]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, pa.int64()) for c in part[:5]), pa.array(part[5], pa.binary())], ["id", "tag", "s", "e", "lo", "bytes"]
+                        [*(pa.array(c, pa.int64()) for c in part[:6]), pa.array(part[6], pa.binary())], ["id", "tag", "s", "e", "first", "lo", "bytes"]
                     )
 
     joined = lists.join(texts, ["id", "tag"]).select("id", "tag", "starts", "ends", "text")
-    return joined.mapInArrow(lean(run), "id long, tag long, s long, e long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
+    return joined.mapInArrow(lean(run), "id long, tag long, s long, e long, first long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
 
 
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -340,7 +340,7 @@ PASSAGES = (
 
 
 def align_chains(pairs: DataFrame) -> DataFrame:
-    """Passages of chains with the bytes around them on both sides (abytes from alo, bbytes from blo)."""
+    """Passages of chains with the bytes around them on both sides (abytes from word afirst and byte alo, bbytes likewise)."""
 
     def run(batches):
         roll = RollingHash()
@@ -357,14 +357,16 @@ def align_chains(pairs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(column[name])
             words = Words(LOWER[data], offsets, roll)
             sides.append((words, offsets))
-        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "xs", "ys", "alo", "blo")}
+        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "xs", "ys", "afirst", "bfirst", "alo", "blo")}
         rows = []
         for r in range(n):
             lists = []
-            for (words, offsets), places, lo in zip(sides, (plain["xs"][r], plain["ys"][r]), (plain["alo"][r], plain["blo"][r])):
+            for (words, offsets), places, first, lo in zip(
+                sides, (plain["xs"][r], plain["ys"][r]), (plain["afirst"][r], plain["bfirst"][r]), (plain["alo"][r], plain["blo"][r])
+            ):
                 f, g = words.first[r], words.first[r + 1]
                 start, end = words.start[f:g] - offsets[r] + lo, words.end[f:g] - offsets[r] + lo
-                lists.append((words.hash[f:g], start, end, np.searchsorted(start, np.array(places)).tolist()))
+                lists.append((words.hash[f:g], start, end, (np.array(places) - first).tolist()))
             (ha, a_start, a_end, at_a), (hb, b_start, b_end, at_b) = lists
             for a0, a1, b0, b1, similarity in aligned(ha, hb, list(zip(at_a, at_b))):
                 rows.append((plain["id"][r], plain["tag"][r], int(a_start[a0]), int(a_end[a1 - 1]), a1 - a0, plain["sid"][r],
@@ -412,8 +414,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
     cuts = stored(spans(one.union(other).distinct(), texts), "spans", release=True)
-    a = cuts.toDF("id", "tag", "x0", "x1", "alo", "abytes")
-    b = cuts.toDF("sid", "stag", "y0", "y1", "blo", "bbytes")
+    a = cuts.toDF("id", "tag", "x0", "x1", "afirst", "alo", "abytes")
+    b = cuts.toDF("sid", "stag", "y0", "y1", "bfirst", "blo", "bbytes")
     return align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"]))
 
 

@@ -103,3 +103,18 @@ def test_alignment_passes_small_edits():
     ((a0, a1, b0, b1, similarity),) = aligned(a, b, [(10, 10)])
     assert (a0, a1, b0, b1) == (0, 100, 0, 99) and 0.8 <= similarity < 1
     assert aligned(a[:40], a[:40], [(3, 3)]) == []
+
+
+def pairs_with(rng, passages):
+    """Rows: for each passage (its earlier and its later words) two documents of own words around it."""
+    rows = []
+    for k, (one, other) in enumerate(passages):
+        rows += [(2 * k, " ".join(prose(rng, 60) + one + prose(rng, 60))), (2 * k + 1, " ".join(prose(rng, 60) + other + prose(rng, 60)))]
+    return rows
+
+
+def test_words_of_many_bytes(spark):
+    rng = random.Random(21)
+    passages = [["".join(rng.choice("абвгдежзиклмнопр") for _ in range(15)) for _ in range(50)] for _ in range(30)]
+    found = repeated_passages(documents(spark, pairs_with(rng, [(p, p) for p in passages]))).collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 60, 2))
