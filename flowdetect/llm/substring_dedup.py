@@ -35,12 +35,13 @@ from flowdetect.llm.suffix_dedup import LAST, cut_ranges
 from flowdetect.session import remove_path
 
 SHINGLE = 5
-WINDOW = 20
+WINDOW = 10
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Chain score: one per seed, less this for every word of gap in either text; neighbouring seeds, at most WINDOW words apart, always chain.
 WORD_COST = 0.02
-#: Seeds in a chain at least: a passage of MIN_WORDS words has two.
+#: Seeds in a chain at least. A passage of MIN_WORDS words that agrees to SIMILARITY has a run of 24 equal words (one edit in its middle);
+#: these hold two windows of WINDOW seeds without a common one, so two seeds.
 MIN_SEEDS = 2
 #: Words around a chain that alignment may use.
 MARGIN = 40

@@ -118,3 +118,13 @@ def test_words_of_many_bytes(spark):
     passages = [["".join(rng.choice("абвгдежзиклмнопр") for _ in range(15)) for _ in range(50)] for _ in range(30)]
     found = repeated_passages(documents(spark, pairs_with(rng, [(p, p) for p in passages]))).collect()
     assert {r["doc_id"] for r in found} == set(range(1, 60, 2))
+
+
+def test_an_edit_anywhere_in_a_short_passage(spark):
+    rng = random.Random(22)
+    passages = []
+    for k in range(100):
+        words = prose(rng, 50)
+        passages.append((words, [*words[: 15 + k % 20], "edited", *words[16 + k % 20 :]]))
+    found = repeated_passages(documents(spark, pairs_with(rng, passages))).collect()
+    assert {r["doc_id"] for r in found if r["similarity"] < 1 and r["n_words"] >= 50} == set(range(1, 200, 2))
