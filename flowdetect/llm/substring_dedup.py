@@ -5,7 +5,13 @@ WINDOW neighbours keeps the one with the least hash: passages that agree on
 WINDOW + 4 words in a row share a seed. A seed that a document has again is
 matched with its occurrence before in that document; the first one of each
 document is joined with the first two documents that have it (smallest ids), so a
-seed of many documents gives at most twice as many matches as documents, not pairs. The matches of a document with one
+seed of many documents gives at most twice as many matches as documents, not pairs.
+A seed of up to three documents, once in each, leads to every partner that way. Those that
+stand more often do not, and give longer keys: every stretch of MIN_WORDS words
+that fewer than two rarer seeds lead into is matched with its first occurrence, so
+no exact repeat of MIN_WORDS words is lost to frequent phrases; and pairs of seeds up
+to LAGS seeds apart, with whatever stands between, are joined with their first two
+documents, which finds edited passages made of frequent phrases. The matches of a document with one
 earlier document are chained: ordered in both texts, with a cost for gaps, best
 predecessors found through a Fenwick tree over the places in the earlier text.
 Chains are then aligned word by word on the texts themselves; aligned stretches of at
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowdetect.llm.common import IS_SPACE, LOWER, RollingHash, Words, as_long, lean, ngram_hashes, slices, stored, text_buffer, text_slices
+from flowdetect.llm.common import IS_SPACE, LOWER, RollingHash, Words, as_long, lean, mix, ngram_hashes, slices, stored, text_buffer, text_slices
 from flowdetect.llm.suffix_dedup import LAST, cut_ranges
 from flowdetect.session import remove_path
 
@@ -43,8 +49,12 @@ WORD_COST = 0.02
 #: Seeds in a chain at least. A passage of MIN_WORDS words that agrees to SIMILARITY has a run of 24 equal words (one edit in its middle);
 #: these hold two windows of WINDOW seeds without a common one, so two seeds.
 MIN_SEEDS = 2
-#: Words around a chain that alignment may use.
-MARGIN = 40
+#: Occurrences of a seed that its matches with two documents cover whole.
+FEW = 3
+#: Pairs of seeds up to so many repeated seeds apart are keys too.
+LAGS = 8
+#: Words around a chain that alignment may use: a stretch of MIN_WORDS around its seeds whole.
+MARGIN = MIN_WORDS
 #: Largest number of words skipped in one text to go on with the alignment.
 MAX_SKIP = 30
 #: Equal words that end a skip.
@@ -53,6 +63,7 @@ RESYNC = 3
 DROP = 40
 
 SEEDS = "hash long, id long, spot long, before long"
+KEYS = "hash long, id long, spot long, other long, pair boolean"
 
 
 def seeds(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +113,103 @@ def seed_rows(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(lean(run), SEEDS)
 
 
+def long_keys(words: Words, frequent: np.ndarray, rare: np.ndarray) -> tuple[tuple, tuple]:
+    """Keys around frequent seeds (hash, word, other word): of stretches of MIN_WORDS words, and of pairs of seeds. ``frequent``, ``rare``: words where
+    repeated seeds begin, ascending."""
+    n, grams = len(words.hash), MIN_WORDS - SHINGLE + 1
+    key, at = ngram_hashes(words.hash, words.doc, SHINGLE)
+    frequent, rare = (p[np.isin(p, at)] for p in (frequent, rare))  # else of another text with the same id and checksum
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    known = np.sort(np.concatenate([frequent, rare]))
+    if len(known) < 2:
+        return none, none
+    seed = key[np.searchsorted(at, known)]
+    stretches = none
+    if n >= MIN_WORDS:
+        count = lambda at: np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
+        all_, few = count(known), count(rare)
+        # a window of seeds without a repeated one has one that stands nowhere else
+        alone = np.concatenate([[0], np.cumsum(all_[WINDOW:] == all_[:-WINDOW])])
+        start = np.arange(n - MIN_WORDS + 1)
+        good = (few[start + grams] - few[start] < MIN_SEEDS) & (alone[start + grams - WINDOW + 1] == alone[start])
+        if good.any():
+            key, at = ngram_hashes(words.hash, words.doc, MIN_WORDS)
+            key, at = key[good[at]], at[good[at]]
+            stretches = key, at, at + 1
+    often = np.isin(known, frequent)
+    doc = words.doc[known]
+    keys, ones, others = [], [], []
+    for lag in range(1, min(LAGS, len(known) - 1) + 1):
+        use = np.flatnonzero((doc[lag:] == doc[:-lag]) & (often[lag:] | often[:-lag]) & (known[lag:] - known[:-lag] < grams))
+        keys.append(mix(mix(seed[use]) + seed[use + lag]))
+        ones.append(known[use])
+        others.append(known[use + lag])
+    key, one, other = np.concatenate(keys), np.concatenate(ones), np.concatenate(others)
+    order = np.lexsort((other, one, key, words.doc[one]))
+    key, one, other = key[order], one[order], other[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = (key[1:] != key[:-1]) | (words.doc[one[1:]] != words.doc[one[:-1]])
+    return stretches, (key[first], one[first], other[first])
+
+
+def key_rows(repeats: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of KEYS of the documents with frequent seeds. ``repeats``: id, spot, often of all seeds that stand more than once."""
+    place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    lists = (
+        repeats.groupBy("id", F.shiftrightunsigned("spot", 32).alias("tag"))
+        .agg(F.collect_list(F.when(F.col("often"), place)).alias("frequent"), F.collect_list(F.when(~F.col("often"), place)).alias("rare"))
+        .where("size(frequent) > 0 and size(frequent) + size(rare) > 1")
+    )
+
+    def flat(column, row, n, first):
+        """Word places of a run of texts from their lists."""
+        part = column.slice(row, n)
+        doc = np.repeat(np.arange(n), np.diff(part.offsets.to_numpy()))
+        return np.unique(part.flatten().to_numpy() + first[doc])
+
+    def run(batches):
+        roll = RollingHash()
+        for batch in batches:
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for row, data, offsets in text_slices(batch.column(4)):
+                words = Words(LOWER[data], offsets, roll)
+                n = len(offsets) - 1
+                found = long_keys(words, *(flat(batch.column(k), row, n, words.first) for k in (2, 3)))
+                for pair, (key, *places) in enumerate(found):
+                    for lo in range(0, len(key), 100_000):
+                        one, other = (p[lo : lo + 100_000] for p in places)
+                        doc = words.doc[one]
+                        spots = [as_long(tags[row + doc] << np.uint64(32) | (p - words.first[doc]).astype(np.uint64)) for p in (one, other)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(as_long(key[lo : lo + 100_000])), pa.array(ids[row + doc]), *map(pa.array, spots), pa.array(np.full(len(one), bool(pair)))],
+                            [f.split()[0] for f in KEYS.split(", ")],
+                        )
+
+    return lists.join(texts, ["id", "tag"]).select("id", "tag", "frequent", "rare", "text").mapInArrow(lean(run), KEYS)
+
+
+def heads_of(rows: DataFrame, *places: str) -> DataFrame:
+    """hash, sid and the first row's ``places`` (s before each name) of keys that stand more than once."""
+    return (
+        rows.groupBy("hash").agg(F.min(F.struct("id", *places)).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("hash", F.col("head.id").alias("sid"), *(F.col(f"head.{c}").alias(f"s{c}") for c in places))
+    )
+
+
+def key_matches(keys: DataFrame, paths: list[str]) -> DataFrame:
+    """id, spot, sid, sspot of what long keys share. Each gives the word after too, so that one key is a chain."""
+    first = stored(heads_of(keys, "spot", "other"), "first-keys", release=True, paths=paths)
+    shared = stored(keys.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-keys", release=True, paths=paths)
+    columns = ["hash", "id", "spot", "other"]
+    pairs = shared.where("pair").select(*columns)
+    second = stored(heads_of(pairs, "spot", "other"), "second-keys", paths=paths)
+    later = pairs.join(second, "hash").where("id <> sid or spot <> sspot")
+    both = shared.select("id", "sid", "spot", "other", "sspot", "sother").union(later.select("id", "sid", "spot", "other", "sspot", "sother"))
+    one = lambda a, b: F.struct(a.alias("spot"), b.alias("sspot"))
+    spots = F.array_distinct(F.array(one(F.col("spot"), F.col("sspot")), one(F.col("spot") + 1, F.col("sspot") + 1), one(F.col("other"), F.col("sother"))))
+    return both.select("id", "sid", F.explode(spots).alias("at")).select("id", "at.spot", "sid", "at.sspot")
+
+
 class PrefixMax:
     """Fenwick tree: largest value at places below a bound, with where it came from."""
 
@@ -237,6 +345,8 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
                     own = slice(words.first[d], words.first[d + 1])
                     begin, end = words.start[own] - offsets[d], words.end[own] - offsets[d]
                     for s, e in zip(starts[row + d], ends[row + d]):
+                        if e >= len(begin):  # of another text with the same id and checksum
+                            continue
                         a = max(0, s - MARGIN)
                         b = min(len(begin) - 1, e + SHINGLE + MARGIN)
                         lo = int(begin[a])
@@ -389,26 +499,25 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts(docs, id_col, text_col)
     paths: list[str] = []  # tables that only the chains need
     seeded = stored(seed_rows(texts), "seeds", paths=paths)
-    heads = seeded.where("before is null").select("hash", "id", "spot")
     first = stored(
-        heads.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
+        seeded.groupBy("hash")
+        .agg(F.min(F.when(F.col("before").isNull(), F.struct("id", "spot"))).alias("head"), F.count(F.lit(1)).alias("n"), F.count("before").alias("again"))
+        .where("n > 1")
+        .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot"), ((F.col("n") > FEW) | (F.col("again") > 0)).alias("often")),
         "first-seeds",
         release=True,
         paths=paths,
     )
-    shared = stored(heads.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-seeds", release=True, paths=paths)
+    repeats = stored(seeded.join(first, "hash"), "repeated-seeds", release=True, paths=paths)
+    shared = repeats.where("before is null and (id <> sid or spot <> sspot)")
     # the second document too: a passage may begin there that holds a stretch of the first
-    second = stored(
-        shared.groupBy("hash").agg(F.min(F.struct("id", "spot")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot")),
-        "second-seeds",
-        paths=paths,
-    )
+    second = stored(heads_of(shared.select("hash", "id", "spot"), "spot"), "second-seeds", paths=paths)
     later = shared.select("hash", "id", "spot").join(second, "hash").where("id <> sid or spot <> sspot")
-    within = seeded.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
+    within = repeats.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
+    keys = stored(key_rows(repeats.select("id", "spot", "often"), texts), "keys", release=True, paths=paths)
     columns = ["id", "spot", "sid", "sspot"]
-    matches = stored(shared.select(*columns).union(later.select(*columns)).union(within), "matches", release=True, paths=paths)
+    linked = shared.select(*columns).union(later.select(*columns)).union(within).union(key_matches(keys, paths))
+    matches = stored(linked, "matches", release=True, paths=paths)
     found = stored(chained(matches), "chains", release=True)
     for path in paths:
         remove_path(docs.sparkSession, path)

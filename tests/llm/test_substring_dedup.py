@@ -128,3 +128,33 @@ def test_an_edit_anywhere_in_a_short_passage(spark):
         passages.append((words, [*words[: 15 + k % 20], "edited", *words[16 + k % 20 :]]))
     found = repeated_passages(documents(spark, pairs_with(rng, passages))).collect()
     assert {r["doc_id"] for r in found if r["similarity"] < 1 and r["n_words"] >= 50} == set(range(1, 200, 2))
+
+
+def made_of_phrases(rng, edited):
+    """Rows: pairs of documents (from 20,000 and from 30,000 on) sharing 70 words, of which nine earlier ones hold stretches of 30."""
+    rows = []
+    for k in range(10):
+        words = prose(rng, 70)
+        for m in range(9):
+            rows.append((1_000 * m + k, " ".join(prose(rng, 60) + words[20 * (m % 3) :][:30] + prose(rng, 60))))
+        later = [*words[:35], "edited", *words[36:]] if edited else words
+        rows += [(20_000 + k, " ".join(prose(rng, 60) + words + prose(rng, 60))), (30_000 + k, " ".join(prose(rng, 60) + later + prose(rng, 60)))]
+    return rows
+
+
+def test_passages_made_of_frequent_phrases(spark):
+    for edited in (False, True):
+        found = repeated_passages(documents(spark, made_of_phrases(random.Random(23), edited))).collect()
+        assert {(r["doc_id"], r["source_doc_id"]) for r in found} == {(30_000 + k, 20_000 + k) for k in range(10)}
+        assert all(r["n_words"] >= 70 for r in found)
+
+
+def test_a_phrase_used_before_in_the_document(spark):
+    rng = random.Random(24)
+    rows = []
+    for k in range(10):
+        words = prose(rng, 60)
+        phrases = [w for a in (0, 20, 30) for w in prose(rng, 5) + words[a : a + 30]]
+        rows += [(k, " ".join(phrases + prose(rng, 60) + words)), (100 + k, " ".join(phrases[::-1] + phrases + prose(rng, 60) + words))]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in found if r["n_words"] >= 60 and r["source_doc_id"] == r["doc_id"] - 100} == set(range(100, 110))
