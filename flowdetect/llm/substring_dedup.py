@@ -413,6 +413,34 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(ngram_hashes(words, np.zeros(len(words), dtype=np.int8), SHINGLE)[0])
 
 
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    sa, sb = _shingles(a), _shingles(b)
+    both = len(np.intersect1d(sa, sb, assume_unique=True))
+    return both / max(1, len(sa) + len(sb) - both)
+
+
+def alike(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """Of an alignment's exact ``runs`` (place in a, in b, length), all stretches from one run's begin to another's end that are passages and not part of a longer one."""
+    x, y, n = np.array(sorted(runs)).T
+    shared = np.concatenate([[0], np.cumsum(np.maximum(0, n - SHINGLE + 1))])
+    # (1 + SIMILARITY) * shared shingles - SIMILARITY * all shingles of both, as a difference of what lies before two places
+    before = (1 + SIMILARITY) * shared[:-1] - SIMILARITY * (x + y)
+    upto = (1 + SIMILARITY) * shared[1:] - SIMILARITY * (x + y + 2 * n) + 2 * SIMILARITY * (SHINGLE - 1)
+    out = []
+    reached = -1
+    for s in range(len(x)):
+        lo = max(s, reached + 1)
+        long = np.minimum(x[lo:] + n[lo:] - x[s], y[lo:] + n[lo:] - y[s]) >= MIN_WORDS
+        for e in (lo + np.flatnonzero(long & (upto[lo:] - before[s] >= -1e-6)))[::-1].tolist():
+            stretch = int(x[s]), int(x[e] + n[e]), int(y[s]), int(y[e] + n[e])
+            similarity = _similarity(a[stretch[0] : stretch[1]], b[stretch[2] : stretch[3]])  # repeated shingles count once
+            if similarity >= SIMILARITY:
+                out.append((*stretch, similarity))
+                reached = e
+                break
+    return out
+
+
 def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """Passages (first and end word in a, in b, similarity) along a chain of seeds given as word places."""
     out = []
@@ -427,13 +455,11 @@ def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]]) -> li
             used_a, used_b = a1, b1
         if min(a1 - a0, b1 - b0) < MIN_WORDS:
             continue
-        sa, sb = _shingles(a[a0:a1]), _shingles(b[b0:b1])
-        both = len(np.intersect1d(sa, sb, assume_unique=True))
-        similarity = both / max(1, len(sa) + len(sb) - both)
+        similarity = _similarity(a[a0:a1], b[b0:b1])
         if similarity >= SIMILARITY:
             out.append((a0, a1, b0, b1, similarity))
             continue
-        # not alike as a whole: its exact runs may be long enough
+        # not alike as a whole: parts of it may be
         first_left, first_right = (left[0] if left else None), (right[0] if right else None)
         exact = [(i - x - n, j - y - n, n) for x, y, n in left[1:]] + [(i + x, j + y, n) for x, y, n in right[1:]]
         back = first_left[2] if first_left and first_left[:2] == (0, 0) else 0
@@ -441,7 +467,7 @@ def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]]) -> li
             exact.append((i - first_left[0] - first_left[2], j - first_left[1] - first_left[2], first_left[2]))
         if first_right:
             exact.append((i - back, j - back, back + first_right[2]))
-        out += [(x, x + n, y, y + n, 1.0) for x, y, n in exact if n >= MIN_WORDS]
+        out += alike(a, b, exact) if exact else []
     return out
 
 

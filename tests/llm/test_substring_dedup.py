@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from flowdetect.llm.substring_dedup import PrefixMax, aligned, chains, remove_passages, repeated_passages
+from flowdetect.llm.substring_dedup import PrefixMax, aligned, alike, chains, remove_passages, repeated_passages
 from tests.llm.cases import CLASH, documents, odd_rows, repeated
 
 
@@ -158,3 +158,35 @@ def test_a_phrase_used_before_in_the_document(spark):
         rows += [(k, " ".join(phrases + prose(rng, 60) + words)), (100 + k, " ".join(phrases[::-1] + phrases + prose(rng, 60) + words))]
     found = repeated_passages(documents(spark, rows)).collect()
     assert {r["doc_id"] for r in found if r["n_words"] >= 60 and r["source_doc_id"] == r["doc_id"] - 100} == set(range(100, 110))
+
+
+def test_a_near_equal_part_beside_a_revised_one():
+    a = np.arange(199, dtype=np.uint64)
+    b = a.copy()
+    b[[49, *range(99, 199, 8)]] = np.arange(1_000, 1_014)
+    ((a0, a1, b0, b1, similarity),) = aligned(a, b, [(10, 10)])
+    assert (a0, b0) == (0, 0) and a1 == b1 >= 99 and 0.8 <= similarity < 1
+
+
+def test_parts_equal_a_search_of_all():
+    rng = random.Random(25)
+    some = 0
+    for _ in range(40):
+        a = np.arange(400, dtype=np.uint64)
+        b = a.copy()
+        cuts = sorted(rng.sample(range(1, 399), rng.randrange(4, 30)))
+        b[cuts] = np.arange(1_000, 1_000 + len(cuts))
+        edges = [-1, *cuts, 400]
+        runs = [(p + 1, p + 1, q - p - 1) for p, q in zip(edges, edges[1:]) if q > p + 1]
+        good = []
+        for s, (x, _, _) in enumerate(runs):
+            for e in range(s, len(runs)):
+                end = runs[e][0] + runs[e][2]
+                own = {tuple(a[k : k + 5]) for k in range(x, end - 4)}
+                other = {tuple(b[k : k + 5]) for k in range(x, end - 4)}
+                if end - x >= 50 and 10 * len(own & other) >= 8 * len(own | other):
+                    good.append((x, end))
+        longest = [g for g in good if not any(h != g and h[0] <= g[0] and g[1] <= h[1] for h in good)]
+        assert [(a0, a1) for a0, a1, *_ in alike(a, b, runs)] == longest
+        some += len(longest)
+    assert some > 20
