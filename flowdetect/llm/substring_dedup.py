@@ -196,10 +196,18 @@ def heads_of(rows: DataFrame, *places: str) -> DataFrame:
     )
 
 
+def drop(df: DataFrame, paths: list[str]) -> None:
+    for path in paths:
+        remove_path(df.sparkSession, path)
+    paths.clear()
+
+
 def key_matches(keys: DataFrame, paths: list[str]) -> DataFrame:
-    """id, spot, sid, sspot of what long keys share. Each gives the word after too, so that one key is a chain."""
-    first = stored(heads_of(keys, "spot", "other"), "first-keys", release=True, paths=paths)
+    """``keys``: a written table, the last of ``paths``; it goes. id, spot, sid, sspot of what long keys share. Each gives the word after too, so that one key is a chain."""
+    used = [paths.pop()]  # of the keys
+    first = stored(heads_of(keys, "spot", "other"), "first-keys", release=True, paths=used)
     shared = stored(keys.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-keys", release=True, paths=paths)
+    drop(keys, used)
     columns = ["hash", "id", "spot", "other"]
     pairs = shared.where("pair").select(*columns)
     second = stored(heads_of(pairs, "spot", "other"), "second-keys", paths=paths)
@@ -523,8 +531,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of PASSAGES: each repeated passage with where its earlier copy stands (bytes)."""
     texts = _texts(docs, id_col, text_col)
-    paths: list[str] = []  # tables that only the chains need
-    seeded = stored(seed_rows(texts), "seeds", paths=paths)
+    paths: list[str] = []  # tables that only the matches need
+    used: list[str] = []
+    seeded = stored(seed_rows(texts), "seeds", paths=used)
     first = stored(
         seeded.groupBy("hash")
         .agg(F.min(F.when(F.col("before").isNull(), F.struct("id", "spot"))).alias("head"), F.count(F.lit(1)).alias("n"), F.count("before").alias("again"))
@@ -532,9 +541,10 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("hash", F.col("head.id").alias("sid"), F.col("head.spot").alias("sspot"), ((F.col("n") > FEW) | (F.col("again") > 0)).alias("often")),
         "first-seeds",
         release=True,
-        paths=paths,
+        paths=used,
     )
     repeats = stored(seeded.join(first, "hash"), "repeated-seeds", release=True, paths=paths)
+    drop(docs, used)
     shared = repeats.where("before is null and (id <> sid or spot <> sspot)")
     # the second document too: a passage may begin there that holds a stretch of the first
     second = stored(heads_of(shared.select("hash", "id", "spot"), "spot"), "second-seeds", paths=paths)
@@ -543,10 +553,10 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = stored(key_rows(repeats.select("id", "spot", "often"), texts), "keys", release=True, paths=paths)
     columns = ["id", "spot", "sid", "sspot"]
     linked = shared.select(*columns).union(later.select(*columns)).union(within).union(key_matches(keys, paths))
-    matches = stored(linked, "matches", release=True, paths=paths)
+    matches = stored(linked, "matches", release=True, paths=used)
+    drop(docs, paths)
     found = stored(chained(matches), "chains", release=True)
-    for path in paths:
-        remove_path(docs.sparkSession, path)
+    drop(docs, used)
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
     cuts = stored(spans(one.union(other).distinct(), texts), "spans", release=True)
