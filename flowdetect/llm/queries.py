@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowdetect.llm import bpe, exact_dedup, html_extract, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from flowdetect.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    minhash,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    whitening,
+)
 from flowdetect.llm.common import read_table
 
 #: Vocabulary files, by the name that the tokenizer package gives them.
@@ -73,6 +85,11 @@ def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened coordinates of every embedding."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_superminhash_dedup": op1_superminhash_dedup,
@@ -85,4 +102,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_radix_suffix_dedup": op10_radix_suffix_dedup,
+        "op11_polarisation_whitening": op11_polarisation_whitening,
     }
