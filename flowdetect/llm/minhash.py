@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import GOLD, LOWER, RollingHash, Words, as_long, lean, mix, ngram_hashes, stored, stream, text_slices
+from flowdetect.llm.common import GOLD, LOWER, RangeHash, Words, as_long, lean, mix, ngram_hashes, stored, stream, text_slices
 from flowdetect.llm.components import components
 from flowdetect.session import remove_path, scratch_path
 
@@ -46,7 +46,7 @@ COLUMNS = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, roll: RollingHash, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, roll: RangeHash, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of the distinct shingles of some texts, sorted; words are lower-cased (A-Z)."""
     words = Words(LOWER[data], offsets, roll)
     keys, at = ngram_hashes(words.hash, words.doc, size)
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     """Set size, digest of the set, band keys and a signature of 8 bits a place for every row."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             names = batch.column(0)
             for lo, data, offsets in text_slices(batch.column(1)):
@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity. ``texts``: (node, text)."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             done = 0
             while done < batch.num_rows:  # bounded runs of rows
@@ -191,7 +191,7 @@ def shingle_lists(texts: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the sorted shingle hashes of each text, as bytes."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             for lo, data, offsets in text_slices(batch.column(1)):
                 doc, keys = shingle_sets(data, offsets, roll, size)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import LOWER, RollingHash, Words, lean, ngram_hashes, stored, text_slices
+from flowdetect.llm.common import LOWER, RangeHash, Words, lean, ngram_hashes, stored, text_slices
 from flowdetect.llm.quality_rules import copies, later_copies
 
 THRESHOLD = 0.7
@@ -55,7 +55,7 @@ SYMBOL = _byte_set(b"#*$%&<>@^~=+_\\/{}[]")
 DIGIT = _byte_set(b"0123456789")
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> np.ndarray:
+def statistics(data: np.ndarray, offsets: np.ndarray, roll: RangeHash) -> np.ndarray:
     """One row of transformed statistics per text, and in the last column the weight of its deviations."""
     n_docs = len(offsets) - 1
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]).astype(np.float64)
@@ -82,7 +82,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> np.n
         np.maximum.at(top, doc[order][begin], np.diff(np.append(begin, len(order))).astype(np.float64))
     first_byte, last_byte = data[words.start] if len(doc) else data[:0], data[words.end - 1] if len(doc) else data[:0]
     # lines, by the hash of all their bytes
-    prefix = roll.prefix(data)
     breaks = np.flatnonzero(data == 0x0A)
     ends = np.concatenate([offsets[1:], breaks])
     line_doc = np.concatenate([np.arange(n_docs), np.searchsorted(offsets, breaks, side="right") - 1])
@@ -93,7 +92,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> np.n
         inner = line_doc[1:] == line_doc[:-1]
         starts[1:][inner] = ends[:-1][inner] + 1
     full = ends - starts > 1
-    again = later_copies(line_doc[full], roll.ranges(prefix, starts[full], ends[full]))
+    again = later_copies(line_doc[full], roll.ranges(data, starts[full], ends[full]))
     repeated_lines = np.bincount(line_doc[full], again, minlength=n_docs) / np.maximum(np.bincount(line_doc[full], minlength=n_docs), 1)
     root = np.sqrt
     return np.column_stack([
@@ -119,7 +118,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> np.n
     ])
 
 
-def _vectors(column: pa.Array, roll: RollingHash) -> np.ndarray:
+def _vectors(column: pa.Array, roll: RangeHash) -> np.ndarray:
     parts = [statistics(data, offsets, roll) for _, data, offsets in text_slices(column)]
     return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
 
@@ -128,7 +127,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, stats): the statistics of every text."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             values = _vectors(batch.column(1), roll)
             flat = pa.array(values.ravel())
@@ -248,7 +247,7 @@ def accepted_rows(docs: DataFrame, model: Discriminant, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             yield batch.filter(pa.array(model.score(_vectors(batch.column(at), roll)) >= THRESHOLD))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowdetect.llm.common import RollingHash, Words, lean, ngram_hashes, text_slices
+from flowdetect.llm.common import RangeHash, Words, lean, ngram_hashes, text_slices
 
 #: Symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -64,7 +64,7 @@ def covered_words(at: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> dict[str, np.ndarray]:
+def measure(data: np.ndarray, offsets: np.ndarray, roll: RangeHash) -> dict[str, np.ndarray]:
     words = Words(data, offsets, roll)
     n_docs, n_words = len(offsets) - 1, len(words.start)
     per_doc = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
@@ -90,7 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> dict[st
     ends[last] = offsets[doc[last] + 1]
     has_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     starts, ends, doc = starts[has_word], ends[has_word], doc[has_word]
-    dup = later_copies(doc, roll.ranges(roll.prefix(data), starts, ends))
+    dup = later_copies(doc, roll.ranges(data, starts, ends))
     out["n_lines"] = np.bincount(doc, minlength=n_docs).astype(np.int64)
     out["n_dup_lines"] = np.bincount(doc[dup], minlength=n_docs).astype(np.int64)
     word_chars_before = np.concatenate([[0], np.cumsum(chars)])
@@ -112,7 +112,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [field.split()[0] for field in SCHEMA.split(", ")][1:]
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {name: [] for name in names}
             for _, data, offsets in text_slices(batch.column(1)):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowdetect.llm.common import IS_SPACE, LOWER, RollingHash, Words, as_long, lean, mix, ngram_hashes, slices, stored, text_buffer, text_slices
+from flowdetect.llm.common import IS_SPACE, LOWER, RangeHash, Words, as_long, lean, mix, ngram_hashes, slices, stored, text_buffer, text_slices
 from flowdetect.llm.suffix_dedup import LAST, cut_ranges
 from flowdetect.session import remove_path
 
@@ -66,7 +66,7 @@ SEEDS = "hash long, id long, spot long, before long"
 KEYS = "hash long, id long, spot long, other long, pair boolean"
 
 
-def seeds(data: np.ndarray, offsets: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seeds(data: np.ndarray, offsets: np.ndarray, roll: RangeHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, hash) of the seeds of some texts."""
     words = Words(LOWER[data], offsets, roll)
     key, at = ngram_hashes(words.hash, words.doc, SHINGLE)
@@ -94,7 +94,7 @@ def seed_rows(texts: DataFrame) -> DataFrame:
     """(hash, id, spot, before): spot holds the text's checksum and the word where the seed begins, before the text's spot of the same seed before."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, data, offsets in text_slices(batch.column(1)):
@@ -168,7 +168,7 @@ def key_rows(repeats: DataFrame, texts: DataFrame) -> DataFrame:
         return np.unique(part.flatten().to_numpy() + first[doc])
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             for row, data, offsets in text_slices(batch.column(4)):
@@ -341,7 +341,7 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     lists = wanted.groupBy("id", "tag").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             texts_of = batch.column(4)
             starts, ends = (batch.column(k).to_pylist() for k in (2, 3))
@@ -488,7 +488,7 @@ def align_chains(pairs: DataFrame) -> DataFrame:
     """Passages of chains with the bytes around them on both sides (abytes from word afirst and byte alo, bbytes likewise)."""
 
     def run(batches):
-        roll = RollingHash()
+        roll = RangeHash()
         for batch in batches:
             sizes = sum(np.diff(text_buffer(batch.column(batch.schema.get_field_index(c)))[1]) for c in ("abytes", "bbytes"))
             for lo, hi in slices(np.concatenate([[0], np.cumsum(sizes)])):
