@@ -11,6 +11,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": EXACT_DEDUP,
         "op5_quality_rules": quality_rules_sql(),
         "op10_radix_suffix_dedup": REPEATED_STRINGS,
+        "op13_presence_mask_search": RANKED_SEARCH,
     }
 
 
@@ -101,3 +102,28 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+# Every item against every document that holds one of its terms.
+RANKED_SEARCH = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL
+), totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM found),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM found) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items) GROUP BY item_id, term
+), weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, totals),
+sizes AS (SELECT r, doc_id, CAST(100 - 25 + (25 * len(t) * n_docs) // n_terms AS BIGINT) AS m FROM found, totals WHERE len(t) > 0 AND doc_id IS NOT NULL),
+scores AS (
+  SELECT a.item_id, f.r, s.doc_id, CAST(sum(a.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * s.m))) AS BIGINT) AS score
+  FROM asked a JOIN weights w USING (term) JOIN tf f USING (term) JOIN sizes s USING (r) GROUP BY a.item_id, f.r, s.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

@@ -16,6 +16,7 @@ from flowdetect.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
     sharding,
     substring_dedup,
     suffix_dedup,
@@ -90,6 +91,11 @@ def op11_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_superminhash_dedup": op1_superminhash_dedup,
@@ -103,4 +109,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_radix_suffix_dedup": op10_radix_suffix_dedup,
         "op11_polarisation_whitening": op11_polarisation_whitening,
+        "op13_presence_mask_search": op13_presence_mask_search,
     }
