@@ -13,6 +13,7 @@ from flowdetect.llm import (
     exact_dedup,
     html_extract,
     minhash,
+    neighbours,
     packing,
     quality_classifier,
     quality_rules,
@@ -91,6 +92,11 @@ def op11_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every embedding whose id is divisible by 100."""
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
 def op13_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return ranked_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -109,5 +115,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_radix_suffix_dedup": op10_radix_suffix_dedup,
         "op11_polarisation_whitening": op11_polarisation_whitening,
+        "op12_cross_polytope_neighbours": op12_cross_polytope_neighbours,
         "op13_presence_mask_search": op13_presence_mask_search,
     }

@@ -12,19 +12,23 @@ BLOCK_ROWS = 2048
 
 
 def finite_rows(df: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> tuple[DataFrame, int]:
-    """(id, vector as doubles) of the rows whose vector is neither null nor empty and has finite entries only, and its length.
+    """(id, vector) of the rows whose vector is neither null nor empty and has finite entries only, and its length.
 
     Vectors of one length take part: the commonest, of equally common ones the
     longest; the length is 0 where there is no such row. ``nonzero`` leaves out zero vectors.
     """
     v = F.col(vector_col)
-    good = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    number = lambda c: c.cast("double")
+    good = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) != float("inf")))
     if nonzero:
         good = good & F.exists(v, lambda c: c != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.coalesce(good, F.lit(False)) & (F.size("vector") > 0))
     most = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     width = most["d"] if most else 0
-    return rows.where(F.size("vector") == width).select("id", F.col("vector").cast("array<double>").alias("vector")), width
+    rows = rows.where(F.size("vector") == width)
+    if rows.schema["vector"].dataType.simpleString() != "array<float>":  # floats stay as they are: half the bytes
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
+    return rows, width
 
 
 def blocks(column: pa.Array, width: int, rows: int = BLOCK_ROWS):
