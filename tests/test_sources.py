@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from flowdetect.schema import DAYS, FLOW_COLS
 from flowdetect.session import local_path
 from flowdetect.sources.csv import csv_schema_of, read_prepared_csv, write_prepared_csv
 from flowdetect.sources.parquet import read_flows, write_flows_by_day
-from flowdetect.sources.xml import CORRUPT_COL, flow_schema, read_flow_day, read_flow_days, write_flow_days
+from flowdetect.sources.xml import CORRUPT_COL, flow_schema, read_flow_day, read_flow_days, scan_piece, write_flow_days
 
 from tests.fixtures import flows
 
@@ -163,9 +164,94 @@ def test_xml_odd_elements(spark, scratch):
     assert kept.count() == 4
     with pytest.raises(Exception):
         read_flow_days(spark, base, ["TestbedSunJun13"], mode="FAILFAST").collect()
-    hidden = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot><!-- <{tag}><Tag>A</Tag></{tag}> --></dataroot>")
-    with pytest.raises(Exception, match="comment or CDATA"):
-        read_flow_days(spark, hidden, ["TestbedSunJun13"]).collect()
+
+
+CORRUPT = flow_schema([T.StructField(CORRUPT_COL, T.StringType())])
+
+
+def _read_split(spark, path, size, **options):
+    """A day file read in splits of ``size`` bytes (None: one split)."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(k) for k in keys]
+    for k in keys:
+        spark.conf.set(k, str(size or 1 << 30))
+    try:
+        df = read_flow_day(spark, f"{path}/TestbedSunJun13.xml", "TestbedSunJun13", **options)
+        cols = [c for c in ("appName", "Tag", "sourcePort", CORRUPT_COL) if c in df.columns]
+        return df.rdd.getNumPartitions(), sorted(map(str, map(tuple, df.select(*cols).collect())))
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+
+
+def _legal_file(rng, n):
+    """A legal file with row tags in comments, CDATA and instructions, and the (appName, Tag, sourcePort) it holds."""
+    tag = "TestbedSunJun13Flows"
+    other = f"<{tag}><appName>hidden</appName><Tag>no</Tag></{tag}>"
+    long = "".join(f"<{tag}><appName>h{k}</appName></{tag}>\n" for k in range(40))
+    junk = ["", "\n", f"<!-- {other} -->", f"<!--> {other} - ] ]]> ?> <![CDATA[ -->", f"<?old {other} --> ]]> ?>", f"<!--{long}-->", f"<{tag}s>{other[5:20]}</{tag}s>".replace("<appName", ""), "<!---->"]
+    texts = [
+        ("plain", "plain"), ("a &lt; b", "a < b"), (f"<![CDATA[x </{tag}> {other} y]]>", f"x </{tag}> {other} y"), ("<![CDATA[<!-- & ]]>", "<!-- & "),
+        ("p<!-- <![CDATA[ -->q", "pq"), ("<![CDATA[]] > <?]]>r", "]] > <?r"), (f"<![CDATA[{long}]]>", long), (f"u<!-- </{tag}> -->v<?w <{tag}> ?>", "uv"),
+    ]
+    ends = [f"</{tag}>", f"</{tag} >", f"</{tag}\n>"]
+    body, rows = [], []
+    for k in range(n):
+        text, value = rng.choice(texts)
+        if rng.random() < 0.05:
+            body.append(f"<{tag}/>")
+            rows.append((None, None, None))
+        else:
+            at = rng.choice(["", " id='7'", ' a=">" b="x/>"'])
+            body.append(f"<{tag}{at}>{rng.choice(junk[:5])}<appName>{text}</appName>\n<Tag>T{k % 3}</Tag><sourcePort>{k}</sourcePort>{rng.choice(ends)}")
+            rows.append((value.strip(), f"T{k % 3}", k))  # the parser trims
+        body.append(rng.choice(junk))
+    return f"<?xml version='1.0'?>\n<!-- {other} -->\n<dataroot>" + "".join(body) + "\n</dataroot>\n", rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_xml_tags_inside_comments_and_cdata(spark, scratch, seed):
+    text, rows = _legal_file(random.Random(seed), 150)
+    base = _day_file(spark, scratch, "TestbedSunJun13", text)
+    expected = sorted(map(str, rows))
+    for size in (None, 8192, 1500, 311):
+        parts, got = _read_split(spark, base, size)
+        assert got == expected, size
+        assert size is None or parts > 3
+    assert _read_split(spark, base, 1500, mode="FAILFAST")[1] == expected
+
+
+def test_xml_one_comment_over_many_splits(spark, scratch):
+    tag = "TestbedSunJun13Flows"
+    rows = [f"<{tag}><appName>A{k}</appName><Tag>T</Tag><sourcePort>{k}</sourcePort></{tag}>" for k in range(300)]
+    hidden = "".join(rows[50:250])
+    for opens, closes in (("<!--", "-->"), ("<?skip ", "?>")):
+        base = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot>{''.join(rows[:50])}{opens}{hidden}{closes}{''.join(rows[250:])}</dataroot>")
+        expected = sorted(str((f"A{k}", "T", k)) for k in [*range(50), *range(250, 300)])
+        assert _read_split(spark, base, None)[1] == _read_split(spark, base, 700)[1] == expected
+    # one text over many splits, and a file whose comment never ends
+    base = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot><{tag}><appName><![CDATA[{hidden}]]></appName></{tag}>{rows[0]}</dataroot>")
+    assert _read_split(spark, base, 700)[1] == sorted([str((hidden, None, None)), str(("A0", "T", 0))])
+    base = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot>{rows[0]}<!--{hidden}")
+    assert _read_split(spark, base, 700)[1] == [str(("A0", "T", 0))]
+
+
+@pytest.mark.parametrize("end", ["<{t}><appName>CUT</appName>", "<{t}><appName>CU", "<{t}><Tag/>", "<{t}>", "<{t} id='7", "<{t} id='7'/", "<{t}><appName><![CDATA[CUT</{t}>"])
+def test_xml_record_cut_off_by_the_files_end(spark, scratch, end):
+    tag = "TestbedSunJun13Flows"
+    base = _day_file(spark, scratch, "TestbedSunJun13", f"<dataroot><{tag}><appName>A</appName></{tag}>\n{end.format(t=tag)}")
+    path = f"{base}/TestbedSunJun13.xml"
+    rows = {r["appName"]: r[CORRUPT_COL] for r in read_flow_day(spark, path, "TestbedSunJun13", schema=CORRUPT).collect()}
+    assert set(rows) == {"A", None} and rows["A"] is None and rows[None].startswith(f"<{tag}")
+    assert [r["appName"] for r in read_flow_day(spark, path, "TestbedSunJun13", mode="DROPMALFORMED").collect()] == ["A"]
+    with pytest.raises(Exception, match="cut off"):
+        read_flow_day(spark, path, "TestbedSunJun13", mode="FAILFAST").collect()
+
+
+def test_states_of_a_piece():
+    assert scan_piece("a<!--b", 0) == ("a", 1) and scan_piece("b--> c", 1) == (" c", 0)
+    assert scan_piece("x<y]]>z", 2) == ("x&lt;yz", 0) and scan_piece("<!-->", 0) == ("", 1)
+    assert scan_piece("a<?b?>c<![CDATA[&", 0) == ("ac&amp;", 2) and scan_piece("-->", 3) == ("", 3)
 
 
 def test_xml_write_refuses_other_days(spark, scratch):
