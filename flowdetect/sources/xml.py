@@ -23,6 +23,7 @@ import re
 import sys
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle, inheritable_thread_target
@@ -115,21 +116,17 @@ def _needs_order(piece):
     return left_open | piece.rlike(_NAME_GOES_ON)
 
 
-def _pieces(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """(value, file, split): the text between ``<tag`` and the next; rows of a split come in file order."""
+def _pieces(spark: SparkSession, path: str, tag: str, label: str) -> DataFrame:
+    """(value, file, split, tag, label): the text between ``<tag`` and the next; rows of a split come in file order."""
     text = spark.read.option("lineSep", f"<{tag}").text(path)
-    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-
-
-def _files_to_order(pieces: Sequence[DataFrame]) -> list[set[str]]:
-    """For each input, its files with a piece that needs the state before it: one job over all inputs."""
-    found = None
-    for k, one in enumerate(pieces):
-        marked = one.where(_needs_order(F.col("value"))).select(F.lit(k).alias("k"), "file")
-        found = marked if found is None else found.union(marked)
-    out: list[set[str]] = [set() for _ in pieces]
-    for row in found.distinct().collect():  # one row a file
-        out[row["k"]].add(row["file"])
+    return text.selectExpr("value", "_metadata.file_path as file", "_metadata.file_block_start as split", f"'{tag}' as tag", f"'{label}' as label")
+
+
+def _files_to_order(pieces: DataFrame) -> dict[tuple[str, str], list[str]]:
+    """Files with a piece that needs the state before it, by (tag, label): one job over all inputs."""
+    out: dict[tuple[str, str], list[str]] = {}
+    for row in pieces.where(_needs_order(F.col("value"))).select("tag", "label", "file").distinct().collect():  # one row a file
+        out.setdefault((row["tag"], row["label"]), []).append(row["file"])
     return out
 
 
@@ -244,34 +241,36 @@ def _glued(found: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ records
 
 
-def _record(piece, tag: str):
+def _record(piece, tag):
     """Column: (text, complete) of the row element at the start of a piece of plain XML, null when there is none."""
-    opened = piece.rlike(r"^(?:\s[^<]*)?/?>") | piece.rlike(r"^\s+[\w:]|^\s*/$")  # whole, or cut off inside the tag
-    closing = f"</{tag}>"
-    at = F.instr(piece, closing)
-    spaced = F.regexp_extract(piece, rf"(?s)^(.*?)</{tag}\s+>", 1)
+    opened = piece.rlike(r"^(?:\s[^<]*)?/?>|^\s+[\w:]|^\s*/$")  # whole, or cut off inside the tag
+    begin, closing = F.concat(F.lit("<"), tag), F.concat(F.lit("</"), tag, F.lit(">"))
+    at = F.position(closing, piece)
+    spaced = F.call_function("regexp_extract", piece, F.concat(F.lit(r"(?s)^(.*?)</\Q"), tag, F.lit(r"\E\s+>")), F.lit(1))
     empty = F.regexp_extract(piece, r"""^((?:\s+[\w.:\-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*/>)""", 1)
-    shown = lambda text, complete: F.struct(F.concat(F.lit(f"<{tag}"), text).alias("text"), F.lit(complete).alias("complete"))
+    shown = lambda complete, *text: F.struct(F.concat(begin, *text).alias("text"), F.lit(complete).alias("complete"))
     whole = (
-        F.when(empty != "", shown(empty, True))
-        .when(at > 0, shown(F.concat(F.substring(piece, F.lit(1), at - 1), F.lit(closing)), True))
-        .when(spaced != "", shown(F.concat(spaced, F.lit(closing)), True))
-        .otherwise(shown(piece, False))
+        F.when(empty != "", shown(True, empty))
+        .when(at > 0, shown(True, F.substring(piece, F.lit(1), at - 1), closing))
+        .when(spaced != "", shown(True, spaced, closing))
+        .otherwise(shown(False, piece))
     )
     return F.when(opened, whole)
 
 
-def _cut_records(pieces: DataFrame, tag: str, to_order: set[str]) -> DataFrame:
-    """(record): text and completeness of every row element of an input's files."""
+def _cut_records(pieces: DataFrame) -> DataFrame:
+    """(label, text, complete) of every row element of the inputs."""
+    to_order = _files_to_order(pieces)
     direct = pieces
     if to_order:
-        direct = pieces.where(~F.col("file").isin(sorted(to_order)))
-    records = direct.select(_record(_plain_text(F.col("value")), tag).alias("record"))
-    if to_order:
-        glued = _glued(_ordered_pieces(pieces.where(F.col("file").isin(sorted(to_order))), tag))
+        direct = pieces.where(~F.concat("tag", "label", "file").isin([t + d + f for (t, d), files in to_order.items() for f in files]))
+    plain = direct.select("tag", "label", _plain_text(F.col("value")).alias("piece"))
+    for (tag, label), files in to_order.items():
+        mine = pieces.where((F.col("tag") == tag) & (F.col("label") == label) & F.col("file").isin(files))
         own = F.when(F.col("value").startswith(f"<{tag}"), F.substring(F.col("value"), F.lit(len(tag) + 2), F.length("value")))
-        records = records.union(glued.select(_record(own, tag).alias("record")))
-    return records.where(F.col("record").isNotNull())
+        plain = plain.union(_glued(_ordered_pieces(mine, tag)).select(F.lit(tag), F.lit(label), own))
+    records = plain.select("label", _record(F.col("piece"), F.col("tag")).alias("record")).where("record is not null")
+    return records.select("label", "record.*")
 
 
 def read_flow_day(
@@ -290,28 +289,24 @@ def read_flow_day(
     DROPMALFORMED drops the record. A record that the file's end cuts off is
     malformed: a row of nulls with the raw text, an error, or dropped.
     """
-    return _read_days(spark, [(path, file_name)], schema or FLOW_SCHEMA, mode)[0]
+    return _read(spark, [(path, file_name)], schema or FLOW_SCHEMA, mode).drop(DAY_COL)
 
 
-def _read_days(spark: SparkSession, inputs: Sequence[tuple[str, str]], schema: T.StructType, mode: str) -> list[DataFrame]:
-    """One table for each (path, file name)."""
-    pieces = [_pieces(spark, path, row_tag(name)) for path, name in inputs]
-    to_order = _files_to_order(pieces)
+def _read(spark: SparkSession, inputs: Sequence[tuple[str, str]], schema: T.StructType, mode: str) -> DataFrame:
+    """The rows of some (path, file name) with their day: one scan each, one chain of expressions for all."""
+    pieces = [_pieces(spark, path, row_tag(name), day_label(name)) for path, name in inputs]
+    records = _cut_records(reduce(DataFrame.union, pieces))
     parsed = T.StructType([f for f in schema.fields if f.name != CORRUPT_COL]).add(CORRUPT_COL, T.StringType())  # the parser wants it last
     options = {"mode": "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
-    fields = [f.name for f in parsed.fields if f.name != CORRUPT_COL]
-    out = []
-    for (_, name), one, files in zip(inputs, pieces, to_order):
-        records = _cut_records(one, row_tag(name), files)
-        text, complete = F.col("record.text"), F.col("record.complete")
-        rows = records.select("record", F.from_xml(F.when(complete, text), _ddl(parsed), options).alias("r"))
-        refused = F.raise_error(F.concat(F.lit("a record is cut off: "), F.substring(text, 1, 200)))
-        bad = F.when(~complete, refused if mode == "FAILFAST" else text).otherwise(F.col(f"r.{CORRUPT_COL}"))
-        rows = rows.select(*[F.col(f"r.`{f}`") for f in fields], bad.alias(CORRUPT_COL))
-        if mode != "PERMISSIVE":  # an error, or nothing
-            rows = rows.where(F.col(CORRUPT_COL).isNull())
-        out.append(rows.select(*schema.fieldNames()))
-    return out
+    text, complete = F.col("text"), F.col("complete")
+    rows = records.select("label", "text", "complete", F.from_xml(F.when(complete, text), _ddl(parsed), options).alias("r"))
+    refused = F.raise_error(F.concat(F.lit("a record is cut off: "), F.substring(text, 1, 200)))
+    bad = F.when(~complete, refused if mode == "FAILFAST" else text).otherwise(F.col(f"r.{CORRUPT_COL}"))
+    fields = [F.col(f"r.`{f.name}`") for f in parsed.fields if f.name != CORRUPT_COL]
+    rows = rows.select(F.col("label").alias(DAY_COL), *fields, bad.alias(CORRUPT_COL))
+    if mode != "PERMISSIVE":  # an error, or nothing
+        rows = rows.where(F.col(CORRUPT_COL).isNull())
+    return rows.select(*schema.fieldNames(), DAY_COL)
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -331,13 +326,7 @@ def read_flow_days(
     Each file has its own row element, so each is one scan; the union keeps
     duplicates and adds no shuffle.
     """
-    names = list(file_names)
-    tables = _read_days(spark, [(day_file_path(base, n), n) for n in names], flow_schema(extra_fields), mode)
-    frames = [t.withColumn(DAY_COL, F.lit(day_label(n))) for t, n in zip(tables, names)]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return _read(spark, [(day_file_path(base, n), n) for n in file_names], flow_schema(extra_fields), mode)
 
 
 def write_flow_days(

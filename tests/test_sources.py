@@ -209,12 +209,12 @@ def _legal_file(rng, n):
     return f"<?xml version='1.0'?>\n<!-- {other} -->\n<dataroot>" + "".join(body) + "\n</dataroot>\n", rows
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_xml_tags_inside_comments_and_cdata(spark, scratch, seed):
     text, rows = _legal_file(random.Random(seed), 150)
     base = _day_file(spark, scratch, "TestbedSunJun13", text)
     expected = sorted(map(str, rows))
-    for size in (None, 8192, 1500, 311):
+    for size in (None, 1500, 311):
         parts, got = _read_split(spark, base, size)
         assert got == expected, size
         assert size is None or parts > 3
