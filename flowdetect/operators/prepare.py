@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler, VectorIndexer, VectorIndexerModel
+from pyspark.ml.feature import Bucketizer, StringIndexer, StringIndexerModel, VectorAssembler, VectorIndexer, VectorIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,6 +156,118 @@ def check_arity(df: DataFrame, cols: Sequence[str], limit: int = MAX_TEXT_VALUES
             raise ValueError(f"column {row['col']!r} has {row['n']} values, more than {limit}; fold rare values (max_categories)")
 
 
+# ------------------------------------------------ every day in one pass
+
+
+def write_day_values(coarse: DataFrame, day_col: str, path: str, *, label_col: str = LABEL_COL, max_categories: int = MAX_CATEGORIES) -> None:
+    """What the preparations of all days need, from one pass over all rows, written by day.
+
+    (day, kind, col, value, n, rank): every text value of a column with its rank on that day (most
+    frequent first, ties by value), and of every integer column its smallest values, one more than make
+    it a small domain. Both rank filters work on aggregated rows; an integer
+    column's is applied in every task before the shuffle.
+    """
+    text_cols, long_cols = feature_columns(coarse.schema, label_col)
+    known = lambda c, kind: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+    cells = F.explode(F.array(*[known(c, "text") for c in (label_col, *text_cols)], *[known(c, "number") for c in long_cols])).alias("c")
+    by = [day_col, "kind", "col"]
+    cells = coarse.select(day_col, cells).select(day_col, "c.*")
+    texts = cells.where("kind = 'text' and value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "value")))
+    smallest = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("value").cast("long")))
+    numbers = cells.where("kind = 'number' and value is not null").distinct().withColumn("rank", smallest).where(F.col("rank") <= max_categories + 1)
+    texts.unionByName(numbers.withColumn("n", F.lit(None).cast("long"))).write.partitionBy(day_col).parquet(path)
+
+
+#: Values of all columns of a day that are handed to an indexer one by one.
+MAX_LISTED_VALUES = 100_000
+
+
+def _indexer_of(labels: Sequence[Sequence[str]], cols: Sequence[str], spark) -> StringIndexerModel:
+    """An indexer of given labels. (``from_arrays_of_labels`` fills shorter lists up with nulls.)"""
+    gateway = spark.sparkContext._gateway
+    text = gateway.jvm.java.lang.String
+    arrays = gateway.new_array(text, len(labels), 1)
+    for i, values in enumerate(labels):
+        one = gateway.new_array(text, len(values))
+        for k, value in enumerate(values):
+            one[k] = value
+        arrays[i] = one
+    model = StringIndexerModel._create_from_java_class("org.apache.spark.ml.feature.StringIndexerModel", arrays)
+    outputs = [LABEL_INDEX_COL, *[index_col(c) for c in cols[1:]]]
+    return model.setInputCols(list(cols)).setOutputCols(outputs).setHandleInvalid("error")
+
+
+def preparation_of_day(
+    values: DataFrame,
+    schema,
+    *,
+    label_col: str = LABEL_COL,
+    max_categories: int = MAX_CATEGORIES,
+) -> Preparation | None:
+    """The preparation that ``fit_preparation`` would fit on one day's rows, from that day's part of ``write_day_values``.
+
+    None without rows, and where there are more than ``MAX_LISTED_VALUES`` values: fit it on the rows then.
+
+    The string indexer takes the ranked values as they are. The vector indexer
+    decides by the number and values of small domains only, so it is fitted on a
+    few rows that hold the listed values of every column.
+    """
+    spark = values.sparkSession
+    text_cols, long_cols = feature_columns(schema, label_col)
+    if values.count() > MAX_LISTED_VALUES:
+        return None
+    listed: dict[str, list] = {c: [] for c in [label_col, *text_cols, *long_cols]}
+    for row in values.orderBy("col", "rank").collect():
+        listed[row["col"]].append(row["value"] if row["kind"] == "text" else int(row["value"]))
+    if not listed[label_col]:
+        return None
+    indexer = _indexer_of([listed[c] for c in (label_col, *text_cols)], [label_col, *text_cols], spark)
+    _, assembler, vindexer = preparation_pipeline(text_cols, long_cols, label_col=label_col, max_categories=max_categories).getStages()
+    names = [label_col, *text_cols, *long_cols]
+    height = max_categories + 1
+    few = [tuple(listed[c][k % len(listed[c])] if listed[c] else None for c in names) for k in range(height)]
+    kinds = ", ".join(f"`{c}` {'long' if c in long_cols else 'string'}" for c in names)
+    sample = assembler.transform(indexer.transform(spark.createDataFrame(few, kinds)))
+    return Preparation(PipelineModel([indexer, assembler, vindexer.fit(sample)]), text_cols, long_cols, label_col)
+
+
+# ------------------------------------------------------ numeric buckets
+
+#: Rank error of a quantile, as a share of one bucket.
+QUANTILE_ERROR = 0.1
+
+
+def bucket_numbers(df: DataFrame, buckets: int, *, fit_on: DataFrame | None = None, label_col: str = LABEL_COL) -> DataFrame:
+    """Integer features replaced by the number of their quantile bucket (at most ``buckets`` each).
+
+    The limits are approximate quantiles of all rows of ``fit_on``: one
+    pass of mergeable summaries, of which every task holds some ``buckets / QUANTILE_ERROR``
+    numbers a feature. The forest's own search for thresholds then meets at most
+    ``buckets`` values a feature, whatever the number of rows. A column with no
+    more values than buckets keeps its order exactly (each value of
+    enough weight is a bucket of its own). Nulls stay null.
+    """
+    if buckets < 2:
+        raise ValueError("buckets must be at least 2")
+    _, long_cols = feature_columns(df.schema, label_col)
+    shares = [k / buckets for k in range(1, buckets)]
+    source = fit_on if fit_on is not None else df
+    accuracy = int(buckets / QUANTILE_ERROR)
+    limits = source.agg(*[F.percentile_approx(c, shares, accuracy).alias(c) for c in long_cols]).first()
+    cuts = {c: [float("-inf"), *[float(v) for v in sorted(set(limits[c] or []))], float("inf")] for c in long_cols}
+    number = lambda c: f"_{c}_bucket"
+    # a bucket begins above its limit, so that a limit that many rows share closes its bucket
+    negated = df.select("*", *[(-F.col(c).cast("double")).alias(number(c)) for c in long_cols])
+    back = {c: [-v for v in reversed(cuts[c])] for c in long_cols}
+    placed = Bucketizer(
+        inputCols=[number(c) for c in long_cols], outputCols=[f"{number(c)}_at" for c in long_cols],
+        splitsArray=[back[c] for c in long_cols], handleInvalid="keep",
+    ).transform(negated)
+    order = lambda c: F.when(F.col(c).isNotNull(), (F.lit(len(back[c]) - 2) - F.col(f"{number(c)}_at")).cast("long")).alias(c)
+    return placed.select(*[order(c) if c in long_cols else F.col(c) for c in df.columns])
+
+
 OTHER_VALUE = "__other__"
 
 

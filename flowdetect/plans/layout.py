@@ -2,11 +2,13 @@
 
 Spark's forest draws its bootstrap per partition in row order, and every tree
 level sends one split histogram per partition and node. Rows are therefore
-always placed by a hash of their key into a number of partitions that the
-caller names, and sorted by the key inside each: the same rows, seed and
-number give the same forest from any input layout, on any cluster, after any
-recomputation. The number is the caller's choice, for it sets both the
-parallelism of a tree level and the size of its shuffle.
+always placed by a hash of their key into buckets, one partition each, and
+sorted by the key inside: the same rows and seed give the same forest from any input
+layout, on any number of cores or executors, after any recomputation. How many
+buckets there are follows from the number of rows alone: a power of two, so
+that a bucket holds at most ``BUCKET_ROWS`` rows, between ``FOREST_PARTITIONS``
+and ``MAX_BUCKETS`` (beyond it, buckets grow: each sends its own histograms). A
+caller may name another number.
 """
 
 from __future__ import annotations
@@ -16,8 +18,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partitions of the forest's input unless the caller says otherwise; a large cluster passes more.
-FOREST_PARTITIONS = 16
+#: Fewest and most buckets of the forest's input, and the rows that one may hold before there are more.
+FOREST_PARTITIONS, MAX_BUCKETS = 16, 16_384
+BUCKET_ROWS = 250_000
+
+
+def forest_buckets(rows: int) -> int:
+    """Buckets for that many rows: 16, doubled until a bucket holds at most ``BUCKET_ROWS`` of them."""
+    buckets = FOREST_PARTITIONS
+    while buckets < MAX_BUCKETS and rows > buckets * BUCKET_ROWS:
+        buckets *= 2
+    return buckets
 
 
 def place_by_key(df: DataFrame, keys: Sequence[str] = ("event_id",), partitions: int = FOREST_PARTITIONS) -> DataFrame:

@@ -186,6 +186,82 @@ def _stump_ctes() -> list[str]:
     ]
 
 
+TREE_DEPTH = 3
+
+
+def _tree_ctes(by_scope: str | None = None) -> list[str]:
+    """A tree of three levels on all training rows and features, level by level (no recursion: depth is fixed).
+
+    ``at<k>``: the node of every row at level k, as its path; ``best<k>``: each open node's best split. A node
+    is open when its training rows are of both labels. Of equal gains the first slot and the first place
+    count; thresholds lie half way to the next value of all training rows. ``tree``: the nodes that stay when
+    splits whose sides are leaves of one prediction are undone, from below.
+    """
+    cols = ", ".join(FLOW_COLS)
+    scopes = f"SELECT day AS scope, event_id, {cols} FROM coarse"
+    scopes = f"{scopes} WHERE day = '{by_scope}'" if by_scope else f"{scopes} UNION ALL SELECT 'all' AS scope, event_id, {cols} FROM coarse"
+    text_values = "\n    UNION ALL ".join(f"SELECT scope, event_id, {i} AS slot, {c} AS text, NULL::BIGINT AS num FROM scoped" for i, c in enumerate(TEXT_FEATURES))
+    long_values = "\n    UNION ALL ".join(
+        f"SELECT scope, event_id, {len(TEXT_FEATURES) + i} AS slot, NULL AS text, {c} AS num FROM scoped" for i, c in enumerate(LONG_FEATURES)
+    )
+    share = lambda a, n: f"(({a})::DOUBLE / ({n}))"
+    gini = lambda a, n: f"((1.0 - {share(f'{n} - {a}', n)} * {share(f'{n} - {a}', n)}) - {share(a, n)} * {share(a, n)})"
+    out = [
+        f"scoped AS ({scopes})",
+        "labels AS (SELECT scope, Tag, row_number() OVER (PARTITION BY scope ORDER BY n DESC, Tag) - 1 AS y FROM (SELECT scope, Tag, count(*) AS n FROM scoped GROUP BY scope, Tag))",
+        f"sides AS MATERIALIZED (SELECT c.scope, c.event_id, c.Tag, l.y, {_split_expr('c.event_id')} AS part FROM scoped c JOIN labels l USING (scope, Tag))",
+        f"vals AS (\n    {text_values}\n    UNION ALL {long_values})",
+        "domain AS (SELECT scope, slot, text, num, count(*) AS n_all FROM vals GROUP BY scope, slot, text, num)",
+        f"""kinds AS MATERIALIZED (SELECT scope, slot, text, num, (slot < {len(TEXT_FEATURES)} OR count(*) OVER (PARTITION BY scope, slot) <= 10) AS nominal,
+    row_number() OVER (PARTITION BY scope, slot ORDER BY CASE WHEN text IS NULL THEN 0 ELSE -n_all END, text, num) AS idx FROM domain)""",
+        """cells AS MATERIALIZED (SELECT v.scope, v.event_id, v.slot, k.idx, k.nominal, v.num FROM vals v JOIN kinds k
+    ON k.scope = v.scope AND k.slot = v.slot AND k.text IS NOT DISTINCT FROM v.text AND k.num IS NOT DISTINCT FROM v.num)""",
+        """nexts AS MATERIALIZED (SELECT scope, slot, num, lead(num) OVER (PARTITION BY scope, slot ORDER BY num) AS next_num
+    FROM (SELECT DISTINCT c.scope, c.slot, c.num FROM cells c JOIN sides s USING (scope, event_id) WHERE s.part = 'train' AND NOT c.nominal))""",
+        "at0 AS (SELECT scope, event_id, part, y, '' AS path FROM sides)",
+    ]
+    for k in range(TREE_DEPTH):
+        out += [
+            f"""open{k} AS (SELECT scope, path FROM at{k} WHERE part = 'train' AND length(path) = {k} GROUP BY scope, path HAVING min(y) < max(y))""",
+            f"""counts{k} AS (SELECT a.scope, a.path, c.slot, c.idx, any_value(c.nominal) AS nominal, any_value(c.num) AS num, count(*) AS n, sum(a.y)::BIGINT AS n1
+    FROM at{k} a JOIN open{k} o USING (scope, path) JOIN cells c USING (scope, event_id) WHERE a.part = 'train' GROUP BY a.scope, a.path, c.slot, c.idx)""",
+            f"""placed{k} AS MATERIALIZED (SELECT c.*, row_number() OVER (PARTITION BY c.scope, c.path, c.slot
+    ORDER BY CASE WHEN c.nominal THEN c.n1 ELSE c.num END, c.idx) AS pos FROM counts{k} c)""",
+            f"""sums{k} AS (SELECT *, sum(n) OVER w AS nl, sum(n1) OVER w AS al, sum(n) OVER t AS nt, sum(n1) OVER t AS atot
+    FROM placed{k} WINDOW w AS (PARTITION BY scope, path, slot ORDER BY pos ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY scope, path, slot))""",
+            f"""gains{k} AS (SELECT *, ({gini('atot', 'nt')} - nl::DOUBLE / nt * {gini('al', 'nl')}) - (nt - nl)::DOUBLE / nt * {gini('(atot - al)', '(nt - nl)')} AS gain
+    FROM sums{k} WHERE nl < nt)""",
+            f"""best{k} AS MATERIALIZED (SELECT g.scope, g.path, g.slot, g.pos, g.nominal, g.num, g.gain, (g.num::DOUBLE + x.next_num::DOUBLE) / 2.0 AS threshold
+    FROM (SELECT * FROM gains{k} QUALIFY row_number() OVER (PARTITION BY scope, path ORDER BY gain DESC, slot, pos) = 1) g
+    LEFT JOIN nexts x ON x.scope = g.scope AND x.slot = g.slot AND x.num = g.num AND NOT g.nominal WHERE g.gain > 0)""",
+            f"""at{k + 1} AS MATERIALIZED (SELECT a.scope, a.event_id, a.part, a.y, a.path || CASE WHEN b.slot IS NULL THEN ''
+      WHEN CASE WHEN b.nominal THEN p.idx IS NOT NULL ELSE c.num <= b.threshold END THEN 'L' ELSE 'R' END AS path
+    FROM at{k} a LEFT JOIN best{k} b USING (scope, path) LEFT JOIN cells c ON c.scope = a.scope AND c.event_id = a.event_id AND c.slot = b.slot
+    LEFT JOIN placed{k} p ON b.nominal AND p.scope = a.scope AND p.path = a.path AND p.slot = b.slot AND p.idx = c.idx AND p.pos <= b.pos)""",
+        ]
+    bests = " UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(TREE_DEPTH))
+    paths = " UNION ALL ".join(f"SELECT scope, substr(path, 1, {k}) AS path, y FROM at{TREE_DEPTH} WHERE part = 'train' AND length(path) >= {k}" for k in range(TREE_DEPTH + 1))
+    out += [
+        f"splits AS ({bests})",
+        f"""full_tree AS MATERIALIZED (SELECT p.scope, p.path, p.n0, p.n1, CASE WHEN p.n1 > p.n0 THEN 1 ELSE 0 END AS pred, s.slot, s.gain, s.threshold
+    FROM (SELECT scope, path, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM ({paths}) GROUP BY scope, path) p LEFT JOIN splits s USING (scope, path))""",
+        f"keep{TREE_DEPTH} AS (SELECT scope, path, pred, slot IS NOT NULL AS split FROM full_tree)",
+    ]
+    for k in reversed(range(TREE_DEPTH)):  # undo splits of level k
+        out.append(
+            f"""keep{k} AS (SELECT t.scope, t.path, t.pred, t.split AND NOT (length(t.path) = {k} AND NOT l.split AND NOT r.split AND l.pred = r.pred) AS split
+    FROM keep{k + 1} t LEFT JOIN keep{k + 1} l ON l.scope = t.scope AND l.path = t.path || 'L' LEFT JOIN keep{k + 1} r ON r.scope = t.scope AND r.path = t.path || 'R')"""
+        )
+        out[-1] = out[-1].replace("t.split AND NOT (", "t.split AND NOT coalesce(", 1).replace("l.pred = r.pred) AS split", "l.pred = r.pred, false) AS split", 1)
+    out += [
+        f"""tree AS (SELECT f.*, k.split FROM full_tree f JOIN keep0 k USING (scope, path)
+    WHERE NOT EXISTS (SELECT 1 FROM keep0 u WHERE u.scope = f.scope AND NOT u.split AND length(u.path) < length(f.path) AND starts_with(f.path, u.path)))""",
+        f"""tree_predicted AS (SELECT a.scope, a.event_id, s.Tag, CAST(a.y AS DOUBLE) AS indexedLabel, CAST(t.pred AS DOUBLE) AS prediction
+    FROM at{TREE_DEPTH} a JOIN sides s USING (scope, event_id) JOIN full_tree t ON t.scope = a.scope AND t.path = a.path WHERE a.part = 'test')""",
+    ]
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     flows = FLOWS_CTE
     q: dict[str, str] = {}
@@ -365,6 +441,28 @@ def oracle_sql() -> dict[str, str]:
         body="SELECT b.scope AS day, n.slot, n.feature, CASE WHEN n.slot = b.slot THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance, "
         "CAST(CASE WHEN n.slot = b.slot THEN 1 WHEN n.slot < b.slot THEN n.slot + 2 ELSE n.slot + 1 END AS INTEGER) AS rank FROM best b CROSS JOIN names n",
     )
+    for name, scope in (("tree_nodes", None), ("tree_nodes_one_day", "Jun14")):
+        q[name] = with_ctes(
+            flows, COARSE_CTE, *_tree_ctes(scope), f"names(slot, feature) AS (VALUES {feature_names})",
+            body="SELECT t.scope AS day, t.path, t.split AS is_split, CASE WHEN t.split THEN t.slot END AS slot, CASE WHEN t.split THEN n.feature END AS feature, "
+            "CASE WHEN t.split THEN t.threshold END AS threshold, CASE WHEN t.split THEN round(t.gain, 9) END AS gain, CAST(t.pred AS DOUBLE) AS prediction, "
+            "t.n0 AS n_first_label, t.n1 AS n_second_label FROM tree t LEFT JOIN names n ON n.slot = t.slot",
+        )
+    for name, scope, which in (("tree_scored", None, "p.scope <> 'all'"), ("tree_scored_all_days", None, "p.scope = 'all'"), ("tree_scored_one_day", "Jun14", "true")):
+        q[name] = with_ctes(
+            flows, COARSE_CTE, *_tree_ctes(scope),
+            body="SELECT p.event_id, f.day, p.Tag, p.indexedLabel, p.prediction, l.Tag AS predictedLabel FROM tree_predicted p "
+            f"JOIN labels l ON l.scope = p.scope AND l.y = p.prediction JOIN flows f ON f.event_id = p.event_id WHERE {which}",
+        )
+    q["tree_sample"] = with_ctes(
+        flows, COARSE_CTE, *_tree_ctes("Jun14"),
+        body="SELECT p.event_id, l.Tag AS predictedLabel, p.Tag, c.slot, "
+        "CASE WHEN c.num IS NULL THEN CAST(c.idx - 1 AS DOUBLE) ELSE CAST(c.num AS DOUBLE) END AS value "
+        "FROM (SELECT * FROM tree_predicted ORDER BY event_id LIMIT 5) p JOIN labels l ON l.scope = p.scope AND l.y = p.prediction JOIN cells c ON c.scope = p.scope AND c.event_id = p.event_id",
+    )
+    q["feature_index_table"] = q["feature_index"]
+    codes = ", ".join(f"r{i}.idx AS {c}_index" for i, c in enumerate(["Tag", *TEXT_FEATURES]))
+    q["feature_codes"] = with_ctes(flows, COARSE_CTE, _index_cte(), body=f"SELECT c.event_id, c.day, {codes} FROM coarse c {joins}")
     q["train_rows_kept"] = with_ctes(
         flows,
         body=f"SELECT count(*) AS n_rows, count(*) FILTER ({_split_expr()} = 'train') AS n_train, count(*) FILTER ({_split_expr()} = 'test') AS n_test FROM flows",

@@ -35,13 +35,16 @@ from flowdetect.operators.prepare import (
     INDEXED_FEATURES_COL,
     LABEL_INDEX_COL,
     Preparation,
+    bucket_numbers,
     fit_preparation,
     fold_rare_values,
+    preparation_of_day,
+    write_day_values,
 )
 from flowdetect.operators.split import PART_COL, TEST, TRAIN, random_split, with_split
 from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
-from flowdetect.plans.layout import FOREST_PARTITIONS, place_by_key
+from flowdetect.plans.layout import forest_buckets, place_by_key
 from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, TRAIN_FRACTION, feature_columns
 from flowdetect.session import remove_path, scratch_path
 from flowdetect.sources.csv import write_prepared_csv
@@ -190,7 +193,7 @@ def train_on(
     subsampling_rate: float = 1.0,
     feature_subset: str = "auto",
     bootstrap: bool = True,
-    partitions: int = FOREST_PARTITIONS,
+    partitions: int | None = None,
     rf_params: dict | None = None,
     train_fraction: float = TRAIN_FRACTION,
     split_key: str | None = "event_id",
@@ -199,6 +202,8 @@ def train_on(
     fit_on: str = "all",
     handle_invalid: str = "error",
     max_categories: int | None = None,
+    numeric_buckets: int | None = None,
+    preparation: Preparation | None = None,
     csv_path: str | None = None,
     csv_mode: str = "errorifexists",
     csv_by_day: bool = True,
@@ -217,13 +222,17 @@ def train_on(
     ``max_bins`` is raised to the largest nominal arity where that is larger;
     ``"auto"`` is max(32, that arity): faster, at some cost in accuracy, since numeric
     features get fewer thresholds. ``partitions``: partitions of the forest's
-    input, part of what the forest depends on (see ``plans.layout``).
+    input, part of what the forest depends on; by default they follow from the
+    number of rows (``plans.layout.forest_buckets``).
     ``subsampling_rate`` < 1 trains each tree on that share of the training rows;
     ``rf_params`` passes further forest parameters through.
     ``handle_invalid="skip"`` drops rows with a null number instead of failing;
     ``n_rows`` of the run counts the rest. ``max_categories`` (off by default) folds the rarest
     text values of each feature into one bucket so that no nominal feature
-    has more values than that.
+    has more values than that. ``numeric_buckets`` (off by default) replaces each
+    integer feature by its quantile bucket, so that the search for thresholds
+    meets no more values than that. ``preparation``: one that is already fitted for these rows; ``coarse`` is
+    then a written table, read once.
     """
     if split not in ("key", "random"):
         raise ValueError("split must be 'key' or 'random'")
@@ -231,19 +240,27 @@ def train_on(
         raise ValueError("fit_on must be 'all' or 'train'")
     if split == "random" and fit_on == "train":
         raise ValueError("fit_on='train' needs split='key' (the split comes before the fit)")
-    rows = coarse.persist(StorageLevel.MEMORY_AND_DISK)  # the source is read once, while this fills
+    if preparation is not None and (fit_on != "all" or max_categories or numeric_buckets):
+        raise ValueError("a given preparation goes with none of fit_on='train', max_categories, numeric_buckets")
+    rows = coarse if preparation is not None else coarse.persist(StorageLevel.MEMORY_AND_DISK)  # the source is read once, while this fills
     prepared = None
     try:
-        if rows.isEmpty():
+        n_rows = rows.count()
+        if not n_rows:
             raise ValueError(f"no flows to train on for {scope!r}")
         marked_rows = with_split(rows, key=split_key, fraction=train_fraction, salt=split_salt)
-        seen = marked_rows.where(F.col(PART_COL) == TRAIN).drop(PART_COL) if fit_on == "train" else rows
-        if max_categories:
-            text_cols, _ = feature_columns(rows.schema)
-            folded = fold_rare_values(marked_rows, text_cols, max_categories, fit_on=seen)
-            marked_rows = folded
-            seen = (folded.where(F.col(PART_COL) == TRAIN) if fit_on == "train" else folded).drop(PART_COL)
-        prep = fit_preparation(seen, handle_invalid=handle_invalid, keep_unseen=fit_on == "train")
+        if preparation is None:
+            seen = marked_rows.where(F.col(PART_COL) == TRAIN).drop(PART_COL) if fit_on == "train" else rows
+            if max_categories:
+                text_cols, _ = feature_columns(rows.schema)
+                marked_rows = fold_rare_values(marked_rows, text_cols, max_categories, fit_on=seen)
+            if numeric_buckets:
+                marked_rows = bucket_numbers(marked_rows, numeric_buckets, fit_on=seen)
+            if max_categories or numeric_buckets:
+                seen = (marked_rows.where(F.col(PART_COL) == TRAIN) if fit_on == "train" else marked_rows).drop(PART_COL)
+            prep = fit_preparation(seen, handle_invalid=handle_invalid, keep_unseen=fit_on == "train")
+        else:
+            prep = preparation
         bins = _resolve_bins(max_bins, prep)
         marked = prep.transform(marked_rows)
         if csv_path:
@@ -252,9 +269,11 @@ def train_on(
         # The forest reads its input several times before caching its own binned
         # copy, and the test part is scored and evaluated: keep the slim columns only.
         slim = marked.select(*keys, LABEL_COL, LABEL_INDEX_COL, FEATURES_COL, INDEXED_FEATURES_COL, PART_COL)
-        prepared = place_by_key(slim, [split_key] if split_key else (), partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        placed = place_by_key(slim, [split_key] if split_key else (), partitions or forest_buckets(n_rows))
+        prepared = placed.persist(StorageLevel.MEMORY_AND_DISK)
         prepared.count()  # fills the slim copy, so the coarse rows can go
-        rows.unpersist()
+        if preparation is None:
+            rows.unpersist()
         if split == "random":
             # sides drawn per row by Spark's sampler over the cached, key-sorted rows
             train, test = random_split(prepared.drop(PART_COL), (train_fraction, 1.0 - train_fraction), seed)
@@ -276,7 +295,8 @@ def train_on(
     except BaseException:
         if prepared is not None:
             prepared.unpersist()
-        rows.unpersist()
+        if preparation is None:
+            rows.unpersist()
         raise
     return ForestRun(scope, prep, model, prepared, model.transform(test), bins)
 
@@ -371,7 +391,9 @@ def train_each_day(
     """A forest for every day (W3); each day's results written under ``out_path``.
 
     The coarse rows are written once to a scratch table by day (removed at the
-    end), so the source is read once and each day reads its own part. A row
+    end), so the source is read once and each day reads its own part. One pass over that
+    table gives what every day's preparation needs (``write_day_values``), so a day's
+    rows are read once more only, when they are prepared. A row
     without a day is an error unless ``days`` names the days to train.
     ``csv_mode``: what to do when a day's CSV folder exists (an error by default).
 
@@ -395,12 +417,23 @@ def train_each_day(
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in coarse.schema.fields])
     table = spark.read.schema(schema).parquet(scratch).select(*coarse.columns)
     day_list = list(days) if days is not None else _days_of(table)
+    # what all days' preparations need, in one pass; other settings are fitted day by day
+    together = not any(kwargs.get(k) for k in ("max_categories", "numeric_buckets")) and kwargs.get("fit_on", "all") == "all"
+    together = together and kwargs.get("handle_invalid", "error") == "error"
+    values_path = scratch_path(spark, "day-values")
+    if together:
+        write_day_values(table, DAY_COL, values_path)
+    values = spark.read.schema(f"kind string, col string, value string, n long, rank int, {DAY_COL} string").parquet(values_path) if together else None
 
     def one(day: str) -> tuple[int, list[str]]:
         part = f"{DAY_COL}={day}"
+        prep = None
+        if values is not None:
+            prep = preparation_of_day(values.where(F.col(DAY_COL) == day).drop(DAY_COL), coarse.schema)
         run = train_on(
             table.where(F.col(DAY_COL) == day),
             day,
+            preparation=prep,
             csv_path=f"{csv_path.rstrip('/')}/{part}" if csv_path else None,
             csv_mode=csv_mode,
             csv_by_day=False,
@@ -428,5 +461,6 @@ def train_each_day(
                 done = list(pool.map(inheritable_thread_target(spark)(one), day_list))
     finally:
         remove_path(spark, scratch)
+        remove_path(spark, values_path)
     names = done[0][1] if done else []
     return EachDayResult(spark, out, day_list, names, {d: b for d, (b, _) in zip(day_list, done)})

@@ -20,17 +20,19 @@ from pyspark.sql import types as T
 from flowdetect.functions.text import address_prefix, hour_text
 from flowdetect.operators.coarsen import fill_missing, min_max_scale, prepare_flows, select_flows
 from flowdetect.operators.metrics import accuracy, confusion
+from flowdetect.operators.index_table import fit_index_table
 from flowdetect.operators.prepare import (
     distinct_per_feature,
     feature_index_report,
     fit_preparation,
+    index_col,
     label_index_report,
     vector_slots,
 )
 from flowdetect.operators.split import PART_COL, TEST, with_split
 from flowdetect.operators.stats import flow_count, flow_stats, tag_counts, tag_share
 from flowdetect.plans import programs
-from flowdetect.schema import DAY_COL, DAYS, FLOW_COLS, LABEL_COL
+from flowdetect.schema import DAY_COL, DAYS, FLOW_COLS, LABEL_COL, feature_columns
 from flowdetect.session import scratch_path
 from flowdetect.sources.csv import csv_schema_of, read_prepared_csv, write_prepared_csv
 from flowdetect.sources.events import read_event_flows
@@ -246,6 +248,25 @@ def _prepared_by_day(spark, sf_dir):
     return _memo(spark, "prepared_by_day", sf_dir, build)
 
 
+@query("feature_index_table")
+def q_feature_index_table(spark, sf_dir):
+    """The text-feature indices as a written table, for columns larger than a driver should hold."""
+    coarse = prepare_flows(_flows(spark, sf_dir))
+    text_cols, _ = feature_columns(coarse.schema)
+    ranks = _memo(spark, "index_table", sf_dir, lambda: fit_index_table(coarse, text_cols))
+    return ranks.table().select(F.col("col").alias("feature"), "value", "idx", "n")
+
+
+@query("feature_codes")
+def q_feature_codes(spark, sf_dir):
+    """Every row's label and feature indices, joined from the written table."""
+    coarse = prepare_flows(_flows(spark, sf_dir))
+    text_cols, _ = feature_columns(coarse.schema)
+    ranks = _memo(spark, "index_table_label", sf_dir, lambda: fit_index_table(coarse, [LABEL_COL, *text_cols]))
+    coded = ranks.encode(coarse.select("event_id", DAY_COL, LABEL_COL, *text_cols))
+    return coded.select("event_id", DAY_COL, *[index_col(c) for c in (LABEL_COL, *text_cols)])
+
+
 @query("label_index_by_day")
 def q_label_index_by_day(spark, sf_dir):
     """The label index of each day's own preparation."""
@@ -498,6 +519,84 @@ def q_stump_importances(spark, sf_dir):
     return by_day.unionByName(every).select(DAY_COL, "slot", "feature", "importance", "rank")
 
 
+# ----------------------------------------------------- three-level forests
+# One tree of depth three on all rows and features: search at every level, the
+# nodes that are put together again and the leaves are written in SQL.
+
+TREE = dict(num_trees=1, max_depth=3, feature_subset="all", bootstrap=False)
+TREE_DEPTH = 3
+
+
+def _trees_by_day(spark, sf_dir):
+    return _memo(spark, "tree_by_day", sf_dir, lambda: programs.train_each_day(_flows(spark, sf_dir), **TREE))
+
+
+def _tree_all_days(spark, sf_dir):
+    build = lambda: _Written(spark, "tree-all-days", programs.train_all_days(_flows(spark, sf_dir), **TREE))
+    return _memo(spark, "tree_all_days", sf_dir, build)
+
+
+def _tree_one_day(spark, sf_dir):
+    """The one-day program itself."""
+    build = lambda: _Written(spark, "tree-one-day", programs.train_day(_flows(spark, sf_dir), ONE_DAY, **TREE))
+    return _memo(spark, "tree_one_day", sf_dir, build)
+
+
+def _tree_rows(nodes):
+    """Node rows told by their path from the root (L, R) instead of their number."""
+    level = nodes.where("node = 0").select("*", F.lit("").alias("path"))
+    out = level
+    for _ in range(TREE_DEPTH):
+        up = level.where("is_split").select(F.col(DAY_COL).alias("_day"), F.col("path").alias("_path"), F.col("left_child").alias("_l"), F.col("right_child").alias("_r"))
+        down = nodes.join(up, (F.col(DAY_COL) == F.col("_day")) & F.col("node").isin(F.col("_l"), F.col("_r")))
+        side = F.when(F.col("node") == F.col("_l"), "L").otherwise("R")
+        level = down.select(*nodes.columns, F.concat("_path", side).alias("path"))
+        out = out.unionByName(level)
+    count = lambda i: F.element_at("class_counts", i).cast("long")
+    return out.select(
+        DAY_COL, "path", "is_split", "slot", "feature", "threshold", F.round("gain", 9).alias("gain"), "prediction",
+        count(1).alias("n_first_label"), count(2).alias("n_second_label"),
+    )
+
+
+@query("tree_nodes")
+def q_tree_nodes(spark, sf_dir):
+    """Nodes of the three-level trees of each day and of all days: split, threshold, gain, prediction, counts."""
+    nodes = _trees_by_day(spark, sf_dir).nodes()
+    return _tree_rows(nodes.unionByName(_tree_all_days(spark, sf_dir).read("nodes")))
+
+
+@query("tree_nodes_one_day")
+def q_tree_nodes_one_day(spark, sf_dir):
+    """Nodes of the one-day program's three-level tree."""
+    return _tree_rows(_tree_one_day(spark, sf_dir).read("nodes"))
+
+
+@query("tree_scored")
+def q_tree_scored(spark, sf_dir):
+    """Test rows of each day's three-level tree, with prediction and decoded tag."""
+    return _trees_by_day(spark, sf_dir).scored().select("event_id", DAY_COL, LABEL_COL, "indexedLabel", "prediction", "predictedLabel")
+
+
+@query("tree_scored_one_day")
+def q_tree_scored_one_day(spark, sf_dir):
+    """Test rows of the one-day program's three-level tree."""
+    return _tree_one_day(spark, sf_dir).read("scored").select("event_id", DAY_COL, LABEL_COL, "indexedLabel", "prediction", "predictedLabel")
+
+
+@query("tree_scored_all_days")
+def q_tree_scored_all_days(spark, sf_dir):
+    """Test rows of the three-level tree of all days."""
+    return _tree_all_days(spark, sf_dir).read("scored").select("event_id", DAY_COL, LABEL_COL, "indexedLabel", "prediction", "predictedLabel")
+
+
+@query("tree_sample")
+def q_tree_sample(spark, sf_dir):
+    """The sample that the one-day program shows: decoded prediction, tag and assembled features (a row per slot)."""
+    sample = _tree_one_day(spark, sf_dir).read("sample")
+    return sample.select("event_id", "predictedLabel", LABEL_COL, F.posexplode("features").alias("slot", "value"))
+
+
 @query("train_rows_kept")
 def q_train_rows_kept(spark, sf_dir):
     """Rows in, training rows and test rows when the preparation is fitted on training rows only."""
