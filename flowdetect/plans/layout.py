@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fewest and most buckets of the forest's input, and the rows that one may hold before there are more.
-FOREST_PARTITIONS, MAX_BUCKETS = 16, 16_384
+FOREST_PARTITIONS, MAX_BUCKETS = 8, 16_384
 BUCKET_ROWS = 250_000
 
 
 def forest_buckets(rows: int) -> int:
-    """Buckets for that many rows: 16, doubled until a bucket holds at most ``BUCKET_ROWS`` of them."""
+    """Buckets for that many rows: 8, doubled until a bucket holds at most ``BUCKET_ROWS`` of them."""
     buckets = FOREST_PARTITIONS
     while buckets < MAX_BUCKETS and rows > buckets * BUCKET_ROWS:
         buckets *= 2

@@ -57,7 +57,7 @@ HOUR_START, HOUR_LENGTH = 12, 2  # 1-based position of the hour in yyyy-MM-ddTHH
 MAX_CATEGORIES = 10  # slots with at most this many values are re-coded as categories
 TRAIN_FRACTION = 0.7  # share of rows in the training part
 NUM_TREES = 32
-MAX_BINS_ONE_DAY = 10_000  # the original fixed bin count for one day (now the cap)
+MAX_BINS_ONE_DAY = 10_000  # the original fixed bin count for one day, raised where a text column has more values
 MAX_BINS_ALL_DAYS = 20_000  # the same for all days together
 
 # Times and addresses are kept as text: the hour is cut from the text and the

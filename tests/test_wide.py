@@ -68,7 +68,7 @@ def test_runs_leave_nothing_cached(spark):
 
 
 def test_width_follows_the_rows():
-    assert [layout.forest_buckets(n) for n in (0, 4_000_000, 4_000_001, 10_000_000, 1 << 60)] == [16, 16, 32, 64, layout.MAX_BUCKETS]
+    assert [layout.forest_buckets(n) for n in (0, 4_000_000, 4_000_001, 10_000_000, 1 << 60)] == [8, 16, 32, 64, layout.MAX_BUCKETS]
 
 
 def test_same_wide_forest_from_any_layout(spark, monkeypatch):
