@@ -1,13 +1,16 @@
 """Fuzzy repeated passages by collinear chaining of shared seeds (operator 6).
 
-Seeds are windows of five words (lower-cased A-Z), of which every run of
+Equal texts come first: all but the one of the smallest id are passages as a
+whole. Of the rest, seeds are windows of five words (lower-cased A-Z), of which every run of
 WINDOW neighbours keeps the one with the least hash: passages that agree on
 WINDOW + 4 words in a row share a seed. A seed that a document has again is
 matched with its occurrence before in that document; the first one of each
-document is joined with the first two documents that have it (smallest ids), so a
-seed of many documents gives at most twice as many matches as documents, not pairs.
-A seed of up to three documents, once in each, leads to every partner that way. Those that
-stand more often do not, and give longer keys: every stretch of MIN_WORDS words
+document is joined with the first document that has it (smallest id), so a
+seed of many documents gives as many matches as documents, not pairs.
+
+What the passages found so leave uncovered (EDGE words at their ends included) is
+followed further: to the first document in which the seed is uncovered too, and by
+longer keys where seeds are frequent: every stretch of MIN_WORDS words
 that fewer than two rarer seeds lead into is matched with its first occurrence, so
 no exact repeat of MIN_WORDS words is lost to frequent phrases; and pairs of seeds up
 to LAGS seeds apart, with whatever stands between, are joined with their first two
@@ -53,6 +56,8 @@ MIN_SEEDS = 2
 FEW = 3
 #: Pairs of seeds up to so many repeated seeds apart are keys too.
 LAGS = 8
+#: Words at a found passage's ends whose seeds are followed further.
+EDGE = 20
 #: Words around a chain that alignment may use: a stretch of MIN_WORDS around its seeds whole.
 MARGIN = MIN_WORDS
 #: Largest number of words skipped in one text to go on with the alignment.
@@ -297,14 +302,14 @@ def chained(matches: DataFrame) -> DataFrame:
                 table = pa.concat_tables([held, table]).combine_chunks()
             if not table.num_rows:
                 continue
-            columns = [table.column(k).to_numpy() for k in range(4)]
+            columns = [table.column(k).to_numpy() for k in range(5)]
             last = np.flatnonzero(columns[0] != columns[0][-1])
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last document may go on in the next batch
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last pair may go on in the next batch
             if cut:
-                yield from emit(*(c[:cut] for c in columns))
+                yield from emit(*(c[:cut] for c in columns[1:]))
             held = table.slice(cut)
         if held is not None and held.num_rows:
-            yield from emit(*(held.column(k).to_numpy() for k in range(4)))
+            yield from emit(*(held.column(k).to_numpy() for k in range(1, 5)))
 
     def emit(who, spot, source, source_spot):
         tag, x = spot.view(np.uint64) >> np.uint64(32), (spot & 0xFFFFFFFF)
@@ -333,7 +338,10 @@ def chained(matches: DataFrame) -> DataFrame:
                 [f.split()[0] for f in CHAINS.split(", ")],
             )
 
-    return matches.select("id", "spot", "sid", "sspot").repartition("id").sortWithinPartitions("id").mapInArrow(lean(run), CHAINS)
+    # rows of one document and one source meet; a document with many sources, and rows without an id, spread
+    pair = F.xxhash64("id", F.shiftrightunsigned("spot", 32), "sid", F.shiftrightunsigned("sspot", 32)).alias("pair")
+    rows = matches.select(pair, "id", "spot", "sid", "sspot").repartition("pair").sortWithinPartitions("pair")
+    return rows.mapInArrow(lean(run), CHAINS)
 
 
 def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -480,7 +488,7 @@ def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]]) -> li
 
 
 PASSAGES = (
-    "id long, tag long, start long, end long, n_words long, source_id long, source_start long, source_end long, similarity double"
+    "id long, tag long, start long, end long, n_words long, source_id long, source_start long, source_end long, similarity double, word long"
 )
 
 
@@ -515,9 +523,9 @@ def align_chains(pairs: DataFrame) -> DataFrame:
             (ha, a_start, a_end, at_a), (hb, b_start, b_end, at_b) = lists
             for a0, a1, b0, b1, similarity in aligned(ha, hb, list(zip(at_a, at_b))):
                 rows.append((plain["id"][r], plain["tag"][r], int(a_start[a0]), int(a_end[a1 - 1]), a1 - a0, plain["sid"][r],
-                             int(b_start[b0]), int(b_end[b1 - 1]), similarity))
-        columns = list(zip(*rows)) if rows else [()] * 9
-        kinds = [pa.int64()] * 8 + [pa.float64()]
+                             int(b_start[b0]), int(b_end[b1 - 1]), similarity, int(a0) + plain["afirst"][r]))
+        columns = list(zip(*rows)) if rows else [()] * 10
+        kinds = [pa.int64()] * 8 + [pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in PASSAGES.split(", ")])
 
     return pairs.mapInArrow(lean(run), PASSAGES)
@@ -528,10 +536,61 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.withColumn("tag", F.crc32("text"))
 
 
+def _aligned_matches(matches: DataFrame, texts: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """Rows of PASSAGES of ``matches`` (a written table, the last of ``paths``; what ``paths`` lists goes)."""
+    found = stored(chained(matches), f"{name}-chains", release=True)
+    drop(texts, paths)
+    one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
+    other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
+    cuts = stored(spans(one.union(other).distinct(), texts), f"{name}-spans", release=True, paths=paths)
+    a = cuts.toDF("id", "tag", "x0", "x1", "afirst", "alo", "abytes")
+    b = cuts.toDF("sid", "stag", "y0", "y1", "bfirst", "blo", "bbytes")
+    out = stored(align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"])), f"{name}-passages", release=True)
+    drop(texts, paths)
+    return out
+
+
+def outside(repeats: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``repeats`` (id, spot) whose seed does not lie inside a found passage, EDGE words from its ends."""
+    inside = found.where(F.col("n_words") > 2 * EDGE + SHINGLE).select(
+        "id", "tag", F.struct((F.col("word") + EDGE).alias("a"), (F.col("word") + F.col("n_words") - EDGE - SHINGLE).alias("b")).alias("range")
+    )
+    lists = inside.distinct().groupBy("id", "tag").agg(F.collect_list("range").alias("ranges"))
+    place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    covered = F.exists("ranges", lambda r: (place >= r["a"]) & (place <= r["b"]))
+    rows = repeats.withColumn("tag", F.shiftrightunsigned("spot", 32)).join(lists, ["id", "tag"], "left")
+    return rows.where(~F.coalesce(covered, F.lit(False))).drop("tag", "ranges")
+
+
+def equal_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts with each text once, under its smallest id; rows of PASSAGES of the others: their whole text)."""
+    keyed = texts.withColumn("digest", F.sha2("text", 256))
+    heads = keyed.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("head"), F.count_distinct("id").alias("ids")).where("ids > 1")
+    heads = stored(heads.select("digest", F.col("head.id").alias("source_id")), "equal-texts")
+    copies = stored(keyed.select("id", "tag", "digest").join(heads, "digest").where("id <> source_id").distinct(), "copies")
+    rows = keyed.join(copies.select("id", "digest").withColumn("copy", F.lit(True)), ["id", "digest"], "left")
+    space = r"[\x20\x09-\x0D]"
+    size = F.octet_length("text").cast("long")
+    start = F.octet_length(F.regexp_extract("text", f"^{space}*", 0)).cast("long")
+    whole = rows.where("copy").select("id", "tag", "digest", start.alias("start"), (size - F.octet_length(F.regexp_extract("text", f"{space}*$", 0))).alias("end"),
+                                      F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+    passages = whole.where(F.col("n_words") >= MIN_WORDS).distinct().join(copies.select("id", "digest", "source_id"), ["id", "digest"]).select(
+        "id", "tag", "start", "end", "n_words", "source_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"),
+        F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("word"),
+    )
+    return rows.where("copy is null").select("id", "text", "tag"), passages
+
+
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of PASSAGES: each repeated passage with where its earlier copy stands (bytes)."""
-    texts = _texts(docs, id_col, text_col)
-    paths: list[str] = []  # tables that only the matches need
+    """Rows of PASSAGES: each repeated passage with where its earlier copy stands (bytes).
+
+    Equal texts first: all but one are passages as a whole. Of the others, every
+    repeated seed is followed to its first document; what the passages
+    found there leave uncovered goes on to the second document and to the longer keys.
+    """
+    texts, whole = equal_texts(_texts(docs, id_col, text_col))
+    texts = stored(texts, "distinct-texts")
+    paths: list[str] = []
     used: list[str] = []
     seeded = stored(seed_rows(texts), "seeds", paths=used)
     first = stored(
@@ -543,26 +602,24 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         release=True,
         paths=used,
     )
-    repeats = stored(seeded.join(first, "hash"), "repeated-seeds", release=True, paths=paths)
+    repeats_at: list[str] = []
+    repeats = stored(seeded.join(first, "hash"), "repeated-seeds", release=True, paths=repeats_at)
     drop(docs, used)
-    shared = repeats.where("before is null and (id <> sid or spot <> sspot)")
-    # the second document too: a passage may begin there that holds a stretch of the first
-    second = stored(heads_of(shared.select("hash", "id", "spot"), "spot"), "second-seeds", paths=paths)
-    later = shared.select("hash", "id", "spot").join(second, "hash").where("id <> sid or spot <> sspot")
-    within = repeats.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
-    keys = stored(key_rows(repeats.select("id", "spot", "often"), texts), "keys", release=True, paths=paths)
     columns = ["id", "spot", "sid", "sspot"]
-    linked = shared.select(*columns).union(later.select(*columns)).union(within).union(key_matches(keys, paths))
-    matches = stored(linked, "matches", release=True, paths=used)
+    within = repeats.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))
+    shared = repeats.where("before is null and (id <> sid or spot <> sspot)")
+    near = _aligned_matches(stored(shared.select(*columns).union(within), "matches", release=True, paths=used), texts, "first", used)
+
+    left = stored(outside(repeats, near), "seeds-left", release=True, paths=paths)
+    drop(docs, repeats_at)
+    open_ = left.where("before is null and (id <> sid or spot <> sspot)")
+    # the second document: a passage may begin there that holds a stretch of the first
+    second = stored(heads_of(open_.select("hash", "id", "spot"), "spot"), "second-seeds", paths=paths)
+    later = open_.select("hash", "id", "spot").join(second, "hash").where("id <> sid or spot <> sspot").select(*columns)
+    keys = stored(key_rows(left.select("id", "spot", "often"), texts), "keys", release=True, paths=paths)
+    matches = stored(later.union(key_matches(keys, paths)), "more-matches", release=True, paths=used)
     drop(docs, paths)
-    found = stored(chained(matches), "chains", release=True)
-    drop(docs, used)
-    one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
-    other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
-    cuts = stored(spans(one.union(other).distinct(), texts), "spans", release=True)
-    a = cuts.toDF("id", "tag", "x0", "x1", "afirst", "alo", "abytes")
-    b = cuts.toDF("sid", "stag", "y0", "y1", "bfirst", "blo", "bbytes")
-    return align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"]))
+    return whole.union(near).union(_aligned_matches(matches, texts, "second", used)).select(*[f.split()[0] for f in PASSAGES.split(", ")])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
