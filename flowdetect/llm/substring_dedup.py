@@ -558,27 +558,28 @@ def outside(repeats: DataFrame, found: DataFrame) -> DataFrame:
     lists = inside.distinct().groupBy("id", "tag").agg(F.collect_list("range").alias("ranges"))
     place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
     covered = F.exists("ranges", lambda r: (place >= r["a"]) & (place <= r["b"]))
-    rows = repeats.withColumn("tag", F.shiftrightunsigned("spot", 32)).join(lists, ["id", "tag"], "left")
+    rows = repeats.withColumn("tag", F.shiftrightunsigned("spot", 32)).join(lists.hint("merge"), ["id", "tag"], "left")
     return rows.where(~F.coalesce(covered, F.lit(False))).drop("tag", "ranges")
 
 
 def equal_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with each text once, under its smallest id; rows of PASSAGES of the others: their whole text)."""
-    keyed = texts.withColumn("digest", F.sha2("text", 256))
-    heads = keyed.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("head"), F.count_distinct("id").alias("ids")).where("ids > 1")
-    heads = stored(heads.select("digest", F.col("head.id").alias("source_id")), "equal-texts")
-    copies = stored(keyed.select("id", "tag", "digest").join(heads, "digest").where("id <> source_id").distinct(), "copies")
-    rows = keyed.join(copies.select("id", "digest").withColumn("copy", F.lit(True)), ["id", "digest"], "left")
+    digest = F.sha2("text", 256).alias("digest")
     space = r"[\x20\x09-\x0D]"
-    size = F.octet_length("text").cast("long")
-    start = F.octet_length(F.regexp_extract("text", f"^{space}*", 0)).cast("long")
-    whole = rows.where("copy").select("id", "tag", "digest", start.alias("start"), (size - F.octet_length(F.regexp_extract("text", f"{space}*$", 0))).alias("end"),
-                                      F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
-    passages = whole.where(F.col("n_words") >= MIN_WORDS).distinct().join(copies.select("id", "digest", "source_id"), ["id", "digest"]).select(
+    start = F.octet_length(F.regexp_extract("text", f"^{space}*", 0)).cast("long").alias("start")
+    end = (F.octet_length("text").cast("long") - F.octet_length(F.regexp_extract("text", f"{space}*$", 0))).alias("end")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    facts = stored(texts.select("id", "tag", digest, start, end, n_words), "text-facts")
+    heads = facts.groupBy("digest").agg(F.min("id").alias("source_id"), F.max("id").alias("last_id")).where("source_id < last_id")
+    copies = facts.join(heads.select("digest", "source_id"), "digest").where("id <> source_id").dropDuplicates(["id", "digest"])
+    copies = stored(copies, "copies", release=True)
+    passages = copies.where(F.col("n_words") >= MIN_WORDS).select(
         "id", "tag", "start", "end", "n_words", "source_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"),
         F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("word"),
     )
-    return rows.where("copy is null").select("id", "text", "tag"), passages
+    # copies grow with the rows: never broadcast
+    once = texts.withColumn("digest", digest).join(copies.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti")
+    return once.select("id", "text", "tag"), passages
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -589,7 +590,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found there leave uncovered goes on to the second document and to the longer keys.
     """
     texts, whole = equal_texts(_texts(docs, id_col, text_col))
-    texts = stored(texts, "distinct-texts")
+    texts = stored(texts, "distinct-texts", release=True)
     paths: list[str] = []
     used: list[str] = []
     seeded = stored(seed_rows(texts), "seeds", paths=used)
