@@ -10,7 +10,8 @@ are grouped by union-find.
 Texts with equal shingle sets are one node from the start. In a bucket, every
 node is first compared with the bucket's most connected node only, which
 settles groups of copies in linear work. Buckets that still hold several
-groups are then compared in blocks on the full sets, group against group, so no
+groups are then compared in blocks, group against group: first on sizes and
+short signatures, which leaves few nodes, then these on the full sets, so no
 candidate pair of the bands is lost, no bucket is one task, and pairs that are
 not linked are never written.
 
@@ -221,13 +222,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links between nodes of one bucket that are not yet in one component, found block by block.
+def in_blocks(open_buckets: DataFrame, lists: DataFrame, payload: list[str], compare, schema: str) -> DataFrame:
+    """``compare`` of every cell's nodes that are not in one component; ``lists``: node and its ``payload``.
 
     A bucket of up to two blocks is one cell. Of a larger one, the largest
-    component is compared with the others, and the others among themselves. A
-    node gets one link to each other component that it is linked with, which is
-    all that grouping needs.
+    component is compared with the others, and the others among themselves.
     """
     parts = stored(open_buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "bucket-parts")
     heads = stored(
@@ -253,7 +252,7 @@ def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
         ))
     )
     placed = rows.select("key", "node", "component", F.explode(meets).alias("m"))
-    full = placed.join(lists, "node").select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", "shingles")
+    full = placed.join(lists, "node").select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", *payload)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -265,23 +264,55 @@ def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
                 if hi == lo:
                     continue
                 if held and ids[lo] != cell:
-                    yield compare(held)
+                    yield met(held)
                     held = []
                 cell = ids[lo]
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield compare(held)
+            yield met(held)
 
-    def compare(parts):
+    def met(parts):
         table = pa.Table.from_batches(parts)
         where = np.stack([table.column(c).to_numpy() for c in ("key", "kind", "a", "b")])
+        component = table.column("component").to_numpy()
+        apart = component[:, None] != component[None, :]
+        apart &= (where[:, :, None] == where[:, None, :]).all(axis=0)  # cells may share a hash
+        return compare(table, apart)
+
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), schema).distinct()
+
+
+def promising(open_buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node) of the nodes that have, in another component of the bucket, a partner whose size and signature allow the similarity."""
+
+    def compare(table, apart):
+        size = table.column("n_shingles").to_numpy()
+        good = apart & (100 * np.minimum(size[:, None], size[None, :]) >= PERCENT * np.maximum(size[:, None], size[None, :]))
+        if good.any():
+            signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+            agree = np.zeros(good.shape, dtype=np.uint8)
+            for place in signed.T:
+                agree += place[:, None] == place[None, :]
+            good &= agree >= LEAST_AGREEMENT * PLACES
+        keep = pa.array(good.any(axis=1))
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(keep) for c in ("key", "node")], ["key", "node"])
+
+    return in_blocks(open_buckets, nodes.select("node", "n_shingles", "signature"), ["n_shingles", "signature"], compare, "key long, node long")
+
+
+def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links between nodes of one bucket that are not yet in one component, found block by block on full sets.
+
+    A node gets one link to each other component that it is linked with, which is
+    all that grouping needs.
+    """
+
+    def compare(table, apart):
         node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
         sets = [np.frombuffer(body, dtype=np.uint64) for body in table.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
         both = overlaps(sets)
-        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
-        linked &= component[:, None] != component[None, :]
-        linked &= (where[:, :, None] == where[:, None, :]).all(axis=0)  # cells may share a hash
+        linked = apart & (100 * both >= PERCENT * (size[:, None] + size[None, :] - both))
         u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in np.flatnonzero(linked.any(axis=1)).tolist():
             at = np.flatnonzero(linked[i])
@@ -290,7 +321,7 @@ def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
             v.append(np.maximum(node[i], node[at]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), "u long, v long").distinct()
+    return in_blocks(open_buckets, lists, ["shingles"], compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +360,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     mixed = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *members).where("lo <> hi")
     # close copies share many bands: of buckets with the same nodes, one is enough
     mixed = stored(mixed.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
-    left = stored(located.join(mixed, "key"), "left-buckets")
+    left = stored(located.join(mixed, "key"), "open-buckets")
+    left = stored(left.join(promising(left, nodes), ["key", "node"]), "left-buckets", release=True)
     lists = stored(shingle_lists(texts.join(left.select("node").distinct(), "node", "left_semi"), size), "shingles", release=True)
     links = links_in_blocks(left, lists)
     stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
