@@ -4,10 +4,10 @@ import re
 import numpy as np
 
 from flowdetect.llm import minhash
-from flowdetect.llm.common import RollingHash
+from flowdetect.llm.common import RangeHash
 from flowdetect.llm.components import components, union_find
 from flowdetect.llm.minhash import FULL, keep_one_of_each, near_duplicates, shingle_sets, superminhash
-from tests.llm.cases import CLASH, documents, odd_rows, repeated
+from tests.llm.cases import CLASH, by_id, documents, odd_rows, repeated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,7 +113,7 @@ def test_shingle_sets_of_short_texts():
     texts = [b"", b"a", b"A", b"a b", b"a b c d", b"a b c d e a b c d"]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    docs, keys = shingle_sets(data, offsets, RollingHash(), 4)
+    docs, keys = shingle_sets(data, offsets, RangeHash(), 4)
     assert np.bincount(docs, minlength=6).tolist() == [0, 1, 1, 1, 1, 5]
     assert keys[docs == 1][0] == keys[docs == 2][0]
 
@@ -142,3 +142,15 @@ def test_one_row_of_each_group_stays(spark):
     top, _ = plain(rows, 5)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(i) for i in top if top[i] == i] + ["None"])
+
+
+def swapped_texts():
+    """Two different strings that a polynomial modulo 2^64 cannot tell apart."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_swapped_strings_are_two_words(spark):
+    one, other = swapped_texts()
+    got = by_id(near_duplicates(documents(spark, [(1, one), (2, other), (3, one)])))
+    assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 2, 3: 1}

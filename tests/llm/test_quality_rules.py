@@ -49,3 +49,11 @@ def test_one_text_larger_than_a_slice(spark):
     text = "some words of one very long text without repeats " + " ".join(f"w{k}" for k in range(300_000))
     r = quality_rules(documents(spark, [(1, text), (2, "short"), (None, None)])).where("doc_id = 1").first()
     assert (r["n_words"], r["kept"]) == (len(text.split()), True)
+
+
+def test_swapped_strings_are_two_lines(spark):
+    from tests.llm.test_minhash import swapped_texts
+
+    one, other = swapped_texts()
+    got = by_id(quality_rules(documents(spark, [(1, f"{one}\n{other}"), (2, f"{one}\n{one}")])))
+    assert (got[1]["n_dup_lines"], got[2]["n_dup_lines"]) == (0, 1)
