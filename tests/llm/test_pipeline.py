@@ -135,7 +135,7 @@ def test_stages_take_odd_rows(spark):
 
 def test_queries_and_sql_have_the_same_names():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(oracle.oracle_sql()) <= names
 
 
