@@ -17,7 +17,9 @@ and neighbours across the borders of tasks are found through the border rows.
 Defined cases: null html is empty and gives the empty text; a null or odd url
 counts as an empty host and path; repeated rows are neighbours of each other
 (copies); pages without a neighbour lose no shared lines; tags that are cut off end
-the page; extra columns are not read.
+the page; an ``article`` named as a comment or an advert is one; where all articles stand in an
+element named as an advert or notice that is never closed, they are the main text; extra columns are not read.
+Pages may be of any length: the alignment of two pages holds at most ROW_BITS bits of rows and MASKS bit masks at once.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import hashlib
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,8 @@ FRAME_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav",
                "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "related", "replies",
                "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+COMMENT_WORDS = {"comment", "comments", "disqus", "related", "replies"}
+OPTIONAL_END = {"dd", "dt", "li", "p", "td", "th", "tr"}
 FRAME_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 
 TAG = re.compile(
@@ -57,23 +62,38 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def _is_frame(name: str, attrs: str) -> bool:
+#: Alignments of more than so many bits of rows are halved first.
+ROW_BITS = 1 << 26
+#: Lines that stand in more than one of so many places of a page keep their bit mask.
+MASKS = 256
+
+
+def _frame_words(name: str, attrs: str) -> set[str] | None:
+    """The words that make an element part of the page's frame (none: it is no part; empty: its name or role does)."""
     if name in FRAME:
-        return True
-    if not attrs or name in ("html", "body") or name in MAIN:
-        return False
+        return set()
+    if not attrs or name in ("html", "body", "main"):
+        return None
     for key, value in ATTRIBUTE.findall(attrs):
-        key, words = key.lower(), set(WORD.findall(value.lower()))
-        if key == "hidden" or key == "role" and words & FRAME_ROLES or key in ("class", "id") and words & FRAME_WORDS:
-            return True
-    return False
+        key, value = key.lower(), value.lower()
+        words = set(WORD.findall(value))
+        if name in MAIN and key in ("class", "id"):  # whole names: "with-sidebar" says nothing of an article
+            names = value.strip("\"'").split()
+            words = set(names) | {w for w in words if key == "id" and any(n.startswith(("comment-", "comment_")) for n in names)}
+        if key == "hidden" or key == "role" and words & FRAME_ROLES:
+            return set()
+        if key in ("class", "id") and words & FRAME_WORDS:
+            return words & FRAME_WORDS
+    return None
 
 
 def page_lines(page: str) -> tuple[list[str], str]:
     """(lines, kinds): kind m inside an article or main element, f in the page's frame, u neither."""
     lines, kinds, held = [], [], []
-    stack: list[tuple[str, str]] = []  # open elements with the kind of their text
-    kind, held_kind, at = "u", "u", 0  # kind of the next text and of the text held for the block
+    # open elements: name, kind of their text, kind of an article inside a frame known by its class only, whether that frame is this element
+    stack: list[tuple[str, str, str, bool]] = []
+    kind, held_kind, mark, at = "u", "u", "", 0  # kind of the next text and of the text held for the block
+    unclosed: set[str] = set()
 
     def flush():
         text = " ".join("".join(held).split())
@@ -104,39 +124,77 @@ def page_lines(page: str) -> tuple[list[str], str]:
         if tag["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    unclosed.update(m for _, _, m, own in stack[k + 1 :] if own)
                     del stack[k:]
-                    kind = stack[-1][1] if stack else "u"
+                    kind, mark = stack[-1][1:3] if stack else ("u", "")
                     break
         elif name not in VOID and not tag["attrs"].endswith("/"):
-            new = kind
+            new, inner, own = kind, mark, False
             if kind != "x":
+                words = _frame_words(name, tag["attrs"]) if kind != "f" or mark else None
                 if name in NO_TEXT:
                     new = "x"
-                elif kind != "f" and _is_frame(name, tag["attrs"]):
-                    new = "f"
-                elif kind == "u" and (name in MAIN or "role" in tag["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", tag["attrs"], re.I)):
-                    new = "m"
+                elif words is not None:
+                    own = bool(words) and not words & COMMENT_WORDS and name not in OPTIONAL_END
+                    new, inner = "f", f"?{at}" if own else ""
+                elif name in MAIN or "role" in tag["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", tag["attrs"], re.I):
+                    new = "m" if kind == "u" else mark if kind == "f" and mark else kind
             if name in RAW_TEXT:  # its content is no markup
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
                 continue
-            stack.append((name, new))
-            kind = new
+            stack.append((name, new, inner, own))
+            kind, mark = new, inner
     flush()
-    return lines, "".join(kinds)
+    unclosed.update(m for _, _, m, own in stack if own)
+    if "m" in kinds:
+        unclosed = set()
+    return lines, "".join(k if len(k) == 1 else "m" if k in unclosed else "f" for k in kinds)
 
 
-def common_lines(a: list[int], b: list[int]) -> list[bool]:
-    """For each element of ``a``: whether it is part of a longest common subsequence with ``b`` (bit-parallel)."""
-    where: dict[int, int] = {}
+def _masks(a: list[int]):
+    """Function that gives the bits of the places of a line in ``a``. Only masks of frequent lines are held."""
+    where: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    state, rows = full, []
+        where.setdefault(x, []).append(i)
+
+    def mask(places: list[int]) -> int:
+        bits = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    frequent = {x: mask(places) for x, places in where.items() if len(places) * MASKS > len(a)}
+    return lambda x: frequent[x] if x in frequent else mask(where[x]) if x in where else 0
+
+
+def _states(a: list[int], b: list[int]):
+    """After each element of ``b``, the bits of ``a`` where the common subsequence does not grow."""
+    mask, full = _masks(a), (1 << len(a)) - 1
+    state = full
     for x in b:
-        hit = state & where.get(x, 0)
+        hit = state & mask(x)
         state = ((state + hit) | (state - hit)) & full
-        rows.append(state)
+        yield state
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``b`` with each beginning of ``a``."""
+    state = 0
+    for state in _states(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common(a: list[int], b: list[int]) -> list[bool]:
+    if not a or not b:
+        return [False] * len(a)
+    if len(a) * len(b) > ROW_BITS and len(b) > 1:
+        half = len(b) // 2
+        cut = int(np.argmax(_lengths(a, b[:half]) + _lengths(a[::-1], b[half:][::-1])[::-1]))
+        return _common(a[:cut], b[:half]) + _common(a[cut:], b[half:])
+    rows = list(_states(a, b))
     out = [False] * len(a)
     i, j = len(a), len(b)
     while i and j:
@@ -150,6 +208,17 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return out
 
 
+def common_lines(a: list[int], b: list[int]) -> list[bool]:
+    """For each element of ``a``: whether it is part of a longest common subsequence with ``b``.
+
+    Equal beginnings and ends are taken first; the rest is aligned bit-parallel, in halves of ``b`` while it is large.
+    """
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    return [True] * head + _common(a[head : len(a) - tail], b[head : len(b) - tail]) + [True] * tail
+
+
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 
 
@@ -267,11 +336,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     found = shared_with_neighbour(stored(line_hashes(keyed), "page-lines"))
     shared = stored(found.groupBy("content", "name").agg(F.max("shared").alias("shared")), "shared-lines", release=True)
     both = line_texts(keyed).join(shared, ["content", "name"])
-    flag = lambda text, i: F.substring(text, i + 1, F.lit(1))
-    lines = F.split("body", "\n")
+    each = F.arrays_zip(F.split("body", "\n").alias("line"), F.split("kinds", "").alias("kind"), F.split("shared", "").alias("shared"))
+    lines_where = lambda keep: F.transform(F.filter(each, keep), lambda x: x["line"])
     has_main = F.instr("kinds", "m") > 0
-    undecided = F.filter(lines, lambda x, i: flag(F.col("kinds"), i) == "u")
-    own = F.filter(lines, lambda x, i: (flag(F.col("kinds"), i) == "u") & (flag(F.col("shared"), i) == "0"))
-    kept = F.when(has_main, F.filter(lines, lambda x, i: flag(F.col("kinds"), i) == "m")).when(F.size(own) > 0, own).otherwise(undecided)
+    undecided = lines_where(lambda x: x["kind"] == "u")
+    own = lines_where(lambda x: (x["kind"] == "u") & (x["shared"] == "0"))
+    kept = F.when(has_main, lines_where(lambda x: x["kind"] == "m")).when(F.size(own) > 0, own).otherwise(undecided)
     text = F.when(F.col("kinds") == "", F.lit("")).otherwise(F.array_join(kept, "\n"))
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

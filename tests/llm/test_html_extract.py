@@ -1,7 +1,10 @@
+import html
 import random
+import re
 
 from flowdetect.llm import html_extract
 from flowdetect.llm.html_extract import common_lines, extract_main_text, page_lines, url_key
+from tests.llm.cases import SF
 
 
 def pages(spark, rows, extra=False):
@@ -92,3 +95,62 @@ def test_odd_rows(spark):
     got = sorted((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in out.collect() if r["url"])
     assert got == [("3", "http://a.b/x", "one", 3), ("3", "http://a.b/x", "one", 3), ("4", "::", "", 0), ("None", "http://a.b/y", "two", 3)]
     assert out.count() == 6 and extract_main_text(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_comments_as_articles_are_no_main_text(spark):
+    story = "<h1>Title</h1><p>Story text</p>"
+    rows = [
+        (1, "http://a.b/1", f"<article>{story}</article><article class='comment'><p>nice</p></article>"),
+        (2, "http://c.d/2", f"<div class='post'>{story}</div><article id='comment-7'><p>nice</p></article>"),
+        (3, "http://e.f/3", f"<article class='post with-sidebar'>{story}</article>"),
+        (4, "http://g.h/4", f"<article>{story}<article class='x comment'>nice</article>end</article>"),
+    ]
+    assert text_of(spark, rows) == {k: "Title\nStory text" + ("\nend" if k == 4 else "") for k in range(1, 5)}
+
+
+def test_article_after_an_advert_that_is_never_closed(spark):
+    story = "<article><h1>Title</h1><nav>menu</nav><p>Story</p><div class='comments'><article>nice</article></div></article>"
+    rows = [
+        (1, "http://a.b/1", f"<div class='ad'>buy{story}"),
+        (2, "http://c.d/2", f"<html><body><div class='ad'>buy{story}</body></html>"),
+        (3, "http://e.f/3", f"<div class='promo'><article>buy</article></div>{story}"),
+        (4, "http://g.h/4", f"{story}<div class='promo'><article>buy</article>"),
+    ]
+    assert set(text_of(spark, rows).values()) == {"Title\nStory"}
+    assert page_lines("<div class='promo'><article>buy</article></div>")[1] == "f"
+    assert page_lines("<div class='comments'><article>nice</article>")[1] == "f"
+    assert page_lines("<ul><li class='promo'><article>buy</article></ul>")[1] == "f"
+
+
+def test_alignment_in_halves_is_as_long(monkeypatch):
+    rng = random.Random(9)
+    cases = [tuple([rng.randrange(kinds) for _ in range(rng.randrange(60))] for _ in range(2)) for kinds in (2, 5, 40) for _ in range(60)]
+    whole = [sum(common_lines(a, b)) for a, b in cases]
+    monkeypatch.setattr(html_extract, "ROW_BITS", 20)
+    monkeypatch.setattr(html_extract, "MASKS", 3)
+    for (a, b), n in zip(cases, whole):
+        flags = common_lines(a, b)
+        rest = iter(b)
+        assert len(flags) == len(a) and sum(flags) == n and all(x in rest for x, f in zip(a, flags) if f)
+
+
+def test_long_pages(spark):
+    body = "".join(f"<p>line {k}</p>" for k in range(20_000))
+    rows = [(k, f"http://a.b/{k}", f"<div>menu</div><p>own {k}</p>{body}<p>end {k}</p>") for k in (1, 2)]
+    assert text_of(spark, rows) == {1: "own 1\nend 1", 2: "own 2\nend 2"}
+
+
+def test_main_text_is_the_article_of_the_given_pages(spark):
+    """By pattern, apart from the operator: the paragraphs and headings of each page's one article, without elements of its frame."""
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    frame = re.compile(r"<(nav|header|footer|aside|form|script|style|ul|div)\b[^>]*>.*?</\1>", re.S)
+    checked = 0
+    for r in extract_main_text(rows).join(rows.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article\b[^>]*>(.*?)</article>", r["html"], re.S)
+        if not article:
+            continue
+        blocks = re.findall(r"<(?:p|h1|h2|h3)\b[^>]*>(.*?)(?=</?(?:p|h1|h2|h3)\b|$)", frame.sub("", article[1]), re.S)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert r["text"] == "\n".join(x for x in plain if x)
+        checked += 1
+    assert checked > 200
