@@ -7,7 +7,8 @@ logistic of the difference of the classes' Gaussian log densities and log
 shares. Class sums come from all learning rows, added up per task.
 
 Defined cases: null counts as the empty text, which has a finite score like
-any other; labels other than 0 and 1 and labels of unknown rows are left out;
+any other; labels other than 0 and 1 and labels of unknown rows are left out; a doc_id with both labels
+counts as 0, whatever the order of its label rows;
 rows repeated under one id get equal scores; when a class has no learning row,
 every score is the share of label 1 (0.5 without any row); an empty table
 gives an empty result; extra columns are not read.
@@ -198,7 +199,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     wanted = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     rows = stored(stats.join(wanted, "doc_id").select("label", "stats"), "labelled")
     d = len(STATISTICS) - 1

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from flowdetect.llm.quality_classifier import STATISTICS, classify, document_statistics, fit
+from flowdetect.llm.quality_classifier import LIMIT, TO_DIAGONAL, TO_POOLED, classify, document_statistics
 from tests.llm.cases import CLASH, SF, by_id, documents, odd_rows, repeated
 
 
@@ -46,9 +46,38 @@ def test_without_both_classes_the_score_is_the_share(spark):
     assert {r["score"] for r in classify(docs, one).collect()} == {1.0}
 
 
-def test_model_factors_match_the_density(spark):
-    stats = document_statistics(spark.read.parquet(f"{SF}/documents.parquet"))
-    model = fit(stats, spark.read.parquet(f"{SF}/labels.parquet"))
-    d = len(STATISTICS) - 1
-    assert len(model.mean) == 2 and model.inverse[0].shape == (d, d)
-    assert np.allclose(np.triu(model.inverse[0], 1), 0)
+def test_scores_equal_a_plain_discriminant(spark):
+    """Brute force: class means, shrunk covariances, inverses and determinants by numpy on all learning rows."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    stats = document_statistics(docs)
+    rows = stats.toPandas().drop_duplicates("doc_id").set_index("doc_id")["stats"]
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in rows.index and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    learn = np.array([rows[i] for i in known])
+    y = np.array(list(known.values()))
+    center, scale = learn[:, :-1].mean(0), learn[:, :-1].std(0) + 1e-3
+    z = lambda s: np.clip((s[:, :-1] - center) / scale, -LIMIT, LIMIT) * s[:, -1:]
+    every = z(np.array(rows.tolist()))
+    cov = [np.cov(z(learn[y == k]).T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+    density = []
+    for k in (0, 1):
+        shrunk = (1 - TO_POOLED) * cov[k] + TO_POOLED * pooled
+        shrunk = (1 - TO_DIAGONAL) * shrunk + TO_DIAGONAL * np.diag(np.diag(shrunk)) + 1e-6 * np.eye(len(center))
+        away = every - z(learn[y == k]).mean(0)
+        density.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(shrunk)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(shrunk), away))
+    expected = dict(zip(rows.index, 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))))
+    got = by_id(classify(docs, labels))
+    assert set(got) == set(expected) and all(abs(got[i]["score"] - expected[i]) < 1e-6 for i in got)
+
+
+def test_conflicting_labels_count_as_zero(spark):
+    docs = documents(spark, odd_rows())
+    rows = [(i, k % 2) for k, (i, _) in enumerate(odd_rows())]
+    both = rows + [(i, 1) for i, y in rows[:20]] + [(i, y) for i, y in rows[20:30]]
+    scores = []
+    for layout in (both, both[::-1], sorted(both)):
+        labels = spark.createDataFrame(layout, "doc_id long, quality int").repartition(3)
+        scores.append({k: r["score"] for k, r in by_id(classify(docs, labels)).items()})
+    least = spark.createDataFrame([(i, 0 if k < 20 and k % 2 == 0 else y) for k, (i, y) in enumerate(rows)], "doc_id long, quality int")
+    expected = {k: r["score"] for k, r in by_id(classify(docs, least)).items()}
+    assert all(abs(s[k] - expected[k]) < 1e-9 for s in scores for k in expected)
