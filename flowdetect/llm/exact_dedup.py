@@ -9,7 +9,8 @@ Texts are equal when identical after each run of white space (space, U+0009 to
 U+000D) is replaced by one space; null counts as empty.
 
 Defined cases: of equal texts in one batch the smallest id stays, and a text
-that an earlier batch indexed keeps the id indexed then; a null id loses to
+that an earlier batch indexed keeps the id indexed then, and with it the group_size of the
+batch that brought it (the index is only appended to; rows of later batches are not added to it); a null id loses to
 any other id, and a group of null ids only keeps a null; rows repeated under
 one id are one document and share its decision (``keep_rows`` returns one of
 them); extra columns pass through ``keep_rows`` and are not read elsewhere.

@@ -32,6 +32,9 @@ def test_index_persists_between_batches(spark, scratch):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(2, "new"), (8, None)]
     assert again.entries().count() == 4
     assert {r["keep_id"] for r in again.entries().collect()} == {7, 4, 2, 8}
+    # a text that comes again has the id and the count of the batch that brought it
+    later = exact_dedup(documents(spark, [(1, "a b"), (2, "a b"), (3, "a b"), (5, "other")]), again).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in later) == [(1, 7, 2, False), (2, 7, 2, False), (3, 7, 2, False), (5, 5, 1, True)]
     again.drop_entry()
 
 
