@@ -71,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
     passes its larger neighbours to its smallest one (large star) and its
     smaller neighbours likewise (small star). Each round is a written table;
     rounds end when the stars no longer change. Nothing is gathered on the driver
-    but a count and a checksum.
+    but a count and a checksum, and no table of links is broadcast.
     """
     stars = stored(_forests(links.where("u <> v").select("u", "v")), "links")
     mark = _mark(stars)
@@ -79,10 +79,10 @@ def components(links: DataFrame) -> DataFrame:
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(
-            both.where("v > u").join(stored(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+            both.where("v > u").join(stored(least, "least").hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
         small = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(small.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = stored(small.select("u", F.col("m").alias("v")).union(moved).distinct(), "stars")
         new = _mark(stars)
         if new == mark:

@@ -155,7 +155,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             good = pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT) if len(a) else pa.array([], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 
-    both = pairs.join(named("u"), "u").join(named("v"), "v").where(_enough(F.col("nu"), F.col("nv")))
+    both = pairs.join(named("u").hint("merge"), "u").join(named("v").hint("merge"), "v").where(_enough(F.col("nu"), F.col("nv")))
     return both.select("u", "v", "su", "sv").mapInArrow(lean(run), "u long, v long")
 
 
@@ -184,7 +184,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
 
     named = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "tu", "tv")
+    both = pairs.join(named("u").hint("merge"), "u").join(named("v").hint("merge"), "v").select("u", "v", "tu", "tv")
     return both.mapInArrow(lean(run), "u long, v long")
 
 
@@ -237,7 +237,7 @@ def in_blocks(open_buckets: DataFrame, lists: DataFrame, payload: list[str], com
         ),
         "bucket-heads",
     )
-    rows = open_buckets.join(heads, "key").withColumn("is_top", F.col("component") == F.col("top"))
+    rows = open_buckets.join(heads.hint("merge"), "key").withColumn("is_top", F.col("component") == F.col("top"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks")).cast("long")).cast("int")
     rows = rows.withColumn("mine", mine)
     cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
@@ -252,7 +252,7 @@ def in_blocks(open_buckets: DataFrame, lists: DataFrame, payload: list[str], com
         ))
     )
     placed = rows.select("key", "node", "component", F.explode(meets).alias("m"))
-    full = placed.join(lists, "node").select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", *payload)
+    full = placed.join(lists.hint("merge"), "node").select(F.xxhash64("key", "m").alias("cell"), "key", "m.kind", "m.a", "m.b", "node", "component", *payload)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -325,7 +325,10 @@ def links_in_blocks(open_buckets: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; ``size``: words in a shingle."""
+    """doc_id, n_shingles, component_id and kept of every row; ``size``: words in a shingle.
+
+    Every table joined here grows with the rows: none is broadcast at any size.
+    """
     path = scratch_path(docs.sparkSession, "signed")
     signatures(docs, size, id_col, text_col).write.option("compression", "zstd").parquet(path)
     written = docs.sparkSession.read.schema(SIGNED).parquet(path)
@@ -342,33 +345,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     remove_path(docs.sparkSession, path)  # signatures and bands live on in nodes
     in_band = nodes.select("node", F.explode("bands").alias("key"))
     shared = stored(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
-    buckets = stored(in_band.join(shared, "key"), "buckets", release=True)
+    buckets = stored(in_band.join(shared.hint("merge"), "key"), "buckets", release=True)
     weight = stored(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     hub = stored(
-        buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+        buckets.join(weight.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
         .select("key", (-F.col("top.minus")).alias("v")),
         "hubs",
     )
-    to_hub = buckets.join(hub, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    to_hub = buckets.join(hub.hint("merge"), "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     # a node may have several texts only where ids repeat; each text counts
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     first = stored(confirmed(stored(agreeing(to_hub, nodes), "hub-pairs"), texts, size), "hub-links", release=True)
     groups = stored(components(first), "hub-groups")
-    located = buckets.select("key", "node").join(groups, "node", "left")
+    located = buckets.select("key", "node").join(groups.hint("merge"), "node", "left")
     located = stored(located.select("key", "node", F.coalesce("component", "node").alias("component")), "located")
     members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count(F.lit(1)).alias("n")]
     mixed = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *members).where("lo <> hi")
     # close copies share many bands: of buckets with the same nodes, one is enough
     mixed = stored(mixed.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
-    left = stored(located.join(mixed, "key"), "open-buckets")
-    left = stored(left.join(promising(left, nodes), ["key", "node"]), "left-buckets", release=True)
-    lists = stored(shingle_lists(texts.join(left.select("node").distinct(), "node", "left_semi"), size), "shingles", release=True)
+    left = stored(located.join(mixed.hint("merge"), "key"), "open-buckets")
+    left = stored(left.join(promising(left, nodes).hint("merge"), ["key", "node"]), "left-buckets", release=True)
+    lists = stored(shingle_lists(texts.join(left.select("node").distinct().hint("merge"), "node", "left_semi"), size), "shingles", release=True)
     links = links_in_blocks(left, lists)
     stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     groups = stored(components(stars.union(links)), "groups")
     node_of = nodes.select("digest", F.col("node"))
-    placed = signed.where(some).join(node_of, "digest").select("doc_id", "n_shingles", "node")
-    placed = placed.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    placed = signed.where(some).join(node_of.hint("merge"), "digest").select("doc_id", "n_shingles", "node")
+    placed = placed.join(groups.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = signed.where(f"not ({some})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -376,4 +379,4 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
 def keep_one_of_each(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document is kept, with their columns."""
     dropped = near_duplicates(docs, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(stored(dropped, "near-copies"), F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(stored(dropped, "near-copies").hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
