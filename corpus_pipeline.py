@@ -4,6 +4,12 @@
 on all rows that the stage before it kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. ``run`` applies them
 to the documents table.
+
+Odd rows: a null text counts as empty (the classifier scores it like any other text, packing gives it
+its end id alone); rows with a null id are kept by the near-duplicate stage, come after all others in the passage stage and
+lose to any id in the exact stage; rows repeated under one id are one document in the exact stage, which returns one of
+them; of ties the smallest id stays; texts are read whole at any length; a text that the passage stage leaves without a
+word goes; an empty table gives an empty one; extra columns pass through all stages but packing.
 """
 
 from __future__ import annotations
