@@ -22,7 +22,7 @@ least MIN_WORDS words whose five-word shingles agree to 0.8 or more are
 passages. Their later copy is the repeat.
 
 Defined cases: null counts as empty; texts without five words have no seeds; a
-passage may repeat inside one document; rows with a null id come after all
+passage may repeat inside one document (its copies may overlap, but no word is its own copy); rows with a null id come after all
 others, rows of one id with different texts are ordered by the texts' checksum, and equal rows of
 one id are one document; an empty table gives no passages; extra columns pass
 through ``remove_passages`` and are not read elsewhere. Texts are read whole.
@@ -56,6 +56,8 @@ MIN_SEEDS = 2
 FEW = 3
 #: Pairs of seeds up to so many repeated seeds apart are keys too.
 LAGS = 8
+#: So many seeds that begin MIN_WORDS - SHINGLE + 1 words or more after a seed make keys with it: no phrase below MIN_WORDS words holds these.
+FAR = 4
 #: Words at a found passage's ends whose seeds are followed further.
 EDGE = 20
 #: Words around a chain that alignment may use: a stretch of MIN_WORDS around its seeds whole.
@@ -144,11 +146,14 @@ def long_keys(words: Words, frequent: np.ndarray, rare: np.ndarray) -> tuple[tup
     often = np.isin(known, frequent)
     doc = words.doc[known]
     keys, ones, others = [], [], []
-    for lag in range(1, min(LAGS, len(known) - 1) + 1):
-        use = np.flatnonzero((doc[lag:] == doc[:-lag]) & (often[lag:] | often[:-lag]) & (known[lag:] - known[:-lag] < grams))
-        keys.append(mix(mix(seed[use]) + seed[use + lag]))
+    here = np.arange(len(known))
+    far = np.searchsorted(known, known + grams)
+    for to in [*(np.minimum(here + lag, far) for lag in range(1, LAGS + 1)), *(far + k for k in range(FAR))]:
+        use = np.flatnonzero(to < len(known))
+        use = use[(doc[to[use]] == doc[use]) & (often[to[use]] | often[use])]
+        keys.append(mix(mix(seed[use]) + seed[to[use]]))
         ones.append(known[use])
-        others.append(known[use + lag])
+        others.append(known[to[use]])
     key, one, other = np.concatenate(keys), np.concatenate(ones), np.concatenate(others)
     order = np.lexsort((other, one, key, words.doc[one]))
     key, one, other = key[order], one[order], other[order]
@@ -402,8 +407,9 @@ def _skip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     return int(i[best]), int(j[best])
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """Align the beginnings of two word lists: (words used in a, in b, exact runs as (place in a, in b, length))."""
+def extend(a: np.ndarray, b: np.ndarray, gap: float = np.inf, sign: int = 1) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """Align the beginnings of two word lists: (words used in a, in b, exact runs as (place in a, in b, length)). ``b`` (``a`` where
+    ``sign`` is -1) gets less than ``gap`` words ahead."""
     i = j = 0
     score = best = 0
     best_at = (0, 0, 0)
@@ -420,7 +426,7 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, list[tuple[int, int,
             break
         i, j = i + jump[0], j + jump[1]
         score -= 4 + max(jump)
-        if score < best - DROP:
+        if score < best - DROP or sign * (j - i) >= gap:
             break
     return best_at[0], best_at[1], runs[: best_at[2]]
 
@@ -457,15 +463,17 @@ def alike(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """Passages (first and end word in a, in b, similarity) along a chain of seeds given as word places."""
+def aligned(a: np.ndarray, b: np.ndarray, seeds_at: list[tuple[int, int]], shift: int | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Passages (first and end word in a, in b, similarity) along a chain of seeds given as word places. Where both are parts of one text, ``a`` begins
+    ``shift`` words after ``b``: there, every word is aligned with an earlier one, never with itself."""
     out = []
     used_a = used_b = 0
     for i, j in seeds_at:
         if i < used_a or j < used_b:
             continue
-        right_a, right_b, right = extend(a[i:], b[j:])
-        left_a, left_b, left = extend(a[used_a:i][::-1], b[used_b:j][::-1])
+        gap = np.inf if shift is None else i + shift - j
+        right_a, right_b, right = extend(a[i:], b[j:], gap)
+        left_a, left_b, left = extend(a[used_a:i][::-1], b[used_b:j][::-1], gap, -1)
         a0, a1, b0, b1 = i - left_a, i + right_a, j - left_b, j + right_b
         if right_a:
             used_a, used_b = a1, b1
@@ -510,7 +518,7 @@ def align_chains(pairs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(column[name])
             words = Words(LOWER[data], offsets, roll)
             sides.append((words, offsets))
-        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "xs", "ys", "afirst", "bfirst", "alo", "blo")}
+        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "stag", "xs", "ys", "afirst", "bfirst", "alo", "blo")}
         rows = []
         for r in range(n):
             lists = []
@@ -521,7 +529,9 @@ def align_chains(pairs: DataFrame) -> DataFrame:
                 start, end = words.start[f:g] - offsets[r] + lo, words.end[f:g] - offsets[r] + lo
                 lists.append((words.hash[f:g], start, end, (np.array(places) - first).tolist()))
             (ha, a_start, a_end, at_a), (hb, b_start, b_end, at_b) = lists
-            for a0, a1, b0, b1, similarity in aligned(ha, hb, list(zip(at_a, at_b))):
+            same = (plain["id"][r], plain["tag"][r]) == (plain["sid"][r], plain["stag"][r])
+            shift = plain["afirst"][r] - plain["bfirst"][r] if same else None
+            for a0, a1, b0, b1, similarity in aligned(ha, hb, list(zip(at_a, at_b)), shift):
                 rows.append((plain["id"][r], plain["tag"][r], int(a_start[a0]), int(a_end[a1 - 1]), a1 - a0, plain["sid"][r],
                              int(b_start[b0]), int(b_end[b1 - 1]), similarity, int(a0) + plain["afirst"][r]))
         columns = list(zip(*rows)) if rows else [()] * 10

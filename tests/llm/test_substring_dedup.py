@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
+import pyarrow.dataset as ds
 
-from flowdetect.llm.substring_dedup import PrefixMax, aligned, alike, chains, remove_passages, repeated_passages
+from flowdetect.llm.substring_dedup import MIN_WORDS, PrefixMax, aligned, alike, chains, remove_passages, repeated_passages
 from tests.llm.cases import CLASH, documents, odd_rows, repeated
 
 
@@ -190,3 +192,72 @@ def test_parts_equal_a_search_of_all():
         assert [(a0, a1) for a0, a1, *_ in alike(a, b, runs)] == longest
         some += len(longest)
     assert some > 20
+
+
+def test_edited_passages_of_which_earlier_documents_hold_every_phrase(spark):
+    rng = random.Random(26)
+    rows = []
+    for k in range(10):
+        words = prose(rng, 70)
+        for m, start in enumerate([0, 5, 10, 15, 20, 21] * 3):  # phrases of 49 words, each in three documents
+            rows.append((1_000 * k + m, " ".join(prose(rng, 40) + words[start : start + 49] + prose(rng, 40))))
+        rows += [(20_000 + k, " ".join(prose(rng, 60) + words + prose(rng, 60))), (30_000 + k, " ".join(prose(rng, 60) + [*words[:35], "edited", *words[36:]] + prose(rng, 60)))]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in found} == {(30_000 + k, 20_000 + k) for k in range(10)}
+
+
+def repeated_windows(rows):
+    """By brute force: (doc, word) of all windows of MIN_WORDS words that agree, place by place, with an earlier window in 41 of their 46 shingles
+    (similarity 0.8 or more) and in their first and last word; and the byte ranges of each document's words."""
+    ranges, words_of, seen, covered = {}, {}, {}, set()
+    for doc, text in sorted(rows):
+        data = (text or "").encode()
+        found = list(re.finditer(rb"[^\x20\x09-\x0D]+", data))
+        words = words_of[doc] = [m.group().lower() for m in found]
+        ranges[doc] = [m.span() for m in found]
+        hits = {}
+        for k in range(len(words) - 4):
+            shingle = tuple(words[k : k + 5])
+            for source, at in seen.setdefault(shingle, []):
+                if source < doc or k - at >= MIN_WORDS:
+                    hits.setdefault((source, k - at), []).append(k)
+            seen[shingle].append((doc, k))
+        for (source, lag), at in hits.items():
+            shared = np.zeros(len(words), dtype=np.int64)
+            shared[at] = 1
+            count = np.concatenate([[0], np.cumsum(shared)])
+            for p in range(max(0, lag), min(len(words), len(words_of[source]) + lag) - MIN_WORDS + 1):
+                ends = all(words[q] == words_of[source][q - lag] for q in (p, p + MIN_WORDS - 1))
+                if ends and count[p + 46] - count[p] >= 41:
+                    covered.update((doc, q) for q in range(p, p + MIN_WORDS))
+    return covered, ranges
+
+
+def test_recall_against_all_windows(spark):
+    table = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["doc_id", "text"]).to_pandas()
+    rows = [(int(i), t) for i, t in zip(table["doc_id"], table["text"])]
+    true, ranges = repeated_windows(rows)
+    found = repeated_passages(documents(spark, rows)).collect()
+    got = {(r["doc_id"], q) for r in found for q, (a, b) in enumerate(ranges[r["doc_id"]]) if r["start"] <= a and b <= r["end"]}
+    assert len(true) > 10_000 and len(true & got) >= 0.99 * len(true), (len(true), len(true & got))
+    text = dict(rows)
+
+    def shingles(doc, a, b):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text[doc].encode()[a:b].lower())
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    for r in found:
+        own, other = shingles(r["doc_id"], r["start"], r["end"]), shingles(r["source_doc_id"], r["source_start"], r["source_end"])
+        assert len(own & other) >= 0.8 * len(own | other) - 1e-9 and (r["source_doc_id"], r["source_start"]) < (r["doc_id"], r["start"])
+
+
+def test_no_passage_is_its_own_copy(spark):
+    rng = random.Random(27)
+    rows = [(k, " ".join(rng.choice(["auf", "auf", "auf", "nicht", "der"]) for _ in range(150))) for k in range(20)]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert all((r["source_doc_id"], r["source_start"], r["source_end"]) < (r["doc_id"], r["start"], r["end"]) for r in found)
+    left = {r["doc_id"]: r["text"] for r in remove_passages(documents(spark, rows)).collect()}
+    assert left[0].startswith(rows[0][1][:20])
+    b = np.array([1, 2, 1, 2, 1, 2, 1, 1] * 20, dtype=np.uint64)
+    for a0, a1, b0, b1, _ in aligned(b[3:], b, [(20, 20)], 3):
+        assert a0 + 3 > b0 and a1 + 3 > b1
