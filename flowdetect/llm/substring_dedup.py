@@ -57,7 +57,7 @@ FEW = 3
 #: Pairs of seeds up to so many repeated seeds apart are keys too.
 LAGS = 8
 #: So many seeds that begin MIN_WORDS - SHINGLE + 1 words or more after a seed make keys with it: no phrase below MIN_WORDS words holds these.
-FAR = 4
+FAR = 2
 #: Words at a found passage's ends whose seeds are followed further.
 EDGE = 20
 #: Words around a chain that alignment may use: a stretch of MIN_WORDS around its seeds whole.
@@ -216,7 +216,7 @@ def key_matches(keys: DataFrame, paths: list[str]) -> DataFrame:
     """``keys``: a written table, the last of ``paths``; it goes. id, spot, sid, sspot of what long keys share. Each gives the word after too, so that one key is a chain."""
     used = [paths.pop()]  # of the keys
     first = stored(heads_of(keys, "spot", "other"), "first-keys", release=True, paths=used)
-    shared = stored(keys.join(first, "hash").where("id <> sid or spot <> sspot"), "shared-keys", release=True, paths=paths)
+    shared = stored(keys.join(first.hint("shuffle_hash"), "hash").where("id <> sid or spot <> sspot"), "shared-keys", release=True, paths=paths)
     drop(keys, used)
     columns = ["hash", "id", "spot", "other"]
     pairs = shared.where("pair").select(*columns)
@@ -386,8 +386,15 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    at, size = 0, 64
+    while at < n:
+        end = min(n, at + size)
+        differ = a[at:end] != b[at:end]
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
+        at, size = end, 4 * size
+    return n
 
 
 def _skip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
@@ -395,6 +402,16 @@ def _skip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     a, b = a[: MAX_SKIP + RESYNC], b[: MAX_SKIP + RESYNC]
     if len(a) < RESYNC or len(b) < RESYNC:
         return None
+    # the most frequent cases first, in the order of the words skipped: a word more in one text, a word replaced
+    x, y = a[: RESYNC + 1].tolist(), b[: RESYNC + 2].tolist()
+    if y[1 : RESYNC + 1] == x[:RESYNC]:
+        return 0, 1
+    if x[1:] == y[:RESYNC]:
+        return 1, 0
+    if y[2:] == x[:RESYNC]:
+        return 0, 2
+    if len(x) > RESYNC and x[1:] == y[1 : RESYNC + 1]:
+        return 1, 1
     equal = a[:, None] == b[None, :]
     n, m = len(a) - RESYNC + 1, len(b) - RESYNC + 1
     good = equal[:n, :m].copy()
@@ -574,22 +591,23 @@ def outside(repeats: DataFrame, found: DataFrame) -> DataFrame:
 
 def equal_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with each text once, under its smallest id; rows of PASSAGES of the others: their whole text)."""
-    digest = F.sha2("text", 256).alias("digest")
-    space = r"[\x20\x09-\x0D]"
-    start = F.octet_length(F.regexp_extract("text", f"^{space}*", 0)).cast("long").alias("start")
-    end = (F.octet_length("text").cast("long") - F.octet_length(F.regexp_extract("text", f"{space}*$", 0))).alias("end")
-    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
-    facts = stored(texts.select("id", "tag", digest, start, end, n_words), "text-facts")
+    keyed = texts.withColumn("digest", F.sha2("text", 256))
+    facts = stored(keyed.select("id", "digest"), "text-digests")
     heads = facts.groupBy("digest").agg(F.min("id").alias("source_id"), F.max("id").alias("last_id")).where("source_id < last_id")
-    copies = facts.join(heads.select("digest", "source_id"), "digest").where("id <> source_id").dropDuplicates(["id", "digest"])
-    copies = stored(copies, "copies", release=True)
-    passages = copies.where(F.col("n_words") >= MIN_WORDS).select(
+    copies = stored(facts.join(heads.select("digest", "source_id"), "digest").where("id <> source_id").distinct(), "copies", release=True)
+    # copies grow with the rows: never broadcast
+    marked = stored(keyed.join(copies.hint("shuffle_hash"), ["id", "digest"], "left"), "marked-texts", release=True)
+    blank = " \t\n\x0b\x0c\r"
+    size = lambda c: F.octet_length(c).cast("long")
+    start = (size("text") - size(F.ltrim(F.col("text"), F.lit(blank)))).alias("start")
+    end = size(F.rtrim(F.col("text"), F.lit(blank))).alias("end")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    again = marked.where("source_id is not null").select("id", "digest", "tag", start, end, n_words, "source_id").dropDuplicates(["id", "digest"])
+    passages = again.where(F.col("n_words") >= MIN_WORDS).select(
         "id", "tag", "start", "end", "n_words", "source_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"),
         F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("word"),
     )
-    # copies grow with the rows: never broadcast
-    once = texts.withColumn("digest", digest).join(copies.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti")
-    return once.select("id", "text", "tag"), passages
+    return marked.where("source_id is null").select("id", "text", "tag"), passages
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -600,7 +618,6 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found there leave uncovered goes on to the second document and to the longer keys.
     """
     texts, whole = equal_texts(_texts(docs, id_col, text_col))
-    texts = stored(texts, "distinct-texts", release=True)
     paths: list[str] = []
     used: list[str] = []
     seeded = stored(seed_rows(texts), "seeds", paths=used)
@@ -614,7 +631,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         paths=used,
     )
     repeats_at: list[str] = []
-    repeats = stored(seeded.join(first, "hash"), "repeated-seeds", release=True, paths=repeats_at)
+    repeats = stored(seeded.join(first.hint("shuffle_hash"), "hash"), "repeated-seeds", release=True, paths=repeats_at)
     drop(docs, used)
     columns = ["id", "spot", "sid", "sspot"]
     within = repeats.where("before is not null").select("id", "spot", F.col("id").alias("sid"), F.col("before").alias("sspot"))

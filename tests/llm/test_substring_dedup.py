@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow.dataset as ds
 
-from flowdetect.llm.substring_dedup import MIN_WORDS, PrefixMax, aligned, alike, chains, remove_passages, repeated_passages
+from flowdetect.llm.substring_dedup import MIN_WORDS, PrefixMax, _equal_run, _skip, aligned, alike, chains, remove_passages, repeated_passages
 from tests.llm.cases import CLASH, documents, odd_rows, repeated
 
 
@@ -261,3 +261,20 @@ def test_no_passage_is_its_own_copy(spark):
     b = np.array([1, 2, 1, 2, 1, 2, 1, 1] * 20, dtype=np.uint64)
     for a0, a1, b0, b1, _ in aligned(b[3:], b, [(20, 20)], 3):
         assert a0 + 3 > b0 and a1 + 3 > b1
+
+
+def test_skips_equal_a_search_of_all():
+    rng = random.Random(28)
+    for _ in range(3_000):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(9))] for _ in range(2))
+        if a and b and a[0] == b[0]:
+            continue
+        ways = [(i + j, i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
+        assert _skip(np.array(a, np.uint64), np.array(b, np.uint64)) == (min(ways)[1:] if ways else None)
+        n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert _equal_run(np.array(a, np.uint64), np.array(b, np.uint64)) == n
+    long = np.arange(5_000, dtype=np.uint64)
+    for at in (63, 64, 319, 320, 4_999):
+        other = long.copy()
+        other[at] = 9_999
+        assert _equal_run(long, other) == at
