@@ -350,12 +350,21 @@ def chained(matches: DataFrame) -> DataFrame:
 
 
 def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bytes around each wanted range of words (id, tag, s, e), from word ``first`` at byte ``lo`` on: MARGIN words more on both sides, as far as the text goes."""
-    lists = wanted.groupBy("id", "tag").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    """Bytes around each wanted range of words (id, tag, s, e), from word ``first`` at byte ``lo`` on: MARGIN words more on both sides, as far as the text
+    goes. A range of repeated rows may come more than once."""
+    lists = wanted.groupBy("id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    lists = lists.select("id", "tag", F.col("ranges.s").alias("starts"), F.col("ranges.e").alias("ends"))
 
     def run(batches):
         roll = RangeHash()
+        last = None
         for batch in batches:
+            # repeated rows come one after the other where the join sorts
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            batch = batch.filter(pa.array([key != before for key, before in zip(keys, [last, *keys])], pa.bool_()))
+            last = keys[-1] if keys else last
+            if not batch.num_rows:
+                continue
             texts_of = batch.column(4)
             starts, ends = (batch.column(k).to_pylist() for k in (2, 3))
             for row, data, offsets in text_slices(texts_of):
@@ -380,7 +389,7 @@ def spans(wanted: DataFrame, texts: DataFrame) -> DataFrame:
                     )
 
     joined = lists.join(texts, ["id", "tag"]).select("id", "tag", "starts", "ends", "text")
-    return joined.mapInArrow(lean(run), "id long, tag long, s long, e long, first long, lo long, bytes binary").dropDuplicates(["id", "tag", "s", "e"])
+    return joined.mapInArrow(lean(run), "id long, tag long, s long, e long, first long, lo long, bytes binary")
 
 
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -569,10 +578,10 @@ def _aligned_matches(matches: DataFrame, texts: DataFrame, name: str, paths: lis
     drop(texts, paths)
     one = found.select("id", "tag", F.col("x0").alias("s"), F.col("x1").alias("e"))
     other = found.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.col("y0").alias("s"), F.col("y1").alias("e"))
-    cuts = stored(spans(one.union(other).distinct(), texts), f"{name}-spans", release=True, paths=paths)
+    cuts = stored(spans(one.union(other), texts), f"{name}-spans", release=True, paths=paths)
     a = cuts.toDF("id", "tag", "x0", "x1", "afirst", "alo", "abytes")
     b = cuts.toDF("sid", "stag", "y0", "y1", "bfirst", "blo", "bbytes")
-    out = stored(align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"])), f"{name}-passages", release=True)
+    out = stored(align_chains(found.join(a, ["id", "tag", "x0", "x1"]).join(b, ["sid", "stag", "y0", "y1"])).distinct(), f"{name}-passages", release=True)
     drop(texts, paths)
     return out
 
