@@ -31,6 +31,7 @@ through ``remove_passages`` and are not read elsewhere. Texts are read whole.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowdetect.llm.common import IS_SPACE, LOWER, RangeHash, Words, as_long, lean, mix, ngram_hashes, slices, stored, text_buffer, text_slices
+from flowdetect.llm.common import IS_SPACE, LOWER, RangeHash, Words, as_long, lean, mix, ngram_hashes, slices, stored, stream, text_buffer, text_slices
 from flowdetect.llm.suffix_dedup import LAST, cut_ranges
 from flowdetect.session import remove_path
 
@@ -69,6 +70,9 @@ RESYNC = 3
 #: Alignment stops when its score falls this far below its best.
 DROP = 40
 
+#: Of a shingle's words, in a sum that no other shingle has but by chance.
+GRAM_FACTOR = stream(101 + SHINGLE, SHINGLE) | np.uint64(1)
+
 SEEDS = "hash long, id long, spot long, before long"
 KEYS = "hash long, id long, spot long, other long, pair boolean"
 
@@ -423,13 +427,14 @@ def _skip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
         return 1, 1
     equal = a[:, None] == b[None, :]
     n, m = len(a) - RESYNC + 1, len(b) - RESYNC + 1
-    good = equal[:n, :m].copy()
-    for k in range(1, RESYNC):
+    good = equal[:n, :m] & equal[1 : n + 1, 1 : m + 1]
+    for k in range(2, RESYNC):
         good &= equal[k : k + n, k : k + m]
-    i, j = np.nonzero(good)
-    if not len(i):
+    at = np.flatnonzero(good)
+    if not len(at):
         return None
-    best = int(np.argmin(i + j))
+    i, j = np.divmod(at, m)
+    best = int((i + j).argmin())
     return int(i[best]), int(j[best])
 
 
@@ -457,13 +462,16 @@ def extend(a: np.ndarray, b: np.ndarray, gap: float = np.inf, sign: int = 1) ->
     return best_at[0], best_at[1], runs[: best_at[2]]
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    return np.unique(ngram_hashes(words, np.zeros(len(words), dtype=np.int8), SHINGLE)[0])
+def _shingles(words: np.ndarray) -> set[int]:
+    size = max(0, len(words) - SHINGLE + 1)
+    return set(sum(words[k : k + size] * GRAM_FACTOR[k] for k in range(SHINGLE)).tolist())
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if np.array_equal(a, b):
+        return 1.0 if len(a) >= SHINGLE else 0.0
     sa, sb = _shingles(a), _shingles(b)
-    both = len(np.intersect1d(sa, sb, assume_unique=True))
+    both = len(sa & sb)
     return both / max(1, len(sa) + len(sb) - both)
 
 
@@ -476,11 +484,17 @@ def alike(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> lis
     upto = (1 + SIMILARITY) * shared[1:] - SIMILARITY * (x + y + 2 * n) + 2 * SIMILARITY * (SHINGLE - 1)
     out = []
     reached = -1
-    for s in range(len(x)):
-        lo = max(s, reached + 1)
-        long = np.minimum(x[lo:] + n[lo:] - x[s], y[lo:] + n[lo:] - y[s]) >= MIN_WORDS
-        for e in (lo + np.flatnonzero(long & (upto[lo:] - before[s] >= -1e-6)))[::-1].tolist():
-            stretch = int(x[s]), int(x[e] + n[e]), int(y[s]), int(y[e] + n[e])
+    most = np.maximum.accumulate(upto[::-1])[::-1].tolist()  # from each run on
+    need = before.tolist()
+    xs, ys, x_ends, y_ends = x.tolist(), y.tolist(), (x + n).tolist(), (y + n).tolist()
+    for s in range(len(xs)):
+        lo = max(s, reached + 1, bisect_left(x_ends, xs[s] + MIN_WORDS), bisect_left(y_ends, ys[s] + MIN_WORDS))
+        if lo >= len(xs):  # nor does a later one go on for so many words
+            break
+        if most[lo] - need[s] < -1e-6:
+            continue
+        for e in (lo + np.flatnonzero(upto[lo:] - need[s] >= -1e-6))[::-1].tolist():
+            stretch = xs[s], x_ends[e], ys[s], y_ends[e]
             similarity = _similarity(a[stretch[0] : stretch[1]], b[stretch[2] : stretch[3]])  # repeated shingles count once
             if similarity >= SIMILARITY:
                 out.append((*stretch, similarity))
@@ -540,26 +554,24 @@ def align_chains(pairs: DataFrame) -> DataFrame:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         n = batch.num_rows
         sides = []
-        for name in ("abytes", "bbytes"):
+        for name, places, first, lo in (("abytes", "xs", "afirst", "alo"), ("bbytes", "ys", "bfirst", "blo")):
             data, offsets = text_buffer(column[name])
             words = Words(LOWER[data], offsets, roll)
-            sides.append((words, offsets))
-        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "stag", "xs", "ys", "afirst", "bfirst", "alo", "blo")}
+            upto = column[places].offsets.to_numpy()
+            at = column[places].flatten().to_numpy() - np.repeat(column[first].to_numpy(), np.diff(upto))
+            shift = column[lo].to_numpy() - offsets[:-1]  # of a byte's place: in the text, less in the buffer
+            sides.append((words, words.first.tolist(), at.tolist(), (upto - upto[0]).tolist(), shift.tolist()))
+        plain = {c: column[c].to_pylist() for c in ("id", "tag", "sid", "stag", "afirst", "bfirst")}
+        (a, a_first, a_at, a_upto, a_shift), (b, b_first, b_at, b_upto, b_shift) = sides
         rows = []
         for r in range(n):
-            lists = []
-            for (words, offsets), places, first, lo in zip(
-                sides, (plain["xs"][r], plain["ys"][r]), (plain["afirst"][r], plain["bfirst"][r]), (plain["alo"][r], plain["blo"][r])
-            ):
-                f, g = words.first[r], words.first[r + 1]
-                start, end = words.start[f:g] - offsets[r] + lo, words.end[f:g] - offsets[r] + lo
-                lists.append((words.hash[f:g], start, end, (np.array(places) - first).tolist()))
-            (ha, a_start, a_end, at_a), (hb, b_start, b_end, at_b) = lists
+            f, g = a_first[r], b_first[r]
+            seeds_at = list(zip(a_at[a_upto[r] : a_upto[r + 1]], b_at[b_upto[r] : b_upto[r + 1]]))
             same = (plain["id"][r], plain["tag"][r]) == (plain["sid"][r], plain["stag"][r])
             shift = plain["afirst"][r] - plain["bfirst"][r] if same else None
-            for a0, a1, b0, b1, similarity in aligned(ha, hb, list(zip(at_a, at_b)), shift):
-                rows.append((plain["id"][r], plain["tag"][r], int(a_start[a0]), int(a_end[a1 - 1]), a1 - a0, plain["sid"][r],
-                             int(b_start[b0]), int(b_end[b1 - 1]), similarity, int(a0) + plain["afirst"][r]))
+            for a0, a1, b0, b1, similarity in aligned(a.hash[f : a_first[r + 1]], b.hash[g : b_first[r + 1]], seeds_at, shift):
+                rows.append((plain["id"][r], plain["tag"][r], int(a.start[f + a0]) + a_shift[r], int(a.end[f + a1 - 1]) + a_shift[r], a1 - a0, plain["sid"][r],
+                             int(b.start[g + b0]) + b_shift[r], int(b.end[g + b1 - 1]) + b_shift[r], similarity, int(a0) + plain["afirst"][r]))
         columns = list(zip(*rows)) if rows else [()] * 10
         kinds = [pa.int64()] * 8 + [pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in PASSAGES.split(", ")])

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pyarrow.dataset as ds
 
-from flowdetect.llm.substring_dedup import MIN_WORDS, PrefixMax, _equal_run, _skip, aligned, alike, chains, remove_passages, repeated_passages
+from flowdetect.llm import substring_dedup
+from flowdetect.llm.substring_dedup import MIN_WORDS, PrefixMax, _equal_run, _similarity, _skip, aligned, alike, chains, remove_passages, repeated_passages
 from tests.llm.cases import CLASH, documents, odd_rows, repeated
 
 
@@ -278,3 +279,29 @@ def test_skips_equal_a_search_of_all():
         other = long.copy()
         other[at] = 9_999
         assert _equal_run(long, other) == at
+
+
+def test_equal_stretches_and_runs_without_a_passage_cost_no_search(monkeypatch):
+    words = np.arange(1, 400, dtype=np.uint64)
+    other = words.copy()
+    other[::4] += np.uint64(10_000)
+    runs = [(at, at, 3) for at in range(1, 396, 4)]  # every fourth word differs: no shingle in common
+    assert _similarity(words[:60], words[5:65]) == 51 / 61
+
+    def searched(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(substring_dedup, "_shingles", searched)
+    monkeypatch.setattr(substring_dedup.np, "flatnonzero", searched)
+    assert _similarity(words, words.copy()) == 1.0
+    assert alike(words, other, runs) == []
+    assert alike(words, words, [(0, 0, 20), (25, 25, 20)]) == []  # too short together
+
+
+def test_similarity_is_that_of_the_shingle_sets():
+    rng = random.Random(31)
+    for _ in range(300):
+        a, b = ([rng.randrange(2) for _ in range(rng.randrange(20))] for _ in range(2))
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b)]
+        expected = len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+        assert _similarity(np.array(a, np.uint64), np.array(b, np.uint64)) == expected
