@@ -46,7 +46,7 @@ from flowdetect.operators.stats import flow_stats
 from flowdetect.plans.bounded import collect_bounded
 from flowdetect.plans.layout import forest_buckets, place_by_key
 from flowdetect.schema import DAY_COL, DAYS, LABEL_COL, TRAIN_FRACTION, feature_columns
-from flowdetect.session import remove_path, scratch_path
+from flowdetect.session import remove_path, scratch_path, unsorted_folders
 from flowdetect.sources.csv import write_prepared_csv
 from flowdetect.sources.parquet import read_flows, write_flows_by_day
 from flowdetect.sources.xml import read_flow_days
@@ -413,7 +413,8 @@ def train_each_day(
     coarse = prepare_flows(flows)
     if days is not None:
         coarse = coarse.where(F.col(DAY_COL).isin(list(days)))
-    coarse.write.partitionBy(DAY_COL).parquet(scratch)
+    with unsorted_folders(spark):
+        coarse.write.partitionBy(DAY_COL).parquet(scratch)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in coarse.schema.fields])
     table = spark.read.schema(schema).parquet(scratch).select(*coarse.columns)
     day_list = list(days) if days is not None else _days_of(table)

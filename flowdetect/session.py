@@ -8,7 +8,9 @@ from the caller. Anything written between steps goes under the cluster's
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -99,6 +101,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+OPEN_FILES_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+#: Files that a task writing by day keeps open: more than there are days. Rows of further folders are sorted, as Spark does by itself.
+OPEN_FILES = 16
+_open_files: dict[int, tuple[int, str]] = {}  # of each session: writes under way, its own setting
+_open_files_lock = threading.Lock()
+
+
+@contextmanager
+def unsorted_folders(spark: SparkSession):
+    """A table written by folder inside this block has a file open for each folder in every task.
+
+    Spark would sort each task's rows by folder first, and so hold them all: memory that
+    grows with the rows of a task. Writes may overlap (days are trained side by
+    side); the session's own setting is back when the last one ends.
+    """
+    session = spark._jsparkSession.hashCode()
+    with _open_files_lock:
+        writes, own = _open_files.get(session, (0, spark.conf.get(OPEN_FILES_CONF)))
+        _open_files[session] = writes + 1, own
+        spark.conf.set(OPEN_FILES_CONF, str(max(int(own), OPEN_FILES)))
+    try:
+        yield
+    finally:
+        with _open_files_lock:
+            writes, own = _open_files.pop(session)
+            if writes > 1:
+                _open_files[session] = writes - 1, own
+            else:
+                spark.conf.set(OPEN_FILES_CONF, own)
+
+
 def _folder(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowdetect.schema import DAY_COL
+from flowdetect.session import unsorted_folders
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -39,6 +40,7 @@ def write_prepared_csv(
 ) -> str:
     """Write under ``path``, one ``day=<day>`` folder per day.
 
+    No task sorts its rows by day: it keeps one file a day open, so its memory does not grow with its rows.
     With ``by_day=False`` the ``day`` column is dropped and ``path`` itself is
     meant to be one day's folder (``<base>/day=<day>``), so each day is its
     own write and days can be written independently, even at the same time.
@@ -50,7 +52,8 @@ def write_prepared_csv(
         writer = writer.option("nullValue", null_value)
     if DAY_COL in prepared.columns:
         writer = writer.partitionBy(DAY_COL)
-    writer.csv(path)
+    with unsorted_folders(prepared.sparkSession):
+        writer.csv(path)
     return path
 
 

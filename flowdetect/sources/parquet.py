@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowdetect.schema import DAY_COL
+from flowdetect.session import unsorted_folders
 
 
 def write_flows_by_day(
@@ -22,15 +23,17 @@ def write_flows_by_day(
 ) -> str:
     """Write ``flows`` partitioned by day.
 
-    Every task writes its own rows per day, so no shuffle is needed and a large
-    day does not land on one task; ``maxRecordsPerFile`` bounds file size.
+    Every task writes its own rows per day, one open file a day and unsorted, so no
+    shuffle is needed, a large day does not land on one task and no task holds its rows;
+    ``maxRecordsPerFile`` bounds file size.
     """
-    (
-        flows.write.mode(mode)
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(DAY_COL)
-        .parquet(path)
-    )
+    with unsorted_folders(flows.sparkSession):
+        (
+            flows.write.mode(mode)
+            .option("maxRecordsPerFile", max_records_per_file)
+            .partitionBy(DAY_COL)
+            .parquet(path)
+        )
     return path
 
 

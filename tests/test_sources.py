@@ -274,3 +274,43 @@ def test_csv_null_marker_keeps_empty_text(spark, scratch):
     back = {r["event_id"]: r for r in read_prepared_csv(spark, path, csv_schema_of(df), null_value="\\N").collect()}
     assert back[1]["startDateTime"] == "" and back[1]["appName"] is None
     assert back[2]["startDateTime"] == "07" and back[2]["appName"] == "x"
+
+
+def test_days_are_written_as_their_rows_come(spark, scratch):
+    """A task that sorts its rows by day first holds them all before it opens a file."""
+    path = scratch("csv-as-rows-come")
+    folder, parts, n = local_path(path), 12, 10_000
+
+    def rows(batches):
+        import time
+
+        import pyarrow as pa
+
+        list(batches)
+        begun = lambda: any(name.startswith("day=") for _, folders, _ in os.walk(folder) for name in folders)
+        for part in range(parts):
+            end = time.time() + 15
+            while part == parts - 1 and not begun() and time.time() < end:
+                time.sleep(0.1)
+            ids = range(part * n, (part + 1) * n)
+            days = [f"Jun{12 + i % 6}" if i % 7 else None for i in ids]
+            yield pa.RecordBatch.from_pydict({"event_id": list(ids), "begun": [begun()] * n, "text": [f"text of row {i}" for i in ids], "day": days})
+
+    df = spark.range(1).coalesce(1).mapInArrow(rows, "event_id long, begun boolean, text string, day string")
+    own = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    back = read_prepared_csv(spark, write_prepared_csv(df, path), csv_schema_of(df))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == own
+    counts = {(r["day"], r["begun"]): r["count"] for r in back.groupBy("day", "begun").count().collect()}
+    assert sum(counts.values()) == parts * n and len({day for day, _ in counts}) == 7
+    assert sum(rows_of for (_, begun), rows_of in counts.items() if begun) >= n
+
+
+def test_more_days_than_open_files(spark, scratch):
+    from flowdetect.session import OPEN_FILES
+
+    df = spark.range(1_000).selectExpr("id AS event_id", f"concat('day', id % {3 * OPEN_FILES}) AS day").coalesce(1)
+    by_csv = read_prepared_csv(spark, write_prepared_csv(df, scratch("csv-many")), csv_schema_of(df))
+    by_parquet = read_flows(spark, write_flows_by_day(df, scratch("parquet-many")))
+    expected = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, by_csv.select("event_id", "day").collect())) == expected
+    assert sorted(map(tuple, by_parquet.select("event_id", "day").collect())) == expected
